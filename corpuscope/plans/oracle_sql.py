@@ -62,7 +62,7 @@ def cos(a: str, b: str) -> str:
 def keywords_sql(x: str, variant: str = "multi") -> str:
     cls, stops = (KW_CLASS_MULTI, STOP_WORDS) if variant == "multi" else (KW_CLASS_ASCII, STOP_WORDS_EN)
     return (f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '{WORD_TOKEN}'), "
-            f"t -> regexp_full_match(t, '{cls[1:-1]}') AND length(t) > 2 "
+            f"lambda t: regexp_full_match(t, '{cls[1:-1]}') AND length(t) > 2 "
             f"AND NOT list_contains({sql_list(stops)}, t))")
 
 
@@ -93,3 +93,100 @@ matrix AS (
          """ + cos("a", "b") + """ AS sim
   FROM centn a CROSS JOIN centn b
 )"""
+
+
+def hash_vectors(name: str, src: str, id_col: str, text_col: str, dim: int = P.ENCODE_DIM) -> str:
+    """CTEs ``{name}_w (id, b, w)`` and ``{name}_n (id, nv)`` of the hashing encoder."""
+    return f"""
+{name}_t AS (
+  SELECT {id_col} AS id, md5(unnest(regexp_extract_all(lower(coalesce({text_col}, '')), '{WORD_TOKEN}'))) AS h
+  FROM {src}
+),
+{name}_w AS (
+  SELECT id, CAST(('0x' || substr(h, 1, 8))::BIGINT % {dim} AS INTEGER) AS b,
+         CAST(sum(CASE WHEN ('0x' || substr(h, 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END) AS DOUBLE) AS w
+  FROM {name}_t GROUP BY ALL
+),
+{name}_n AS (SELECT id, sqrt(sum(w * w)) AS nv FROM {name}_w GROUP BY id)"""
+
+
+QRY = f"""
+qry AS (SELECT item_id AS query_id, {strip('text')} AS query FROM benchmark)"""
+
+
+def search_hits_sql(threshold: float, top_k: int) -> str:
+    """CTE ``hits`` (query_id, query, rank, phrase_id, intent, phrase, sim, intent_pos, row_pos)."""
+    return f"""{DOC_CORPUS}, {QRY},
+{hash_vectors('dv', 'doc', 'phrase_id', 'phrase')},
+{hash_vectors('qv', 'qry', 'query_id', 'query')},
+dots AS (
+  SELECT q.id AS query_id, d.id AS phrase_id, sum(q.w * d.w) AS dp
+  FROM qv_w q JOIN dv_w d ON q.b = d.b GROUP BY ALL
+),
+sims AS (
+  SELECT t.query_id, t.phrase_id,
+         CASE WHEN qn.nv = 0 OR dn.nv = 0 THEN 0.0 ELSE t.dp / (qn.nv * dn.nv) END AS raw
+  FROM dots t JOIN qv_n qn ON qn.id = t.query_id JOIN dv_n dn ON dn.id = t.phrase_id
+),
+hits_all AS (
+  SELECT s.query_id, q.query, s.phrase_id, d.intent, d.phrase, round(s.raw, 6) AS sim, d.intent_pos, d.row_pos
+  FROM sims s JOIN doc d ON d.phrase_id = s.phrase_id JOIN qry q ON q.query_id = s.query_id
+  WHERE s.raw >= {threshold}
+),
+hits AS (
+  SELECT query_id, query,
+         row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, intent_pos, row_pos) AS rank,
+         phrase_id, intent, phrase, sim, intent_pos, row_pos
+  FROM hits_all QUALIFY rank <= {top_k}
+)"""
+
+
+# band CASE expressions (mirror corpuscope.functions.bands)
+def batch_action_sql(s: str, b) -> str:
+    return (f"(CASE WHEN {s} > {b.duplicate} THEN 'DUPLICATE' WHEN {s} > {b.add} THEN 'ADD' "
+            f"WHEN {s} > {b.review} THEN 'REVIEW' ELSE 'NEW_INTENT' END)")
+
+
+def single_action_sql(s: str, c: str, b) -> str:
+    return (f"(CASE WHEN {s} > {b.duplicate} THEN 'DUPLICATE' WHEN {s} > {b.add} AND {c} > {b.confidence} THEN 'ADD' "
+            f"WHEN {s} > {b.review} THEN 'REVIEW' ELSE 'NEW_INTENT' END)")
+
+
+def action_sentence_sql(a: str, i: str) -> str:
+    return (f"(CASE {a} WHEN 'DUPLICATE' THEN 'DUPLICATE -- Do not add' "
+            f"WHEN 'ADD' THEN 'ADD to ' || coalesce({i}, 'N/A') "
+            f"WHEN 'REVIEW' THEN 'REVIEW -- possibly ' || coalesce({i}, 'N/A') "
+            f"WHEN 'NEW_INTENT' THEN 'NEW INTENT suggested' ELSE {a} END)")
+
+
+def match_type_sql(s: str, phrase: str, query: str, b) -> str:
+    return (f"(CASE WHEN lower({strip(phrase)}) = lower({strip(query)}) THEN 'Exact' "
+            f"WHEN {s} > {b.mt_very_high} THEN 'Very High' WHEN {s} > {b.mt_high} THEN 'High' "
+            f"WHEN {s} > {b.mt_moderate} THEN 'Moderate' WHEN {s} > {b.mt_low} THEN 'Low' ELSE 'Very Low' END)")
+
+
+def sim_caption_sql(s: str, b) -> str:
+    return (f"(CASE WHEN {s} > {b.cap_very_high} THEN 'Very High -- Likely duplicate' "
+            f"WHEN {s} > {b.add} THEN 'High -- Good fit' WHEN {s} > {b.review} THEN 'Moderate -- Acceptable fit' "
+            f"ELSE 'Low -- Consider new intent' END)")
+
+
+def phrase_action_sql(s: str, b) -> str:
+    return (f"(CASE WHEN {s} > {b.move} THEN 'MOVE or DELETE' WHEN {s} > {b.rephrase} THEN 'REPHRASE' "
+            f"ELSE 'REVIEW' END)")
+
+
+def phrase_reason_sql(s: str, b) -> str:
+    return (f"(CASE WHEN {s} > {b.move} THEN 'Almost identical to other intent' "
+            f"WHEN {s} > {b.rephrase} THEN 'Very similar - needs differentiation' "
+            f"ELSE 'Moderately similar - consider rewording' END)")
+
+
+def grade_sql(s: str, b) -> str:
+    return (f"(CASE WHEN {s} >= {b.grade_good} THEN 'Good' WHEN {s} >= {b.grade_fair} THEN 'Fair' "
+            f"ELSE 'Needs Work' END)")
+
+
+def avg6(x: str) -> str:
+    """Mean of 6-decimal values rounded half-up to 6 decimals, exactly (see functions.stats.avg6)."""
+    return (f"(floor((2 * sum(CAST(round({x} * 1000000) AS BIGINT)) + count({x})) / (2 * count({x}))) / 1000000.0)")

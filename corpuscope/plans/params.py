@@ -31,8 +31,8 @@ TABLE_BANDS = Bands(
     move=0.45, rephrase=0.40,
     critical_pair=0.15, must_fix=0.20, should_fix_lo=0.05,
     phrase_critical=0.45,
-    duplicate=0.90, add=0.60, review=0.40, confidence=0.70,
-    cap_very_high=0.80,
-    mt_very_high=0.80, mt_high=0.60, mt_moderate=0.45, mt_low=0.35,
-    stat_very=0.80, stat_high=0.60,
+    duplicate=0.66, add=0.52, review=0.34, confidence=0.70,
+    cap_very_high=0.66,
+    mt_very_high=0.66, mt_high=0.52, mt_moderate=0.42, mt_low=0.34,
+    stat_very=0.66, stat_high=0.52,
 )
