@@ -97,7 +97,10 @@ WORD_TOKEN = r"[\p{L}\p{N}_]+"
 KW_CLASS_MULTI = "^[a-zA-ZÀ-ɏ]+$"   # KW-1
 KW_CLASS_ASCII = "^[a-z]+$"                    # KW-2
 
-_WS = r"[\s\p{Z}\x{FEFF}]"
+# The characters Python's str.isspace() accepts, i.e. what str.strip() removes (T-5).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _col(c) -> Column:
@@ -105,9 +108,12 @@ def _col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: removes Unicode white space, not only spaces (T-5)."""
-    c = _col(c)
-    return F.regexp_replace(F.regexp_replace(c, "^" + _WS + "+", ""), _WS + "+$", "")
+    """Python ``str.strip()``: removes Unicode white space, not only spaces (T-5).
+
+    ``trim(BOTH set FROM c)`` only looks at the two ends, so a long text costs
+    nothing extra (a ``$``-anchored regex would scan all of it).
+    """
+    return F.trim(_col(c), F.lit(PY_WHITESPACE))
 
 
 def is_phrase(c) -> Column:

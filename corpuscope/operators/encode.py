@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,37 +26,59 @@ from corpuscope.functions.text import WORD_TOKEN
 from corpuscope.functions.vectors import l2_normalise, norm
 
 
+def _densify_udf(dim: int):
+    """Signed bucket codes (b ≥ 0 for +1, -(b+1) for -1) → L2-normalised dense vectors.
+
+    Vectorised over the whole Arrow batch: one ``np.add.at`` scatter, no
+    per-row Python loop.
+    """
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def densify(codes: pd.Series) -> pd.Series:
+        n = len(codes)
+        mat = np.zeros((n, dim), dtype=np.float64)
+        lens = codes.map(lambda a: 0 if a is None else len(a)).to_numpy()
+        if lens.sum() > 0:
+            flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in codes.values if a is not None and len(a)])
+            rows = np.repeat(np.arange(n), lens)
+            pos = flat >= 0
+            np.add.at(mat, (rows, np.where(pos, flat, -flat - 1)), np.where(pos, 1.0, -1.0))
+        nrm = np.sqrt((mat * mat).sum(axis=1))
+        nrm[nrm == 0] = 1.0
+        mat /= nrm[:, None]
+        return pd.Series(list(mat))
+    return densify
+
+
 class HashingEncoder:
     """Signed feature hashing of lower-cased word tokens into ``dim`` buckets.
 
     bucket = first 8 hex digits of md5(token) mod dim; sign = + when the 9th
     hex digit is below 8.  Vectors are L2-normalised (zero stays zero).
+
+    Tokenising and hashing are JVM expressions on each row; only the final
+    scatter into a dense vector runs in an Arrow-batched pandas UDF.  The
+    whole encoder is map-only: no shuffle, linear in the text size, and a
+    long text is processed whole inside its own row.
     """
 
     def __init__(self, dim: int = 256):
         self.dim = int(dim)
 
-    def token_buckets(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        toks = df.select(F.col(id_col).alias("_id"),
-                         F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))),
-                                                              F.lit(WORD_TOKEN), 0)).alias("tok"))
-        h = F.md5(F.col("tok"))
-        return toks.select(
-            "_id",
-            (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % self.dim).cast("int").alias("b"),
-            F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1)).otherwise(F.lit(-1)).alias("s"))
+    def codes(self, text) -> Column:
+        toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD_TOKEN), 0)
+
+        def code(t):
+            h = F.md5(t)
+            b = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % self.dim
+            return F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, b).otherwise(-b - 1)
+        return F.transform(toks, code)
+
+    def column(self, text) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        return _densify_udf(self.dim)(self.codes(text))
 
     def encode(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        counts = (self.token_buckets(df, id_col, text_col)
-                  .groupBy("_id", "b").agg(F.sum("s").cast("double").alias("w")))
-        per_doc = counts.groupBy("_id").agg(
-            F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", "w")))).alias("m"))
-        dense = per_doc.select(
-            "_id", F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)),
-                               lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0))).alias("raw"))
-        out = dense.withColumn("_n", norm("raw")).select(
-            F.col("_id").alias(id_col), l2_normalise("raw", "_n").alias("embedding"))
-        return out
+        return df.select(id_col, self.column(text_col).alias("embedding"))
 
 
 def _pandas_encoder(factory: Callable[[], Callable], dim: int | None):
@@ -78,8 +100,7 @@ def encode(df: DataFrame, text_col: str = "phrase", id_col: str = "phrase_id", e
     zero-argument factory returning ``f(list[str]) -> array (n, d)``."""
     encoder = encoder or HashingEncoder()
     if isinstance(encoder, HashingEncoder):
-        vecs = encoder.encode(df.select(id_col, text_col), id_col, text_col)
-        return df.join(vecs, id_col)
+        return df.withColumn("embedding", encoder.column(text_col))
     out = df.withColumn("embedding", _pandas_encoder(encoder, None)(F.col(text_col)))
     if normalize:
         out = out.withColumn("_n", norm("embedding")).withColumn(

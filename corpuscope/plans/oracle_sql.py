@@ -5,14 +5,14 @@ Shared CTEs mirror the corpus bindings of ``corpuscope.sources.tables``.
 
 from __future__ import annotations
 
-from corpuscope.functions.text import KW_CLASS_ASCII, KW_CLASS_MULTI, STOP_WORDS, STOP_WORDS_EN, WORD_TOKEN, sql_list
+from corpuscope.functions.text import PY_WHITESPACE, KW_CLASS_ASCII, KW_CLASS_MULTI, STOP_WORDS, STOP_WORDS_EN, WORD_TOKEN, sql_list
 from corpuscope.plans import params as P
 
-WS = r"[\s\p{Z}\x{FEFF}]"
+WS_SQL = " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+    return f"trim({x}, {WS_SQL})"
 
 
 def is_phrase(x: str) -> str:
@@ -190,3 +190,53 @@ def grade_sql(s: str, b) -> str:
 def avg6(x: str) -> str:
     """Mean of 6-decimal values rounded half-up to 6 decimals, exactly (see functions.stats.avg6)."""
     return (f"(floor((2 * sum(CAST(round({x} * 1000000) AS BIGINT)) + count({x})) / (2 * count({x}))) / 1000000.0)")
+
+
+PAGES_CORPUS = f"""
+pg AS (
+  SELECT * FROM (
+    SELECT (CAST(0 AS BIGINT) << 40) + page_id AS phrase_id, 'url' AS intent, CAST(0 AS BIGINT) AS intent_pos,
+           page_id AS row_pos, {strip('url')} AS phrase FROM pages
+    UNION ALL
+    SELECT (CAST(1 AS BIGINT) << 40) + page_id, 'html', CAST(1 AS BIGINT), page_id, {strip('html')} FROM pages
+  ) WHERE {is_phrase('phrase')}
+)"""
+
+
+def truncate_sql(x: str, n: int = 80) -> str:
+    return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END)"
+
+
+def validate_sql(src: str) -> str:
+    return f"""
+sizes AS (
+  SELECT intent, min(intent_pos) AS intent_pos, count(*) AS n,
+         count(*) FILTER (WHERE length(phrase) > 500) AS n_long,
+         count(*) FILTER (WHERE regexp_matches(phrase, '^https?://'))
+           + count(*) FILTER (WHERE regexp_matches(phrase, '<[^>]+>'))
+           + count(*) FILTER (WHERE regexp_full_match(regexp_replace(phrase, '[.,]', '', 'g'), '\\p{{Nd}}+')) AS n_nontext
+  FROM {src} GROUP BY intent
+),
+names AS (
+  SELECT lower({strip('intent')}) AS key, count(*) AS k, min(intent_pos) AS pos,
+         string_agg(intent, ', ' ORDER BY intent_pos) AS names
+  FROM sizes GROUP BY 1
+),
+report AS (
+  SELECT 1 AS check_no, intent_pos AS pos, 'warning' AS level,
+         printf('Intent ''%s'' has only %d phrase(s) -- too few for meaningful analysis.', intent, n) AS message
+  FROM sizes WHERE n < 3
+  UNION ALL
+  SELECT 2, intent_pos, 'warning',
+         printf('Intent ''%s'' has %d phrase(s) longer than 500 characters -- possible data error.', intent, n_long)
+  FROM sizes WHERE n_long > 0
+  UNION ALL
+  SELECT 3, intent_pos, 'warning', printf('Intent ''%s'' has %d non-text phrase(s) (URLs/HTML/numbers).', intent, n_nontext)
+  FROM sizes WHERE n_nontext > 0
+  UNION ALL
+  SELECT 4, pos, 'error', 'Duplicate intent names (case-insensitive): ' || names FROM names WHERE k > 1
+  UNION ALL
+  SELECT 5, 0, 'warning',
+         printf('Found %d duplicate phrase(s) across intents. This may inflate similarity scores.', d)
+  FROM (SELECT count(*) - count(DISTINCT phrase) AS d FROM {src}) WHERE d > 0
+)"""

@@ -70,3 +70,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(root, "tables", name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` only when its scan has fewer partitions than cores.
+
+    Large inputs arrive in thousands of file splits and are left alone (no
+    shuffle); a small single-row-group file is spread so that per-row heavy
+    work (tokenising, hashing, vector products) uses every core.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -17,22 +17,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.sources.corpus import long_to_corpus
+from corpuscope.session import spread
+from corpuscope.sources.corpus import long_to_corpus, wide_to_corpus
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    return spread(df)
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
     return long_to_corpus(docs, intent="source", phrase="text", order="doc_id")
 
 
 def embedded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus with ``embedding array<float>`` (already unit-normalised upstream)."""
-    emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    emb = table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     joined = emb.join(docs, emb.vec_id == docs.doc_id).select(
         "vec_id", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("intent"),
         "text", "embedding")
@@ -48,3 +52,15 @@ def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` read as a wide table: two labels, ``url`` and ``html``, one row per page."""
+    pages = table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+    return wide_to_corpus(pages.withColumnRenamed("page_id", "row_pos"), ["url", "html"])
+
+
+def documents_with_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents corpus that also keeps the unstripped cell as ``raw`` (DQ-10)."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "source", "text"]).withColumn("raw", F.col("text"))
+    return long_to_corpus(docs, intent="source", phrase="text", order="doc_id", extra=["raw"])
