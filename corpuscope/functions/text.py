@@ -130,9 +130,9 @@ def keywords(c, variant: str = "multi") -> Column:
     """KW-1 (``variant='multi'``) / KW-2 (``'ascii'``): ordered keyword array, repeats kept."""
     c = _col(c)
     cls, stops = (KW_CLASS_MULTI, STOP_WORDS) if variant == "multi" else (KW_CLASS_ASCII, STOP_WORDS_EN)
-    stop = stop_array(stops)
     toks = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD_TOKEN), 0)
-    return F.filter(toks, lambda t: t.rlike(cls) & (F.length(t) > 2) & ~F.array_contains(stop, t))
+    # ``isin`` over many literals is planned as a hash-set lookup (InSet)
+    return F.filter(toks, lambda t: (F.length(t) > 2) & ~t.isin(stops) & t.rlike(cls))
 
 
 def truncate(c, n: int = 80) -> Column:

@@ -240,3 +240,79 @@ report AS (
          printf('Found %d duplicate phrase(s) across intents. This may inflate similarity scores.', d)
   FROM (SELECT count(*) - count(DISTINCT phrase) AS d FROM {src}) WHERE d > 0
 )"""
+
+
+def terms_sql(src: str, name: str = "terms") -> str:
+    return f"""
+{name}_kw AS (SELECT intent, intent_pos, unnest({keywords_sql('phrase')}) AS term FROM {src}),
+{name} AS (SELECT intent, term, min(intent_pos) AS intent_pos FROM {name}_kw GROUP BY ALL)"""
+
+
+def overlap_sql(pairs: str, terms: str = "terms", show: int = 10) -> str:
+    """CTE ``overlap`` (intent_a, intent_b, n_common, overlap_score, common, a_unique, b_unique)."""
+    def firstn(src, name):
+        return f"""{name} AS (
+  SELECT intent_a, intent_b, string_agg(term, ', ' ORDER BY term) AS {name}
+  FROM (SELECT *, row_number() OVER (PARTITION BY intent_a, intent_b ORDER BY term) AS r FROM {src})
+  WHERE r <= {show} GROUP BY ALL)"""
+    return f"""
+ov_sizes AS (SELECT intent, count(*) AS n FROM {terms} GROUP BY intent),
+ov_p AS (SELECT DISTINCT intent_a, intent_b FROM {pairs}),
+ov_a AS (SELECT p.intent_a, p.intent_b, t.term FROM ov_p p JOIN {terms} t ON t.intent = p.intent_a),
+ov_b AS (SELECT p.intent_a, p.intent_b, t.term FROM ov_p p JOIN {terms} t ON t.intent = p.intent_b),
+ov_c AS (SELECT a.* FROM ov_a a JOIN ov_b b ON a.intent_a = b.intent_a AND a.intent_b = b.intent_b AND a.term = b.term),
+ov_ao AS (SELECT * FROM ov_a EXCEPT SELECT * FROM ov_c),
+ov_bo AS (SELECT * FROM ov_b EXCEPT SELECT * FROM ov_c),
+{firstn('ov_c', 'common')},
+{firstn('ov_ao', 'a_unique')},
+{firstn('ov_bo', 'b_unique')},
+ov_n AS (SELECT intent_a, intent_b, count(*) AS n_common FROM ov_c GROUP BY ALL),
+overlap AS (
+  SELECT p.intent_a, p.intent_b, coalesce(n.n_common, 0) AS n_common,
+         round(coalesce(n.n_common, 0) / greatest(coalesce(sa.n, 0), coalesce(sb.n, 0), 1), 6) AS overlap_score,
+         coalesce(c.common, '') AS common, coalesce(ua.a_unique, '') AS a_unique, coalesce(ub.b_unique, '') AS b_unique
+  FROM ov_p p
+  LEFT JOIN ov_n n ON n.intent_a = p.intent_a AND n.intent_b = p.intent_b
+  LEFT JOIN ov_sizes sa ON sa.intent = p.intent_a
+  LEFT JOIN ov_sizes sb ON sb.intent = p.intent_b
+  LEFT JOIN common c ON c.intent_a = p.intent_a AND c.intent_b = p.intent_b
+  LEFT JOIN a_unique ua ON ua.intent_a = p.intent_a AND ua.intent_b = p.intent_b
+  LEFT JOIN b_unique ub ON ub.intent_a = p.intent_a AND ub.intent_b = p.intent_b
+)"""
+
+
+def tfidf_sql(src: str, max_features: int = 50, top: int = 50) -> str:
+    """CTE ``tfidf`` (intent, term, score, rank)."""
+    stops = sql_list(STOP_WORDS)
+    return f"""
+tf_ph AS (
+  SELECT intent, intent_pos, row_pos,
+         list_filter(regexp_extract_all(lower(coalesce(phrase, '')), '{WORD_TOKEN}'),
+                     lambda t: length(t) >= 2 AND NOT list_contains({stops}, t)) AS k
+  FROM {src}
+),
+tf_uni AS (SELECT intent, unnest(k) AS term FROM tf_ph),
+tf_inb AS (SELECT intent, unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS term
+           FROM tf_ph WHERE len(k) > 1),
+tf_ends AS (SELECT intent, row_pos, k[1] AS head, k[len(k)] AS tail FROM tf_ph WHERE len(k) > 0),
+tf_cross AS (SELECT intent, tail || ' ' || lead(head) OVER (PARTITION BY intent ORDER BY row_pos) AS term FROM tf_ends),
+tf_grams AS (SELECT * FROM tf_uni UNION ALL SELECT * FROM tf_inb UNION ALL SELECT * FROM tf_cross WHERE term IS NOT NULL),
+tf_tf AS (SELECT intent, term, count(*) AS tf FROM tf_grams GROUP BY ALL),
+tf_vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf_tf GROUP BY term
+             ORDER BY total DESC, term LIMIT {max_features}),
+tf_n AS (SELECT count(DISTINCT intent) AS N FROM {src}),
+tf_scored AS (
+  SELECT t.intent, t.term, (1 + ln(t.tf)) * (ln((1 + n.N) / (1 + v.df)) + 1) AS raw
+  FROM tf_tf t JOIN tf_vocab v ON v.term = t.term CROSS JOIN tf_n n
+),
+tf_norm AS (SELECT intent, sqrt(sum(raw * raw)) AS nrm FROM tf_scored GROUP BY intent),
+tf_final AS (SELECT s.intent, s.term, round(s.raw / n.nrm, 6) AS score FROM tf_scored s JOIN tf_norm n ON n.intent = s.intent),
+tfidf AS (
+  SELECT intent, term, score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY intent ORDER BY score DESC, term) AS rank FROM tf_final WHERE score > 0)
+  WHERE rank <= {top}
+)"""
+
+
+PAIRS = f"""
+pairs AS (SELECT intent_a, intent_b, a_pos, b_pos, sim FROM matrix WHERE a_pos < b_pos AND sim >= {P.PAIR_T})"""

@@ -43,7 +43,7 @@ def q_quality_report_pages(spark, sf):
 _DUPS = f"""WITH {DOC_CORPUS},
 per AS (SELECT phrase, intent, count(*) AS cnt, min(intent_pos) AS ip, min(row_pos) AS rp FROM doc GROUP BY ALL),
 g AS (
-  SELECT phrase, sum(cnt) AS count, min(ip) AS first_pos, arg_min(rp, ip) AS first_row,
+  SELECT phrase, CAST(sum(cnt) AS BIGINT) AS count, min(ip) AS first_pos, arg_min(rp, ip) AS first_row,
          string_agg(array_to_string(list_resize([intent], CAST(cnt AS INTEGER), intent), ', '), ', ' ORDER BY ip)
            AS appears_in,
          string_agg(intent, ', ' ORDER BY ip) AS appears_in_distinct
