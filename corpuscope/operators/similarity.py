@@ -204,12 +204,13 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
 
 
 def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                     method: str = "auto", block_rows: int = 2048, plain_max_rows: int = 20_000) -> DataFrame:
+                     method: str = "auto", block_rows: int = 2048, plain_max_rows: int = 512) -> DataFrame:
     """SIM-5 + SIM-8: every cross-label pair i before j with ``sim >= threshold``.
 
     Output: ``CONFLICT_COLS`` plus the order columns used by caps and sorts.
     ``method='auto'`` counts the corpus once and picks ``plain`` up to
-    ``plain_max_rows`` rows, ``blocked`` above.
+    ``plain_max_rows`` rows, ``blocked`` above (one BLAS product per block pair
+    beats a per-pair JVM lambda as soon as there is more than a handful of rows).
     """
     n = None
     if method == "auto":
@@ -224,26 +225,57 @@ def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN
     return _attach_text(pairs.select("phrase_id", "other_id", _round6(F.col("sim")).alias("sim")), corpus)
 
 
+def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
+    """Candidates for each row's k nearest: every block pair keeps, per row and
+    direction, the entries at or above its k-th largest (ties kept), so the
+    exact global top-k is always among them."""
+    nb = _block_count(n, block_rows)
+    left, right = _block_pairs(u.select("phrase_id", "intent_pos", "row_pos", "u"), nb)
+
+    def pick(src_ids, dst, sims):
+        if sims.shape[1] > k:
+            thr = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+            keep = sims >= thr[:, None]
+        else:
+            keep = np.ones_like(sims, dtype=bool)
+        ii, jj = np.nonzero(keep)
+        return pd.DataFrame({"phrase_id": src_ids[ii], "other_id": dst["phrase_id"].to_numpy()[jj],
+                             "jp": dst["intent_pos"].to_numpy()[jj], "jr": dst["row_pos"].to_numpy()[jj],
+                             "sim": sims[ii, jj]})
+
+    def score(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        cols = {"phrase_id": "int64", "other_id": "int64", "jp": "int64", "jr": "int64", "sim": "float64"}
+        if len(lp) == 0 or len(rp) == 0:
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in cols.items()})
+        sims = np.round(_stack(lp["u"]) @ _stack(rp["u"]).T, 6)
+        out = [pick(lp["phrase_id"].to_numpy(), rp, sims)]
+        if int(lp["lo"].iloc[0]) != int(lp["hi"].iloc[0]):
+            out.append(pick(rp["phrase_id"].to_numpy(), lp, sims.T))
+        return pd.concat(out, ignore_index=True)
+
+    return (left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi"))
+            .applyInPandas(score, "phrase_id long, other_id long, jp long, jr long, sim double"))
+
+
 def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, k: int = 100,
-                   vec: str = "embedding") -> DataFrame:
+                   vec: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """SIM-6: keep j only if it is among i's k nearest over all phrases.
 
     Neighbours include i itself and its own label (trap T-15); ties go to the
     earlier phrase.  Ranking happens before the ``j after i``, threshold and
-    label filters.  ``row_number <= k`` plans as a ``WindowGroupLimit`` that
-    keeps at most k rows per i in every task before the shuffle.
+    label filters.  Candidates come from the blocked kernel (at most k per row
+    per block pair, plus ties); ``row_number <= k`` then plans as a
+    ``WindowGroupLimit`` that keeps at most k rows per i in every task before
+    the shuffle.
     """
     u = _ids(corpus, vec)
-    a, b = u.alias("a"), u.alias("b")
-    s = a.crossJoin(b).select(
-        F.col("a.phrase_id").alias("phrase_id"), F.col("a.intent_pos").alias("ip"),
-        F.col("a.row_pos").alias("ir"),
-        F.col("b.phrase_id").alias("other_id"), F.col("b.intent_pos").alias("jp"),
-        F.col("b.row_pos").alias("jr"), _round6(dot("a.u", "b.u")).alias("sim"))
+    n = corpus.count()
+    cand = _topk_blocked(u, k, n, block_rows)
     w = Window.partitionBy("phrase_id").orderBy(F.desc("sim"), "jp", "jr")
-    top = s.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    kept = top.where((F.struct("ip", "ir") < F.struct("jp", "jr")) & (F.col("ip") != F.col("jp"))
-                     & (F.col("sim") >= threshold))
+    top = cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    me = u.select("phrase_id", F.col("intent_pos").alias("ip"), F.col("row_pos").alias("ir"))
+    kept = top.join(me, "phrase_id").where(
+        (F.struct("ip", "ir") < F.struct("jp", "jr")) & (F.col("ip") != F.col("jp")) & (F.col("sim") >= threshold))
     return _attach_text(kept.select("phrase_id", "other_id", "sim"), corpus)
 
 

@@ -24,7 +24,7 @@ GENERATED_AT = "2024-01-01 00:00:00"   # report time is a parameter so results r
 def analysis(spark, sf, corpus=None):
     corpus = corpus if corpus is not None else embedded_corpus(spark, sf)
     pairs = S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, BANDS)
-    conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T, block_rows=P.BLOCK_ROWS)
+    conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T)
     return corpus, pairs, conflicts
 
 

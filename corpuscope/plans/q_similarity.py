@@ -14,8 +14,9 @@ _PUBLIC = S.CONFLICT_COLS
 
 
 def _conflicts(spark, sf, method="auto"):
-    return S.phrase_conflicts(embedded_corpus(spark, sf), P.CONFLICT_T, method=method,
-                              block_rows=P.BLOCK_ROWS)
+    # the forced blocked plan uses small blocks so that test scale spans many block pairs
+    rows = P.BLOCK_ROWS if method == "blocked" else 2048
+    return S.phrase_conflicts(embedded_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows)
 
 
 @register("phrase_conflicts", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
