@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,7 +83,7 @@ class HashingEncoder:
 
 def _pandas_encoder(factory: Callable[[], Callable], dim: int | None):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()           # built once per Python worker
         for texts in batches:
             if len(texts) == 0:

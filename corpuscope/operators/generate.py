@@ -7,7 +7,7 @@ that runs in an iterator pandas UDF, built once per Python worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +33,7 @@ def prompt_for(phrase: Column, model_name: str) -> Column:
 
 def _pandas_generator(factory: Callable[[], Callable]):
     @F.pandas_udf(T.StringType())
-    def gen(batches):
+    def gen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()
         for prompts in batches:
             yield pd.Series(model(prompts.tolist()))
