@@ -142,8 +142,13 @@ def _conflicts_plain(corpus: DataFrame, threshold: float, vec: str) -> DataFrame
     return s.where(F.col("sim") >= threshold)
 
 
-def _block_count(n: int, block_rows: int) -> int:
-    return max(1, int(math.ceil(n / float(max(block_rows, 1)))))
+def _block_count(n: int, block_rows: int, parallelism: int = 1) -> int:
+    """Blocks of at most ``block_rows`` rows, and enough of them that the
+    B(B+1)/2 block pairs give every core at least two tasks."""
+    b = max(1, int(math.ceil(n / float(max(block_rows, 1)))))
+    while b * (b + 1) // 2 < 2 * parallelism and b < n:
+        b += 1
+    return b
 
 
 def _with_block(u: DataFrame, nblocks: int) -> DataFrame:
@@ -172,7 +177,7 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
                        n: int | None = None) -> DataFrame:
     u = _ids(corpus, vec).select("phrase_id", "intent_pos", "u")
     n = corpus.count() if n is None else n
-    nb = _block_count(n, block_rows)
+    nb = _block_count(n, block_rows, corpus.sparkSession.sparkContext.defaultParallelism)
     left, right = _block_pairs(u, nb)
     t = float(threshold)
 
@@ -229,7 +234,7 @@ def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
     """Candidates for each row's k nearest: every block pair keeps, per row and
     direction, the entries at or above its k-th largest (ties kept), so the
     exact global top-k is always among them."""
-    nb = _block_count(n, block_rows)
+    nb = _block_count(n, block_rows, u.sparkSession.sparkContext.defaultParallelism)
     left, right = _block_pairs(u.select("phrase_id", "intent_pos", "row_pos", "u"), nb)
 
     def pick(src_ids, dst, sims):

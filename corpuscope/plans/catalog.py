@@ -24,10 +24,7 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _load_all() -> None:
-    # importing the modules fills the registries
-    from corpuscope.plans import q_keywords, q_quality, q_recommend, q_search, q_similarity  # noqa: F401
-    from corpuscope.plans import q_misc  # noqa: F401
-
-
-_load_all()
+def load() -> tuple[dict, dict]:
+    """Import every query module (which fills the registries) and return them."""
+    from corpuscope.plans import q_keywords, q_misc, q_quality, q_recommend, q_search, q_similarity  # noqa: F401
+    return QUERIES, ORACLE

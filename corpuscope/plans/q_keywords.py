@@ -10,11 +10,13 @@ from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, CONV_CORPUS, DOC_CORPUS, EMB_CORPUS, PAIRS, keywords_sql,
                                          overlap_sql, terms_sql, tfidf_sql)
-from corpuscope.sources.tables import conversations_corpus, documents_corpus, embedded_corpus
+from corpuscope.plans.q_similarity import prepared_corpus
+from corpuscope.session import materialize
+from corpuscope.sources.tables import conversations_corpus, documents_corpus
 
 
 def confusing(spark, sf, corpus=None):
-    corpus = corpus if corpus is not None else embedded_corpus(spark, sf)
+    corpus = corpus if corpus is not None else prepared_corpus(spark, sf)
     return S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, P.TABLE_BANDS)
 
 
@@ -39,8 +41,9 @@ def q_keywords_ascii(spark, sf):
 @register("keyword_overlap", f"""WITH {EMB_CORPUS}, {CENTROIDS}, {PAIRS}, {terms_sql('emb')}, {overlap_sql('pairs')}
 SELECT * FROM overlap""")
 def q_keyword_overlap(spark, sf):
-    corpus = embedded_corpus(spark, sf)
-    return K.keyword_overlap(K.intent_terms(corpus), confusing(spark, sf, corpus))
+    corpus = prepared_corpus(spark, sf)
+    terms = materialize(K.intent_terms(corpus), "intent_terms")
+    return K.keyword_overlap(terms, confusing(spark, sf, corpus))
 
 
 @register("tfidf_terms", f"""WITH {CONV_CORPUS}, {tfidf_sql('conv')} SELECT * FROM tfidf""")
@@ -70,9 +73,9 @@ SELECT f.intent_a, f.intent_b, round(f.sim, 6) AS sim, o.n_common, o.common,
 FROM first5 f JOIN overlap o ON o.intent_a = f.intent_a AND o.intent_b = f.intent_b
 LEFT JOIN tops ta ON ta.intent = f.intent_a LEFT JOIN tops tb ON tb.intent = f.intent_b""")
 def q_pair_keywords(spark, sf):
-    corpus = embedded_corpus(spark, sf)
+    corpus = prepared_corpus(spark, sf)
     first5 = confusing(spark, sf, corpus).orderBy("a_pos", "b_pos").limit(5)
-    ov = K.keyword_overlap(K.intent_terms(corpus), first5)
+    ov = K.keyword_overlap(materialize(K.intent_terms(corpus), "intent_terms"), first5)
     tf = K.tfidf_terms(corpus, 50, 10)
     tops = tf.groupBy("intent").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("terms"))
@@ -92,8 +95,8 @@ firsts AS (SELECT DISTINCT intent, term FROM (
 shown AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY term) AS r FROM firsts)
 SELECT intent, string_agg(term, ', ' ORDER BY term) AS hints, count(*) AS n_hints FROM shown WHERE r <= 10 GROUP BY intent""")
 def q_target_keywords(spark, sf):
-    corpus = embedded_corpus(spark, sf)
-    return K.target_hints(K.intent_terms(corpus), confusing(spark, sf, corpus))
+    corpus = prepared_corpus(spark, sf)
+    return K.target_hints(materialize(K.intent_terms(corpus), "intent_terms"), confusing(spark, sf, corpus))
 
 
 @register("confused_with", f"""WITH {EMB_CORPUS}, {CENTROIDS}, {PAIRS},

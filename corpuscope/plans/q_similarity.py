@@ -8,15 +8,21 @@ from corpuscope.operators import similarity as S
 from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import CENTROIDS, CONFLICT_PAIRS, CONFLICT_SELECT, DOC_CORPUS, EMB_CORPUS
+from corpuscope.session import materialize
 from corpuscope.sources.tables import documents_corpus, embedded_corpus
 
 _PUBLIC = S.CONFLICT_COLS
 
 
+def prepared_corpus(spark, sf):
+    """The embedded corpus, computed once and stored (read by several joins)."""
+    return materialize(embedded_corpus(spark, sf), "embedded_corpus")
+
+
 def _conflicts(spark, sf, method="auto"):
     # the forced blocked plan uses small blocks so that test scale spans many block pairs
     rows = P.BLOCK_ROWS if method == "blocked" else 2048
-    return S.phrase_conflicts(embedded_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows)
+    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows)
 
 
 @register("phrase_conflicts", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
@@ -73,12 +79,12 @@ WHERE r.rk <= {P.TOPK_K} AND (r.ip < r.jp OR (r.ip = r.jp AND r.ir < r.jr)) AND
 
 @register("conflicts_topk", _TOPK_SQL)
 def q_conflicts_topk(spark, sf):
-    return S.conflicts_topk(embedded_corpus(spark, sf), P.CONFLICT_T, P.TOPK_K).select(*_PUBLIC)
+    return S.conflicts_topk(prepared_corpus(spark, sf), P.CONFLICT_T, P.TOPK_K).select(*_PUBLIC)
 
 
 @register("conflicts_lsh")
 def q_conflicts_lsh(spark, sf):
-    return S.conflicts_lsh(embedded_corpus(spark, sf), P.CONFLICT_T).select(*_PUBLIC)
+    return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T).select(*_PUBLIC)
 
 
 @register("exact_duplicates", f"""WITH {DOC_CORPUS}

@@ -64,10 +64,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     A written table survives executor loss (unlike a cached or locally
     checkpointed one) and is read back with column pruning and pushdown.
+    Every call writes a fresh folder, so concurrent readers of an older
+    result are never disturbed.
     """
+    import uuid
+
     spark = df.sparkSession
     root = checkpoint_dir(spark)
-    path = os.path.join(root, "tables", name)
+    path = os.path.join(root, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
