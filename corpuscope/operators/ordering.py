@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def rank_within(df: DataFrame, group: str, order: list[str], out: str = "rn") -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: list[str], out: str = "rn", width: int = 4096) -> DataFrame:
     """Dense 1-based position of each row inside ``group`` by ``order``.
 
-    A window partitioned by the group would sort a hot group in one task.
-    Instead the frame is range-sorted (the sampled range partitioner splits a
-    hot group over many tasks), numbered with ``zipWithIndex`` (one counting
-    job, then a narrow pass) and each group's first index is subtracted; the
-    per-group minimum is a map-side combined aggregate.
+    ``order[0]`` must be numeric (a row position).  A window partitioned by
+    the group would sort a hot group in one task; instead rows are cut into
+    fixed ranges of ``order[0]`` (``width`` wide, independent of the data
+    layout, so every evaluation agrees):
+
+    * local rank: ``row_number`` over (group, range) — at most ``width``
+      distinct positions per window;
+    * offset: rows of the group in earlier ranges — one count per
+      (group, range), then a running sum over that small table.
     """
-    cols = df.columns
-    ordered = df.orderBy(F.col(group), *[F.col(c) for c in order])
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_gidx", T.LongType(), False)])
-    indexed = ordered.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)).toDF(schema)
-    first = indexed.groupBy(group).agg(F.min("_gidx").alias("_g0"))
-    return indexed.join(first, group).select(*cols, (F.col("_gidx") - F.col("_g0") + 1).alias(out))
+    rng = F.floor(F.col(order[0]) / F.lit(width)).cast("long")
+    d = df.withColumn("_rng", rng)
+    w_local = Window.partitionBy(group, "_rng").orderBy(*order)
+    local = d.withColumn("_lr", F.row_number().over(w_local))
+    seg = d.groupBy(group, "_rng").agg(F.count(F.lit(1)).alias("_n"))
+    w_cum = Window.partitionBy(group).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offs = seg.select(group, "_rng", F.coalesce(F.sum("_n").over(w_cum), F.lit(0)).alias("_off"))
+    return local.join(offs, [group, "_rng"]).select(*df.columns, (F.col("_off") + F.col("_lr")).cast("long").alias(out))
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[str], id_col: str) -> DataFrame:

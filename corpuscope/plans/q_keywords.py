@@ -10,9 +10,9 @@ from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, CONV_CORPUS, DOC_CORPUS, EMB_CORPUS, PAIRS, keywords_sql,
                                          overlap_sql, terms_sql, tfidf_sql)
-from corpuscope.plans.q_similarity import prepared_corpus
-from corpuscope.session import materialize
-from corpuscope.sources.tables import conversations_corpus, documents_corpus
+from corpuscope.plans.prepared import prepared
+from corpuscope.plans.q_similarity import prepared_corpus, prepared_documents
+from corpuscope.sources.tables import conversations_corpus
 
 
 def confusing(spark, sf, corpus=None):
@@ -24,7 +24,7 @@ def confusing(spark, sf, corpus=None):
 SELECT phrase_id, array_to_string({keywords_sql('phrase')}, ' ') AS keywords,
        CAST(len({keywords_sql('phrase')}) AS BIGINT) AS n_keywords FROM doc""")
 def q_keywords(spark, sf):
-    k = K.phrase_keywords(documents_corpus(spark, sf))
+    k = K.phrase_keywords(prepared_documents(spark, sf))
     return k.select("phrase_id", F.array_join("keywords", " ").alias("keywords"),
                     F.size("keywords").cast("bigint").alias("n_keywords"))
 
@@ -33,7 +33,7 @@ def q_keywords(spark, sf):
 SELECT phrase_id, array_to_string({keywords_sql('phrase', 'ascii')}, ' ') AS keywords,
        CAST(len({keywords_sql('phrase', 'ascii')}) AS BIGINT) AS n_keywords FROM doc""")
 def q_keywords_ascii(spark, sf):
-    k = K.phrase_keywords(documents_corpus(spark, sf), "ascii")
+    k = K.phrase_keywords(prepared_documents(spark, sf), "ascii")
     return k.select("phrase_id", F.array_join("keywords", " ").alias("keywords"),
                     F.size("keywords").cast("bigint").alias("n_keywords"))
 
@@ -42,13 +42,13 @@ def q_keywords_ascii(spark, sf):
 SELECT * FROM overlap""")
 def q_keyword_overlap(spark, sf):
     corpus = prepared_corpus(spark, sf)
-    terms = materialize(K.intent_terms(corpus), "intent_terms")
+    terms = prepared(spark, "intent_terms", sf, ["embeddings", "documents"], lambda: K.intent_terms(corpus))
     return K.keyword_overlap(terms, confusing(spark, sf, corpus))
 
 
 @register("tfidf_terms", f"""WITH {CONV_CORPUS}, {tfidf_sql('conv')} SELECT * FROM tfidf""")
 def q_tfidf_terms(spark, sf):
-    t = K.tfidf_terms(conversations_corpus(spark, sf))
+    t = K.tfidf_terms(prepared(spark, 'conversations_corpus', sf, ['conversations'], lambda: conversations_corpus(spark, sf)))
     return t.select("intent", "term", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -60,7 +60,7 @@ g AS (SELECT intent, term, count(*) AS count, min((row_pos, pos)) AS first FROM
 SELECT intent, term, count, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY intent ORDER BY count DESC, first) AS rank FROM g) WHERE rank <= 50""")
 def q_keyword_counts(spark, sf):
-    c = K.keyword_counts(conversations_corpus(spark, sf))
+    c = K.keyword_counts(prepared(spark, 'conversations_corpus', sf, ['conversations'], lambda: conversations_corpus(spark, sf)))
     return c.select("intent", "term", "count", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -75,7 +75,7 @@ LEFT JOIN tops ta ON ta.intent = f.intent_a LEFT JOIN tops tb ON tb.intent = f.i
 def q_pair_keywords(spark, sf):
     corpus = prepared_corpus(spark, sf)
     first5 = confusing(spark, sf, corpus).orderBy("a_pos", "b_pos").limit(5)
-    ov = K.keyword_overlap(materialize(K.intent_terms(corpus), "intent_terms"), first5)
+    ov = K.keyword_overlap(prepared(spark, "intent_terms", sf, ["embeddings", "documents"], lambda: K.intent_terms(corpus)), first5)
     tf = K.tfidf_terms(corpus, 50, 10)
     tops = tf.groupBy("intent").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("terms"))
@@ -96,7 +96,7 @@ shown AS (SELECT *, row_number() OVER (PARTITION BY intent ORDER BY term) AS r F
 SELECT intent, string_agg(term, ', ' ORDER BY term) AS hints, count(*) AS n_hints FROM shown WHERE r <= 10 GROUP BY intent""")
 def q_target_keywords(spark, sf):
     corpus = prepared_corpus(spark, sf)
-    return K.target_hints(materialize(K.intent_terms(corpus), "intent_terms"), confusing(spark, sf, corpus))
+    return K.target_hints(prepared(spark, "intent_terms", sf, ["embeddings", "documents"], lambda: K.intent_terms(corpus)), confusing(spark, sf, corpus))
 
 
 @register("confused_with", f"""WITH {EMB_CORPUS}, {CENTROIDS}, {PAIRS},

@@ -17,7 +17,8 @@ from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, DOC_CORPUS, EMB_CORPUS, cos, hash_vectors, search_hits_sql,
                                          strip)
 from corpuscope.plans.q_search import BANDS, DECISION_SQL, encoded, single_hits
-from corpuscope.sources.tables import documents_corpus, embedded_corpus, table
+from corpuscope.plans.q_similarity import prepared_corpus, prepared_documents
+from corpuscope.sources.tables import table
 from corpuscope.streaming.history import recent
 
 MODEL = "humarin/chatgpt_paraphraser_on_T5_base"
@@ -47,7 +48,7 @@ gen AS (SELECT j.*, {strip("replace('paraphrased: ' || regexp_replace(regexp_rep
 SELECT intent, phrase_id, variation, prompt, generated, was_limited, 'Diverse Variations' AS strategy,
        CAST(2 AS BIGINT) AS num_variations, '{GEN_AT}' AS generated_at, '{MODEL}' AS model_used FROM gen""")
 def q_paraphrase_jobs(spark, sf):
-    j = G.paraphrase_jobs(documents_corpus(spark, sf), MODEL, 2, 20, generated_at=GEN_AT)
+    j = G.paraphrase_jobs(prepared_documents(spark, sf), MODEL, 2, 20, generated_at=GEN_AT)
     return j.select("intent", "phrase_id", "variation", "prompt", "generated", "was_limited", "strategy",
                     "num_variations", "generated_at", "model_used")
 
@@ -58,7 +59,7 @@ new AS (SELECT g.intent, l.last_pos + row_number() OVER (PARTITION BY g.intent O
                g.generated AS phrase, true AS is_generated FROM gen g JOIN last l ON l.intent = g.intent)
 SELECT intent, row_pos, phrase, false AS is_generated FROM doc UNION ALL SELECT * FROM new""")
 def q_append_generated(spark, sf):
-    corpus = documents_corpus(spark, sf)
+    corpus = prepared_documents(spark, sf)
     gen = G.paraphrase_jobs(corpus, MODEL, 2, 20, generated_at=GEN_AT)
     return G.append_generated(corpus, gen).select("intent", "row_pos", "phrase", "is_generated")
 
@@ -69,7 +70,7 @@ POOL_DIM = 8
 
 
 def token_table(spark, sf):
-    c = documents_corpus(spark, sf)
+    c = prepared_documents(spark, sf)
     t = c.select("phrase_id", F.posexplode(F.regexp_extract_all(F.lower("phrase"), F.lit(WORD_TOKEN), 0))
                  .alias("token_pos", "tok"))
     h = F.md5("tok")
@@ -156,13 +157,13 @@ def q_search_summary(spark, sf):
 
 @register("pca_2d")
 def q_pca_2d(spark, sf):
-    return D.pca_2d(embedded_corpus(spark, sf))
+    return D.pca_2d(prepared_corpus(spark, sf))
 
 
 @register("landmark_sample", f"""WITH {EMB_CORPUS}
 SELECT phrase_id, intent FROM emb ORDER BY md5(CAST(phrase_id AS VARCHAR) || ':42'), phrase_id LIMIT 5000""")
 def q_landmark_sample(spark, sf):
-    return D.landmark_sample(embedded_corpus(spark, sf), 5000).select("phrase_id", "intent")
+    return D.landmark_sample(prepared_corpus(spark, sf), 5000).select("phrase_id", "intent")
 
 
 @register("landmark_place", f"""WITH {EMB_CORPUS},
@@ -174,7 +175,7 @@ near AS (SELECT *, 1.0 / (dist + 1e-8) AS w FROM d
          QUALIFY row_number() OVER (PARTITION BY phrase_id ORDER BY dist, lm_id) <= 5)
 SELECT phrase_id, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM near GROUP BY phrase_id""")
 def q_landmark_place(spark, sf):
-    corpus = embedded_corpus(spark, sf)
+    corpus = prepared_corpus(spark, sf)
     lm = D.landmark_sample(corpus, 100).select(
         "phrase_id", "embedding", F.col("embedding")[0].cast("double").alias("x"),
         F.col("embedding")[1].cast("double").alias("y"))
@@ -186,6 +187,6 @@ def q_landmark_place(spark, sf):
 m AS (SELECT intent_a AS intent, intent_b, round(sim, 6) AS sim FROM matrix)
 SELECT * FROM (PIVOT m ON intent_b USING first(sim) GROUP BY intent)""")
 def q_intent_matrix_wide_sql(spark, sf):
-    m = SIM.intent_matrix(SIM.intent_centroids(embedded_corpus(spark, sf)))
+    m = SIM.intent_matrix(SIM.intent_centroids(prepared_corpus(spark, sf)))
     m = m.withColumn("sim", F.round("sim", 6))
     return SIM.intent_matrix_wide(m).drop("a_pos")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from corpuscope.operators import quality as Q
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import DOC_CORPUS, PAGES_CORPUS, strip, truncate_sql, validate_sql
-from corpuscope.sources.tables import documents_corpus, documents_with_raw, pages_corpus
+from corpuscope.plans.q_similarity import prepared_documents
+from corpuscope.sources.tables import documents_with_raw, pages_corpus
 
 
 @register("corpus_long", f"""WITH {PAGES_CORPUS}
@@ -24,14 +25,14 @@ sel AS (SELECT d.*, f.total, row_number() OVER (PARTITION BY d.intent ORDER BY d
         FROM doc d JOIN firsts f ON f.intent = d.intent)
 SELECT intent, intent_pos, total, idx, phrase_id, {truncate_sql('phrase', 100)} AS display FROM sel WHERE idx <= 3""")
 def q_corpus_preview(spark, sf):
-    p = Q.preview(documents_corpus(spark, sf))
+    p = Q.preview(prepared_documents(spark, sf))
     return p.select("intent", "intent_pos", "total", F.col("idx").cast("bigint").alias("idx"), "phrase_id", "display")
 
 
 @register("quality_report", f"""WITH {DOC_CORPUS}, {validate_sql('doc')}
 SELECT check_no, pos, level, message FROM report""")
 def q_quality_report(spark, sf):
-    return Q.validate(documents_corpus(spark, sf))
+    return Q.validate(prepared_documents(spark, sf))
 
 
 @register("quality_report_pages", f"""WITH {PAGES_CORPUS}, {validate_sql('pg')}
@@ -54,21 +55,21 @@ g AS (
 @register("duplicate_phrases", _DUPS + f"""
 SELECT {truncate_sql('phrase')} AS phrase, count, appears_in, first_pos, first_row FROM g WHERE count > 1""")
 def q_duplicate_phrases(spark, sf):
-    return Q.repeated_phrases(documents_corpus(spark, sf))
+    return Q.repeated_phrases(prepared_documents(spark, sf))
 
 
 @register("duplicate_phrases_distinct", _DUPS + f"""
 SELECT {truncate_sql('phrase')} AS phrase, count, appears_in_distinct AS appears_in, first_pos, first_row
 FROM g WHERE count > 1 ORDER BY count DESC, first_pos, first_row LIMIT 50""")
 def q_duplicate_phrases_distinct(spark, sf):
-    return Q.repeated_phrases(documents_corpus(spark, sf), distinct_intents=True, top=50)
+    return Q.repeated_phrases(prepared_documents(spark, sf), distinct_intents=True, top=50)
 
 
 @register("dedupe_corpus", f"""WITH {DOC_CORPUS}
 SELECT phrase_id, intent, phrase FROM doc
 QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1""")
 def q_dedupe_corpus(spark, sf):
-    return Q.remove_repeats(documents_corpus(spark, sf)).select("phrase_id", "intent", "phrase")
+    return Q.remove_repeats(prepared_documents(spark, sf)).select("phrase_id", "intent", "phrase")
 
 
 @register("dedupe_within", """SELECT doc_id AS phrase_id, source AS intent, text AS raw FROM documents
@@ -83,10 +84,10 @@ kept AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER
 ranked AS (SELECT intent, phrase, row_number() OVER (PARTITION BY intent ORDER BY row_pos) AS rn FROM kept)
 SELECT * FROM (PIVOT ranked ON intent USING first(phrase) GROUP BY rn)""")
 def q_wide_compact(spark, sf):
-    return Q.compact_wide(Q.remove_repeats(documents_corpus(spark, sf)))
+    return Q.compact_wide(Q.remove_repeats(prepared_documents(spark, sf)))
 
 
 @register("load_counts", f"""WITH {DOC_CORPUS}
 SELECT count(*) AS total_phrases, count(DISTINCT intent) AS total_intents, count(*) > 1000 AS is_large FROM doc""")
 def q_load_counts(spark, sf):
-    return Q.load_counts(documents_corpus(spark, sf))
+    return Q.load_counts(prepared_documents(spark, sf))

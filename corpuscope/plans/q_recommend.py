@@ -16,7 +16,6 @@ from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, CONFLICT_PAIRS, EMB_CORPUS, PAIRS, cos, grade_sql, keywords_sql,
                                          overlap_sql, phrase_action_sql, phrase_reason_sql, terms_sql, truncate_sql)
 from corpuscope.plans.q_similarity import prepared_corpus
-from corpuscope.sources.tables import embedded_corpus
 
 BANDS = P.TABLE_BANDS
 GENERATED_AT = "2024-01-01 00:00:00"   # report time is a parameter so results repeat
@@ -49,7 +48,7 @@ h2 AS (SELECT *, coh * 35 + (1 - sep) * 35 + least(n / 50.0, 1.0) * 15 + div * 1
 SELECT intent, intent_pos, n AS n_phrases, round(coh, 3) AS cohesion, round(sep, 3) AS separation,
        round(div, 3) AS keyword_diversity, round(hr, 1) AS health_score, {grade_sql('hr', BANDS)} AS grade FROM h2""")
 def q_intent_health(spark, sf):
-    return H.intent_health(embedded_corpus(spark, sf), bands=BANDS)
+    return H.intent_health(prepared_corpus(spark, sf), bands=BANDS)
 
 
 def _issues_sql(sample: bool) -> str:

@@ -13,7 +13,8 @@ from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (action_sentence_sql, avg6, batch_action_sql, keywords_sql, match_type_sql,
                                          search_hits_sql, sim_caption_sql, single_action_sql, strip)
-from corpuscope.session import materialize
+from corpuscope.plans.prepared import prepared
+from corpuscope.plans.q_similarity import prepared_documents
 from corpuscope.sources.tables import benchmark_queries, documents_corpus
 
 BANDS = P.TABLE_BANDS
@@ -22,9 +23,12 @@ BANDS = P.TABLE_BANDS
 def encoded(spark, sf):
     """Hashing-encoded documents and queries, each computed once and stored."""
     enc = HashingEncoder(P.ENCODE_DIM)
-    corpus = materialize(encode(documents_corpus(spark, sf), "phrase", "phrase_id", enc), "encoded_documents")
-    q = benchmark_queries(spark, sf).withColumn("query", py_strip("query"))
-    return corpus, materialize(encode(q, "query", "query_id", enc), "encoded_queries")
+    corpus = prepared(spark, f"encoded_documents_{P.ENCODE_DIM}", sf, ["documents"],
+                      lambda: encode(prepared_documents(spark, sf), "phrase", "phrase_id", enc))
+    q = prepared(spark, f"encoded_queries_{P.ENCODE_DIM}", sf, ["benchmark"],
+                 lambda: encode(benchmark_queries(spark, sf).withColumn("query", py_strip("query")),
+                                "query", "query_id", enc))
+    return corpus, q
 
 
 def batch_hits(spark, sf):

@@ -8,15 +8,19 @@ from corpuscope.operators import similarity as S
 from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import CENTROIDS, CONFLICT_PAIRS, CONFLICT_SELECT, DOC_CORPUS, EMB_CORPUS
-from corpuscope.session import materialize
+from corpuscope.plans.prepared import prepared
 from corpuscope.sources.tables import documents_corpus, embedded_corpus
 
 _PUBLIC = S.CONFLICT_COLS
 
 
 def prepared_corpus(spark, sf):
-    """The embedded corpus, computed once and stored (read by several joins)."""
-    return materialize(embedded_corpus(spark, sf), "embedded_corpus")
+    """The embedded corpus, computed once and stored (read by every view)."""
+    return prepared(spark, "embedded_corpus", sf, ["embeddings", "documents"], lambda: embedded_corpus(spark, sf))
+
+
+def prepared_documents(spark, sf):
+    return prepared(spark, "documents_corpus", sf, ["documents"], lambda: documents_corpus(spark, sf))
 
 
 def _conflicts(spark, sf, method="auto"):
@@ -92,13 +96,13 @@ SELECT a.phrase_id, a.intent, a.phrase, b.phrase_id AS other_id, b.intent AS oth
        b.phrase AS similar_to, 1.0 AS sim, true AS is_exact
 FROM doc a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
 def q_exact_duplicates(spark, sf):
-    return S.exact_duplicates(documents_corpus(spark, sf)).select(*_PUBLIC)
+    return S.exact_duplicates(prepared_documents(spark, sf)).select(*_PUBLIC)
 
 
 @register("intent_centroids", f"""WITH {EMB_CORPUS}, {CENTROIDS}
 SELECT intent, dim, round(val, 6) AS value FROM cent_dims""")
 def q_intent_centroids(spark, sf):
-    c = S.intent_centroids(embedded_corpus(spark, sf))
+    c = S.intent_centroids(prepared_corpus(spark, sf))
     return c.select("intent", F.posexplode("centroid").alias("dim", "value")).select(
         "intent", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
@@ -106,7 +110,7 @@ def q_intent_centroids(spark, sf):
 @register("intent_matrix", f"""WITH {EMB_CORPUS}, {CENTROIDS}
 SELECT intent_a, intent_b, round(sim, 6) AS sim FROM matrix""")
 def q_intent_matrix(spark, sf):
-    m = S.intent_matrix(S.intent_centroids(embedded_corpus(spark, sf)))
+    m = S.intent_matrix(S.intent_centroids(prepared_corpus(spark, sf)))
     return m.select("intent_a", "intent_b", F.round("sim", 6).alias("sim"))
 
 
@@ -115,13 +119,13 @@ SELECT intent_a, intent_b, round(sim, 6) AS sim, round(sim, 3) AS sim3,
        CASE WHEN sim > {P.TABLE_BANDS.risk_high} THEN 'High' ELSE 'Medium' END AS risk
 FROM matrix WHERE a_pos < b_pos AND sim >= {P.PAIR_T}""")
 def q_confusing_pairs(spark, sf):
-    m = S.intent_matrix(S.intent_centroids(embedded_corpus(spark, sf)))
+    m = S.intent_matrix(S.intent_centroids(prepared_corpus(spark, sf)))
     p = S.confusing_pairs(m, P.PAIR_T, P.TABLE_BANDS)
     return p.select("intent_a", "intent_b", F.round("sim", 6).alias("sim"), "sim3", "risk")
 
 
 @register("intent_matrix_wide")
 def q_intent_matrix_wide(spark, sf):
-    m = S.intent_matrix(S.intent_centroids(embedded_corpus(spark, sf)))
+    m = S.intent_matrix(S.intent_centroids(prepared_corpus(spark, sf)))
     m = m.withColumn("sim", F.round("sim", 6))
     return S.intent_matrix_wide(m).drop("a_pos")
