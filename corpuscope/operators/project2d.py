@@ -41,7 +41,8 @@ def landmark_sample(corpus: DataFrame, cap: int = 5000, seed: int = 42) -> DataF
     return corpus.withColumn("_h", key).orderBy("_h", "phrase_id").limit(cap).drop("_h")
 
 
-def landmark_place(corpus: DataFrame, landmarks: DataFrame, k: int = 5, vec: str = "embedding") -> DataFrame:
+def landmark_place(corpus: DataFrame, landmarks: DataFrame, k: int = 5, vec: str = "embedding",
+                   broadcast_max: int = 50_000) -> DataFrame:
     """DIM-3: coordinates of non-landmark points as the inverse-distance weighted
     mean of their ``k`` nearest landmarks by cosine distance.
 
@@ -52,7 +53,9 @@ def landmark_place(corpus: DataFrame, landmarks: DataFrame, k: int = 5, vec: str
         .select("lm_id", F.col("u").alias("lu"), "x", "y")
     pts = unit_vectors(corpus.select("phrase_id", vec), vec).select("phrase_id", "u") \
         .join(lm.select(F.col("lm_id").alias("phrase_id")), "phrase_id", "left_anti")
-    j = pts.crossJoin(F.broadcast(lm)).select("phrase_id", "lm_id", "x", "y",
+    # landmarks come from a capped sample; the count check keeps the broadcast honest
+    side = F.broadcast(lm) if landmarks.count() <= broadcast_max else lm
+    j = pts.crossJoin(side).select("phrase_id", "lm_id", "x", "y",
                                                F.round(1 - dot("u", "lu"), 12).alias("dist"))
     w = Window.partitionBy("phrase_id").orderBy("dist", "lm_id")
     near = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \

@@ -284,3 +284,17 @@ def near_duplicate_examples(hits: DataFrame, decision: DataFrame, bands: B.Bands
         (F.col("rank") <= 5) & (F.col("intent") == F.col("dominant_intent"))).select(
         "query_id", "rank", "phrase_id", "sim", F.lit("dominant_example").alias("kind"))
     return dup.unionByName(dom)
+
+
+def first_matches(hits: DataFrame, n: int = 5) -> DataFrame:
+    """LIM-9: each query's first ``n`` matches (``n=10`` is the Top-10 sheet)."""
+    return hits.where(F.col("rank") <= n)
+
+
+def display_page(df: DataFrame, order: list, n: int) -> DataFrame:
+    """LIM-12: the first ``n`` rows in ``order`` with the total and a
+    "Showing n of total" caption (``orderBy().limit()`` keeps n per task)."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    head = df.orderBy(*order).limit(n)
+    return head.crossJoin(total).withColumn(
+        "caption", F.when(F.col("total") > n, F.format_string("Showing %d of %d", F.lit(n), F.col("total"))))

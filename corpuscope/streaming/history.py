@@ -40,7 +40,8 @@ def history_records(audit: DataFrame, threshold: float, timestamp: str, seq_base
 
 
 def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history_path: str,
-                 checkpoint: str, threshold: float = 0.7, top_k: int = 20, encoder=None):
+                 checkpoint: str, threshold: float = 0.7, top_k: int = 20, encoder=None,
+                 available_now: bool = False):
     """Structured Streaming: every new text file of queries under ``query_dir``
     (one query per line) is audited against ``corpus`` (with ``embedding``)
     and appended to the history.  ``checkpoint`` must be a shared folder; the
@@ -61,4 +62,7 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
         recs = history_records(audit, threshold, "", batch_id * 1_000_000_000).withColumn("timestamp", ts)
         append_history(recs, history_path)
 
-    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    w = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -113,3 +113,30 @@ def test_entry_contract(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
     df = E.entry(spark)
     assert df.count() >= 0 and "limit_reached" in df.columns
+
+
+def test_streaming_audit_appends_history(spark):                   # streaming batch audit → SNK-17
+    from conftest import emb_corpus
+    from corpuscope.operators.encode import HashingEncoder, encode
+    d = _scratch()
+    qdir = os.path.join(d, "queries")
+    os.makedirs(qdir)
+    open(os.path.join(qdir, "batch1.txt"), "w").write("book a flight\n\ncancel my order\n")
+    docs = spark.createDataFrame([(0, "travel", 0, 0, "book a flight to paris"), (1, "orders", 1, 1, "cancel my order")],
+                                 "phrase_id bigint, intent string, intent_pos bigint, row_pos bigint, phrase string")
+    corpus = encode(docs, "phrase", "phrase_id", HashingEncoder(64))
+    hist = os.path.join(d, "history")
+    q = HI.audit_stream(spark, qdir, corpus, hist, os.path.join(d, "ckpt"), threshold=0.3, top_k=5,
+                        encoder=HashingEncoder(64), available_now=True)
+    q.awaitTermination(120)
+    rows = spark.read.parquet(hist).collect()
+    assert sorted(r.query for r in rows) == ["book a flight", "cancel my order"]
+    assert {r.recommended_intent for r in rows} == {"travel", "orders"}
+
+
+def test_display_helpers(spark):                                   # LIM-9, LIM-12
+    from corpuscope.operators.search import display_page, first_matches
+    df = spark.range(30).withColumn("rank", (F.col("id") % 10 + 1).cast("int"))
+    assert first_matches(df, 5).count() == 15
+    page = display_page(df, ["id"], 25).collect()
+    assert len(page) == 25 and page[0].caption == "Showing 25 of 30"
