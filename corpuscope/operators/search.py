@@ -150,16 +150,32 @@ def _mode_of_top(hits: DataFrame, n: int = 10) -> DataFrame:
     return top.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
+def _per_query(hits: DataFrame, n: int = 10) -> DataFrame:
+    """One pass over the hits: per (query, label) counts, then per query (a
+    window over at most top_k rows): total, best similarity, first label and
+    the label most frequent among the first n (ties: seen first)."""
+    per = hits.groupBy("query_id", "intent").agg(
+        F.count(F.lit(1)).alias("n"), F.max("sim").alias("max_sim"), F.min("rank").alias("first_rank"),
+        F.count_if(F.col("rank") <= n).alias("cnt"))
+    q = Window.partitionBy("query_id")
+    m = Window.partitionBy("query_id").orderBy(F.desc("cnt"), "first_rank")
+    per = per.select(
+        "*", F.sum("n").over(q).alias("n_results"), F.max("max_sim").over(q).alias("top_similarity"),
+        F.first(F.when(F.col("first_rank") == 1, F.col("intent")), ignorenulls=True).over(
+            q.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top_intent"),
+        F.row_number().over(m).alias("_m"))
+    return per.where(F.col("_m") == 1).select(
+        "query_id", "n_results", "top_similarity", "top_intent",
+        F.col("intent").alias("mode_intent"), F.col("cnt").alias("mode_count"))
+
+
 def batch_audit(hits: DataFrame, queries: DataFrame, bands: B.Bands = B.DEFAULT) -> DataFrame:
     """One row per query, matches or not (left join, SIM-12)."""
-    mode = _mode_of_top(hits).select("query_id", F.col("intent").alias("recommended_intent"))
-    stats = hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("matches_found"),
-        F.max("sim").alias("top_sim"))
-    out = (queries.select("query_id", "query").join(stats, "query_id", "left").join(mode, "query_id", "left")
-           .select("query_id", "query", "recommended_intent",
-                   F.coalesce("top_sim", F.lit(0.0)).alias("top_similarity"),
-                   F.coalesce("matches_found", F.lit(0)).cast("long").alias("matches_found")))
+    pq = _per_query(hits)
+    out = (queries.select("query_id", "query").join(pq, "query_id", "left")
+           .select("query_id", "query", F.col("mode_intent").alias("recommended_intent"),
+                   F.coalesce("top_similarity", F.lit(0.0)).alias("top_similarity"),
+                   F.coalesce("n_results", F.lit(0)).cast("long").alias("matches_found")))
     act = B.batch_action("top_similarity", bands)
     return out.withColumn("action", act).withColumn("action_text", B.action_sentence("action", "recommended_intent"))
 
@@ -198,19 +214,14 @@ def drop_exact(hits: DataFrame) -> DataFrame:
 
 def single_decision(hits: DataFrame, bands: B.Bands = B.DEFAULT) -> DataFrame:
     """AGG-16 + PF-14 + PF-15: dominant label of the first 10, confidence, action."""
-    mode = _mode_of_top(hits).select("query_id", F.col("intent").alias("dominant_intent"),
-                                     F.col("cnt").alias("dominant_count"))
-    first = hits.where(F.col("rank") == 1).select("query_id", F.col("sim").alias("top_similarity"),
-                                                  F.col("intent").alias("top_intent"))
-    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_results"))
-    out = first.join(mode, "query_id").join(n, "query_id").withColumn(
-        "confidence", F.col("dominant_count") / F.least(F.lit(10), F.col("n_results")))
-    return out.select("query_id", "top_similarity", "top_intent", "dominant_intent",
-                      F.col("dominant_count").cast("long").alias("dominant_count"), "n_results",
-                      F.round("confidence", 6).alias("confidence"),
-                      B.single_action("top_similarity", "confidence", bands).alias("action"),
-                      B.similarity_caption("top_similarity", bands).alias("sim_caption"),
-                      B.confidence_caption("confidence", bands).alias("confidence_caption"))
+    pq = _per_query(hits).withColumn(
+        "confidence", F.col("mode_count") / F.least(F.lit(10), F.col("n_results")))
+    return pq.select("query_id", "top_similarity", "top_intent", F.col("mode_intent").alias("dominant_intent"),
+                     F.col("mode_count").cast("long").alias("dominant_count"), "n_results",
+                     F.round("confidence", 6).alias("confidence"),
+                     B.single_action("top_similarity", "confidence", bands).alias("action"),
+                     B.similarity_caption("top_similarity", bands).alias("sim_caption"),
+                     B.confidence_caption("confidence", bands).alias("confidence_caption"))
 
 
 def intent_frequency(hits: DataFrame, n: int = 10, show: int = 3) -> DataFrame:
