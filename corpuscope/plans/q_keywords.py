@@ -16,8 +16,10 @@ from corpuscope.sources.tables import conversations_corpus
 
 
 def confusing(spark, sf, corpus=None):
+    """Confusing label pairs of the embedded corpus, stored once (labels² rows at most)."""
     corpus = corpus if corpus is not None else prepared_corpus(spark, sf)
-    return S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, P.TABLE_BANDS)
+    return prepared(spark, f"confusing_pairs_{P.PAIR_T}", sf, ["embeddings", "documents"],
+                    lambda: S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, P.TABLE_BANDS))
 
 
 @register("keywords", f"""WITH {DOC_CORPUS}

@@ -15,6 +15,7 @@ from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, CONFLICT_PAIRS, EMB_CORPUS, PAIRS, cos, grade_sql, keywords_sql,
                                          overlap_sql, phrase_action_sql, phrase_reason_sql, terms_sql, truncate_sql)
+from corpuscope.plans.q_keywords import confusing
 from corpuscope.plans.q_similarity import prepared_corpus
 
 BANDS = P.TABLE_BANDS
@@ -22,8 +23,11 @@ GENERATED_AT = "2024-01-01 00:00:00"   # report time is a parameter so results r
 
 
 def analysis(spark, sf, corpus=None):
-    corpus = corpus if corpus is not None else prepared_corpus(spark, sf)
-    pairs = S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, BANDS)
+    if corpus is None:
+        corpus = prepared_corpus(spark, sf)
+        pairs = confusing(spark, sf, corpus)
+    else:
+        pairs = S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, BANDS)
     conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T)
     return corpus, pairs, conflicts
 
