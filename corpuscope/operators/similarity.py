@@ -174,12 +174,16 @@ def _stack(series: pd.Series) -> np.ndarray:
 
 
 def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows: int,
-                       n: int | None = None) -> DataFrame:
-    u = _ids(corpus, vec).select("phrase_id", "intent_pos", "u")
+                       n: int | None = None, max_pairs: int | None = None) -> DataFrame:
+    """Blocked SIM-5 kernel.  With ``max_pairs`` each block pair emits only its
+    first ``max_pairs`` pairs in (i, j) order: the global first N is always
+    among them, and a group of identical vectors cannot flood the output."""
+    u = _ids(corpus, vec).select("phrase_id", "intent_pos", "row_pos", "u")
     n = corpus.count() if n is None else n
     nb = _block_count(n, block_rows, corpus.sparkSession.sparkContext.defaultParallelism)
     left, right = _block_pairs(u, nb)
     t = float(threshold)
+    cap = None if max_pairs is None else int(max_pairs)
 
     def score(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"phrase_id": pd.Series([], dtype="int64"),
@@ -198,24 +202,37 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
         ii, jj = np.nonzero(keep)
         if len(ii) == 0:
             return empty
-        ida, idb = lp["phrase_id"].to_numpy()[ii], rp["phrase_id"].to_numpy()[jj]
+        ra, rb = lp["row_pos"].to_numpy(), rp["row_pos"].to_numpy()
         first_left = pa[ii, 0] < pb[0, jj]
-        return pd.DataFrame({"phrase_id": np.where(first_left, ida, idb),
-                             "other_id": np.where(first_left, idb, ida),
-                             "sim": sims[ii, jj]})
+        ip = np.where(first_left, pa[ii, 0], pb[0, jj])
+        ir = np.where(first_left, ra[ii], rb[jj])
+        jp = np.where(first_left, pb[0, jj], pa[ii, 0])
+        jr = np.where(first_left, rb[jj], ra[ii])
+        ida, idb = lp["phrase_id"].to_numpy()[ii], rp["phrase_id"].to_numpy()[jj]
+        out = pd.DataFrame({"phrase_id": np.where(first_left, ida, idb),
+                            "other_id": np.where(first_left, idb, ida),
+                            "sim": sims[ii, jj]})
+        if cap is not None and len(out) > cap:
+            out = out.iloc[np.lexsort((jr, jp, ir, ip))[:cap]]
+        return out
 
     return (left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi"))
             .applyInPandas(score, "phrase_id long, other_id long, sim double"))
 
 
 def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                     method: str = "auto", block_rows: int = 2048, plain_max_rows: int = 512) -> DataFrame:
-    """SIM-5 + SIM-8: every cross-label pair i before j with ``sim >= threshold``.
+                     method: str = "auto", block_rows: int = 2048, plain_max_rows: int = 512,
+                     max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
+    """SIM-5 + SIM-8 + SIM-9: cross-label pairs i before j with ``sim >= threshold``,
+    the first ``max_conflicts`` in (i, j) order (the reference always caps;
+    ``None`` = all pairs).
 
     Output: ``CONFLICT_COLS`` plus the order columns used by caps and sorts.
     ``method='auto'`` counts the corpus once and picks ``plain`` up to
     ``plain_max_rows`` rows, ``blocked`` above (one BLAS product per block pair
     beats a per-pair JVM lambda as soon as there is more than a handful of rows).
+    The cap is applied inside every block pair and once more globally
+    (``TakeOrderedAndProject``), so the rows leaving any task are bounded by it.
     """
     n = None
     if method == "auto":
@@ -224,10 +241,13 @@ def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN
     if method == "plain":
         pairs = _conflicts_plain(corpus, threshold, vec)
     elif method == "blocked":
-        pairs = _conflicts_blocked(corpus, threshold, vec, block_rows, n)
+        pairs = _conflicts_blocked(corpus, threshold, vec, block_rows, n, max_conflicts)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return _attach_text(pairs.select("phrase_id", "other_id", _round6(F.col("sim")).alias("sim")), corpus)
+    out = _attach_text(pairs.select("phrase_id", "other_id", _round6(F.col("sim")).alias("sim")), corpus)
+    if max_conflicts is not None:
+        out = out.orderBy(*_ORDER_COLS).limit(int(max_conflicts))
+    return out
 
 
 def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
@@ -263,7 +283,8 @@ def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
 
 
 def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, k: int = 100,
-                   vec: str = "embedding", block_rows: int = 2048) -> DataFrame:
+                   vec: str = "embedding", block_rows: int = 2048,
+                   max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
     """SIM-6: keep j only if it is among i's k nearest over all phrases.
 
     Neighbours include i itself and its own label (trap T-15); ties go to the
@@ -281,11 +302,15 @@ def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN,
     me = u.select("phrase_id", F.col("intent_pos").alias("ip"), F.col("row_pos").alias("ir"))
     kept = top.join(me, "phrase_id").where(
         (F.struct("ip", "ir") < F.struct("jp", "jr")) & (F.col("ip") != F.col("jp")) & (F.col("sim") >= threshold))
-    return _attach_text(kept.select("phrase_id", "other_id", "sim"), corpus)
+    out = _attach_text(kept.select("phrase_id", "other_id", "sim"), corpus)
+    if max_conflicts is not None:   # SIM-9 for this path: (i, sim desc) order
+        out = out.orderBy("intent_pos", "row_pos", F.desc("sim"), "other_pos", "other_row").limit(int(max_conflicts))
+    return out
 
 
 def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                  bucket_length: float = 1.0, num_tables: int = 5, seed: int = 42) -> DataFrame:
+                  bucket_length: float = 1.0, num_tables: int = 5, seed: int = 42,
+                  max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
     """SIM-7: approximate conflicts via random-projection LSH, then an exact check.
 
     On unit vectors ``cos >= t`` ⇔ ``euclid <= sqrt(2 - 2t)``; candidates come
@@ -303,7 +328,8 @@ def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, v
     pairs = cand.where(F.col("datasetA.intent_pos") < F.col("datasetB.intent_pos")).select(
         F.col("datasetA.phrase_id").alias("phrase_id"), F.col("datasetB.phrase_id").alias("other_id"),
         _round6(dot("datasetA.u", "datasetB.u")).alias("sim")).where(F.col("sim") >= threshold)
-    return _attach_text(pairs, corpus)
+    out = _attach_text(pairs, corpus)
+    return out.orderBy(*_ORDER_COLS).limit(int(max_conflicts)) if max_conflicts is not None else out
 
 
 # ---------------------------------------------------------------------------
@@ -311,15 +337,21 @@ def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, v
 # ---------------------------------------------------------------------------
 
 def exact_duplicates(corpus: DataFrame) -> DataFrame:
-    """SIM-8 as an equi-join on the text: every pair i before j of equal text, labels differ.
-
-    Output rows are pairs by definition.  A text repeated m times in k labels
-    makes O(m²) rows; the join key is that text, so AQE's skew-join split
-    (``spark.sql.adaptive.skewJoin.enabled``) divides a hot text over many tasks.
+    """SIM-8 standalone: every repeat of a text in a later label, paired with the
+    text's first occurrence.
+
+    Pairing every occurrence with every other would be quadratic in the
+    repeats of a hot text; the star form is linear and still names each label
+    a repeated text leaks into.  The first occurrence per text is a partial
+    ``min`` aggregate; the join has one row per text on its small side, and
+    AQE's skew split divides a hot text on the other.
     """
+    from corpuscope.operators.ordering import first_per_key
+
     c = corpus.select("phrase_id", "intent", "intent_pos", "row_pos", "phrase")
-    a, b = c.alias("a"), c.alias("b")
-    j = a.join(b, (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.intent_pos") < F.col("b.intent_pos")))
+    first = first_per_key(c, ["phrase"], ["intent_pos", "row_pos"], "phrase_id").alias("a")
+    j = first.join(c.alias("b"), (F.col("a.phrase") == F.col("b.phrase"))
+                   & (F.col("a.intent_pos") < F.col("b.intent_pos")))
     return j.select(F.col("a.phrase_id").alias("phrase_id"), F.col("a.intent").alias("intent"),
                     F.col("a.phrase").alias("phrase"), F.col("b.phrase_id").alias("other_id"),
                     F.col("b.intent").alias("other_intent"), F.col("b.phrase").alias("similar_to"),
@@ -340,9 +372,10 @@ def cap_conflicts(conflicts: DataFrame, max_conflicts: int | None = DEFAULT_MAX_
         return conflicts.withColumn("limit_reached", F.lit(False))
     keys = (["intent_pos", "row_pos", "other_pos", "other_row"] if order == "pair"
             else ["intent_pos", "row_pos", F.desc("sim"), "other_pos", "other_row"])
-    total = conflicts.agg(F.count(F.lit(1)).alias("_total"))
     head = conflicts.orderBy(*keys).limit(int(max_conflicts))
-    return head.crossJoin(total).withColumn("limit_reached", F.col("_total") >= int(max_conflicts)).drop("_total")
+    # "reached" when the kept list is full — the same as total >= N, read off N rows
+    got = head.agg(F.count(F.lit(1)).alias("_got"))
+    return head.crossJoin(got).withColumn("limit_reached", F.col("_got") >= int(max_conflicts)).drop("_got")
 
 
 def filter_conflicts(conflicts: DataFrame, min_similarity: float, intent: str | None = None) -> DataFrame:

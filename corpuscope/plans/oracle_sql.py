@@ -67,12 +67,15 @@ def keywords_sql(x: str, variant: str = "multi") -> str:
 
 
 CONFLICT_PAIRS = f"""
-conf_pairs AS (
+conf_all AS (
   SELECT a.phrase_id, a.intent, a.phrase, b.phrase_id AS other_id, b.intent AS other_intent,
          b.phrase AS similar_to, round({cos('a', 'b')}, 6) AS sim, a.phrase = b.phrase AS is_exact,
          a.intent_pos, a.row_pos, b.intent_pos AS other_pos, b.row_pos AS other_row
   FROM emb a JOIN emb b ON a.intent_pos < b.intent_pos
   WHERE {cos('a', 'b')} >= {P.CONFLICT_T}
+),
+conf_pairs AS (
+  SELECT * FROM conf_all ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT {P.MAX_CONFLICTS}
 )"""
 
 CONFLICT_SELECT = "phrase_id, intent, phrase, other_id, other_intent, similar_to, sim, is_exact"

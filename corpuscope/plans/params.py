@@ -15,7 +15,8 @@ CONFLICT_T = 0.30          # base threshold of phrase conflicts
 CONFLICT_FILTER_T = 0.35   # PF-2 re-filter
 FILTER_INTENT = "label_3"  # PF-2 label filter
 TOPK_K = 100               # SIM-6 neighbours
-CAP_N = 500                # SIM-9 cap
+CAP_N = 500                # SIM-9 cap of the conflicts_capped query
+MAX_CONFLICTS = 10_000     # reference default cap for every other conflict query (T-14)
 SHOW_N = 50                # LIM-4 rows shown
 PAIR_T = 0.05              # SIM-4 confusing-pair threshold
 BLOCK_ROWS = 128           # blocked SIM-5 block size at test scale

@@ -267,8 +267,9 @@ kconf AS (SELECT 1 FROM kept a JOIN kept b ON a.intent_pos < b.intent_pos WHERE
 nowv AS (SELECT count(*) AS pn, coalesce(avg(sim3), 0.0) AS an FROM kpairs),
 befv AS (SELECT count(*) AS pb, coalesce(avg(sim3), 0.0) AS ab FROM pairs3)
 SELECT pn AS pairs_now, pb AS pairs_before, pn - pb AS delta_pairs,
-       (SELECT count(*) FROM kconf) AS conflicts_now, (SELECT count(*) FROM conf_pairs) AS conflicts_before,
-       (SELECT count(*) FROM kconf) - (SELECT count(*) FROM conf_pairs) AS delta_conflicts,
+       (SELECT least(count(*), {P.MAX_CONFLICTS}) FROM kconf) AS conflicts_now,
+       (SELECT count(*) FROM conf_pairs) AS conflicts_before,
+       (SELECT least(count(*), {P.MAX_CONFLICTS}) FROM kconf) - (SELECT count(*) FROM conf_pairs) AS delta_conflicts,
        round(an, 6) AS avg_now, round(ab, 6) AS avg_before, round(an - ab, 6) AS delta_avg,
        CASE WHEN pn < pb THEN 'improved' WHEN pn > pb THEN 'worse' ELSE 'same' END AS verdict
 FROM nowv CROSS JOIN befv""")

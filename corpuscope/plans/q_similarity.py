@@ -23,10 +23,11 @@ def prepared_documents(spark, sf):
     return prepared(spark, "documents_corpus", sf, ["documents"], lambda: documents_corpus(spark, sf))
 
 
-def _conflicts(spark, sf, method="auto"):
+def _conflicts(spark, sf, method="auto", cap=P.MAX_CONFLICTS):
     # the forced blocked plan uses small blocks so that test scale spans many block pairs
     rows = P.BLOCK_ROWS if method == "blocked" else 2048
-    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows)
+    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows,
+                              max_conflicts=cap)
 
 
 @register("phrase_conflicts", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
@@ -40,11 +41,11 @@ def q_conflicts_blocked(spark, sf):
 
 
 @register("conflicts_capped", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS},
-tot AS (SELECT count(*) AS n FROM conf_pairs)
+tot AS (SELECT count(*) AS n FROM conf_all)
 SELECT {CONFLICT_SELECT}, (SELECT n FROM tot) >= {P.CAP_N} AS limit_reached
-FROM conf_pairs ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT {P.CAP_N}""")
+FROM conf_all ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT {P.CAP_N}""")
 def q_conflicts_capped(spark, sf):
-    return S.cap_conflicts(_conflicts(spark, sf), P.CAP_N).select(*_PUBLIC, "limit_reached")
+    return S.cap_conflicts(_conflicts(spark, sf, cap=P.CAP_N), P.CAP_N).select(*_PUBLIC, "limit_reached")
 
 
 @register("conflicts_filtered", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS}
@@ -78,7 +79,8 @@ SELECT r.phrase_id, a.intent, a.phrase, r.other_id, b.intent AS other_intent, b.
        r.sim, a.phrase = b.phrase AS is_exact
 FROM ranked r JOIN emb a ON a.phrase_id = r.phrase_id JOIN emb b ON b.phrase_id = r.other_id
 WHERE r.rk <= {P.TOPK_K} AND (r.ip < r.jp OR (r.ip = r.jp AND r.ir < r.jr)) AND r.ip <> r.jp
-  AND r.sim >= {P.CONFLICT_T}"""
+  AND r.sim >= {P.CONFLICT_T}
+ORDER BY r.ip, r.ir, r.sim DESC, r.jp, r.jr LIMIT {P.MAX_CONFLICTS}"""
 
 
 @register("conflicts_topk", _TOPK_SQL)
@@ -91,10 +93,11 @@ def q_conflicts_lsh(spark, sf):
     return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T).select(*_PUBLIC)
 
 
-@register("exact_duplicates", f"""WITH {DOC_CORPUS}
+@register("exact_duplicates", f"""WITH {DOC_CORPUS},
+firsts AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1)
 SELECT a.phrase_id, a.intent, a.phrase, b.phrase_id AS other_id, b.intent AS other_intent,
        b.phrase AS similar_to, 1.0 AS sim, true AS is_exact
-FROM doc a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
+FROM firsts a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
 def q_exact_duplicates(spark, sf):
     return S.exact_duplicates(prepared_documents(spark, sf)).select(*_PUBLIC)
 

@@ -89,3 +89,23 @@ def test_matrix_and_pairs(spark):
     p = S.confusing_pairs(m, 0.5).collect()
     assert len(p) == 1 and abs(p[0].sim - 0.8) < 1e-9 and p[0].risk == "Medium"
     assert S.confused_with(S.confusing_pairs(m, 0.5), "b").collect()[0].other_intent == "a"
+
+
+def test_cap_inside_blocks_equals_global_cap(spark):               # SIM-9 with the in-kernel cap
+    c = _random_corpus(spark, n=80, d=4, seed=7)
+    full = S.phrase_conflicts(c, 0.0, method="plain", max_conflicts=None)
+    want = [(r.phrase_id, r.other_id) for r in
+            full.orderBy("intent_pos", "row_pos", "other_pos", "other_row").limit(25).collect()]
+    got = [(r.phrase_id, r.other_id) for r in
+           S.phrase_conflicts(c, 0.0, method="blocked", block_rows=9, max_conflicts=25)
+           .orderBy("intent_pos", "row_pos", "other_pos", "other_row").collect()]
+    assert got == want
+
+
+def test_hot_duplicate_group_stays_bounded(spark):                 # a third of rows identical
+    rows = [(i, "a" if i % 3 else "b", "same text", [1, 0]) for i in range(60)]
+    c = emb_corpus(spark, rows)
+    capped = S.phrase_conflicts(c, 0.9, method="blocked", block_rows=8, max_conflicts=30)
+    assert capped.count() == 30
+    star = S.exact_duplicates(c.drop("embedding"))
+    assert star.count() == 40            # label b comes first (row 0); each of the 40 repeats in a, once
