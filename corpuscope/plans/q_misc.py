@@ -86,7 +86,7 @@ tl AS (SELECT phrase_id, regexp_extract_all(lower(phrase), '{WORD_TOKEN}') AS to
 tk AS (SELECT phrase_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS pos FROM tl),
 tb AS (SELECT phrase_id, pos, CASE WHEN length(tok) > 2 THEN 1 ELSE 0 END AS mask,
               CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % {POOL_DIM} AS INTEGER) AS b,
-              CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER < 8 THEN 1.0 ELSE -1.0 END AS s FROM tk),
+              CAST(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER < 8 THEN 1 ELSE -1 END AS DOUBLE) AS s FROM tk),
 dims AS (SELECT CAST(unnest(range(0, {POOL_DIM})) AS INTEGER) AS dim)"""
 
 
@@ -134,7 +134,7 @@ def q_encode_hashing(spark, sf):
 
 @register("search_summary", DECISION_SQL + f""",
 st AS (SELECT query_id, count(*) AS total, count(DISTINCT intent) AS ui FROM shown GROUP BY ALL)
-SELECT q.query_id, substr(q.query, 1, 100) AS query, {P.SEARCH_T} AS threshold,
+SELECT q.query_id, substr(q.query, 1, 100) AS query, CAST({P.SEARCH_T} AS DOUBLE) AS threshold,
        coalesce(st.total, 0) AS total_results, coalesce(st.ui, 0) AS unique_intents,
        coalesce(printf('%.3f', round_even(d.top_similarity, 3)), 'N/A') AS top_similarity,
        coalesce(d.top_intent, 'N/A') AS top_intent,

@@ -96,7 +96,7 @@ def q_conflicts_lsh(spark, sf):
 @register("exact_duplicates", f"""WITH {DOC_CORPUS},
 firsts AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1)
 SELECT a.phrase_id, a.intent, a.phrase, b.phrase_id AS other_id, b.intent AS other_intent,
-       b.phrase AS similar_to, 1.0 AS sim, true AS is_exact
+       b.phrase AS similar_to, CAST(1.0 AS DOUBLE) AS sim, true AS is_exact
 FROM firsts a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
 def q_exact_duplicates(spark, sf):
     return S.exact_duplicates(prepared_documents(spark, sf)).select(*_PUBLIC)
