@@ -32,6 +32,7 @@ from corpuscope.functions import bands as B
 from corpuscope.functions.vectors import cosine, dot, l2_normalise, norm
 
 PHRASE_SIMILARITY_MIN = 0.70     # reference default base threshold
+CHUNK_ROWS = 1024                # rows per matrix product inside a block pair
 DEFAULT_MAX_CONFLICTS = 10_000   # reference default cap (T-14)
 
 CONFLICT_COLS = ["phrase_id", "intent", "phrase", "other_id", "other_intent", "similar_to",
@@ -191,29 +192,42 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
                               "sim": pd.Series([], dtype="float64")})
         if len(lp) == 0 or len(rp) == 0:
             return empty
-        a, b = _stack(lp["u"]), _stack(rp["u"])
-        sims = a @ b.T
-        pa = lp["intent_pos"].to_numpy()[:, None]
-        pb = rp["intent_pos"].to_numpy()[None, :]
-        if int(lp["lo"].iloc[0]) == int(lp["hi"].iloc[0]):
-            keep = (pa < pb) & (sims >= t)          # same block: each pair once, oriented
-        else:
-            keep = (pa != pb) & (sims >= t)         # different blocks: orient below
-        ii, jj = np.nonzero(keep)
-        if len(ii) == 0:
+        same = int(lp["lo"].iloc[0]) == int(lp["hi"].iloc[0])
+        b = _stack(rp["u"])
+        pb_all, rb = rp["intent_pos"].to_numpy(), rp["row_pos"].to_numpy()
+        idb_all = rp["phrase_id"].to_numpy()
+        a_all, pa_all = _stack(lp["u"]), lp["intent_pos"].to_numpy()
+        ra_all, ida_all = lp["row_pos"].to_numpy(), lp["phrase_id"].to_numpy()
+        parts, keys = [], []
+        for c0 in range(0, len(lp), CHUNK_ROWS):          # bounded memory: chunk × block
+            sims = a_all[c0:c0 + CHUNK_ROWS] @ b.T
+            pa = pa_all[c0:c0 + CHUNK_ROWS][:, None]
+            pb = pb_all[None, :]
+            keep = ((pa < pb) if same else (pa != pb)) & (sims >= t)
+            ii, jj = np.nonzero(keep)
+            if len(ii) == 0:
+                continue
+            ra = ra_all[c0:c0 + CHUNK_ROWS]
+            first_left = pa[ii, 0] < pb[0, jj]
+            ip = np.where(first_left, pa[ii, 0], pb[0, jj])
+            ir = np.where(first_left, ra[ii], rb[jj])
+            jp = np.where(first_left, pb[0, jj], pa[ii, 0])
+            jr = np.where(first_left, rb[jj], ra[ii])
+            ida, idb = ida_all[c0:c0 + CHUNK_ROWS][ii], idb_all[jj]
+            part = pd.DataFrame({"phrase_id": np.where(first_left, ida, idb),
+                                 "other_id": np.where(first_left, idb, ida), "sim": sims[ii, jj]})
+            key = np.stack([ip, ir, jp, jr], axis=1)
+            if cap is not None and len(part) > cap:
+                sel = np.lexsort((jr, jp, ir, ip))[:cap]
+                part, key = part.iloc[sel], key[sel]
+            parts.append(part)
+            keys.append(key)
+        if not parts:
             return empty
-        ra, rb = lp["row_pos"].to_numpy(), rp["row_pos"].to_numpy()
-        first_left = pa[ii, 0] < pb[0, jj]
-        ip = np.where(first_left, pa[ii, 0], pb[0, jj])
-        ir = np.where(first_left, ra[ii], rb[jj])
-        jp = np.where(first_left, pb[0, jj], pa[ii, 0])
-        jr = np.where(first_left, rb[jj], ra[ii])
-        ida, idb = lp["phrase_id"].to_numpy()[ii], rp["phrase_id"].to_numpy()[jj]
-        out = pd.DataFrame({"phrase_id": np.where(first_left, ida, idb),
-                            "other_id": np.where(first_left, idb, ida),
-                            "sim": sims[ii, jj]})
+        out = pd.concat(parts, ignore_index=True)
         if cap is not None and len(out) > cap:
-            out = out.iloc[np.lexsort((jr, jp, ir, ip))[:cap]]
+            k = np.concatenate(keys)
+            out = out.iloc[np.lexsort((k[:, 3], k[:, 2], k[:, 1], k[:, 0]))[:cap]]
         return out
 
     return (left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi"))
@@ -221,7 +235,7 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
 
 
 def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                     method: str = "auto", block_rows: int = 2048, plain_max_rows: int = 512,
+                     method: str = "auto", block_rows: int = 8192, plain_max_rows: int = 512,
                      max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
     """SIM-5 + SIM-8 + SIM-9: cross-label pairs i before j with ``sim >= threshold``,
     the first ``max_conflicts`` in (i, j) order (the reference always caps;
@@ -272,10 +286,16 @@ def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
         cols = {"phrase_id": "int64", "other_id": "int64", "jp": "int64", "jr": "int64", "sim": "float64"}
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in cols.items()})
-        sims = np.round(_stack(lp["u"]) @ _stack(rp["u"]).T, 6)
-        out = [pick(lp["phrase_id"].to_numpy(), rp, sims)]
+        a, b = _stack(lp["u"]), _stack(rp["u"])
+        ids_l, ids_r = lp["phrase_id"].to_numpy(), rp["phrase_id"].to_numpy()
+        out = []
+        for c0 in range(0, len(lp), CHUNK_ROWS):          # left rows against the right block
+            sims = np.round(a[c0:c0 + CHUNK_ROWS] @ b.T, 6)
+            out.append(pick(ids_l[c0:c0 + CHUNK_ROWS], rp, sims))
         if int(lp["lo"].iloc[0]) != int(lp["hi"].iloc[0]):
-            out.append(pick(rp["phrase_id"].to_numpy(), lp, sims.T))
+            for c0 in range(0, len(rp), CHUNK_ROWS):      # and right rows against the left block
+                sims = np.round(b[c0:c0 + CHUNK_ROWS] @ a.T, 6)
+                out.append(pick(ids_r[c0:c0 + CHUNK_ROWS], lp, sims))
         return pd.concat(out, ignore_index=True)
 
     return (left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi"))
@@ -283,7 +303,7 @@ def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
 
 
 def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, k: int = 100,
-                   vec: str = "embedding", block_rows: int = 2048,
+                   vec: str = "embedding", block_rows: int = 8192,
                    max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
     """SIM-6: keep j only if it is among i's k nearest over all phrases.
 

@@ -25,7 +25,7 @@ def prepared_documents(spark, sf):
 
 def _conflicts(spark, sf, method="auto", cap=P.MAX_CONFLICTS):
     # the forced blocked plan uses small blocks so that test scale spans many block pairs
-    rows = P.BLOCK_ROWS if method == "blocked" else 2048
+    rows = P.BLOCK_ROWS if method == "blocked" else 8192
     return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows,
                               max_conflicts=cap)
 

@@ -109,3 +109,17 @@ def test_hot_duplicate_group_stays_bounded(spark):                 # a third of
     assert capped.count() == 30
     star = S.exact_duplicates(c.drop("embedding"))
     assert star.count() == 40            # label b comes first (row 0); each of the 40 repeats in a, once
+
+
+def test_chunked_kernels_match_plain(spark, monkeypatch):          # chunk × block products
+    monkeypatch.setattr(S, "CHUNK_ROWS", 3)
+    c = _random_corpus(spark, n=50, d=5, seed=3)
+    plain = _pairs(S.phrase_conflicts(c, 0.1, method="plain", max_conflicts=None))
+    assert _pairs(S.phrase_conflicts(c, 0.1, method="blocked", block_rows=11, max_conflicts=None)) == plain
+    first = [(r.phrase_id, r.other_id) for r in S.phrase_conflicts(c, 0.1, method="plain", max_conflicts=17)
+             .orderBy("intent_pos", "row_pos", "other_pos", "other_row").collect()]
+    got = [(r.phrase_id, r.other_id) for r in S.phrase_conflicts(c, 0.1, method="blocked", block_rows=11,
+                                                                 max_conflicts=17)
+           .orderBy("intent_pos", "row_pos", "other_pos", "other_row").collect()]
+    assert got == first
+    assert _pairs(S.conflicts_topk(c, 0.1, k=50, block_rows=11, max_conflicts=None)) == plain
