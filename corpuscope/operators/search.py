@@ -309,3 +309,9 @@ def display_page(df: DataFrame, order: list, n: int) -> DataFrame:
     head = df.orderBy(*order).limit(n)
     return head.crossJoin(total).withColumn(
         "caption", F.when(F.col("total") > n, F.format_string("Showing %d of %d", F.lit(n), F.col("total"))))
+
+
+def display_results(results: DataFrame) -> DataFrame:
+    """PF-7: the columns shown for search results, similarity as a 4-place display string."""
+    return results.select(F.format_string("%.4f", F.col("sim")).alias("similarity_score"), "match_type",
+                          "intent", "phrase", "keywords")

@@ -74,3 +74,10 @@ def test_nested_matches_and_stats(spark):                          # SIM-13, AGG
     assert dist["b"]["count"] == 2 and abs(dist["b"].pct_results - 66.666667) < 1e-6
     bins = S.sim_histogram(h).collect()
     assert sum(r["count"] for r in bins) == 3 and max(r.bin for r in bins) <= 20
+
+
+def test_display_results(spark):                                   # PF-7
+    c = emb_corpus(spark, [(0, "a", "book flight", [1, 0])])
+    q = _queries(spark, [(0, "book flight", [1, 0])])
+    r = S.display_results(S.result_table(S.search_hits(c, q, 0.5, 5))).first()
+    assert r.similarity_score == "1.0000" and r.match_type == "Exact" and r.keywords == "book, flight"
