@@ -77,10 +77,15 @@ def all_actions(pairs: DataFrame, terms: DataFrame, conflicts: DataFrame, bands:
 def phrase_actions(conflicts: DataFrame, corpus: DataFrame, bands: B.Bands = B.DEFAULT) -> DataFrame:
     """REC-4 + PF-11 + KW-7: one recommendation per conflict.
 
-    Keywords are extracted once per distinct text and joined to both sides.
+    Keywords are extracted once per phrase taking part in a conflict (KW-7)
+    and joined to both sides by id.
     Set-valued outputs are sorted (T-17).
     """
-    kw = phrase_keywords(corpus.select("phrase_id", "phrase")).select("phrase_id", "keywords")
+    # keywords only for phrases that take part in a conflict (bounded by the cap),
+    # not for the whole corpus
+    ids = conflicts.select("phrase_id").union(conflicts.select(F.col("other_id").alias("phrase_id"))).distinct()
+    involved = corpus.select("phrase_id", "phrase").join(ids, "phrase_id", "left_semi")
+    kw = phrase_keywords(involved).select("phrase_id", "keywords")
     a = kw.select("phrase_id", F.col("keywords").alias("ka"))
     b = kw.select(F.col("phrase_id").alias("other_id"), F.col("keywords").alias("kb"))
     j = conflicts.join(a, "phrase_id").join(b, "other_id")

@@ -15,6 +15,7 @@ from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, CONFLICT_PAIRS, EMB_CORPUS, PAIRS, cos, grade_sql, keywords_sql,
                                          overlap_sql, phrase_action_sql, phrase_reason_sql, terms_sql, truncate_sql)
+from corpuscope.plans.prepared import prepared
 from corpuscope.plans.q_keywords import confusing
 from corpuscope.plans.q_similarity import prepared_corpus
 
@@ -23,12 +24,17 @@ GENERATED_AT = "2024-01-01 00:00:00"   # report time is a parameter so results r
 
 
 def analysis(spark, sf, corpus=None):
+    """(corpus, confusing pairs, conflicts).  For the stored embedded corpus the
+    pairs and the (capped) conflicts are analysis results stored once per
+    session; a derived corpus (before/after) is analysed on the fly."""
     if corpus is None:
         corpus = prepared_corpus(spark, sf)
         pairs = confusing(spark, sf, corpus)
+        conflicts = prepared(spark, f"conflicts_{P.CONFLICT_T}_{P.MAX_CONFLICTS}", sf, ["embeddings", "documents"],
+                             lambda: S.phrase_conflicts(corpus, P.CONFLICT_T, max_conflicts=P.MAX_CONFLICTS))
     else:
         pairs = S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, BANDS)
-    conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T)
+        conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T, max_conflicts=P.MAX_CONFLICTS)
     return corpus, pairs, conflicts
 
 
@@ -101,7 +107,8 @@ SELECT row_number() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN k1 END, CASE WH
        priority, action, reason, impact, common_keywords, suggested_fix FROM u""")
 def q_priority_actions(spark, sf):
     corpus, pairs, conflicts = analysis(spark, sf)
-    a = R.all_actions(pairs, K.intent_terms(corpus), conflicts, BANDS, 1000)
+    terms = prepared(spark, "intent_terms", sf, ["embeddings", "documents"], lambda: K.intent_terms(corpus))
+    a = R.all_actions(pairs, terms, conflicts, BANDS, 1000)
     return a.withColumn("seq", F.col("seq").cast("bigint"))
 
 
