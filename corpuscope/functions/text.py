@@ -122,10 +122,6 @@ def is_phrase(c) -> Column:
     return c.isNotNull() & (c != "") & (F.lower(c) != "nan")
 
 
-def stop_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def keywords(c, variant: str = "multi") -> Column:
     """KW-1 (``variant='multi'``) / KW-2 (``'ascii'``): ordered keyword array, repeats kept."""
     c = _col(c)

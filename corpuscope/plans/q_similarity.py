@@ -125,10 +125,3 @@ def q_confusing_pairs(spark, sf):
     m = S.intent_matrix(S.intent_centroids(prepared_corpus(spark, sf)))
     p = S.confusing_pairs(m, P.PAIR_T, P.TABLE_BANDS)
     return p.select("intent_a", "intent_b", F.round("sim", 6).alias("sim"), "sim3", "risk")
-
-
-@register("intent_matrix_wide")
-def q_intent_matrix_wide(spark, sf):
-    m = S.intent_matrix(S.intent_centroids(prepared_corpus(spark, sf)))
-    m = m.withColumn("sim", F.round("sim", 6))
-    return S.intent_matrix_wide(m).drop("a_pos")

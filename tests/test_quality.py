@@ -70,3 +70,13 @@ def test_preview_and_counts(spark):
     assert len(p) == 15 and all(r.total == 5 for r in p)
     lc = Q.load_counts(c).collect()[0]
     assert lc.total_phrases == 35 and lc.total_intents == 7 and not lc.is_large
+
+
+def test_rank_within_spans_ranges(spark):                          # offsets across fixed ranges
+    from corpuscope.operators.ordering import rank_within
+    rows = [(0 if i % 3 else 1, i * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "g bigint, pos bigint")
+    got = {(r.g, r.pos): r.rn for r in rank_within(df, "g", ["pos"], "rn", width=7).collect()}
+    for g in (0, 1):
+        ps = sorted(p for gg, p in rows if gg == g)
+        assert [got[(g, p)] for p in ps] == list(range(1, len(ps) + 1))
