@@ -190,3 +190,22 @@ def q_intent_matrix_wide_sql(spark, sf):
     m = SIM.intent_matrix(SIM.intent_centroids(prepared_corpus(spark, sf)))
     m = m.withColumn("sim", F.round("sim", 6))
     return SIM.intent_matrix_wide(m).drop("a_pos")
+
+
+T5_MODEL = "Vamsi/T5_Paraphrase_Paws"
+
+
+@register("paraphrase_jobs_t5", _JOBS_SQL.replace("'paraphrase: ' || f.phrase AS prompt",
+                                                  "'paraphrase: ' || f.phrase || ' </s>' AS prompt") + f"""
+SELECT intent, phrase_id, variation, prompt, generated, was_limited FROM gen""")
+def q_paraphrase_jobs_t5(spark, sf):
+    j = G.paraphrase_jobs(prepared_documents(spark, sf), T5_MODEL, 2, 20, generated_at=GEN_AT)
+    return j.select("intent", "phrase_id", "variation", "prompt", "generated", "was_limited")
+
+
+@register("search_top10", f"""WITH {search_hits_sql(P.SEARCH_T, P.SINGLE_TOPK)}
+SELECT query_id, rank, phrase_id, intent, sim FROM hits WHERE rank <= 10""")
+def q_search_top10(spark, sf):
+    hits = single_hits(spark, sf, include_exact=True)
+    return S.first_matches(hits, 10).select("query_id", F.col("rank").cast("bigint").alias("rank"), "phrase_id",
+                                            "intent", "sim")
