@@ -16,7 +16,8 @@ plans give the same rows:
              all blocks); work is the unavoidable n²/2 dot products.
 
 For corpora where n² is out of reach, ``conflicts_lsh`` (SIM-7) is the
-near-linear approximate plan, checked exactly afterwards.
+approximate plan: SimHash buckets, each scored with the same blocked kernel,
+so only phrases sharing a bucket are compared.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscope.functions import bands as B
 from corpuscope.functions.vectors import cosine, dot, l2_normalise, norm
@@ -174,17 +176,11 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series.values])
 
 
-def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows: int,
-                       n: int | None = None, max_pairs: int | None = None) -> DataFrame:
-    """Blocked SIM-5 kernel.  With ``max_pairs`` each block pair emits only its
-    first ``max_pairs`` pairs in (i, j) order: the global first N is always
-    among them, and a group of identical vectors cannot flood the output."""
-    u = _ids(corpus, vec).select("phrase_id", "intent_pos", "row_pos", "u")
-    n = corpus.count() if n is None else n
-    nb = _block_count(n, block_rows, corpus.sparkSession.sparkContext.defaultParallelism)
-    left, right = _block_pairs(u, nb)
+def _pair_kernel(threshold: float, cap: int | None):
+    """Score one (left block, right block) group: oriented cross-label pairs with
+    ``sim >= threshold``, in chunks of ``CHUNK_ROWS`` left rows; with ``cap``
+    only the first ``cap`` pairs in (i, j) order leave the group."""
     t = float(threshold)
-    cap = None if max_pairs is None else int(max_pairs)
 
     def score(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"phrase_id": pd.Series([], dtype="int64"),
@@ -230,6 +226,19 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
             out = out.iloc[np.lexsort((k[:, 3], k[:, 2], k[:, 1], k[:, 0]))[:cap]]
         return out
 
+    return score
+
+
+def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows: int,
+                       n: int | None = None, max_pairs: int | None = None) -> DataFrame:
+    """Blocked SIM-5.  With ``max_pairs`` each block pair emits only its first
+    ``max_pairs`` pairs in (i, j) order: the global first N is always among
+    them, and a group of identical vectors cannot flood the output."""
+    u = _ids(corpus, vec).select("phrase_id", "intent_pos", "row_pos", "u")
+    n = corpus.count() if n is None else n
+    nb = _block_count(n, block_rows, corpus.sparkSession.sparkContext.defaultParallelism)
+    left, right = _block_pairs(u, nb)
+    score = _pair_kernel(threshold, None if max_pairs is None else int(max_pairs))
     return (left.groupBy("lo", "hi").cogroup(right.groupBy("lo", "hi"))
             .applyInPandas(score, "phrase_id long, other_id long, sim double"))
 
@@ -328,27 +337,59 @@ def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN,
     return out
 
 
+def _simhash_udf(planes: np.ndarray, num_tables: int, num_bits: int):
+    """Vectorised signatures: one bucket id per table from the signs of
+    ``num_bits`` random projections (the plane set is fixed by the seed and
+    the parameters, not by the data)."""
+    weights = (1 << np.arange(num_bits)).astype(np.int64)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sig(us: pd.Series) -> pd.Series:
+        if len(us) == 0:
+            return pd.Series([], dtype=object)
+        bits = (_stack(us) @ planes.T) >= 0                        # rows × (tables · bits)
+        ids = bits.reshape(len(us), num_tables, num_bits).astype(np.int64) @ weights
+        return pd.Series(list(ids))
+    return sig
+
+
 def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                  bucket_length: float = 1.0, num_tables: int = 5, seed: int = 42,
+                  num_tables: int = 8, num_bits: int = 6, seed: int = 42, block_rows: int = 8192,
                   max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
-    """SIM-7: approximate conflicts via random-projection LSH, then an exact check.
-
-    On unit vectors ``cos >= t`` ⇔ ``euclid <= sqrt(2 - 2t)``; candidates come
-    from bucket equi-joins (near-linear), so results are a subset of SIM-5.
+    """SIM-7: approximate conflicts with random-hyperplane LSH (SimHash).
+
+    Two phrases become candidates when they share a bucket in any of
+    ``num_tables`` tables (``num_bits`` signs each); candidates are scored
+    exactly, so the rows are a subset of SIM-5.  Each (table, bucket) is split
+    into hash blocks sized from its count (a bucket holding a third of all
+    vectors is spread over many tasks) and scored with the capped block-pair
+    kernel of SIM-5; pairs found in several tables are kept once.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    u = _ids(corpus, vec).withColumn("v", array_to_vector("u"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(u)
-    radius = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    cand = model.approxSimilarityJoin(u, u, radius, distCol="dist")
-    pairs = cand.where(F.col("datasetA.intent_pos") < F.col("datasetB.intent_pos")).select(
-        F.col("datasetA.phrase_id").alias("phrase_id"), F.col("datasetB.phrase_id").alias("other_id"),
-        _round6(dot("datasetA.u", "datasetB.u")).alias("sim")).where(F.col("sim") >= threshold)
-    out = _attach_text(pairs, corpus)
+    u = _ids(corpus, vec)
+    first = u.select("u").first()
+    if first is None:
+        return _attach_text(u.sparkSession.createDataFrame([], "phrase_id long, other_id long, sim double"), corpus)
+    d = len(first[0])
+    planes = np.random.RandomState(seed).standard_normal((num_tables * num_bits, d))
+    sig = _simhash_udf(planes, num_tables, num_bits)
+    ex = u.select("phrase_id", "intent_pos", "row_pos", "u",
+                  F.posexplode(sig(F.col("u"))).alias("tbl", "bucket"))
+    # at most num_tables · 2^num_bits rows: bounded by the parameters
+    sizes = ex.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        "tbl", "bucket", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_nb"))
+    ex = ex.join(F.broadcast(sizes), ["tbl", "bucket"]).withColumn(
+        "blk", F.pmod(F.xxhash64("phrase_id"), F.col("_nb")).cast("int"))
+    cols = ["tbl", "bucket", "phrase_id", "intent_pos", "row_pos", "u"]
+    left = ex.select(*[F.col(c).alias(c) for c in cols], F.col("blk").alias("lo"),
+                     F.explode(F.sequence(F.col("blk"), F.col("_nb") - 1)).alias("hi"))
+    right = ex.select(*[F.col(c).alias(c) for c in cols],
+                      F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("lo"), F.col("blk").alias("hi"))
+    score = _pair_kernel(threshold, None if max_conflicts is None else int(max_conflicts))
+    keys = ["tbl", "bucket", "lo", "hi"]
+    pairs = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
+             .applyInPandas(score, "phrase_id long, other_id long, sim double"))
+    pairs = pairs.groupBy("phrase_id", "other_id").agg(F.max("sim").alias("sim"))
+    out = _attach_text(pairs.select("phrase_id", "other_id", _round6(F.col("sim")).alias("sim")), corpus)
     return out.orderBy(*_ORDER_COLS).limit(int(max_conflicts)) if max_conflicts is not None else out
 
 

@@ -90,7 +90,9 @@ def q_conflicts_topk(spark, sf):
 
 @register("conflicts_lsh")
 def q_conflicts_lsh(spark, sf):
-    return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T).select(*_PUBLIC)
+    # few bits per table: the registered threshold (0.30) is low for LSH
+    return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T, num_tables=P.LSH_TABLES,
+                           num_bits=P.LSH_BITS, max_conflicts=P.MAX_CONFLICTS).select(*_PUBLIC)
 
 
 @register("exact_duplicates", f"""WITH {DOC_CORPUS},

@@ -123,3 +123,15 @@ def test_chunked_kernels_match_plain(spark, monkeypatch):          # chunk × bl
            .orderBy("intent_pos", "row_pos", "other_pos", "other_row").collect()]
     assert got == first
     assert _pairs(S.conflicts_topk(c, 0.1, k=50, block_rows=11, max_conflicts=None)) == plain
+
+
+def test_lsh_recall_on_planted_near_duplicates(spark):             # SIM-7 recall
+    rs = np.random.RandomState(11)
+    base = rs.randn(40, 16)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noisy = base + 0.08 * rs.randn(40, 16)
+    rows = [(i, "a", f"p{i}", base[i]) for i in range(40)] + [(40 + i, "b", f"q{i}", noisy[i]) for i in range(40)]
+    c = emb_corpus(spark, rows)
+    exact = set(_pairs(S.phrase_conflicts(c, 0.9, method="plain", max_conflicts=None)))
+    found = set(_pairs(S.conflicts_lsh(c, 0.9, max_conflicts=None)))
+    assert found <= exact and len(exact) >= 40 and len(found) >= 0.9 * len(exact)
