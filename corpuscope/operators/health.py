@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import bands as B
 from corpuscope.functions.text import keywords
 from corpuscope.functions.vectors import sq_norm
-from corpuscope.operators.similarity import intent_centroids, intent_matrix, unit_vectors
+from corpuscope.operators.similarity import intent_matrix, unit_vectors
 
 
 def cohesion(corpus: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import quality as Q
 from corpuscope.plans.catalog import register
-from corpuscope.plans.oracle_sql import DOC_CORPUS, PAGES_CORPUS, strip, truncate_sql, validate_sql
+from corpuscope.plans.oracle_sql import DOC_CORPUS, PAGES_CORPUS, truncate_sql, validate_sql
 from corpuscope.plans.q_similarity import prepared_documents
 from corpuscope.sources.tables import documents_with_raw, pages_corpus
 

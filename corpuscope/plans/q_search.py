@@ -15,7 +15,7 @@ from corpuscope.plans.oracle_sql import (action_sentence_sql, avg6, batch_action
                                          search_hits_sql, sim_caption_sql, single_action_sql, strip)
 from corpuscope.plans.prepared import prepared
 from corpuscope.plans.q_similarity import prepared_documents
-from corpuscope.sources.tables import benchmark_queries, documents_corpus
+from corpuscope.sources.tables import benchmark_queries
 
 BANDS = P.TABLE_BANDS
 

@@ -3,7 +3,6 @@ import numpy as np
 from conftest import corpus_of, emb_corpus
 from corpuscope.functions.bands import Bands
 from corpuscope.operators import health as H
-from corpuscope.operators import keywords as K
 from corpuscope.operators import recommend as R
 from corpuscope.operators import similarity as S
 

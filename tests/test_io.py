@@ -116,7 +116,6 @@ def test_entry_contract(spark):
 
 
 def test_streaming_audit_appends_history(spark):                   # streaming batch audit → SNK-17
-    from conftest import emb_corpus
     from corpuscope.operators.encode import HashingEncoder, encode
     d = _scratch()
     qdir = os.path.join(d, "queries")

@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from conftest import emb_corpus
 from corpuscope.operators import similarity as S
