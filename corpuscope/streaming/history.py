@@ -1,8 +1,10 @@
 """Search history as an append-only log (SNK-17, SNK-18, LIM-8) and a
 Structured Streaming batch audit that appends to it.
 
-History rows: seq, timestamp, query, threshold, results, top_similarity,
-recommended_intent.  ``seq`` orders the log; "newest first" is ``seq`` desc.
+History rows: batch, seq, timestamp, query, threshold, results,
+top_similarity, recommended_intent.  ``(batch, seq)`` orders the log (a
+micro-batch id and an increasing id inside it); "newest first" is that pair
+descending.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HISTORY_SCHEMA = ("seq long, timestamp string, query string, threshold double, results long, "
+HISTORY_SCHEMA = ("batch long, seq long, timestamp string, query string, threshold double, results long, "
                   "top_similarity double, recommended_intent string")
 SHOWN = ["timestamp", "query", "threshold", "results", "top_similarity", "recommended_intent"]
 
@@ -27,14 +29,15 @@ def clear_history(spark: SparkSession, path: str) -> None:
 
 def recent(history: DataFrame, n: int = 20, order: list[str] | None = None) -> DataFrame:
     """LIM-8: newest first, first ``n`` rows (a top-n, planned as TakeOrderedAndProject)."""
-    keys = order or ["seq"]
+    keys = order or ["batch", "seq"]
     return history.orderBy(*[F.desc(k) for k in keys]).limit(n)
 
 
-def history_records(audit: DataFrame, threshold: float, timestamp: str, seq_base: int = 0) -> DataFrame:
+def history_records(audit: DataFrame, threshold: float, timestamp: str, batch: int = 0) -> DataFrame:
     """Batch-audit rows (``search.batch_audit``) → history records."""
     return audit.select(
-        (F.lit(seq_base) + F.col("query_id")).cast("long").alias("seq"), F.lit(timestamp).alias("timestamp"),
+        F.lit(int(batch)).cast("long").alias("batch"), F.col("query_id").cast("long").alias("seq"),
+        F.lit(timestamp).alias("timestamp"),
         "query", F.lit(float(threshold)).alias("threshold"), F.col("matches_found").cast("long").alias("results"),
         F.col("top_similarity"), F.coalesce("recommended_intent", F.lit("N/A")).alias("recommended_intent"))
 
@@ -44,8 +47,8 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
                  available_now: bool = False):
     """Structured Streaming: every new text file of queries under ``query_dir``
     (one query per line) is audited against ``corpus`` (with ``embedding``)
-    and appended to the history.  ``checkpoint`` must be a shared folder; the
-    sink is idempotent per micro-batch id (seq = batch id · 10⁹ + line)."""
+    and appended to the history.  ``checkpoint`` must be a shared folder;
+    rows carry their micro-batch id, so a replayed batch is recognisable."""
     from corpuscope.functions.text import py_strip
     from corpuscope.operators.encode import HashingEncoder, encode
     from corpuscope.operators.search import batch_audit, search_hits
@@ -59,7 +62,7 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
         qv = encode(q, "query", "query_id", enc)
         audit = batch_audit(search_hits(corpus, qv, threshold, top_k), q)
         ts = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-        recs = history_records(audit, threshold, "", batch_id * 1_000_000_000).withColumn("timestamp", ts)
+        recs = history_records(audit, threshold, "", batch_id).withColumn("timestamp", ts)
         append_history(recs, history_path)
 
     w = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)

@@ -100,7 +100,7 @@ def test_history_append_recent_clear(spark):                       # SNK-17, SNK
     path = os.path.join(_scratch(), "hist")
     HI.clear_history(spark, path)
     for i in range(25):
-        rec = spark.createDataFrame([(i, "t", f"q{i}", 0.5, 1, 0.9, "a")], HI.HISTORY_SCHEMA)
+        rec = spark.createDataFrame([(i // 10, i, "t", f"q{i}", 0.5, 1, 0.9, "a")], HI.HISTORY_SCHEMA)
         HI.append_history(rec, path)
     r = HI.recent(spark.read.parquet(path), 20).collect()
     assert len(r) == 20 and r[0].seq == 24
