@@ -149,7 +149,9 @@ def q_search_summary(spark, sf):
     return j.select(
         "query_id", F.substring("query", 1, 100).alias("query"), F.lit(P.SEARCH_T).alias("threshold"),
         F.coalesce("total", F.lit(0)).alias("total_results"), F.coalesce("ui", F.lit(0)).alias("unique_intents"),
-        F.coalesce(F.format_string("%.3f", F.bround("top_similarity", 3)), F.lit("N/A")).alias("top_similarity"),
+        # format_string renders NULL as text, so the missing case is tested first
+        F.when(F.col("top_similarity").isNotNull(), F.format_string("%.3f", F.bround("top_similarity", 3)))
+        .otherwise(F.lit("N/A")).alias("top_similarity"),
         F.coalesce("top_intent", F.lit("N/A")).alias("top_intent"),
         F.coalesce(F.when(F.col("confidence").isNotNull(), F.format_string(
             "%d%%", F.bround(F.col("confidence") * 100, 0).cast("int"))), F.lit("N/A")).alias("confidence"))
