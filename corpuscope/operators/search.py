@@ -141,15 +141,6 @@ def search_hits(corpus: DataFrame, queries: DataFrame, threshold: float = 0.7, t
 # batch audit (SIM-12, SIM-13, AGG-17, AGG-18, PF-13, PF-17)
 # ---------------------------------------------------------------------------
 
-def _mode_of_top(hits: DataFrame, n: int = 10) -> DataFrame:
-    """AGG-17 / AGG-16: most frequent label among each query's first n hits;
-    ties go to the label seen first (T-8)."""
-    top = hits.where(F.col("rank") <= n).groupBy("query_id", "intent").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("rank").alias("first_rank"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cnt"), "first_rank")
-    return top.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
-
-
 def _per_query(hits: DataFrame, n: int = 10) -> DataFrame:
     """One pass over the hits: per (query, label) counts, then per query (a
     window over at most top_k rows): total, best similarity, first label and

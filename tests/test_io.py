@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import corpus_of
 from corpuscope.sinks import files as SK
-from corpuscope.sources.corpus import queries_from_text
+from corpuscope.sources.corpus import queries_from_files, queries_from_text
 from corpuscope.sources.csv_intents import csv_corpus, detect_encodings, read_wide_csv
 from corpuscope.streaming import history as HI
 
@@ -58,6 +58,10 @@ def test_duplicate_headers_survive(spark):                         # T-4
 def test_queries_from_text(spark):                                 # SRC-5
     q = queries_from_text(spark, "  a \n\n b\n  \n")
     assert [r.query for r in q.orderBy("query_id").collect()] == ["a", "b"]
+    d = _scratch()
+    open(os.path.join(d, "q.txt"), "w").write("first query\n   \n second one \n")
+    f = queries_from_files(spark, d)
+    assert [r.query for r in f.orderBy("query_id").collect()] == ["first query", "second one"]
 
 
 def test_bundle_json_report_roundtrip(spark):                      # SNK-1, SNK-10, SNK-12, SNK-13
