@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpuscope.llm.exact_dedup import exact_groups
+from corpuscope.llm.near_dedup import near_groups
 from corpuscope.llm.queries import register
 
 OP1_SQL = r"""
@@ -17,3 +18,9 @@ FROM d"""
 @register("op1_exact_dedup", OP1_SQL)
 def op1_exact_dedup(spark, sf_dir):
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@register("op3_near_dedup")
+def op3_near_dedup(spark, sf_dir):
+    """No SQL: tests hold it against all pairs by brute force."""
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
