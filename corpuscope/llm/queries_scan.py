@@ -1 +1,20 @@
 """Queries of the scanning and filtering operators."""
+
+from __future__ import annotations
+
+from corpuscope.llm.license_scan import license_scan
+from corpuscope.llm.queries import register
+from corpuscope.llm.secret_scan import labelled_samples, secret_scan, train
+
+
+@register("op2_license_scan")
+def op2_license_scan(spark, sf_dir):
+    """No SQL: tests hold it against a word-by-word search."""
+    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@register("op4_secret_scan")
+def op4_secret_scan(spark, sf_dir):
+    """No SQL: tests hold it against a search with another regular-expression engine."""
+    model = train(labelled_samples(spark))
+    return secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).drop("found")
