@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscope.functions.text import py_strip
+from corpuscope.operators.ordering import rank_within
 
 
 def echo_generator(prompt: Column, variation: Column) -> Column:
@@ -40,18 +41,21 @@ def _pandas_generator(factory: Callable[[], Callable]):
     return gen
 
 
-def paraphrase_jobs(corpus: DataFrame, model_name: str, num_variations: int = 2, max_phrases: int = 20,
+def paraphrase_jobs(corpus: DataFrame, model_name: str, num_variations: int = 2, max_phrases: int | None = None,
                     generator=echo_generator, strategy: str = "Diverse Variations",
                     generated_at: str = "1970-01-01 00:00:00") -> DataFrame:
-    """GEN-1 + GEN-3 for every label: its first ``max_phrases`` phrases ×
-    ``num_variations`` prompts → generator → 'paraphrased: ' removed, stripped.
+    """GEN-1 + GEN-3 for every label: its phrases × ``num_variations`` prompts →
+    generator → 'paraphrased: ' removed, stripped.
 
+    With ``max_phrases`` only the first so many phrases of each label take part:
     ``row_number <= max_phrases`` plans as a ``WindowGroupLimit`` (bounded per
-    label before the shuffle).  ``was_limited`` flags labels that had more.
+    label before the shuffle), and ``was_limited`` flags labels that had more.
     """
     sizes = corpus.groupBy("intent").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("intent").orderBy("row_pos")
-    first = corpus.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_phrases)
+    first = corpus
+    if max_phrases is not None:
+        w = Window.partitionBy("intent").orderBy("row_pos")
+        first = corpus.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_phrases)
     jobs = first.select("intent", "intent_pos", "row_pos", "phrase_id", "phrase",
                         F.explode(F.sequence(F.lit(1), F.lit(num_variations))).alias("variation"))
     jobs = jobs.withColumn("prompt", prompt_for(F.col("phrase"), model_name))
@@ -62,7 +66,7 @@ def paraphrase_jobs(corpus: DataFrame, model_name: str, num_variations: int = 2,
     out = jobs.withColumn("generated", py_strip(F.replace(raw, F.lit("paraphrased: "), F.lit(""))))
     return out.join(sizes, "intent").select(
         "intent", "intent_pos", "row_pos", "phrase_id", F.col("variation").cast("long").alias("variation"),
-        "prompt", "generated", (F.col("_n") > max_phrases).alias("was_limited"),
+        "prompt", "generated", (F.lit(False) if max_phrases is None else F.col("_n") > max_phrases).alias("was_limited"),
         F.lit(strategy).alias("strategy"), F.lit(int(num_variations)).cast("long").alias("num_variations"),
         F.lit(generated_at).alias("generated_at"), F.lit(model_name).alias("model_used"))
 
@@ -70,13 +74,11 @@ def paraphrase_jobs(corpus: DataFrame, model_name: str, num_variations: int = 2,
 def append_generated(corpus: DataFrame, generated: DataFrame) -> DataFrame:
     """SET-1: add generated phrases to their label after its current last row.
 
-    New rows get ``row_pos`` = label max + their rank by (source row, variation);
-    the rank is a window per label over the generated rows only, which are
-    bounded by max_phrases × num_variations per label.
+    New rows get ``row_pos`` = label max + their rank by (source row, variation),
+    counted in ranges of the source row, so a hot label is not sorted in one task.
     """
     last = corpus.groupBy("intent").agg(F.max("row_pos").alias("_last"), F.min("intent_pos").alias("_ip"))
-    w = Window.partitionBy("intent").orderBy("row_pos", "variation")
-    g = generated.withColumn("_k", F.row_number().over(w)).join(last, "intent")
+    g = rank_within(generated, "intent", ["row_pos", "variation"], "_k").join(last, "intent")
     new = g.select(F.lit(None).cast("long").alias("phrase_id"), "intent", F.col("_ip").alias("intent_pos"),
                    (F.col("_last") + F.col("_k")).alias("row_pos"), F.col("generated").alias("phrase"),
                    F.lit(True).alias("is_generated"))

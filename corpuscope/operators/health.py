@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import bands as B
 from corpuscope.functions.text import keywords
-from corpuscope.functions.vectors import sq_norm
-from corpuscope.operators.similarity import intent_matrix, unit_vectors
+from corpuscope.functions.vectors import dot, sq_norm
+from corpuscope.operators.similarity import unit_vectors
 
 
 def cohesion(corpus: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -31,12 +31,19 @@ def cohesion(corpus: DataFrame, vec: str = "embedding") -> DataFrame:
         .alias("cohesion"))
 
 
-def separation(matrix: DataFrame) -> DataFrame:
-    """Mean similarity of a label's centroid to every other centroid (0.0 if alone)."""
-    off = matrix.where(F.col("intent_a") != F.col("intent_b")).groupBy("intent_a").agg(F.avg("sim").alias("sep"))
-    names = matrix.select(F.col("intent_a")).distinct()
-    return names.join(off, "intent_a", "left").select(
-        F.col("intent_a").alias("intent"), F.coalesce("sep", F.lit(0.0)).alias("separation"))
+def separation(centroids: DataFrame) -> DataFrame:
+    """AGG-5: mean similarity of a label's centroid to every other centroid (0.0 if alone).
+
+    Closed form on unit centroids, ``(û·Σû − û·û) / (N − 1)``: one sum over the
+    labels, broadcast as a single row, instead of a label × label join.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    u = unit_vectors(centroids.select("intent", "centroid"), "centroid").select("intent", "u")
+    total = u.agg(F.count(F.lit(1)).alias("n_all"), vector_to_array(Summarizer.sum(array_to_vector("u")), "float64").alias("s"))
+    return u.join(F.broadcast(total), F.col("n_all") >= 1).select("intent", F.when(
+        F.col("n_all") > 1, (dot("u", "s") - sq_norm("u")) / (F.col("n_all") - 1)).otherwise(F.lit(0.0)).alias("separation"))
 
 
 def keyword_diversity(corpus: DataFrame) -> DataFrame:
@@ -75,7 +82,7 @@ def intent_health(corpus: DataFrame, vec: str = "embedding", bands: B.Bands = B.
     (``label_vectors``) and the text once (keyword diversity).
     """
     lv = label_vectors(corpus, vec)
-    sep = separation(intent_matrix(lv.select("intent", "intent_pos", "centroid")))
+    sep = separation(lv)
     div = keyword_diversity(corpus)
     j = lv.join(sep, "intent").join(div, "intent")
     size = F.least(F.col("n_phrases") / 50.0, F.lit(1.0))

@@ -3,7 +3,7 @@ PF-18, PF-19, AGG-24).
 
 All checks are aggregations with map-side combine.  Where a result lists
 labels per repeated text, the text is first reduced to one row per
-(text, label), so no list grows with the number of repeats of a text.
+(text, label); only DQ-7, whose result names a label once per occurrence, repeats it.
 """
 
 from __future__ import annotations

@@ -37,10 +37,10 @@ def priority_actions(pairs: DataFrame, terms: DataFrame, bands: B.Bands = B.DEFA
                         "intent_a", _first("a_unique", 3), "intent_b", _first("b_unique", 3)).alias("suggested_fix"))
 
 
-def phrase_issue_counts(conflicts: DataFrame, sample: int | None = 1000, top: int = 10) -> DataFrame:
-    """AGG-11 (``sample=1000``: first 1000 conflicts in pair order) / AGG-12
-    (``sample=None``): conflicts per ordered label pair, top ``top`` by count,
-    ties by first appearance (LIM-6)."""
+def phrase_issue_counts(conflicts: DataFrame, sample: int | None = None, top: int = 10) -> DataFrame:
+    """AGG-12 (all conflicts) / AGG-11 (``sample=1000``: the first 1000 in pair
+    order): conflicts per ordered label pair, top ``top`` by count, ties by first
+    appearance (LIM-6)."""
     c = conflicts
     if sample is not None:
         c = c.orderBy("intent_pos", "row_pos", "other_pos", "other_row").limit(sample)
@@ -49,7 +49,7 @@ def phrase_issue_counts(conflicts: DataFrame, sample: int | None = 1000, top: in
     return g.orderBy(F.desc("n"), "first").limit(top)
 
 
-def phrase_issue_actions(conflicts: DataFrame, sample: int | None = 1000) -> DataFrame:
+def phrase_issue_actions(conflicts: DataFrame, sample: int | None = None) -> DataFrame:
     """REC-2: HIGH actions from AGG-11."""
     g = phrase_issue_counts(conflicts, sample)
     return g.select(
@@ -62,7 +62,7 @@ def phrase_issue_actions(conflicts: DataFrame, sample: int | None = 1000) -> Dat
 
 
 def all_actions(pairs: DataFrame, terms: DataFrame, conflicts: DataFrame, bands: B.Bands = B.DEFAULT,
-                sample: int | None = 1000) -> DataFrame:
+                sample: int | None = None) -> DataFrame:
     """REC-3: CRITICAL (pair order) then HIGH (count order); ``seq`` is the display order."""
     crit = priority_actions(pairs, terms, bands)
     high = phrase_issue_actions(conflicts, sample)
@@ -70,7 +70,7 @@ def all_actions(pairs: DataFrame, terms: DataFrame, conflicts: DataFrame, bands:
     from pyspark.sql import Window
     w = Window.orderBy("kind", F.when(F.col("kind") == 0, F.col("a_pos")), F.when(F.col("kind") == 0, F.col("b_pos")),
                        F.desc("n"), "a_pos", "b_pos")
-    # bounded: at most (#pairs above the band) + 10 rows reach this global window
+    # one row per label pair above the band, plus 10, reaches this global window: the report is read as one list
     return u.withColumn("seq", F.row_number().over(w)).select("seq", *ACTION_COLS)
 
 
@@ -81,8 +81,7 @@ def phrase_actions(conflicts: DataFrame, corpus: DataFrame, bands: B.Bands = B.D
     and joined to both sides by id.
     Set-valued outputs are sorted (T-17).
     """
-    # keywords only for phrases that take part in a conflict (bounded by the cap),
-    # not for the whole corpus
+    # keywords only for phrases that take part in a conflict, not for the whole corpus
     ids = conflicts.select("phrase_id").union(conflicts.select(F.col("other_id").alias("phrase_id"))).distinct()
     involved = corpus.select("phrase_id", "phrase").join(ids, "phrase_id", "left_semi")
     kw = phrase_keywords(involved).select("phrase_id", "keywords")
@@ -137,9 +136,9 @@ def split_candidates(pairs: DataFrame, bands: B.Bands = B.DEFAULT, show: int = 3
     return m.orderBy("a_pos", "b_pos").limit(show).crossJoin(tot)
 
 
-def quick_actions(pairs: DataFrame, conflicts: DataFrame, bands: B.Bands = B.DEFAULT, sample: int | None = 1000,
-                  cap: int | None = None, limit_reached=None) -> DataFrame:
-    """AGG-9 (``sample=1000``) / AGG-10 (``sample=None``): must fix, should fix,
+def quick_actions(pairs: DataFrame, conflicts: DataFrame, bands: B.Bands = B.DEFAULT, sample: int | None = None,
+                  cap: int | None = None) -> DataFrame:
+    """AGG-10 (all conflicts) / AGG-9 (``sample=1000``): must fix, should fix,
     phrases to move or delete, total conflicts (``N+`` at the cap)."""
     s3 = F.col("sim3")
     p = pairs.agg(F.count_if(s3 > bands.must_fix).alias("must_fix"),
@@ -150,7 +149,7 @@ def quick_actions(pairs: DataFrame, conflicts: DataFrame, bands: B.Bands = B.DEF
     crit = c.agg(F.count_if(F.col("sim") > bands.phrase_critical).alias("phrase_critical"))
     tot = conflicts.agg(F.count(F.lit(1)).alias("total_conflicts"))
     out = p.crossJoin(crit).crossJoin(tot)
-    capped = F.lit(False) if cap is None else (F.lit(bool(limit_reached)) & (F.col("total_conflicts") >= cap))
+    capped = F.lit(False) if cap is None else F.col("total_conflicts") >= cap
     return out.withColumn("total_display", F.when(capped, F.concat(F.format_number(F.lit(cap), 0), F.lit("+")))
                           .otherwise(F.format_number("total_conflicts", 0)))
 

@@ -5,16 +5,18 @@ PF-20, AGG-14 … AGG-21, LIM-1, LIM-9, LIM-11).
 top-k at or above the threshold, ordered by similarity then phrase order
 (the reference's stable sort).  Plans:
 
-``broadcast``  the query set (row count checked against ``broadcast_max``)
+``broadcast``  the query matrix (its bytes checked against ``broadcast_bytes``)
                is shipped to every task once; each corpus partition is scored
-               with one matrix product in ``mapInPandas`` and keeps at most k
-               hits per query, so the final per-query top-k (a
+               in tiles by matrix products in ``mapInPandas`` and keeps a
+               running top-k, so the final per-query top-k (a
                ``WindowGroupLimit``) sees ≤ k × partitions rows per query.
                The corpus is scanned once and never shuffled.
 ``blocked``    for query sets too large to broadcast: queries and phrases are
                hashed into blocks and every (query block, phrase block) pair
                is scored by ``cogroup`` + ``applyInPandas``.
-``sql``        the same as a broadcast nested-loop join with a JVM dot product.
+
+Similarity is the cosine: both sides are normalised, zero vectors stay zero.
+Texts are joined after the ranking, for at most k rows per query.
 """
 
 from __future__ import annotations
@@ -29,53 +31,68 @@ from pyspark.sql import functions as F
 from corpuscope.functions import bands as B
 from corpuscope.functions.stats import avg6
 from corpuscope.functions.text import keywords, py_strip
-from corpuscope.functions.vectors import dot
-
-HIT_SCHEMA = "query_id long, phrase_id long, sim double"
-
-
-def _stack(values) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in values])
-
-
-def _local_topk(qids, qmat, pids, ipos, rpos, cmat, threshold, k):
-    """Per query: phrases with sim >= threshold, best k by (sim desc, order)."""
-    sims = qmat @ cmat.T
-    out_q, out_p, out_s = [], [], []
-    for qi in range(sims.shape[0]):
-        row = sims[qi]
-        idx = np.nonzero(row >= threshold)[0]
-        if len(idx) == 0:
-            continue
-        r6 = np.round(row[idx], 6)
-        if len(idx) > k:
-            order = np.lexsort((rpos[idx], ipos[idx], -r6))[:k]
-            idx, r6 = idx[order], r6[order]
-        out_q.append(np.full(len(idx), qids[qi], dtype=np.int64))
-        out_p.append(pids[idx])
-        out_s.append(r6)
-    if not out_q:
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "phrase_id": pd.Series([], dtype="int64"),
-                             "sim": pd.Series([], dtype="float64")})
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "phrase_id": np.concatenate(out_p),
-                         "sim": np.concatenate(out_s)})
+
+HIT_SCHEMA = "query_id long, phrase_id long, intent_pos long, row_pos long, sim double"
+TILE = 1024                 # queries per matrix product
+BROADCAST_BYTES = 64 << 20  # largest query matrix that is broadcast
+
+
+def _unit(values) -> np.ndarray:
+    """Rows as unit vectors (float64); a zero vector stays zero."""
+    if len(values) == 0:
+        return np.zeros((0, 1))
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in values])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+class _TopK:
+    """Running best k hits per query, by (similarity rounded to 6 places desc, phrase order)."""
+
+    def __init__(self, qids: np.ndarray, qmat: np.ndarray, threshold: float, k: int):
+        self.qids, self.qmat, self.threshold, self.k = qids, qmat, float(threshold), k
+        self.parts, self.size = [], 0
+
+    def add(self, pids, ipos, rpos, cmat) -> None:
+        for q0 in range(0, len(self.qids) if len(pids) else 0, TILE):
+            sims = self.qmat[q0:q0 + TILE] @ cmat.T
+            qi, pi = np.nonzero(sims >= self.threshold)
+            self.parts.append((qi + q0, pids[pi], ipos[pi], rpos[pi], np.round(sims[qi, pi], 6)))
+            self.size += len(qi)
+            if self.size > 200_000 + 2 * self.k * len(self.qids):
+                self._cut()
+
+    def _cut(self) -> None:
+        q, p, ip, rp, s = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((rp, ip, -s, q))
+        q, p, ip, rp, s = (c[order] for c in (q, p, ip, rp, s))
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.empty(0, int)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = rank < self.k
+        self.parts, self.size = [(q[keep], p[keep], ip[keep], rp[keep], s[keep])], int(keep.sum())
+
+    def frame(self) -> pd.DataFrame:
+        if not self.parts:
+            self.parts = [tuple(np.empty(0, np.int64) for _ in range(4)) + (np.empty(0),)]
+        self._cut()
+        q, p, ip, rp, s = self.parts[0]
+        return pd.DataFrame({"query_id": self.qids[q.astype(int)], "phrase_id": p, "intent_pos": ip, "row_pos": rp, "sim": s})
+
+
+def _columns(pdf: pd.DataFrame, vec: str):
+    return (*(pdf[c].to_numpy(np.int64) for c in ("phrase_id", "intent_pos", "row_pos")), _unit(pdf[vec].values))
 
 
 def _hits_broadcast(corpus: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
     spark = corpus.sparkSession
-    qpdf = queries.select("query_id", "embedding").toPandas()   # bounded by the caller's size check
-    qids = qpdf["query_id"].to_numpy(dtype=np.int64)
-    qmat = _stack(qpdf["embedding"].values) if len(qpdf) else np.zeros((0, 1))
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    t = float(threshold)
+    qpdf = queries.select("query_id", "embedding").toPandas()   # its bytes were checked by the caller
+    bq = spark.sparkContext.broadcast((qpdf["query_id"].to_numpy(dtype=np.int64), _unit(qpdf["embedding"].values)))
 
     def score(batches):
-        ids, mat = bq.value
+        top = _TopK(*bq.value, threshold, k)
         for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            yield _local_topk(ids, mat, pdf["phrase_id"].to_numpy(np.int64), pdf["intent_pos"].to_numpy(np.int64),
-                              pdf["row_pos"].to_numpy(np.int64), _stack(pdf["embedding"].values), t, k)
+            top.add(*_columns(pdf, "embedding"))
+        yield top.frame()
 
     return corpus.select("phrase_id", "intent_pos", "row_pos", "embedding").mapInPandas(score, HIT_SCHEMA)
 
@@ -91,49 +108,39 @@ def _hits_blocked(corpus: DataFrame, queries: DataFrame, threshold: float, k: in
     c = corpus.select("phrase_id", "intent_pos", "row_pos", "embedding",
                       F.pmod(F.xxhash64("phrase_id"), F.lit(bc)).cast("int").alias("cb"),
                       F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    t = float(threshold)
 
     def score(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(cp) == 0:
-            return _local_topk(np.zeros(0, np.int64), np.zeros((0, 1)), None, None, None, np.zeros((0, 1)), t, k)
-        return _local_topk(qp["query_id"].to_numpy(np.int64), _stack(qp["qv"].values),
-                           cp["phrase_id"].to_numpy(np.int64), cp["intent_pos"].to_numpy(np.int64),
-                           cp["row_pos"].to_numpy(np.int64), _stack(cp["embedding"].values), t, k)
+        top = _TopK(qp["query_id"].to_numpy(np.int64), _unit(qp["qv"].values), threshold, k)
+        if len(qp) and len(cp):
+            top.add(*_columns(cp, "embedding"))
+        return top.frame()
 
     return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(score, HIT_SCHEMA)
 
 
-def _hits_sql(corpus: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    q = F.broadcast(queries.select("query_id", F.col("embedding").alias("qv")))
-    j = corpus.select("phrase_id", "embedding").crossJoin(q)
-    s = j.select("query_id", "phrase_id", dot("qv", "embedding").alias("raw"))
-    return s.where(F.col("raw") >= threshold).select("query_id", "phrase_id", F.round("raw", 6).alias("sim"))
-
-
 def search_hits(corpus: DataFrame, queries: DataFrame, threshold: float = 0.7, top_k: int = 100,
-                method: str = "auto", broadcast_max: int = 50_000, block_rows: int = 4096) -> DataFrame:
+                method: str = "auto", broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 4096) -> DataFrame:
     """SIM-10 / SIM-11 + LIM-1: each query's top-k phrases with ``sim >= threshold``.
 
-    ``corpus``: phrase_id, intent, intent_pos, row_pos, phrase, embedding (unit).
-    ``queries``: query_id, query, embedding (unit).
+    ``corpus``: phrase_id, intent, intent_pos, row_pos, phrase, embedding.
+    ``queries``: query_id, query, embedding.
     Output: query_id, query, rank, phrase_id, intent, phrase, sim, intent_pos, row_pos.
     """
-    if method == "auto":
-        nq = queries.count()
-        method = "broadcast" if nq <= broadcast_max else "blocked"
+    if method not in ("auto", "broadcast", "blocked"):
+        raise ValueError(f"unknown method {method!r}")
+    nq = None
+    if method != "broadcast":
+        nq, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+        if method == "auto":
+            method = "broadcast" if nq * (8 * dim + 8) <= broadcast_bytes else "blocked"
     if method == "broadcast":
         raw = _hits_broadcast(corpus, queries, threshold, top_k)
-    elif method == "blocked":
-        raw = _hits_blocked(corpus, queries, threshold, top_k, queries.count(), block_rows)
-    elif method == "sql":
-        raw = _hits_sql(corpus, queries, threshold)
     else:
-        raise ValueError(f"unknown method {method!r}")
-    meta = corpus.select("phrase_id", "intent", "intent_pos", "row_pos", "phrase")
-    j = raw.join(meta, "phrase_id")
+        raw = _hits_blocked(corpus, queries, threshold, top_k, nq, block_rows)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "intent_pos", "row_pos")
-    ranked = j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-    return ranked.join(queries.select("query_id", "query"), "query_id").select(
+    ranked = raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    meta = corpus.select("phrase_id", "intent", "phrase")
+    return ranked.join(meta, "phrase_id").join(queries.select("query_id", "query"), "query_id").select(
         "query_id", "query", "rank", "phrase_id", "intent", "phrase", "sim", "intent_pos", "row_pos")
 
 

@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from corpuscope.functions import bands as B
 from corpuscope.functions.vectors import cosine, dot, l2_normalise, norm
 
-PHRASE_SIMILARITY_MIN = 0.70     # reference default base threshold
+PHRASE_SIMILARITY_MIN = 0.70     # fixed value: default base threshold
 CHUNK_ROWS = 1024                # rows per matrix product inside a block pair
-DEFAULT_MAX_CONFLICTS = 10_000   # reference default cap (T-14)
+SALTS = 8                        # tasks a hot text is dealt to in the join of equal texts
 
 CONFLICT_COLS = ["phrase_id", "intent", "phrase", "other_id", "other_intent", "similar_to",
                  "sim", "is_exact"]
@@ -244,27 +244,21 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
 
 
 def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                     method: str = "auto", block_rows: int = 8192, plain_max_rows: int = 512,
-                     max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
-    """SIM-5 + SIM-8 + SIM-9: cross-label pairs i before j with ``sim >= threshold``,
-    the first ``max_conflicts`` in (i, j) order (the reference always caps;
-    ``None`` = all pairs).
+                     method: str = "blocked", block_rows: int = 8192,
+                     max_conflicts: int | None = None) -> DataFrame:
+    """SIM-5 + SIM-8 + SIM-9: all cross-label pairs i before j with ``sim >= threshold``.
 
     Output: ``CONFLICT_COLS`` plus the order columns used by caps and sorts.
-    ``method='auto'`` counts the corpus once and picks ``plain`` up to
-    ``plain_max_rows`` rows, ``blocked`` above (one BLAS product per block pair
-    beats a per-pair JVM lambda as soon as there is more than a handful of rows).
-    The cap is applied inside every block pair and once more globally
-    (``TakeOrderedAndProject``), so the rows leaving any task are bounded by it.
+    One kernel (``blocked``) serves every size, so a pair on the threshold is
+    judged alike at every size; ``plain`` is the JVM form for comparison.
+    ``max_conflicts`` keeps only the first so many in (i, j) order, for callers
+    that want the cap; it is applied inside every block pair and once more
+    globally (``TakeOrderedAndProject``).
     """
-    n = None
-    if method == "auto":
-        n = corpus.count()
-        method = "plain" if n <= plain_max_rows else "blocked"
     if method == "plain":
         pairs = _conflicts_plain(corpus, threshold, vec)
     elif method == "blocked":
-        pairs = _conflicts_blocked(corpus, threshold, vec, block_rows, n, max_conflicts)
+        pairs = _conflicts_blocked(corpus, threshold, vec, block_rows, None, max_conflicts)
     else:
         raise ValueError(f"unknown method {method!r}")
     out = _attach_text(pairs.select("phrase_id", "other_id", _round6(F.col("sim")).alias("sim")), corpus)
@@ -313,7 +307,7 @@ def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
 
 def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, k: int = 100,
                    vec: str = "embedding", block_rows: int = 8192,
-                   max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
+                   max_conflicts: int | None = None) -> DataFrame:
     """SIM-6: keep j only if it is among i's k nearest over all phrases.
 
     Neighbours include i itself and its own label (trap T-15); ties go to the
@@ -355,7 +349,7 @@ def _simhash_udf(planes: np.ndarray, num_tables: int, num_bits: int):
 
 def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
                   num_tables: int = 8, num_bits: int = 6, seed: int = 42, block_rows: int = 8192,
-                  max_conflicts: int | None = DEFAULT_MAX_CONFLICTS) -> DataFrame:
+                  max_conflicts: int | None = None) -> DataFrame:
     """SIM-7: approximate conflicts with random-hyperplane LSH (SimHash).
 
     Two phrases become candidates when they share a bucket in any of
@@ -398,21 +392,36 @@ def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, v
 # ---------------------------------------------------------------------------
 
 def exact_duplicates(corpus: DataFrame) -> DataFrame:
-    """SIM-8 standalone: every repeat of a text in a later label, paired with the
-    text's first occurrence.
-
-    Pairing every occurrence with every other would be quadratic in the
-    repeats of a hot text; the star form is linear and still names each label
-    a repeated text leaks into.  The first occurrence per text is a partial
-    ``min`` aggregate; the join has one row per text on its small side, and
-    AQE's skew split divides a hot text on the other.
+    """SIM-8 standalone: every pair of equal texts in different labels, i before j.
+
+    The result itself has one row per pair.  The join is an equi-join on a digest
+    of the text, salted: the later occurrence is dealt to ``SALTS`` buckets and
+    the earlier one copied to each, so a hot text is split over that many tasks
+    before adaptive execution splits further.  ``duplicate_groups`` is the linear
+    form.
     """
+    c = corpus.select("phrase_id", "intent", "intent_pos", "row_pos", "phrase").withColumn("_h", F.xxhash64("phrase"))
+    repeated = c.groupBy("_h").agg(F.min("intent_pos").alias("_lo"), F.max("intent_pos").alias("_hi")).where("_lo < _hi")
+    c = c.join(repeated.select("_h"), "_h", "left_semi")
+    a = c.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("a")
+    b = c.withColumn("_s", F.pmod(F.xxhash64("phrase_id"), F.lit(SALTS)).cast("int")).alias("b")
+    j = a.join(b, (F.col("a._h") == F.col("b._h")) & (F.col("a._s") == F.col("b._s"))
+               & (F.col("a.phrase") == F.col("b.phrase")) & (F.col("a.intent_pos") < F.col("b.intent_pos")))
+    return _duplicate_rows(j)
+
+
+def duplicate_groups(corpus: DataFrame) -> DataFrame:
+    """Linear form of ``exact_duplicates``: every repeat of a text in a later label, paired with the
+    text's first occurrence (a partial ``min`` aggregate, then a join that adaptive execution splits)."""
     from corpuscope.operators.ordering import first_per_key
 
     c = corpus.select("phrase_id", "intent", "intent_pos", "row_pos", "phrase")
     first = first_per_key(c, ["phrase"], ["intent_pos", "row_pos"], "phrase_id").alias("a")
-    j = first.join(c.alias("b"), (F.col("a.phrase") == F.col("b.phrase"))
-                   & (F.col("a.intent_pos") < F.col("b.intent_pos")))
+    return _duplicate_rows(first.join(c.alias("b"), (F.col("a.phrase") == F.col("b.phrase"))
+                                      & (F.col("a.intent_pos") < F.col("b.intent_pos"))))
+
+
+def _duplicate_rows(j: DataFrame) -> DataFrame:
     return j.select(F.col("a.phrase_id").alias("phrase_id"), F.col("a.intent").alias("intent"),
                     F.col("a.phrase").alias("phrase"), F.col("b.phrase_id").alias("other_id"),
                     F.col("b.intent").alias("other_intent"), F.col("b.phrase").alias("similar_to"),
@@ -421,7 +430,7 @@ def exact_duplicates(corpus: DataFrame) -> DataFrame:
                     F.col("b.intent_pos").alias("other_pos"), F.col("b.row_pos").alias("other_row"))
 
 
-def cap_conflicts(conflicts: DataFrame, max_conflicts: int | None = DEFAULT_MAX_CONFLICTS,
+def cap_conflicts(conflicts: DataFrame, max_conflicts: int | None = None,
                   order: str = "pair") -> DataFrame:
     """SIM-9: first N conflicts in (i, j) order (``order='pair'``) or (i, sim desc)
     (``order='topk'``), with ``limit_reached = total >= N`` (T-13).

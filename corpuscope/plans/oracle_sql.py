@@ -44,7 +44,7 @@ doc AS (
 
 CONV_CORPUS = f"""
 conv_base AS (
-  SELECT conv_id * 1000 + turn AS phrase_id, role AS intent, conv_id * 1000 + turn AS row_pos,
+  SELECT conv_id * 2147483648 + turn AS phrase_id, role AS intent, conv_id * 2147483648 + turn AS row_pos,
          {strip('text')} AS phrase
   FROM conversations
 ),
@@ -75,7 +75,7 @@ conf_all AS (
   WHERE {cos('a', 'b')} >= {P.CONFLICT_T}
 ),
 conf_pairs AS (
-  SELECT * FROM conf_all ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT {P.MAX_CONFLICTS}
+  SELECT * FROM conf_all
 )"""
 
 CONFLICT_SELECT = "phrase_id, intent, phrase, other_id, other_intent, similar_to, sim, is_exact"

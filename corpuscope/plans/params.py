@@ -16,13 +16,17 @@ CONFLICT_FILTER_T = 0.35   # PF-2 re-filter
 FILTER_INTENT = "label_3"  # PF-2 label filter
 TOPK_K = 100               # SIM-6 neighbours
 CAP_N = 500                # SIM-9 cap of the conflicts_capped query
-MAX_CONFLICTS = 10_000     # reference default cap for every other conflict query (T-14)
+FIRST_N = 1000             # conflicts looked at by the queries named after that limit (AGG-9, AGG-11)
 SHOW_N = 50                # LIM-4 rows shown
 PAIR_T = 0.05              # SIM-4 confusing-pair threshold
 BLOCK_ROWS = 128           # blocked SIM-5 block size at test scale
 LSH_TABLES = 12            # SIM-7: 12 SimHash tables of 4 bits (≈80% expected recall at cos 0.30)
 LSH_BITS = 4
 
+# labels of the wide results: columns are named up front, so no job discovers them
+EMB_LABELS = [f"label_{i}" for i in range(10)]
+DOC_LABELS = [f"src{i}" for i in range(20)]
+
 # hashing-encoded documents / benchmark search
 ENCODE_DIM = 256
 SEARCH_T = 0.25

@@ -36,11 +36,10 @@ def q_history_recent(spark, sf):
 
 _JOBS_SQL = f"""WITH {DOC_CORPUS},
 sizes AS (SELECT intent, count(*) AS n FROM doc GROUP BY intent),
-firsts AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY intent ORDER BY row_pos) <= 20),
-jobs AS (SELECT f.*, v.variation, 'paraphrase: ' || f.phrase AS prompt FROM firsts f CROSS JOIN
+jobs AS (SELECT f.*, v.variation, 'paraphrase: ' || f.phrase AS prompt FROM doc f CROSS JOIN
          (SELECT CAST(unnest(range(1, 3)) AS BIGINT) AS variation) v),
 gen AS (SELECT j.*, {strip("replace('paraphrased: ' || regexp_replace(regexp_replace(prompt, '^paraphrase: ', ''), ' </s>$', '') || ' (variation ' || CAST(variation AS VARCHAR) || ')', 'paraphrased: ', '')")} AS generated,
-               s.n > 20 AS was_limited
+               false AS was_limited
         FROM jobs j JOIN sizes s ON s.intent = j.intent)"""
 
 
@@ -48,7 +47,7 @@ gen AS (SELECT j.*, {strip("replace('paraphrased: ' || regexp_replace(regexp_rep
 SELECT intent, phrase_id, variation, prompt, generated, was_limited, 'Diverse Variations' AS strategy,
        CAST(2 AS BIGINT) AS num_variations, '{GEN_AT}' AS generated_at, '{MODEL}' AS model_used FROM gen""")
 def q_paraphrase_jobs(spark, sf):
-    j = G.paraphrase_jobs(prepared_documents(spark, sf), MODEL, 2, 20, generated_at=GEN_AT)
+    j = G.paraphrase_jobs(prepared_documents(spark, sf), MODEL, 2, generated_at=GEN_AT)
     return j.select("intent", "phrase_id", "variation", "prompt", "generated", "was_limited", "strategy",
                     "num_variations", "generated_at", "model_used")
 
@@ -60,7 +59,7 @@ new AS (SELECT g.intent, l.last_pos + row_number() OVER (PARTITION BY g.intent O
 SELECT intent, row_pos, phrase, false AS is_generated FROM doc UNION ALL SELECT * FROM new""")
 def q_append_generated(spark, sf):
     corpus = prepared_documents(spark, sf)
-    gen = G.paraphrase_jobs(corpus, MODEL, 2, 20, generated_at=GEN_AT)
+    gen = G.paraphrase_jobs(corpus, MODEL, 2, generated_at=GEN_AT)
     return G.append_generated(corpus, gen).select("intent", "row_pos", "phrase", "is_generated")
 
 
@@ -187,11 +186,12 @@ def q_landmark_place(spark, sf):
 
 @register("intent_matrix_wide", f"""WITH {EMB_CORPUS}, {CENTROIDS},
 m AS (SELECT intent_a AS intent, intent_b, round(sim, 6) AS sim FROM matrix)
-SELECT * FROM (PIVOT m ON intent_b USING first(sim) GROUP BY intent)""")
+SELECT intent, {", ".join(f"max(CASE WHEN intent_b = '{n}' THEN sim END) AS {n}" for n in P.EMB_LABELS)}
+FROM m GROUP BY intent""")
 def q_intent_matrix_wide_sql(spark, sf):
     m = SIM.intent_matrix(SIM.intent_centroids(prepared_corpus(spark, sf)))
     m = m.withColumn("sim", F.round("sim", 6))
-    return SIM.intent_matrix_wide(m).drop("a_pos")
+    return SIM.intent_matrix_wide(m, P.EMB_LABELS).drop("a_pos")
 
 
 T5_MODEL = "Vamsi/T5_Paraphrase_Paws"
@@ -201,7 +201,7 @@ T5_MODEL = "Vamsi/T5_Paraphrase_Paws"
                                                   "'paraphrase: ' || f.phrase || ' </s>' AS prompt") + f"""
 SELECT intent, phrase_id, variation, prompt, generated, was_limited FROM gen""")
 def q_paraphrase_jobs_t5(spark, sf):
-    j = G.paraphrase_jobs(prepared_documents(spark, sf), T5_MODEL, 2, 20, generated_at=GEN_AT)
+    j = G.paraphrase_jobs(prepared_documents(spark, sf), T5_MODEL, 2, generated_at=GEN_AT)
     return j.select("intent", "phrase_id", "variation", "prompt", "generated", "was_limited")
 
 

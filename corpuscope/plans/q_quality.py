@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscope.operators import quality as Q
+from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import DOC_CORPUS, PAGES_CORPUS, truncate_sql, validate_sql
 from corpuscope.plans.q_similarity import prepared_documents
@@ -82,9 +83,10 @@ def q_dedupe_within(spark, sf):
 @register("wide_compact", f"""WITH {DOC_CORPUS},
 kept AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1),
 ranked AS (SELECT intent, phrase, row_number() OVER (PARTITION BY intent ORDER BY row_pos) AS rn FROM kept)
-SELECT * FROM (PIVOT ranked ON intent USING first(phrase) GROUP BY rn)""")
+SELECT rn, {", ".join(f"max(CASE WHEN intent = '{n}' THEN phrase END) AS {n}" for n in P.DOC_LABELS)}
+FROM ranked GROUP BY rn""")
 def q_wide_compact(spark, sf):
-    return Q.compact_wide(Q.remove_repeats(prepared_documents(spark, sf)))
+    return Q.compact_wide(Q.remove_repeats(prepared_documents(spark, sf)), P.DOC_LABELS)
 
 
 @register("load_counts", f"""WITH {DOC_CORPUS}

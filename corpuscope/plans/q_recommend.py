@@ -25,16 +25,15 @@ GENERATED_AT = "2024-01-01 00:00:00"   # report time is a parameter so results r
 
 def analysis(spark, sf, corpus=None):
     """(corpus, confusing pairs, conflicts).  For the stored embedded corpus the
-    pairs and the (capped) conflicts are analysis results stored once per
-    session; a derived corpus (before/after) is analysed on the fly."""
+    pairs and the conflicts are analysis results stored once per session; a derived corpus (before/after) is analysed on the fly."""
     if corpus is None:
         corpus = prepared_corpus(spark, sf)
         pairs = confusing(spark, sf, corpus)
-        conflicts = prepared(spark, f"conflicts_{P.CONFLICT_T}_{P.MAX_CONFLICTS}", sf, ["embeddings", "documents"],
-                             lambda: S.phrase_conflicts(corpus, P.CONFLICT_T, max_conflicts=P.MAX_CONFLICTS))
+        conflicts = prepared(spark, f"conflicts_{P.CONFLICT_T}", sf, ["embeddings", "documents"],
+                             lambda: S.phrase_conflicts(corpus, P.CONFLICT_T))
     else:
         pairs = S.confusing_pairs(S.intent_matrix(S.intent_centroids(corpus)), P.PAIR_T, BANDS)
-        conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T, max_conflicts=P.MAX_CONFLICTS)
+        conflicts = S.phrase_conflicts(corpus, P.CONFLICT_T)
     return corpus, pairs, conflicts
 
 
@@ -61,27 +60,37 @@ def q_intent_health(spark, sf):
     return H.intent_health(prepared_corpus(spark, sf), bands=BANDS)
 
 
-def _issues_sql(sample: bool) -> str:
-    src = ("(SELECT * FROM conf_pairs ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT 1000)"
-           if sample else "conf_pairs")
+def _first_conflicts(n: int) -> str:
+    return f"(SELECT * FROM conf_pairs ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT {n})"
+
+
+def _issues_sql(first: int | None = None) -> str:
+    src = "conf_pairs" if first is None else _first_conflicts(first)
     return f"""issues AS (
   SELECT intent, other_intent, count(*) AS n, min((intent_pos, row_pos, other_pos, other_row)) AS first
   FROM {src} GROUP BY ALL ORDER BY n DESC, first LIMIT 10)"""
 
 
-@register("phrase_issues", f"""{BASE}, {_issues_sql(True)} SELECT intent, other_intent, n FROM issues""")
+@register("phrase_issues_first_1000", f"""{BASE}, {_issues_sql(P.FIRST_N)} SELECT intent, other_intent, n FROM issues""")
+def q_phrase_issues_first(spark, sf):
+    """AGG-11: the limit is the feature."""
+    _, _, c = analysis(spark, sf)
+    return R.phrase_issue_counts(c, P.FIRST_N).select("intent", "other_intent", "n")
+
+
+@register("phrase_issues", f"""{BASE}, {_issues_sql()} SELECT intent, other_intent, n FROM issues""")
 def q_phrase_issues(spark, sf):
     _, _, c = analysis(spark, sf)
-    return R.phrase_issue_counts(c, 1000).select("intent", "other_intent", "n")
+    return R.phrase_issue_counts(c).select("intent", "other_intent", "n")
 
 
-@register("phrase_issues_all", f"""{BASE}, {_issues_sql(False)} SELECT intent, other_intent, n FROM issues""")
+@register("phrase_issues_all", f"""{BASE}, {_issues_sql()} SELECT intent, other_intent, n FROM issues""")
 def q_phrase_issues_all(spark, sf):
     _, _, c = analysis(spark, sf)
-    return R.phrase_issue_counts(c, None).select("intent", "other_intent", "n")
+    return R.phrase_issue_counts(c).select("intent", "other_intent", "n")
 
 
-@register("priority_actions", f"""{BASE}, {_issues_sql(True)}, {terms_sql('emb')},
+@register("priority_actions", f"""{BASE}, {_issues_sql()}, {terms_sql('emb')},
 crit AS (SELECT * FROM pairs3 WHERE sim3 > {BANDS.critical_pair}),
 {overlap_sql('crit')},
 ca AS (
@@ -108,7 +117,7 @@ SELECT row_number() OVER (ORDER BY kind, CASE WHEN kind = 0 THEN k1 END, CASE WH
 def q_priority_actions(spark, sf):
     corpus, pairs, conflicts = analysis(spark, sf)
     terms = prepared(spark, "intent_terms", sf, ["embeddings", "documents"], lambda: K.intent_terms(corpus))
-    a = R.all_actions(pairs, terms, conflicts, BANDS, 1000)
+    a = R.all_actions(pairs, terms, conflicts, BANDS)
     return a.withColumn("seq", F.col("seq").cast("bigint"))
 
 
@@ -172,26 +181,40 @@ def q_split_candidates(spark, sf):
     return R.split_candidates(pairs, BANDS).select("intent_a", "intent_b", "sim3", "total")
 
 
-def _quick_sql(sample: bool) -> str:
-    src = ("(SELECT * FROM conf_pairs ORDER BY intent_pos, row_pos, other_pos, other_row LIMIT 1000)"
-           if sample else "conf_pairs")
+def _quick_sql(judged: str = "conf_pairs", counted: str = "conf_pairs", cap: int | None = None) -> str:
+    plus = "''" if cap is None else f"CASE WHEN count(*) >= {cap} THEN '+' ELSE '' END"
     return f"""{BASE}
 SELECT (SELECT count(*) FROM pairs3 WHERE sim3 > {BANDS.must_fix}) AS must_fix,
        (SELECT count(*) FROM pairs3 WHERE sim3 >= {BANDS.should_fix_lo} AND sim3 <= {BANDS.must_fix}) AS should_fix,
-       (SELECT count(*) FROM {src} WHERE sim > {BANDS.phrase_critical}) AS phrase_critical,
-       (SELECT count(*) FROM conf_pairs) AS total_conflicts"""
+       (SELECT count(*) FROM {judged} WHERE sim > {BANDS.phrase_critical}) AS phrase_critical,
+       (SELECT count(*) FROM {counted}) AS total_conflicts,
+       (SELECT format('{{:,}}', count(*)) || {plus} FROM {counted}) AS total_display"""
 
 
-@register("quick_actions", _quick_sql(True))
+@register("quick_actions_first_1000", _quick_sql(_first_conflicts(P.FIRST_N)))
+def q_quick_actions_first(spark, sf):
+    """AGG-9: the limit is the feature."""
+    _, pairs, conflicts = analysis(spark, sf)
+    return R.quick_actions(pairs, conflicts, BANDS, P.FIRST_N)
+
+
+@register("quick_actions", _quick_sql())
 def q_quick_actions(spark, sf):
     _, pairs, conflicts = analysis(spark, sf)
-    return R.quick_actions(pairs, conflicts, BANDS, 1000).drop("total_display")
+    return R.quick_actions(pairs, conflicts, BANDS)
+
+
+@register("quick_actions_capped", _quick_sql(_first_conflicts(P.CAP_N), _first_conflicts(P.CAP_N), P.CAP_N))
+def q_quick_actions_capped(spark, sf):
+    """AGG-9 / SIM-9: the count of a capped list says so (``N+``)."""
+    _, pairs, conflicts = analysis(spark, sf)
+    return R.quick_actions(pairs, S.cap_conflicts(conflicts, P.CAP_N), BANDS, cap=P.CAP_N)
 
 
-@register("quick_actions_all", _quick_sql(False))
+@register("quick_actions_all", _quick_sql())
 def q_quick_actions_all(spark, sf):
     _, pairs, conflicts = analysis(spark, sf)
-    return R.quick_actions(pairs, conflicts, BANDS, None).drop("total_display")
+    return R.quick_actions(pairs, conflicts, BANDS, None)
 
 
 @register("exec_summary", f"""{BASE}
@@ -231,7 +254,7 @@ UNION ALL SELECT 6, 'Export modified dataset'
 UNION ALL SELECT 7, 'Re-run analysis to verify improvements'""")
 def q_checklist(spark, sf):
     _, pairs, conflicts = analysis(spark, sf)
-    return R.checklist(R.quick_actions(pairs, conflicts, BANDS, 1000), pairs)
+    return R.checklist(R.quick_actions(pairs, conflicts, BANDS), pairs)
 
 
 @register("report_lines", f"""{BASE},
@@ -274,9 +297,9 @@ kconf AS (SELECT 1 FROM kept a JOIN kept b ON a.intent_pos < b.intent_pos WHERE
 nowv AS (SELECT count(*) AS pn, coalesce(avg(sim3), 0.0) AS an FROM kpairs),
 befv AS (SELECT count(*) AS pb, coalesce(avg(sim3), 0.0) AS ab FROM pairs3)
 SELECT pn AS pairs_now, pb AS pairs_before, pn - pb AS delta_pairs,
-       (SELECT least(count(*), {P.MAX_CONFLICTS}) FROM kconf) AS conflicts_now,
+       (SELECT count(*) FROM kconf) AS conflicts_now,
        (SELECT count(*) FROM conf_pairs) AS conflicts_before,
-       (SELECT least(count(*), {P.MAX_CONFLICTS}) FROM kconf) - (SELECT count(*) FROM conf_pairs) AS delta_conflicts,
+       (SELECT count(*) FROM kconf) - (SELECT count(*) FROM conf_pairs) AS delta_conflicts,
        round(an, 6) AS avg_now, round(ab, 6) AS avg_before, round(an - ab, 6) AS delta_avg,
        CASE WHEN pn < pb THEN 'improved' WHEN pn > pb THEN 'worse' ELSE 'same' END AS verdict
 FROM nowv CROSS JOIN befv""")

@@ -23,11 +23,8 @@ def prepared_documents(spark, sf):
     return prepared(spark, "documents_corpus", sf, ["documents"], lambda: documents_corpus(spark, sf))
 
 
-def _conflicts(spark, sf, method="auto", cap=P.MAX_CONFLICTS):
-    # the forced blocked plan uses small blocks so that test scale spans many block pairs
-    rows = P.BLOCK_ROWS if method == "blocked" else 8192
-    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, method=method, block_rows=rows,
-                              max_conflicts=cap)
+def _conflicts(spark, sf, rows=8192, cap=None):
+    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, block_rows=rows, max_conflicts=cap)
 
 
 @register("phrase_conflicts", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
@@ -37,7 +34,8 @@ def q_phrase_conflicts(spark, sf):
 
 @register("conflicts_blocked", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
 def q_conflicts_blocked(spark, sf):
-    return _conflicts(spark, sf, method="blocked").select(*_PUBLIC)
+    # small blocks, so that test scale spans many block pairs
+    return _conflicts(spark, sf, P.BLOCK_ROWS).select(*_PUBLIC)
 
 
 @register("conflicts_capped", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS},
@@ -79,8 +77,7 @@ SELECT r.phrase_id, a.intent, a.phrase, r.other_id, b.intent AS other_intent, b.
        r.sim, a.phrase = b.phrase AS is_exact
 FROM ranked r JOIN emb a ON a.phrase_id = r.phrase_id JOIN emb b ON b.phrase_id = r.other_id
 WHERE r.rk <= {P.TOPK_K} AND (r.ip < r.jp OR (r.ip = r.jp AND r.ir < r.jr)) AND r.ip <> r.jp
-  AND r.sim >= {P.CONFLICT_T}
-ORDER BY r.ip, r.ir, r.sim DESC, r.jp, r.jr LIMIT {P.MAX_CONFLICTS}"""
+  AND r.sim >= {P.CONFLICT_T}"""
 
 
 @register("conflicts_topk", _TOPK_SQL)
@@ -92,18 +89,26 @@ def q_conflicts_topk(spark, sf):
 def q_conflicts_lsh(spark, sf):
     # few bits per table: the registered threshold (0.30) is low for LSH
     return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T, num_tables=P.LSH_TABLES,
-                           num_bits=P.LSH_BITS, max_conflicts=P.MAX_CONFLICTS).select(*_PUBLIC)
+                           num_bits=P.LSH_BITS).select(*_PUBLIC)
 
 
-@register("exact_duplicates", f"""WITH {DOC_CORPUS},
-firsts AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1)
+@register("exact_duplicates", f"""WITH {DOC_CORPUS}
 SELECT a.phrase_id, a.intent, a.phrase, b.phrase_id AS other_id, b.intent AS other_intent,
        b.phrase AS similar_to, CAST(1.0 AS DOUBLE) AS sim, true AS is_exact
-FROM firsts a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
+FROM doc a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
 def q_exact_duplicates(spark, sf):
     return S.exact_duplicates(prepared_documents(spark, sf)).select(*_PUBLIC)
 
 
+@register("duplicate_groups", f"""WITH {DOC_CORPUS},
+firsts AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1)
+SELECT a.phrase_id, a.intent, a.phrase, b.phrase_id AS other_id, b.intent AS other_intent,
+       b.phrase AS similar_to, CAST(1.0 AS DOUBLE) AS sim, true AS is_exact
+FROM firsts a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
+def q_duplicate_groups(spark, sf):
+    return S.duplicate_groups(prepared_documents(spark, sf)).select(*_PUBLIC)
+
+
 @register("intent_centroids", f"""WITH {EMB_CORPUS}, {CENTROIDS}
 SELECT intent, dim, round(val, 6) AS value FROM cent_dims""")
 def q_intent_centroids(spark, sf):

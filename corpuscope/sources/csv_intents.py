@@ -1,20 +1,24 @@
 """Wide intent CSV input (SRC-1, SRC-2) and saved projects (SRC-6).
 
 Encodings: UTF-8, cp1252, Latin-1, UTF-16.  ``detect_encodings`` decides per
-file on the executors from the raw bytes (``binaryFile``): a UTF-16 byte-order
-mark first (the reference's auto list can never reach UTF-16, trap T-2), then
-the first of UTF-8 / cp1252 / Latin-1 that decodes.
+file on the executors from the raw bytes (``binaryFile``), with SQL functions: a
+UTF-16 byte-order mark first (the reference's auto list can never reach UTF-16,
+trap T-2), then the first of UTF-8 / cp1252 / Latin-1 that decodes.  Files that
+share encoding and header are read together, each group by a reader of its own.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscope.sources.corpus import wide_to_corpus
 
+# fixed values: names and order of the encodings
 ENCODINGS = {"UTF-8": "utf-8", "Windows-1252 (Excel)": "cp1252", "Latin-1": "latin-1", "UTF-16": "utf-16"}
 AUTO_ORDER = ["utf-8", "cp1252", "latin-1", "utf-16"]
 _JAVA = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
@@ -24,64 +28,107 @@ NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-@F.pandas_udf(T.StringType())
-def _detect(content: pd.Series) -> pd.Series:
-    def one(b):
-        if b is None:
-            return None
-        b = bytes(b)
-        if b[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return "utf-16"
-        for enc in AUTO_ORDER:
-            try:
-                b.decode(enc)
-                return enc
-            except (UnicodeDecodeError, UnicodeError):
-                continue
-        return None
-    return content.map(one)
+# bytes that cp1252 leaves undefined, as Latin-1 characters
+_NOT_CP1252 = "[\u0081\u008d\u008f\u0090\u009d]"
+# first record of a file, as text: quoted cells may hold line breaks
+_FIRST_RECORD = r"^((?:[^\"\r\n]|\"(?:[^\"]|\"\")*\")*)"
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, encoding, latin`` (content as Latin-1 text, one character per byte)."""
+    files = spark.read.format("binaryFile").load(path)
+    latin = F.decode("content", "ISO-8859-1")
+    enc = (F.when(F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF"), "utf-16")
+           .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
+           .when(~latin.rlike(_NOT_CP1252), "cp1252").otherwise("latin-1"))
+    return files.select("path", enc.alias("encoding"), latin.alias("latin"), "content")
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: ``(path, encoding)`` for every file under ``path``; decided on executors."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", _detect(F.col("content")).alias("encoding"))
+    return _files(spark, path).select("path", "encoding")
 
 
-def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None,
-                  na_words: list[str] | None = None) -> tuple[DataFrame, list[str], str]:
-    """SRC-1: read one wide CSV (header = labels, all cells as text).
+def csv_groups(spark: SparkSession, path: str, encoding: str | None = None) -> list[tuple[str, list[str], list[str], bool]]:
+    """(encoding, header names, paths, whether cells may be quoted) of files that can be read together.
 
-    Returns (wide frame with ``row_pos``, header names, encoding used).  The
-    header is read as the first record (one row) so duplicate or case-equal
-    names survive (trap T-4); columns are then addressed by position.
+    One row per file reaches the driver: its path, encoding and first record.
+    """
+    files = _files(spark, path)
+    if encoding is not None:
+        files = files.withColumn("encoding", F.lit(encoding))
+    text = F.when(F.col("encoding") == "utf-16", F.decode("content", "UTF-16")).otherwise(F.col("latin"))
+    heads = files.withColumn("text", text).select(
+        "path", "encoding", F.regexp_extract("text", _FIRST_RECORD, 1).alias("head"),
+        F.contains("text", F.lit('"')).alias("quoted"), (F.length("text") > 0).alias("filled")).orderBy("path").collect()
+    groups: dict[tuple, list] = {}
+    for r in heads:
+        if not r.filled:
+            continue
+        head = r.head if r.encoding == "utf-16" else r.head.encode("latin-1").decode(r.encoding)
+        record = next(csv.reader(io.StringIO(head.removeprefix("\ufeff"))), [])
+        names = tuple(c if c != "" else f"Unnamed: {i}" for i, c in enumerate(record))
+        group = groups.setdefault((r.encoding, names), [[], False])
+        group[0].append(r.path)
+        group[1] |= r.quoted
+    return [(enc, list(names), paths, quoted) for (enc, names), (paths, quoted) in groups.items()]
+
+
+def _read_group(spark: SparkSession, encoding: str, names: list[str], paths: list[str], quoted: bool,
+                na_words: list[str] | None) -> DataFrame:
+    """Cells of a group as text ``c0 … cn`` with a dense ``row_pos``, from partition counts (no per-row Python).
+
+    Files without quotes are split; quoted cells may hold line breaks, and such
+    files (and UTF-16) are read whole by a task each.
     """
-    if encoding is None:
-        found = detect_encodings(spark, path).collect()   # one row per file
-        if not found or found[0]["encoding"] is None:
-            raise UnicodeError("Could not detect file encoding.")
-        encoding = found[0]["encoding"]
-    jenc = _JAVA.get(encoding, encoding)
-    reader = spark.read.option("encoding", jenc).option("multiLine", True).option("escape", '"')
-    head = reader.option("header", False).csv(path).limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], "row_pos bigint"), [], encoding
-    names = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(head[0])]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    body = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
+    body = (spark.read.option("encoding", _JAVA.get(encoding, encoding)).option("escape", '"')
+            .option("multiLine", quoted or encoding == "utf-16").option("header", True).option("enforceSchema", True)
+            .schema(schema).csv(paths))
     words = NA_WORDS if na_words is None else na_words
-    cols = [F.when(F.col(f"c{i}").isin(words), F.lit(None)).otherwise(F.col(f"c{i}")).alias(f"c{i}")
-            for i in range(len(names))]
-    indexed = body.select(*cols).rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)).toDF(
-        T.StructType(schema.fields + [T.StructField("row_pos", T.LongType(), False)]))
-    return indexed, names, encoding
+    cols = [F.when(F.col(c).isin(words), F.lit(None)).otherwise(F.col(c)).alias(c) for c in schema.names]
+    rows = body.select(*cols, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    starts = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return (rows.join(F.broadcast(starts), "_part")
+            .withColumn("row_pos", F.col("_start") + F.col("_id") - F.col("_first")).select(*schema.names, "row_pos"))
+
+
+def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None,
+                  na_words: list[str] | None = None) -> tuple[DataFrame, list[str], str]:
+    """SRC-1: read wide CSV of one encoding and header (header = labels, all cells as text).
+
+    Returns (wide frame with ``row_pos``, header names, encoding used).  Columns
+    are addressed by position, so duplicate or case-equal names survive (trap T-4).
+    """
+    groups = csv_groups(spark, path, encoding)
+    if not groups:
+        return spark.createDataFrame([], "row_pos bigint"), [], encoding or "utf-8"
+    if len(groups) > 1:
+        raise ValueError("the files differ in encoding or header: csv_corpus reads them")
+    enc, names, paths, quoted = groups[0]
+    return _read_group(spark, enc, names, paths, quoted, na_words), names, enc
 
 
 def csv_corpus(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """SRC-1 + SRC-3 + SRC-4: wide CSV → long corpus with labels named by the header."""
-    wide, names, _ = read_wide_csv(spark, path, encoding)
-    if not names:
-        return wide_to_corpus(wide, [])
-    corpus = wide_to_corpus(wide, [f"c{i}" for i in range(len(names))])
-    mapping = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(f"c{i}"), F.lit(n))])
-    return corpus.withColumn("intent", mapping[F.col("intent")])
+    """SRC-1 + SRC-3 + SRC-4: wide CSV files → long corpus with labels named by their headers.
+
+    Every file is read in its own encoding.  The columns of later groups follow
+    those of earlier ones; equal names are one label, at its first position.
+    """
+    out, first, at = None, {}, 0
+    for enc, names, paths, quoted in csv_groups(spark, path, encoding):
+        wide = _read_group(spark, enc, names, paths, quoted, None)
+        cells = wide_to_corpus(wide, [f"c{i}" for i in range(len(names))])
+        for i, n in enumerate(names):
+            first.setdefault(n, at + i)
+        # phrase ids keep the column of the cell itself, labels take their first column
+        shift = F.shiftleft(F.lit(at).cast("long"), 40)
+        name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("intent_pos") + 1).cast("int"))
+        pos = F.element_at(F.array(*[F.lit(first[n]).cast("long") for n in names]), (F.col("intent_pos") + 1).cast("int"))
+        cells = cells.select((F.col("phrase_id") + shift).alias("phrase_id"), name.alias("intent"), pos.alias("intent_pos"),
+                             "row_pos", "phrase")
+        out = cells if out is None else out.unionByName(cells)
+        at += len(names)
+    return out if out is not None else wide_to_corpus(spark.createDataFrame([], "row_pos bigint"), [])

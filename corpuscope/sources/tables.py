@@ -45,7 +45,7 @@ def embedded_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversations_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "role", "text")
+        (F.shiftleft(F.col("conv_id").cast("long"), 31) + F.col("turn")).alias("ord"), "role", "text")
     return long_to_corpus(conv, intent="role", phrase="text", order="ord")
 
 

@@ -20,7 +20,7 @@ def test_ties_ordered_by_phrase_and_first_seen_label(spark):       # B10, LIM-1,
     rows = [(i, "a" if i % 2 == 0 else "b", f"p{i}", [1, 0]) for i in range(6)]
     c = emb_corpus(spark, rows)
     q = _queries(spark, [(0, "q", [1, 0])])
-    for method in ("broadcast", "sql", "blocked"):
+    for method in ("broadcast", "blocked"):
         h = S.search_hits(c, q, 0.5, 4, method=method).orderBy("rank").collect()
         assert [r.phrase_id for r in h] == [0, 2, 4, 1]    # label 'a' phrases come first (order a, b)
     dec = S.single_decision(S.search_hits(c, q, 0.5, 10)).collect()[0]
@@ -81,3 +81,20 @@ def test_display_results(spark):                                   # PF-7
     q = _queries(spark, [(0, "book flight", [1, 0])])
     r = S.display_results(S.result_table(S.search_hits(c, q, 0.5, 5))).first()
     assert r.similarity_score == "1.0000" and r.match_type == "Exact" and r.keywords == "book, flight"
+
+
+def test_search_is_cosine_and_tiles_agree(spark, monkeypatch):
+    rows = [(i, f"l{i % 3}", f"p{i}", [1.0 + i, (i * 7) % 5, 0.5 * i]) for i in range(40)] + [(40, "l0", "zero", [0, 0, 0])]
+    c = emb_corpus(spark, rows)
+    queries = [(i, f"q{i}", [3.0 * (i + 1), float(i % 2), 2.0]) for i in range(9)]
+    q = _queries(spark, queries)
+    want = {}
+    for qid, _, v in queries:
+        sims = [(-round(sum(a * b for a, b in zip(_unit(v), _unit(x))), 6), p % 3, p) for p, _, _, x in rows[:40]]
+        want[qid] = [p for s, _, p in sorted(sims)[:5] if -s >= 0.2]
+    monkeypatch.setattr(S, "TILE", 2)
+    for method in ("broadcast", "blocked"):
+        hits = S.search_hits(c.repartition(4), q, 0.2, 5, method=method, block_rows=7).collect()
+        got = {i: [r.phrase_id for r in sorted(hits, key=lambda r: r.rank) if r.query_id == i] for i in want}
+        assert got == want
+    assert S.search_hits(c, q, 0.2, 5, broadcast_bytes=0).count() == sum(map(len, want.values()))

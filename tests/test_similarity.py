@@ -106,7 +106,9 @@ def test_hot_duplicate_group_stays_bounded(spark):                 # a third of
     c = emb_corpus(spark, rows)
     capped = S.phrase_conflicts(c, 0.9, method="blocked", block_rows=8, max_conflicts=30)
     assert capped.count() == 30
-    star = S.exact_duplicates(c.drop("embedding"))
+    pairs = S.exact_duplicates(c.drop("embedding"))
+    assert pairs.count() == 800 == pairs.select("phrase_id", "other_id").distinct().count()   # 20 rows of b × 40 of a
+    star = S.duplicate_groups(c.drop("embedding"))
     assert star.count() == 40            # label b comes first (row 0); each of the 40 repeats in a, once
 
 
