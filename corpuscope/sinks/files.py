@@ -9,6 +9,7 @@ pickled projects become one Parquet table per part.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,48 @@ def write_csv(df: DataFrame, path: str, order: list | None = None, single_file:
     out = df.orderBy(*order) if order else df
     if single_file:
         out = out.coalesce(1)   # only for small, bounded outputs (display-sized reports)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
+# fixed values: names of the CSV outputs, with the order of their rows
+CSV_OUTPUTS = {
+    "exact_duplicates": ["intent_pos", "row_pos", "other_pos", "other_row"],       # SNK-2
+    "full_confusion_report": [F.desc, "sim"],                                       # SNK-3
+    "priority_actions": ["seq"],                                                    # SNK-4
+    "phrase_actions": [F.desc, "similarity"],                                       # SNK-5
+    "modified_dataset": ["rn"],                                                     # SNK-6
+    "search_results": ["query_id", "rank"],                                         # SNK-7
+    "search_history": ["batch", "seq"],                                             # SNK-8
+    "batch_audit": ["query_id"],                                                    # SNK-9
+}
+
+
+def write_named_csv(df: DataFrame, root: str, name: str) -> str:
+    """SNK-2 … SNK-9: one of the named outputs, in its order, as ``root/name``."""
+    order = CSV_OUTPUTS[name]
+    keys = [F.desc(order[1])] if order[0] is F.desc else [F.col(c) for c in order]
+    return write_csv(df, os.path.join(root, name), keys)
+
+
+def analysis_bundle(summary: DataFrame, pairs: DataFrame, actions: DataFrame, conflicts: DataFrame,
+                    matrix: DataFrame) -> dict[str, DataFrame]:
+    """SNK-10: the five tables of the analysis workbook under their sheet names (fixed values)."""
+    return {"Summary": summary.select("metric", "value"),
+            "Confusing_Intent_Pairs": pairs.select("intent_a", "intent_b", F.col("sim3").alias("similarity"), "risk"),
+            "Priority_Actions": actions, "All_Phrase_Conflicts": conflicts, "Intent_Similarity_Matrix": matrix}
+
+
+def search_bundle(summary: DataFrame, distribution: DataFrame, results: DataFrame, top: int = 10) -> dict[str, DataFrame]:
+    """SNK-11: the four tables of the search workbook; ``results`` carries ``rank``."""
+    return {"Summary": summary, "Intent_Distribution": distribution, "All_Results": results,
+            "Top_10_Matches": results.where(F.col("rank") <= top)}
+
+
+#: SNK-10 / SNK-11: sheets that are left out when they have no rows.
+SKIP_EMPTY = ("Confusing_Intent_Pairs", "Priority_Actions", "All_Phrase_Conflicts", "Intent_Distribution")
+
+
 def write_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet",
                  skip_empty: tuple[str, ...] = ()) -> list[str]:
     """SNK-10 / SNK-11: one dataset per sheet; sheets named in ``skip_empty`` are
@@ -42,11 +81,13 @@ def write_bundle(tables: dict[str, DataFrame], root: str, fmt: str = "parquet",
 def search_document(hits: DataFrame, queries: DataFrame, decision: DataFrame, threshold: float,
                     timestamp: str) -> DataFrame:
     """SNK-12: one nested JSON document per query (query, threshold, timestamp,
-    summary, results ordered by rank)."""
+    summary, results ordered by rank).  A result has ``match_type`` and
+    ``keywords`` when ``hits`` (see ``search.result_table``) has them."""
+    more = [c for c in ("match_type", "keywords") if c in hits.columns]
     res = hits.groupBy("query_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "sim", "intent", "phrase"))),
-        lambda s: F.struct(s["sim"].alias("similarity"), s["intent"].alias("intent"),
-                           s["phrase"].alias("phrase"))).alias("results"),
+        F.array_sort(F.collect_list(F.struct("rank", "sim", "intent", "phrase", *more))),
+        lambda s: F.struct(s["sim"].alias("similarity"), s["intent"].alias("intent"), s["phrase"].alias("phrase"),
+                           *[s[c].alias(c) for c in more])).alias("results"),
         F.count(F.lit(1)).alias("total_results"), F.count_distinct("intent").alias("unique_intents"),
         F.max("sim").alias("top_similarity"))
     j = queries.select("query_id", "query").join(res, "query_id", "left").join(
@@ -74,34 +115,41 @@ def write_report(lines: DataFrame, path: str) -> str:
 # project snapshots (SNK-14 … SNK-16, SRC-6, AGG-23)
 # ---------------------------------------------------------------------------
 
-PARTS = ("data", "corpus", "conflicts", "pairs", "matrix", "baseline_pairs", "baseline_conflicts",
-         "baseline_matrix", "search_history", "generated_phrases")
-
-
 def save_project(root: str, name: str, parts: dict[str, DataFrame], meta: dict[str, str]) -> str:
-    """SNK-14: one Parquet table per part plus a one-row ``_meta`` table."""
-    base = os.path.join(root, f"project={name}")
+    """SNK-14: one Parquet table per part plus a one-row ``_meta`` table.
+
+    Saving replaces the whole project.  The new one is written aside first, so
+    parts may be read from the project that they replace.
+    """
+    base, aside = os.path.join(root, f"project={name}"), os.path.join(root, f"_saving-{uuid.uuid4().hex[:12]}")
     for part, df in parts.items():
-        df.write.mode("overwrite").parquet(os.path.join(base, part))
+        df.write.mode("overwrite").parquet(os.path.join(aside, part))
     spark = next(iter(parts.values())).sparkSession if parts else SparkSession.getActiveSession()
     spark.createDataFrame([tuple(meta.values())], ", ".join(f"{k} string" for k in meta)) \
-        .write.mode("overwrite").parquet(os.path.join(base, "_meta"))
+        .write.mode("overwrite").parquet(os.path.join(aside, "_meta"))
+    delete_project(spark, root, name)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(path(aside), path(base)):
+        raise OSError(f"project {name} could not be moved to {base}")
     return base
 
 
 def load_project(spark: SparkSession, root: str, name: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """SRC-6: read every saved part; a missing optional part is an empty frame
-    with the given schema."""
+    """SRC-6: read every saved part, whatever its name; a missing optional part is
+    an empty frame with the given schema."""
     base = os.path.join(root, f"project={name}")
     if not _exists(spark, base):
         raise FileNotFoundError(f"Project not found: {base}")
     out = {}
-    for part in list(PARTS) + ["_meta"]:
-        p = os.path.join(base, part)
-        if _exists(spark, p):
-            out[part] = spark.read.parquet(p)
-        elif schemas and part in schemas:
-            out[part] = spark.createDataFrame([], schemas[part])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(path):
+        part = entry.getPath().getName()
+        out[part] = spark.read.parquet(os.path.join(base, part))
+    for part, schema in (schemas or {}).items():
+        if part not in out:
+            out[part] = spark.createDataFrame([], schema)
     return out
 
 

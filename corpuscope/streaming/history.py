@@ -22,6 +22,19 @@ def append_history(records: DataFrame, path: str) -> None:
     records.write.mode("append").parquet(path)
 
 
+def append_batch(records: DataFrame, path: str, batch_id: int) -> None:
+    """SNK-17 for a stream: a micro-batch that is already in the log is not appended again.
+
+    An append appears as a whole or not at all, so a replay finds all of the batch or none.
+    """
+    spark = records.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    if there and spark.read.schema(HISTORY_SCHEMA).parquet(path).where(F.col("batch") == batch_id).limit(1).count():
+        return
+    append_history(records, path)
+
+
 def clear_history(spark: SparkSession, path: str) -> None:
     """SNK-18: overwrite with an empty frame of the same schema."""
     spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(path)
@@ -48,7 +61,7 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
     """Structured Streaming: every new text file of queries under ``query_dir``
     (one query per line) is audited against ``corpus`` (with ``embedding``)
     and appended to the history.  ``checkpoint`` must be a shared folder;
-    rows carry their micro-batch id, so a replayed batch is recognisable."""
+    rows carry their micro-batch id, and a replayed batch is not appended again."""
     from corpuscope.functions.text import py_strip
     from corpuscope.operators.encode import HashingEncoder, encode
     from corpuscope.operators.search import batch_audit, search_hits
@@ -63,7 +76,7 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
         audit = batch_audit(search_hits(corpus, qv, threshold, top_k), q)
         ts = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
         recs = history_records(audit, threshold, "", batch_id).withColumn("timestamp", ts)
-        append_history(recs, history_path)
+        append_batch(recs, history_path, batch_id)
 
     w = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if available_now:
