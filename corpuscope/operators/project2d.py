@@ -8,11 +8,12 @@ point placed from its 5 nearest landmarks (inverse-distance weights).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import prefix
-from corpuscope.functions.vectors import dot
 from corpuscope.operators.similarity import unit_vectors
 
 
@@ -42,24 +43,46 @@ def landmark_sample(corpus: DataFrame, cap: int = 5000, seed: int = 42) -> DataF
 
 
 def landmark_place(corpus: DataFrame, landmarks: DataFrame, k: int = 5, vec: str = "embedding",
-                   broadcast_max: int = 50_000) -> DataFrame:
+                   broadcast_bytes: int = 64 << 20) -> DataFrame:
     """DIM-3: coordinates of non-landmark points as the inverse-distance weighted
-    mean of their ``k`` nearest landmarks by cosine distance.
+    mean of their ``k`` nearest landmarks by cosine distance (ties: smaller id).
 
-    ``landmarks`` (phrase_id, embedding, x, y) is bounded by the sample cap, so
-    it is broadcast; the per-point top-k is a ``WindowGroupLimit``.
+    Points are scored against the landmark matrix by matrix products inside
+    ``mapInPandas``; nothing is shuffled and no pair leaves a task.  The matrix is
+    shipped to the tasks when its bytes fit ``broadcast_bytes``; a larger set is
+    dealt to parts that fit, and the parts' nearest are merged per point.
     """
     lm = unit_vectors(landmarks.select(F.col("phrase_id").alias("lm_id"), F.col(vec).alias("lv"), "x", "y"), "lv") \
         .select("lm_id", F.col("u").alias("lu"), "x", "y")
     pts = unit_vectors(corpus.select("phrase_id", vec), vec).select("phrase_id", "u") \
         .join(lm.select(F.col("lm_id").alias("phrase_id")), "phrase_id", "left_anti")
-    # landmarks come from a capped sample; the count check keeps the broadcast honest
-    side = F.broadcast(lm) if landmarks.count() <= broadcast_max else lm
-    j = pts.crossJoin(side).select("phrase_id", "lm_id", "x", "y",
-                                               F.round(1 - dot("u", "lu"), 12).alias("dist"))
-    w = Window.partitionBy("phrase_id").orderBy("dist", "lm_id")
-    near = j.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \
-            .withColumn("w", 1.0 / (F.col("dist") + 1e-8))
-    g = near.groupBy("phrase_id").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"),
-                                      (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
-    return g
+    n, dim = lm.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("lu")), F.lit(1))).first()
+    parts = max(1, -(-n * 8 * (dim + 3) // broadcast_bytes))
+    near = None
+    for i in range(parts):
+        own = lm.where(F.pmod(F.xxhash64("lm_id"), F.lit(parts)) == i).orderBy("lm_id").toPandas()
+        found = pts.mapInPandas(_nearest(own, k), "phrase_id long, lm_id long, x double, y double, dist double")
+        near = found if near is None else near.unionByName(found)
+    w = 1.0 / (F.col("dist") + 1e-8)
+    if parts > 1:
+        order = Window.partitionBy("phrase_id").orderBy("dist", "lm_id")
+        near = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return near.groupBy("phrase_id").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"),
+                                         (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
+
+
+def _nearest(landmarks: pd.DataFrame, k: int):
+    """The ``k`` nearest of ``landmarks`` (sorted by id) for every point of a batch, in tiles."""
+    def score(batches):
+        ids, xy = landmarks["lm_id"].to_numpy(np.int64), landmarks[["x", "y"]].to_numpy(np.float64)
+        mat = np.stack(landmarks["lu"].values) if len(landmarks) else np.zeros((0, 1))
+        for pdf in batches:
+            for at in range(0, len(pdf) if len(ids) else 0, 1024):
+                part = pdf.iloc[at:at + 1024]
+                dist = np.round(1 - np.stack(part["u"].values) @ mat.T, 12)
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]      # stable: ties stay in id order
+                rows = np.repeat(np.arange(len(part)), best.shape[1])
+                cols = best.ravel()
+                yield pd.DataFrame({"phrase_id": part["phrase_id"].to_numpy(np.int64)[rows], "lm_id": ids[cols],
+                                    "x": xy[cols, 0], "y": xy[cols, 1], "dist": dist[rows, cols]})
+    return score
