@@ -26,5 +26,5 @@ def register(name: str, sql: str | None = None):
 
 def load() -> tuple[dict, dict]:
     """Import every query module (which fills the registries) and return them."""
-    from corpuscope.plans import q_keywords, q_misc, q_quality, q_recommend, q_search, q_similarity, q_sinks  # noqa: F401
+    from corpuscope.plans import q_checks, q_keywords, q_misc, q_quality, q_recommend, q_search, q_similarity, q_sinks  # noqa: F401
     return QUERIES, ORACLE
