@@ -151,3 +151,41 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  listed(place).alias("base_labels"), listed(place | notice).alias("labels"),
                  F.coalesce(F.max("coverage"), F.lit(0.0)).alias("score"))
             .drop("rid"))
+
+
+def license_sql(phrases=PHRASES, notices=NOTICES, coverage: float = COVERAGE) -> str:
+    """The same in ANSI SQL, over a view ``documents``: grams as joined words, votes, merged diagonals."""
+    import re
+
+    rows = []
+    for i, (label, text, k) in enumerate([(*p, PHRASE_K) for p in phrases] + [(*n, NOTICE_K) for n in notices]):
+        words = re.findall(WORD, text.lower())
+        rows += [f"({i}, '{label}', {k}, {len(words) - k + 1}, {j}, '{' '.join(words[j:j + k])}')" for j in range(len(words) - k + 1)]
+    label_list = "coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER ({}), '')"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(lower(replace(coalesce(text, ''), chr(8490), 'é')), '{WORD}') AS words FROM documents),
+tpl(template, label, k, grams, t_pos, gram) AS (VALUES {', '.join(rows)}),
+u AS (SELECT rid, unnest(words) AS w, unnest(range(len(words))) AS pos FROM t),
+l AS (SELECT rid, pos, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM u
+      WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+g AS (SELECT rid, pos, {PHRASE_K} AS k, w || ' ' || w2 AS gram FROM l WHERE w2 IS NOT NULL UNION ALL
+      SELECT rid, pos, {NOTICE_K}, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM l WHERE w4 IS NOT NULL),
+d AS (SELECT rid, template, label, g.k AS k, grams, pos - t_pos AS diagonal, count(*) AS votes, min(pos) AS first, max(pos) + g.k - 1 AS last
+      FROM g JOIN tpl ON g.gram = tpl.gram AND g.k = tpl.k GROUP BY rid, template, label, g.k, grams, pos - t_pos),
+o AS (SELECT *, CASE WHEN k = {PHRASE_K} OR lag(first) OVER o IS NULL OR abs(diagonal - lag(diagonal) OVER o) > {SLACK}
+                       OR first > lag(last) OVER o + {GAP} THEN 1 ELSE 0 END AS opens
+      FROM d WINDOW o AS (PARTITION BY rid, template ORDER BY first, diagonal)),
+p AS (SELECT *, sum(opens) OVER (PARTITION BY rid, template ORDER BY first, diagonal) AS part FROM o),
+s AS (SELECT rid, template, label, k, grams, part, sum(votes) AS votes, min(diagonal) AS diagonal,
+             least(1.0, sum(votes)::DOUBLE / grams) AS coverage
+      FROM p GROUP BY rid, template, label, k, grams, part),
+f AS (SELECT rid, count(*) FILTER (k = {PHRASE_K} AND votes = grams) AS n_base,
+             min(diagonal) FILTER (k = {PHRASE_K} AND votes = grams) AS first_word,
+             max(diagonal) FILTER (k = {PHRASE_K} AND votes = grams) AS last_word,
+             {label_list.format(f"k = {PHRASE_K} AND votes = grams")} AS base_labels,
+             {label_list.format(f"(k = {PHRASE_K} AND votes = grams) OR (k = {NOTICE_K} AND coverage >= {coverage})")} AS labels,
+             max(coverage) AS score FROM s GROUP BY rid)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM t LEFT JOIN f ON t.rid = f.rid"""

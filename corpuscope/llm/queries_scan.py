@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from corpuscope.llm.license_scan import license_scan
+from corpuscope.llm.license_scan import license_scan, license_sql
 from corpuscope.llm.quality_rules import learn_from, quality_verdicts
 from corpuscope.llm.queries import register
 from corpuscope.llm.secret_scan import labelled_samples, secret_scan, train
 from corpuscope.llm.url_filter import Rule, url_verdicts
 
 
-@register("op2_license_scan")
+@register("op2_license_scan", license_sql())
 def op2_license_scan(spark, sf_dir):
-    """No SQL: tests hold it against a word-by-word search."""
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

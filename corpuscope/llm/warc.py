@@ -155,6 +155,8 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 table.setdefault(archive, []).append((offset, length))
             for archive, wanted in table.items():
                 if archive != name:
+                    if stream is not None:
+                        stream.close()
                     store, path = open_store(archive)
                     stream, name = store.open_input_file(path), archive
                 for group in _ranges(wanted):
