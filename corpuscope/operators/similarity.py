@@ -331,6 +331,15 @@ def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN,
     return out
 
 
+def hash_planes(num_tables: int, num_bits: int, dims: int, seed: int = 42) -> np.ndarray:
+    """Normals of ±1 (tables · bits × dims), each sign from the md5 of "table:bit:dim:seed", so that
+    any engine can compute the same buckets."""
+    import hashlib
+
+    sign = lambda t, b, i: 1.0 if hashlib.md5(f"{t}:{b}:{i}:{seed}".encode()).hexdigest()[0] < "8" else -1.0
+    return np.array([[sign(t, b, i) for i in range(dims)] for t in range(num_tables) for b in range(num_bits)])
+
+
 def _simhash_udf(planes: np.ndarray, num_tables: int, num_bits: int):
     """Vectorised signatures: one bucket id per table from the signs of
     ``num_bits`` random projections (the plane set is fixed by the seed and
@@ -364,7 +373,7 @@ def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, v
     if first is None:
         return _attach_text(u.sparkSession.createDataFrame([], "phrase_id long, other_id long, sim double"), corpus)
     d = len(first[0])
-    planes = np.random.RandomState(seed).standard_normal((num_tables * num_bits, d))
+    planes = hash_planes(num_tables, num_bits, d, seed)
     sig = _simhash_udf(planes, num_tables, num_bits)
     ex = u.select("phrase_id", "intent_pos", "row_pos", "u",
                   F.posexplode(sig(F.col("u"))).alias("tbl", "bucket"))

@@ -85,7 +85,15 @@ def q_conflicts_topk(spark, sf):
     return S.conflicts_topk(prepared_corpus(spark, sf), P.CONFLICT_T, P.TOPK_K).select(*_PUBLIC)
 
 
-@register("conflicts_lsh")
+@register("conflicts_lsh", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS},
+signs AS (SELECT t, b, i, CASE WHEN substr(md5(t || ':' || b || ':' || i || ':42'), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
+          FROM range({P.LSH_TABLES}) x(t), range({P.LSH_BITS}) y(b), range(64) z(i)),
+planes AS (SELECT t, b, list(s ORDER BY i) AS p FROM signs GROUP BY t, b),
+buckets AS (SELECT phrase_id, t, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << b ELSE 0 END) AS bucket
+            FROM emb CROSS JOIN planes GROUP BY phrase_id, t),
+near AS (SELECT DISTINCT c.phrase_id, c.other_id FROM conf_pairs c JOIN buckets a ON a.phrase_id = c.phrase_id
+         JOIN buckets o ON o.phrase_id = c.other_id AND o.t = a.t AND o.bucket = a.bucket)
+SELECT {CONFLICT_SELECT} FROM conf_pairs JOIN near USING (phrase_id, other_id)""")
 def q_conflicts_lsh(spark, sf):
     # few bits per table: the registered threshold (0.30) is low for LSH
     return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T, num_tables=P.LSH_TABLES,
