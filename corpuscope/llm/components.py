@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.common import materialize
 
+#: Up to so many links (16 bytes each) are contracted as one partition, which saves the shuffles of every round.
+ONE_PARTITION_LINKS = 50_000
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) of every node of ``links(a, b)``.
@@ -16,6 +19,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     star).  The links become stars around the smallest nodes in logarithmically
     many rounds.  Every round is written below the shared folder, so lineage
     stays short; only two numbers (row count and a checksum) reach the driver.
+    The same expressions run on one partition while the counted links are few.
     """
     state, seen = materialize(_down(links.select("a", "b")), "links"), None
     while True:
@@ -23,6 +27,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+        if now[0] <= ONE_PARTITION_LINKS:
+            state = state.coalesce(1)
         state = materialize(_small_star(_large_star(state)), "links")
     roots = state.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return roots.unionByName(state.select(F.col("a").alias("node"), F.col("b").alias("component")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Buckets of a sketch; a register is 16 bits: leading zeros times 2**MANTISSA plus mantissa.
-BUCKET_BITS = 7
+BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 EMPTY = 0xFFFF
@@ -43,12 +43,12 @@ def accidental(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     count telescopes into a difference of exponentials.
     """
     a, b = np.maximum(n_a, 1) / BUCKETS, np.maximum(n_b, 1) / BUCKETS
-    rate = a + b
+    rate, place = np.unique(a + b, return_inverse=True)  # the sum over cells depends on the rates' sum alone
     total = np.zeros(len(rate))
     for zeros in range(54):
         low, high = 2.0 ** -(zeros + 1), 2.0 ** -zeros
         total += 2.0 ** -(zeros + 1 + MANTISSA) * (np.exp(-rate * low) - np.exp(-rate * high))
-    return BUCKETS * a * b / rate * total
+    return BUCKETS * a * b / (a + b) * total[place]
 
 
 def similarity(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +59,14 @@ def similarity(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.
     return np.clip((same - chance) / np.maximum(used - chance, 1e-9), 0, 1), used
 
 
-def may_reach(estimate: np.ndarray, used: np.ndarray, threshold: float, sigmas: float = 5.0) -> np.ndarray:
-    """Whether the true similarity may be ``threshold``: the estimate is at most so many deviations below."""
-    return estimate >= threshold - sigmas * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1))
+def may_reach(estimate: np.ndarray, used: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float,
+              sigmas: float = 4.5) -> np.ndarray:
+    """Whether the true similarity may be ``threshold``: the estimate is at most so many deviations below.
+
+    The used registers are drawn without replacement from the union, which at the
+    threshold has (n_a + n_b) / (1 + threshold) members; small sets are seen
+    nearly whole, so their estimate hardly deviates.
+    """
+    union = np.maximum((n_a + n_b) / (1 + threshold), 2)
+    unseen = np.clip((union - used) / (union - 1), 0, 1)
+    return estimate >= threshold - sigmas * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * unseen) - 1e-9

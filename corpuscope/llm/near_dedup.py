@@ -3,17 +3,21 @@
 1. Every whole text becomes its set of 5-word shingles and a HyperMinHash
    sketch (``hyperminhash``).  Documents with equal sets form one class, so
    exact copies meet once; only classes take part in what follows.
-2. Banding: each run of four registers is a bucket key.  At similarity 0.75,
-   32 bands miss a pair with probability (1 - 0.75**4)**32 = 5e-6.
+2. Banding: neighbouring registers are joined to 128 coarse ones (the minimum of
+   both buckets), and each run of four is a bucket key.  At similarity 0.75, 32
+   bands miss a pair with probability (1 - 0.75**4)**32 = 5e-6.
 3. First pass, linear in the rows: each class is paired with the smallest class
    of each of its buckets; the collision-corrected estimate gates the pairs and
    the best one per class is confirmed on the full shingle sets.  This joins
    groups of copies without ever listing their pairs.
-4. Second pass, for what the first cannot decide: in every bucket that still
-   holds more than one component, classes of different components are compared
-   by sketch, large buckets in block pairs; pairs whose estimate may reach the
-   threshold (five deviations of slack) are confirmed on the full sets.
-5. Components of the confirmed links (``components``), on class level.
+4. Second pass, linear too: in every bucket that still holds more than one
+   component, classes of different components are compared by sketch, large
+   buckets in block pairs, a pair only in the first bucket it shares; each class proposes its ``TRIES`` best partners
+   of other components, which are confirmed on the full sets.
+5. Third pass, for what is still apart: all pairs of different components in a
+   bucket whose estimate may reach the threshold (4.5 deviations of slack) are
+   confirmed on the full sets.
+6. Components of the confirmed links (``components``), on class level.
 
 Defined results: null text counts as empty; a text without words has no
 shingles, is linked with nothing and is its own component; a null id never
@@ -27,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm import hyperminhash as hmh
@@ -35,12 +39,14 @@ from corpuscope.llm.common import lookup, materialize, whole_text
 from corpuscope.llm.components import connected_components
 from corpuscope.llm.shingles import WORDS, shingle_sets
 
-#: Registers in a band; BUCKETS / ROWS bands.
+#: Coarse registers in a band, and bands.
 ROWS = 4
-BANDS = hmh.BUCKETS // ROWS
+BANDS = hmh.BUCKETS // (2 * ROWS)
 THRESHOLD = 0.75
-#: Classes of a bucket compared in one block of the second pass.
+#: Classes of a bucket compared in one block.
 BLOCK = 1024
+#: Partners that a class proposes in the second pass.
+TRIES = 3
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
@@ -72,11 +78,13 @@ def classes_of(sketched: DataFrame) -> DataFrame:
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
-    """``cid, key, size, hub`` of classes in buckets of two or more; ``hub`` is the bucket's smallest class."""
-    band = F.expr(f"substring(regs, band * {2 * ROWS} + 1, {2 * ROWS})")
+    """``cid, band, key, size, hub`` of classes in buckets of two or more; ``hub`` is the bucket's smallest class."""
+    width = 4 * ROWS  # bytes of the fine registers of a band
+    at = lambda j: f"substring(regs, band * {width} + {2 * j + 1}, 2)"
+    coarse = [F.expr(f"if({at(2 * j)} != X'FFFF', {at(2 * j)}, concat(X'01', {at(2 * j + 1)}))") for j in range(ROWS)]
     rows = (classes.select("cid", "regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-            .filter(band != F.expr(f"X'{'FF' * 2 * ROWS}'"))
-            .select("cid", F.xxhash64("band", band).alias("key")))
+            .filter(F.expr(f"substring(regs, band * {width} + 1, {width}) != X'{'FF' * width}'"))
+            .select("cid", "band", F.xxhash64("band", *coarse).alias("key")))
     buckets = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("hub"))
                .filter("size > 1"))
     return rows.join(buckets, "key")
@@ -99,7 +107,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             est, used = hmh.similarity(_registers(batch.column("regs_a")), _registers(batch.column("regs_b")), n_a, n_b)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "estimate"])
-            yield out.filter(pa.array(hmh.may_reach(est, used, threshold)))
+            yield out.filter(pa.array(hmh.may_reach(est, used, n_a, n_b, threshold)))
 
     return rows.mapInArrow(run, "a long, b long, estimate double")
 
@@ -138,30 +146,33 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
     return rows.mapInArrow(run, "a long, b long")
 
 
-def undecided(members: DataFrame, classes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components that share a bucket and whose sketches allow the threshold.
+def undecided(members: DataFrame, classes: DataFrame, components: DataFrame, threshold: float,
+              tries: int | None = None) -> DataFrame:
+    """``a, b, estimate`` of classes of different components that share a bucket and may reach the threshold.
 
-    Buckets within one component are dropped first.  A bucket of more than
-    ``BLOCK`` classes is cut into blocks by a hash of the class, and each pair of
-    blocks is compared on its own, so no task holds more than two blocks.
+    With ``tries`` only the best partners of each class in each bucket (``a`` is
+    the class that proposes); else all such pairs, ``a < b``.  Buckets within one
+    component are dropped first.  A bucket of more than ``BLOCK`` classes is cut
+    into blocks by a hash of the class, and each pair of blocks is compared on its
+    own, so no task holds more than two blocks.
     """
     comp = F.coalesce("component", "cid")
-    placed = members.join(components.withColumnRenamed("node", "cid"), "cid", "left").select("key", "size", "cid", comp.alias("comp"))
+    placed = members.join(components.withColumnRenamed("node", "cid"), "cid", "left").select("key", "band", "size", "cid", comp.alias("comp"))
     placed = materialize(placed, "near-placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     rows = (placed.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", own)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cid", "comp")
+            .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "cid", "comp")
             .join(classes.select("cid", "n", "regs"), "cid"))
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    found = rows.select("key", "lo", "hi", "own", "cid", "comp", "n", "regs").mapInArrow(
-        lambda batches: _cross_pairs(batches, threshold), "a long, b long")
-    return found.distinct()
+    found = rows.select("key", "lo", "hi", "own", "band", "cid", "comp", "n", "regs").mapInArrow(
+        lambda batches: _cross_pairs(batches, threshold, tries), "a long, b long, estimate double")
+    return found
 
 
-def _cross_pairs(batches, threshold: float):
+def _cross_pairs(batches, threshold: float, tries: int | None):
     """Compare the rows of each (key, lo, hi) group; groups are contiguous and may span batches."""
     held = None
     for batch in batches:
@@ -170,10 +181,10 @@ def _cross_pairs(batches, threshold: float):
             table = pa.concat_tables([held, table]).combine_chunks()
         heads = _heads(table)
         if len(heads) > 1:  # the last group may go on in the next batch
-            yield from _within(table.slice(0, heads[-1]), heads, threshold)
+            yield from _within(table.slice(0, heads[-1]), heads, threshold, tries)
         held = table.slice(heads[-1]) if len(heads) else None
     if held is not None and held.num_rows:
-        yield from _within(held, _heads(held), threshold)
+        yield from _within(held, _heads(held), threshold, tries)
 
 
 def _heads(table: pa.Table) -> np.ndarray:
@@ -183,11 +194,12 @@ def _heads(table: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _within(table: pa.Table, heads: np.ndarray, threshold: float):
+def _within(table: pa.Table, heads: np.ndarray, threshold: float, tries: int | None):
     n = table.num_rows
     ends = np.append(heads[heads < n][1:], n)
-    own, lo, hi, cid, comp, size = (table.column(c).to_numpy() for c in ("own", "lo", "hi", "cid", "comp", "n"))
+    own, lo, hi, cid, comp, size, band = (table.column(c).to_numpy() for c in ("own", "lo", "hi", "cid", "comp", "n", "band"))
     regs = _registers(table.column("regs"))
+    sketches_ = regs, _coarse(regs), band
     held, count = [], 0
     for start, end in zip(heads[heads < n], ends):
         rows = np.arange(start, end)
@@ -205,21 +217,49 @@ def _within(table: pa.Table, heads: np.ndarray, threshold: float):
             held.append((x[ok], y[ok]))
             count += int(ok.sum())
             if count >= 100_000:
-                yield from _gated(held, regs, size, cid, threshold)
+                yield from _gated(held, sketches_, size, cid, threshold, tries)
                 held, count = [], 0
-    yield from _gated(held, regs, size, cid, threshold)
+    yield from _gated(held, sketches_, size, cid, threshold, tries)
 
 
-def _gated(held, regs, size, cid, threshold):
+def _coarse(regs: np.ndarray) -> np.ndarray:
+    """Minima of neighbouring buckets: the lower bucket's register where it has one, else the upper's, marked."""
+    low, high = regs[:, 0::2].astype(np.uint32), regs[:, 1::2].astype(np.uint32)
+    return np.where(low != hmh.EMPTY, low, high | np.uint32(1 << 16))
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first band in which the coarse registers of each pair agree (empty bands agree on nothing)."""
+    same = (a == b).reshape(len(a), BANDS, ROWS).all(axis=2)
+    return (same & (a != (hmh.EMPTY | 1 << 16)).reshape(len(a), BANDS, ROWS).any(axis=2)).argmax(axis=1)
+
+
+def _gated(held, sketches_, size, cid, threshold: float, tries: int | None):
     if not held:
         return
+    regs, coarse, band = sketches_
     x, y = (np.concatenate(side) for side in zip(*held))
-    for i in range(0, len(x), 100_000):
-        p, q = x[i:i + 100_000], y[i:i + 100_000]
-        est, used = hmh.similarity(regs[p], regs[q], size[p].astype(float), size[q].astype(float))
-        ok = hmh.may_reach(est, used, threshold)
-        a, b = np.minimum(cid[p], cid[q])[ok], np.maximum(cid[p], cid[q])[ok]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    kept = []
+    for i in range(0, len(x), 50_000):
+        p, q = x[i:i + 50_000], y[i:i + 50_000]
+        here = _first_shared(coarse[p], coarse[q]) == band[p]
+        p, q = p[here], q[here]
+        n_p, n_q = size[p].astype(float), size[q].astype(float)
+        est, used = hmh.similarity(regs[p], regs[q], n_p, n_q)
+        ok = hmh.may_reach(est, used, n_p, n_q, threshold)
+        kept.append((p[ok], q[ok], est[ok]))
+    x, y, est = (np.concatenate(side) for side in zip(*kept)) if kept else (x, y, np.empty(0))
+    if tries is None:
+        a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])
+    else:  # rows stand for a class in one bucket: rank the partners of each row
+        x, y, est = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((est, est))
+        order = np.lexsort((cid[y], -est, x))
+        x, y, est = x[order], y[order], est[order]
+        new = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, int)
+        rank = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+        a, b, est = cid[x][rank < tries], cid[y][rank < tries], est[rank < tries]
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(est, pa.float64())],
+                                     ["a", "b", "estimate"])
 
 
 def class_links(classes: DataFrame, docs: DataFrame, text_col: str, threshold: float, k: int = WORDS) -> DataFrame:
@@ -230,9 +270,15 @@ def class_links(classes: DataFrame, docs: DataFrame, text_col: str, threshold: f
     best = materialize(stars.groupBy("b").agg(F.min(F.struct((-F.col("estimate")).alias("e"), F.col("a").alias("a"))).alias("m"))
                        .select(F.col("m.a").alias("a"), "b"), "near-best")
     first = materialize(confirmed(best, classes, docs, text_col, threshold, k), "near-first")
-    more = materialize(undecided(members, classes, connected_components(first), threshold)
-                       .join(best, ["a", "b"], "left_anti"), "near-more")
-    return first.unionByName(confirmed(more, classes, docs, text_col, threshold, k))
+    proposed = undecided(members, classes, connected_components(first), threshold, TRIES)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("estimate"), "b"))
+    second = materialize(proposed.withColumn("rank", rank).filter(F.col("rank") <= TRIES)
+                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                         .join(best, ["a", "b"], "left_anti"), "near-proposed")
+    links = materialize(first.unionByName(confirmed(second, classes, docs, text_col, threshold, k)), "near-second")
+    third = materialize(undecided(members, classes, connected_components(links), threshold).select("a", "b")
+                        .join(best.unionByName(second), ["a", "b"], "left_anti"), "near-rest")
+    return links.unionByName(confirmed(third, classes, docs, text_col, threshold, k))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, k: int) -> DataFrame:

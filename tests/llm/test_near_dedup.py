@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from corpuscope.llm import components, near_dedup, shingles
 from corpuscope.llm import hyperminhash as hmh
-from corpuscope.llm import near_dedup, shingles
 from corpuscope.llm.components import connected_components
 from corpuscope.llm.near_dedup import drop_near_duplicates, near_groups
 
@@ -125,7 +125,9 @@ def test_estimate_is_close_and_corrected():
         assert abs(est[0] - true) < 0.15 and used[0] > 100
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_partition", [0, components.ONE_PARTITION_LINKS])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_partition):
+    monkeypatch.setattr(components, "ONE_PARTITION_LINKS", one_partition)
     links = [(i, i + 1) for i in range(100, 160)] + [(1, j) for j in range(2, 60)] + [(300, 301), (301, 300), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{j: 1 for j in range(1, 60)}, 300: 300, 301: 300}
