@@ -51,22 +51,35 @@ def accidental(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return BUCKETS * a * b / (a + b) * total[place]
 
 
-def similarity(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimate of each pair of sketches, and the registers it rests on."""
+def agreement(regs_a: np.ndarray, regs_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Registers that agree in each pair of sketches, and the registers that either of them uses."""
     used = np.count_nonzero((regs_a != EMPTY) | (regs_b != EMPTY), axis=1)
-    same = np.count_nonzero((regs_a == regs_b) & (regs_a != EMPTY), axis=1)
+    return np.count_nonzero((regs_a == regs_b) & (regs_a != EMPTY), axis=1), used
+
+
+def corrected(same: np.ndarray, used: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard estimate without the agreements expected by chance."""
     chance = np.minimum(accidental(n_a, n_b), 0.5 * np.maximum(used, 1))
-    return np.clip((same - chance) / np.maximum(used - chance, 1e-9), 0, 1), used
+    return np.clip((same - chance) / np.maximum(used - chance, 1e-9), 0, 1)
+
+
+def similarity(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimate of each pair of sketches, and the registers it rests on."""
+    same, used = agreement(regs_a, regs_b)
+    return corrected(same, used, n_a, n_b), used
 
 
-def may_reach(estimate: np.ndarray, used: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float,
+def may_reach(same: np.ndarray, used: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float,
               sigmas: float = 4.5) -> np.ndarray:
-    """Whether the true similarity may be ``threshold``: the estimate is at most so many deviations below.
+    """Whether the true similarity may be ``threshold``: the share of agreeing registers is at most so many deviations below.
 
     The used registers are drawn without replacement from the union, which at the
     threshold has (n_a + n_b) / (1 + threshold) members; small sets are seen
-    nearly whole, so their estimate hardly deviates.
+    nearly whole, so their share hardly deviates.  Chance agreements only raise
+    the share; the corrected estimate would put small sets that lie on the
+    threshold just below it.
     """
     union = np.maximum((n_a + n_b) / (1 + threshold), 2)
     unseen = np.clip((union - used) / (union - 1), 0, 1)
-    return estimate >= threshold - sigmas * np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * unseen) - 1e-9
+    deviation = np.sqrt(threshold * (1 - threshold) / np.maximum(used, 1) * unseen)
+    return same / np.maximum(used, 1) >= threshold - sigmas * deviation - 1e-9

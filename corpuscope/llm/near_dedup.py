@@ -7,15 +7,15 @@
    both buckets), and each run of four is a bucket key.  At similarity 0.75, 32
    bands miss a pair with probability (1 - 0.75**4)**32 = 5e-6.
 3. First pass, linear in the rows: each class is paired with the smallest class
-   of each of its buckets; the collision-corrected estimate gates the pairs and
-   the best one per class is confirmed on the full shingle sets.  This joins
+   of each of its buckets; the share of agreeing registers gates the pairs and
+   the best one per class by the collision-corrected estimate is confirmed on the full shingle sets.  This joins
    groups of copies without ever listing their pairs.
 4. Second pass, linear too: in every bucket that still holds more than one
    component, classes of different components are compared by sketch, large
    buckets in block pairs, a pair only in the first bucket it shares; each class proposes its ``TRIES`` best partners
    of other components, which are confirmed on the full sets.
 5. Third pass, for what is still apart: all pairs of different components in a
-   bucket whose estimate may reach the threshold (4.5 deviations of slack) are
+   bucket whose registers may reach the threshold (4.5 deviations of slack) are
    confirmed on the full sets.
 6. Components of the confirmed links (``components``), on class level.
 
@@ -105,9 +105,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     def run(batches):
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
-            est, used = hmh.similarity(_registers(batch.column("regs_a")), _registers(batch.column("regs_b")), n_a, n_b)
+            same, used = hmh.agreement(_registers(batch.column("regs_a")), _registers(batch.column("regs_b")))
+            est = hmh.corrected(same, used, n_a, n_b)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "estimate"])
-            yield out.filter(pa.array(hmh.may_reach(est, used, n_a, n_b, threshold)))
+            yield out.filter(pa.array(hmh.may_reach(same, used, n_a, n_b, threshold)))
 
     return rows.mapInArrow(run, "a long, b long, estimate double")
 
@@ -245,9 +246,9 @@ def _gated(held, sketches_, size, cid, threshold: float, tries: int | None):
         here = _first_shared(coarse[p], coarse[q]) == band[p]
         p, q = p[here], q[here]
         n_p, n_q = size[p].astype(float), size[q].astype(float)
-        est, used = hmh.similarity(regs[p], regs[q], n_p, n_q)
-        ok = hmh.may_reach(est, used, n_p, n_q, threshold)
-        kept.append((p[ok], q[ok], est[ok]))
+        same, used = hmh.agreement(regs[p], regs[q])
+        ok = hmh.may_reach(same, used, n_p, n_q, threshold)
+        kept.append((p[ok], q[ok], hmh.corrected(same[ok], used[ok], n_p[ok], n_q[ok])))
     x, y, est = (np.concatenate(side) for side in zip(*kept)) if kept else (x, y, np.empty(0))
     if tries is None:
         a, b = np.minimum(cid[x], cid[y]), np.maximum(cid[x], cid[y])

@@ -90,6 +90,21 @@ def test_groups_match_brute_force_on_documents(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_isolated_pairs_at_the_threshold(spark):
+    rows, unions = [], {}
+    for shared, own_a, own_b in [(3, 0, 1), (6, 1, 1), (9, 1, 2), (12, 2, 2), (18, 3, 3)]:
+        for n in range(40):
+            word = f"p{len(rows)}n"
+            both = [f"{word}{i}" for i in range(shared + 4)]
+            for side, own in (("a", own_a), ("b", own_b)):
+                unions[len(rows)] = shared + own_a + own_b
+                rows.append((len(rows), " ".join(both + [f"{word}{side}{i}" for i in range(own)]), "x", 0))
+    got = near_groups(spark.createDataFrame(rows, SCHEMA).repartition(6)).collect()
+    lost = [unions[r.doc_id] for r in got if r.doc_id % 2 and r.kept]
+    assert lost == []
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
 def test_drop_keeps_one_of_each_component(spark):
     rows = [r for r in corpus(2) if r[0] is not None]
     df = spark.createDataFrame(rows, SCHEMA).repartition(6)
