@@ -4,7 +4,9 @@ Two first-order Markov chains over the characters of tokens are trained in
 Spark from labelled samples: random strings and ordinary identifiers.  A token
 of at least ``TOKEN_LENGTH`` characters is a secret when its mean log-likelihood
 ratio per transition reaches the threshold, which lies between the two samples'
-scores.  The transition table has a fixed size (alphabet squared), so it is
+scores, or when the mean of any ``TOKEN_LENGTH`` transitions in a row reaches the
+threshold for windows: a random string behind a name or path is found however
+long the ordinary part is.  The span is the whole token.  The transition table has a fixed size (alphabet squared), so it is
 collected and becomes one array literal in the scan, which is a plain map over
 the texts: no shuffle.
 
@@ -67,25 +69,63 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     return random.unionByName(plain)
 
 
+def embedded_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
+    """``token, random``: ``n`` random strings of ``TOKEN_LENGTH`` behind a name or path, and ``n`` long paths, made by rule."""
+    i = F.col("id")
+    digest = F.sha2(F.concat(F.lit("embedded:"), i.cast("string")), 256)
+    string = F.when(i % 3 == 0, F.substring(digest, 1, TOKEN_LENGTH)).otherwise(
+        F.substring(F.base64(F.unhex(digest)), 1, TOKEN_LENGTH))
+    parts = F.split(F.lit(" ".join(PARTS)), " ")
+    words = lambda count: F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: F.get(
+        parts, F.pmod(F.xxhash64(F.lit("embedded"), i, k), F.lit(len(PARTS))).cast("int")))
+    random = spark.range(n).select(
+        F.when(i % 2 == 0, F.concat(F.array_join(words(3), "_"), F.lit("="), string))
+        .otherwise(F.concat(F.array_join(words(5), "/"), F.lit("/"), string)).alias("token"), F.lit(True).alias("random"))
+    plain = spark.range(n).select(F.array_join(words(16), "/").alias("token"), F.lit(False).alias("random"))
+    return random.unionByName(plain)
+
+
 @dataclass(frozen=True)
 class MarkovModel:
-    """Log-likelihood ratios of all transitions (row-major over ALPHABET) and the threshold of the mean."""
+    """Log-likelihood ratios of all transitions (row-major over ALPHABET) and the thresholds of the means."""
 
     ratios: tuple[float, ...]
     threshold: float
+    window_threshold: float = float("inf")
 
-    def score(self, token: Column) -> Column:
-        """Mean log-likelihood ratio per transition, random against ordinary; one pass over the characters."""
+    def scores(self, token: Column) -> Column:
+        """``mean`` of the log-likelihood ratios per transition, random against ordinary, and ``window``, the highest
+        mean of ``TOKEN_LENGTH`` transitions in a row (null for shorter tokens); linear in the characters."""
         table = F.split(F.lit(",".join(f"{x:.4f}" for x in self.ratios)), ",").cast("array<double>")
         size = len(ALPHABET)
+        codes = F.transform(F.split(F.concat(F.lit(ALPHABET[0]), token), ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
-        def step(state, char):
-            code = F.instr(F.lit(ALPHABET), char)
-            return F.struct(code.alias("code"),
-                            (state["sum"] + F.element_at(table, (state["code"] - 1) * size + code)).alias("sum"))
+        def scan(code):
+            ratio = lambda i: F.element_at(table, (F.get(code, i - 1) - 1) * size + F.get(code, i))
 
-        start = F.struct(F.lit(1).alias("code"), F.lit(0.0).alias("sum"))
-        return F.aggregate(F.split(token, ""), start, step, lambda s: s["sum"]) / F.length(token)
+            def step(state, i):
+                r = ratio(i)
+                gone = F.when(i > TOKEN_LENGTH, ratio(i - TOKEN_LENGTH)).otherwise(0.0)
+                held = state["held"] + r - gone
+                best = F.when(i >= TOKEN_LENGTH, F.greatest(state["best"], held)).otherwise(state["best"])
+                return F.struct((state["sum"] + r).alias("sum"), held.alias("held"), best.alias("best"))
+
+            start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("held"), F.lit(None).cast("double").alias("best"))
+            steps = F.filter(F.sequence(F.lit(0), F.size(code) - 1), lambda i: i > 0)
+            return F.aggregate(steps, start, step, lambda s: F.struct(
+                (s["sum"] / (F.size(code) - 1)).alias("mean"), (s["best"] / TOKEN_LENGTH).alias("window")))
+
+        # one array element, so that the codes are made once and not for every step
+        return F.get(F.transform(F.array(codes), scan), 0)
+
+    def score(self, token: Column) -> Column:
+        """Mean log-likelihood ratio per transition, random against ordinary."""
+        return self.scores(token)["mean"]
+
+    def is_random(self, token: Column) -> Column:
+        """Whether the whole token or a window of it reaches its threshold."""
+        either = lambda s: (s["mean"] >= self.threshold) | F.coalesce(s["window"] >= self.window_threshold, F.lit(False))
+        return F.exists(F.array(self.scores(token)), either)
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovModel:
@@ -106,7 +146,10 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovModel:
     edge = samples.withColumn("score", model.score(F.col("token"))).agg(
         F.percentile(F.when(F.col("random"), F.col("score")), 0.01).alias("low"),
         F.percentile(F.when(~F.col("random"), F.col("score")), 0.99).alias("high")).first()
-    return MarkovModel(ratios, round((edge.low + edge.high) / 2, 4))
+    embedded = embedded_samples(spark).withColumn("score", model.scores(F.col("token"))["window"]).agg(
+        F.percentile(F.when(F.col("random"), F.col("score")), 0.01).alias("low"),
+        F.percentile(F.when(~F.col("random"), F.col("score")), 0.99).alias("high")).first()
+    return MarkovModel(ratios, round((edge.low + edge.high) / 2, 4), round((embedded.low + embedded.high) / 2, 4))
 
 
 def _span_list(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -135,7 +178,7 @@ def _markov_spans(text: Column, model: MarkovModel) -> Column:
     tokens = _span_list(text, order, "markov", TOKEN, 0, TOKEN_LENGTH)
     values = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     judged = F.filter(F.arrays_zip(tokens.alias("span"), values.alias("token")),
-                      lambda x: model.score(x["token"]) >= model.threshold)
+                      lambda x: model.is_random(x["token"]))
     return F.transform(judged, lambda x: x["span"])
 
 

@@ -71,5 +71,26 @@ def test_model_adds_random_tokens_and_leaves_prose(spark, model):
     assert got == {1: "markov:4:28", 2: "", 3: ""}
 
 
+def test_secrets_behind_long_names_and_paths(spark, model):
+    rnd = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = "user/administration/understanding/configuration/environment/"
+    before = ["configuration_environment_key=", path, path + "communication/responsibility/international/", "x/" + path * 4]
+    rows = [(i, f"see {before[i % 4]}{''.join(rnd.choice(letters) for _ in range([20, 24, 32, 40][i // 4 % 4]))}{['', '/page/index'][i // 16 % 2]} end", "", 0)
+            for i in range(800)]
+    rows += [(1000 + i, " ".join((path * (1 + i % 9) + f"page-{i}", "configuration_environment_key=value_of_the_list")), "", 0) for i in range(200)]
+    got = secret_scan(spark.createDataFrame(rows, SCHEMA).repartition(4), model).collect()
+    found = [r for r in got if "markov" in r.spans]
+    per_prefix = [sum(r.doc_id % 4 == k for r in found if r.doc_id < 1000) for k in range(4)]
+    assert min(per_prefix) >= 0.98 * 200, per_prefix
+    assert sum(r.doc_id >= 1000 for r in found) == 0
+
+
+def test_a_long_run_is_scored_in_linear_time(spark, model):
+    rows = [(1, "internal/" * 30_000, "", 0), (2, "internal/" * 30_000 + "zX9q2LmT7vRb4KpW8sYd1NcQ", "", 0)]
+    got = {r.doc_id: r.spans for r in secret_scan(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    assert got == {1: "", 2: f"markov:0:{len(rows[1][1])}"}
+
+
 def test_empty_table(spark, model):
     assert secret_scan(spark.createDataFrame([], SCHEMA), model).collect() == []
