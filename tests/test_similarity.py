@@ -136,3 +136,13 @@ def test_lsh_recall_on_planted_near_duplicates(spark):             # SIM-7 recal
     exact = set(_pairs(S.phrase_conflicts(c, 0.9, method="plain", max_conflicts=None)))
     found = set(_pairs(S.conflicts_lsh(c, 0.9, max_conflicts=None)))
     assert found <= exact and len(exact) >= 40 and len(found) >= 0.9 * len(exact)
+
+
+def test_registered_lsh_recall_against_all_conflicts(spark):       # SIM-7 recall of the registered query
+    from corpuscope.plans.q_similarity import q_conflicts_lsh, q_phrase_conflicts
+
+    sf = "/root/testdata/sf0.01"
+    every, found = ({(r.phrase_id, r.other_id) for r in q(spark, sf).select("phrase_id", "other_id").collect()}
+                    for q in (q_phrase_conflicts, q_conflicts_lsh))
+    assert found <= every and len(every) > 500
+    assert len(found) >= 0.9 * len(every), f"{len(found)} of {len(every)}"
