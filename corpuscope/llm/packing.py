@@ -34,8 +34,6 @@ from corpuscope.llm.token_ids import encoder
 CAPACITY = 4096
 #: Chunks that the pieces of one length are dealt to for ranking.
 CHUNKS = 256
-#: Longest lengths tried as the first of three; beyond them best fit goes on.
-TRIPLE_TRIES = 64
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id",
@@ -80,12 +78,19 @@ def _exact(gap: int, count: np.ndarray) -> tuple[int, ...] | None:
     pair = _pair(gap, have, count)
     if pair:
         return pair
-    for a in have[::-1][:TRIPLE_TRIES].tolist():
+    # bit x of both masks: x is available, gap - x is available
+    here, across = (int.from_bytes(np.packbits(side > 0, bitorder="little").tobytes(), "little")
+                    for side in (count[:gap + 1], count[gap::-1]))
+    for a in have[::-1].tolist():
         if 3 * a < gap:
             break
-        pair = _pair(gap - a, have[have <= min(a, gap - a - 1)], count)
-        if pair and count[a] >= 1 + pair.count(a):
-            return (a, *pair)
+        if here & (across >> a):  # two available lengths add up to gap - a
+            count[a] -= 1
+            left = have[(have <= a) & (count[have] > 0)]
+            pair = _pair(gap - a, left, count)
+            count[a] += 1
+            if pair:
+                return (a, *pair)
     return None
 
 

@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from corpuscope.llm.packing import pack_documents, plan, slots
+from corpuscope.llm.packing import _exact, pack_documents, plan, slots
 from corpuscope.llm.queries_files import tokenizer_path
 
 SCHEMA = "doc_id long, text string, length string, RID int"
@@ -43,6 +44,24 @@ def test_exact_complements():
     assert sum(n for n, _ in plan({40: 1, 31: 1, 20: 1, 9: 1}, 100)) == 1
 
 
+def test_a_triple_behind_many_longer_lengths():
+    groups = plan({2096: 1, 700: 1, 680: 1, 620: 1, **{x: 1 for x in range(1001, 1101)}}, 4096)
+    assert (1, [(2096, 1), (700, 1), (680, 1), (620, 1)]) in groups
+
+
+def test_exact_finds_a_combination_whenever_there_is_one():
+    rnd = np.random.default_rng(4)
+    for _ in range(400):
+        count = np.zeros(61, np.int64)
+        for x in rnd.integers(1, 61, rnd.integers(1, 9)):
+            count[x] += 1
+        gap, held = int(rnd.integers(2, 61)), count.copy()
+        ways = [c for k in (1, 2, 3) for c in combinations_with_replacement(np.flatnonzero(count).tolist(), k)
+                if sum(c) == gap and all(count[x] >= c.count(x) for x in c)]
+        found = _exact(gap, count)
+        assert (tuple(sorted(found)) in ways if ways else found is None) and (count == held).all()
+
+
 def test_sequences_of_documents(spark):
     rows = [(i, " ".join(f"w{i * j % 91} word" for j in range(i * 13 % 700)), "x", 1) for i in range(150)]
     rows += [(900, None, "", 0), (901, "", "", 0), (None, "null id", "", 0), (902, "long text " * 9000, "", 0), rows[7], rows[7]]
