@@ -20,5 +20,5 @@ def register(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from corpuscope.llm import queries_dedup, queries_files, queries_scan  # noqa: F401
+    from corpuscope.llm import queries_dedup, queries_files, queries_repair, queries_scan  # noqa: F401
     return QUERIES, ORACLE
