@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscope.llm.conversation_repair import repair_conversations
+from corpuscope.llm.phrase_graph import collocations
 from corpuscope.llm.queries import register
 
 
@@ -25,3 +26,31 @@ def damaged(rows):
 def op11_conversation_repair(spark, sf_dir):
     rows = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return repair_conversations(rows.where("code <> 0"), rows.where("code = 0").select("conv_id"))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x : x <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), range(1, 5) AS ks(k) WHERE i + k - 1 <= len(ws)),
+totals AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+covered AS (SELECT DISTINCT s.lang, s.phrase FROM
+      (SELECT lang, k, a, ws, unnest(range(2, k)) AS j FROM c) AS l, range(1, 4) AS st(i), c AS s
+      WHERE i + j - 1 <= l.k AND s.lang = l.lang AND s.phrase = array_to_string(l.ws[i:i + j - 1], ' ') AND 100 * l.a >= 80 * s.a),
+cuts AS (SELECT lang, phrase, k, a, ws, unnest(range(1, k)) AS j FROM c ANTI JOIN covered USING (lang, phrase)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * cuts.a) // (x.a + y.a) AS score
+      FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = array_to_string(ws[1:j], ' ')
+                JOIN f AS y ON y.lang = cuts.lang AND y.phrase = array_to_string(ws[j + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+@register("op13_phrase_mining", OP13_SQL)
+def op13_phrase_mining(spark, sf_dir):
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
