@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscope.llm.conversation_repair import repair_conversations
+from corpuscope.llm.personal_data import personal_data
 from corpuscope.llm.phrase_graph import collocations
 from corpuscope.llm.queries import register
 
@@ -28,6 +29,13 @@ def op11_conversation_repair(spark, sf_dir):
     return repair_conversations(rows.where("code <> 0"), rows.where("code = 0").select("conv_id"))
 
 
+@register("op12_personal_data")
+def op12_personal_data(spark, sf_dir):
+    """No SQL: the classifier is trained; tests hold the base spans against the plain patterns and the
+    added spans against planted ones."""
+    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 OP13_SQL = r"""
 WITH w AS (
   SELECT lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x : x <> '') AS ws
