@@ -23,7 +23,75 @@ def damaged(rows):
                         F.explode(F.sequence(F.lit(1), F.when(F.col("code") == 3, 2).otherwise(1))).alias("copy"))
 
 
-@register("op11_conversation_repair")
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce(list_concat([b], [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tbl
+  FROM range(256) AS r(b)),
+coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(
+             coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT)),
+             lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+  FROM conversations, bits),
+d AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE code WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM coded WHERE code <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS rn FROM d),
+f AS (
+  SELECT *, left(role, 1) AS c, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS before
+  FROM o),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (rn > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id),
+-- states: 0 nothing, s, u, a; a step inserts up to two rows and then edits row i + 1
+way(conv_id, i, state, cost, audit, body) AS (
+  SELECT conv_id, 0, '0', 0, '', '' FROM stats
+  UNION ALL
+  (WITH ready AS (
+     SELECT w.conv_id, w.i, k,
+            CASE k WHEN 0 THEN state WHEN 1 THEN CASE state WHEN 'u' THEN 'a' ELSE 'u' END
+                   ELSE CASE state WHEN 'u' THEN 'u' ELSE 'a' END END AS st,
+            cost + 3 * k AS cost, audit || repeat('I', k) AS audit,
+            body || CASE k WHEN 0 THEN '' WHEN 1 THEN CASE state WHEN 'u' THEN chr(10) || 'assistant:' WHEN '0' THEN 'user:' ELSE chr(10) || 'user:' END
+                    ELSE CASE state WHEN 'u' THEN chr(10) || 'assistant:' || chr(10) || 'user:'
+                                    WHEN '0' THEN 'user:' || chr(10) || 'assistant:'
+                                    ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END END AS body
+     FROM way AS w, range(3) AS ks(k)),
+   edit AS (
+     SELECT r.*, f.c, f.role, f.text, f.fault, e, CASE st WHEN 'u' THEN 'a' ELSE 'u' END AS due,
+            CASE st WHEN '0' THEN '' ELSE chr(10) END AS sep
+     FROM ready AS r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.rn = r.i + 1, (VALUES ('D'), ('K'), ('R')) AS es(e)
+     WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR f.c = CASE st WHEN 'u' THEN 'a' ELSE 'u' END OR (st = '0' AND f.c = 's'))))
+   SELECT * FROM (SELECT conv_id, i + 1, CASE e WHEN 'D' THEN st WHEN 'K' THEN c ELSE due END AS state,
+          cost + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+          audit || e AS audit,
+          body || CASE e WHEN 'D' THEN '' WHEN 'K' THEN sep || role || ':' || text
+                         ELSE sep || CASE due WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text END AS body
+   FROM edit) AS step QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1)),
+ended AS (
+  SELECT way.conv_id, cost + CASE state WHEN 's' THEN 6 WHEN 'u' THEN 3 ELSE 0 END AS cost,
+         audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+         body || CASE state WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 'u' THEN chr(10) || 'assistant:' ELSE '' END AS body
+  FROM way JOIN stats ON stats.conv_id IS NOT DISTINCT FROM way.conv_id AND way.i = stats.n),
+best AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM ids LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM ids.conv_id
+         LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
+@register("op11_conversation_repair", OP11_SQL)
 def op11_conversation_repair(spark, sf_dir):
     rows = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return repair_conversations(rows.where("code <> 0"), rows.where("code = 0").select("conv_id"))
