@@ -11,9 +11,12 @@ top-k at or above the threshold, ordered by similarity then phrase order
                running top-k, so the final per-query top-k (a
                ``WindowGroupLimit``) sees ≤ k × partitions rows per query.
                The corpus is scanned once and never shuffled.
-``blocked``    for query sets too large to broadcast: queries and phrases are
-               hashed into blocks and every (query block, phrase block) pair
-               is scored by ``cogroup`` + ``applyInPandas``.
+``blocked``    for query sets too large to broadcast: a task keeps a block of
+               queries, sized by bytes, and streams its share of the corpus
+               past it (``cells.resident_join``).
+index          with a stored inverted file (``write_index``, ``open_index``) only
+               the cells whose angular bound reaches a query's k-th hit are
+               read, by partition pruning; the hits are the same.
 
 Similarity is the cosine: both sides are normalised, zero vectors stay zero.
 Texts are joined after the ranking, for at most k rows per query.
@@ -22,15 +25,20 @@ Texts are joined after the ranking, for at most k rows per query.
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import bands as B
 from corpuscope.functions.stats import avg6
 from corpuscope.functions.text import keywords, py_strip
+from corpuscope.operators.cells import (MAX_PIVOTS, TILE_BYTES, TOP_SCHEMA, Block, Cells, TopRows, build_cells, matrix,
+                                        resident_join, unit_rows)
+from corpuscope.session import materialize
 
 HIT_SCHEMA = "query_id long, phrase_id long, intent_pos long, row_pos long, sim double"
 TILE = 1024                 # queries per matrix product
@@ -97,31 +105,151 @@ def _hits_broadcast(corpus: DataFrame, queries: DataFrame, threshold: float, k:
     return corpus.select("phrase_id", "intent_pos", "row_pos", "embedding").mapInPandas(score, HIT_SCHEMA)
 
 
+# ---------------------------------------------------------------------------
+# plans that keep a block of queries and stream the corpus
+# ---------------------------------------------------------------------------
+
+def _query_rows(queries: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    return queries.select(F.col("query_id").alias("id"), F.lit(0).cast("long").alias("ipos"), F.lit(0).cast("long").alias("rpos"),
+                          F.lit(0).alias("cell"), F.lit(0).alias("tile"), F.lit(float(threshold)).alias("floor"),
+                          F.col("embedding").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("q"))
+
+
+def _query_plan(queries: DataFrame, dim: int, nq: int, k: int, tile_bytes: int) -> tuple[int, int]:
+    """(query blocks by bytes, tasks that share the corpus for one block: a number of cores, not of rows)."""
+    per_task = max(1, tile_bytes // (8 * dim + 32 + 40 * k))
+    blocks = max(1, math.ceil(nq / per_task))
+    return blocks, max(1, math.ceil(4 * queries.sparkSession.sparkContext.defaultParallelism / blocks))
+
+
+def _share(n: int):
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("h")
+
+
+def _as_hits(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("query_id"), F.col("other_id").alias("phrase_id"), F.col("jp").alias("intent_pos"),
+                        F.col("jr").alias("row_pos"), "sim")
+
+
 def _hits_blocked(corpus: DataFrame, queries: DataFrame, threshold: float, k: int,
-                  nq: int, block_rows: int) -> DataFrame:
-    n = corpus.count()
-    bq = max(1, math.ceil(nq / block_rows))
-    bc = max(1, math.ceil(n / block_rows))
-    q = queries.select(F.col("query_id"), F.col("embedding").alias("qv"),
-                       F.pmod(F.xxhash64("query_id"), F.lit(bq)).cast("int").alias("qb"),
-                       F.explode(F.sequence(F.lit(0), F.lit(bc - 1))).alias("cb"))
-    c = corpus.select("phrase_id", "intent_pos", "row_pos", "embedding",
-                      F.pmod(F.xxhash64("phrase_id"), F.lit(bc)).cast("int").alias("cb"),
-                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-
-    def score(qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(qp["query_id"].to_numpy(np.int64), _unit(qp["qv"].values), threshold, k)
-        if len(qp) and len(cp):
-            top.add(*_columns(cp, "embedding"))
-        return top.frame()
-
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(score, HIT_SCHEMA)
+                  nq: int, dim: int, tile_bytes: int) -> DataFrame:
+    """Every query block against the whole corpus: a phrase is copied once per query block, a query
+    once per share of the corpus, and the number of shares follows the cores."""
+    blocks, shares = _query_plan(queries, dim, nq, k, tile_bytes)
+    residents = _query_rows(queries, blocks, threshold).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    streamed = corpus.select(F.col("phrase_id").alias("id"), F.col("intent_pos").alias("ipos"), F.col("row_pos").alias("rpos"),
+                             F.lit(0).alias("cell"), F.lit(0).alias("tile"), F.lit(0.0).alias("floor"), F.col("embedding").alias("v"),
+                             F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"),
+                             F.pmod(F.xxhash64("phrase_id"), F.lit(shares)).cast("int").alias("h"))
+
+    def kernel(kept: Block) -> TopRows:
+        return TopRows(kept, k, np.ones((len(kept), 1), bool), threshold)
+
+    return _as_hits(resident_join(residents, streamed, dim, kernel, TOP_SCHEMA, min(4096, 2 * blocks * shares)))
+
+
+# ---------------------------------------------------------------------------
+# a stored inverted file
+# ---------------------------------------------------------------------------
+
+def write_index(corpus: DataFrame, path: str, max_pivots: int = MAX_PIVOTS) -> None:
+    """Store ``corpus`` (phrase_id, intent_pos, row_pos, embedding) as an inverted file: one Parquet
+    partition per cell, and the catalog of the cells (centre, ranges of angles, rows).  A cell of any
+    size is written by many tasks.  Overwrites what is at ``path``."""
+    cells = build_cells(corpus.select("phrase_id", "intent_pos", "row_pos", "embedding"),
+                        ["phrase_id", "intent_pos", "row_pos"], "embedding", max_pivots, "index-cells")
+    cells.rows.write.mode("overwrite").partitionBy("cell").parquet(f"{path.rstrip('/')}/rows")
+    centres = np.vstack([cells.pivots, np.zeros((1, cells.dim))])
+    catalog = [(c, centres[c].tolist(), int(cells.count[c]), float(cells.lo[c]), float(cells.hi[c]),
+                cells.guide_lo[c].tolist(), cells.guide_hi[c].tolist(), cells.value_bytes) for c in range(len(centres))]
+    corpus.sparkSession.createDataFrame(catalog, "cell int, centre array<double>, n long, lo double, hi double, "
+                                        "guide_lo array<double>, guide_hi array<double>, value_bytes int") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/catalog")
+
+
+def open_index(spark, path: str) -> Cells:
+    """The inverted file at ``path``; its catalog (at most ``MAX_PIVOTS`` + 1 rows) is read at once."""
+    c = spark.read.parquet(f"{path.rstrip('/')}/catalog").orderBy("cell").toPandas()
+    schema = "phrase_id long, intent_pos long, row_pos long, v array<%s>, cell int" % ("float" if c["value_bytes"][0] == 4 else "double")
+    rows = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/rows")
+    stack = lambda name: np.stack([np.asarray(x, float) for x in c[name]])
+    centres = stack("centre")
+    return Cells(rows, centres[:-1], c["n"].to_numpy(), c["lo"].to_numpy(), c["hi"].to_numpy(), stack("guide_lo"),
+                 stack("guide_hi"), centres.shape[1], int(c["value_bytes"][0]))
+
+
+def _cells_to_visit(queries: DataFrame, index: Cells, probes: int, first: bool) -> DataFrame:
+    """(q, cell): cells the queries of a block visit.  First those ``probes`` cells of each query whose
+    bound is highest; later the other cells whose bound reaches the query's floor."""
+    light = replace(index, rows=None)
+
+    def run(batches):
+        for batch in batches:
+            visit = _visits(light, matrix(batch.column("v"), light.dim), batch.column("floor").to_numpy(), probes, first)
+            rows, cells = np.nonzero(visit)
+            pairs = np.unique(np.column_stack([batch.column("q").to_numpy()[rows], cells]).astype(np.int32), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["q", "cell"])
+
+    return queries.select("q", "floor", "v").mapInArrow(run, "q int, cell int").distinct()
+
+
+def _visits(index: Cells, v: np.ndarray, floor: np.ndarray, probes: int, first: bool) -> np.ndarray:
+    upper = index.upper_for(unit_rows(v))
+    near = np.zeros(upper.shape, bool)
+    best = np.argsort(-upper, axis=1, kind="stable")[:, :probes]
+    np.put_along_axis(near, best, True, axis=1)
+    return (upper >= floor[:, None] - 1e-6) & (near if first else ~near)
+
+
+def index_hits(index: Cells, queries: DataFrame, threshold: float, k: int, probes: int = 8,
+               tile_bytes: int = TILE_BYTES) -> tuple[DataFrame, dict]:
+    """Each query's best ``k`` rows of the index at or above ``threshold``, exactly, and what was read.
+
+    Cells are visited in the order of their bound: first every query's ``probes`` most promising
+    ones, whose k-th hit is a floor, then the cells whose bound reaches the floor.  Only the
+    partitions of visited cells are read (partition pruning by ``cell``).  Runs two jobs at once
+    and stores the first hits.  The second result has the cells of the index, those read, and the
+    share of its rows that they hold.
+    """
+    spark = queries.sparkSession
+    nq = queries.count()
+    blocks, shares = _query_plan(queries, index.dim, nq, k, tile_bytes)
+    asked = _query_rows(queries, blocks, threshold)
+    light, read = replace(index, rows=None), set()
+
+    def visit(asked: DataFrame, first: bool) -> DataFrame:
+        needs = materialize(_cells_to_visit(asked, index, probes, first), "index-visits")
+        names = [r["cell"] for r in needs.select("cell").distinct().collect()]  # at most one per cell of the catalog
+        read.update(names)
+        residents = asked.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        rows = index.rows.where(F.col("cell").isin(names)).join(needs, "cell").select(
+            F.col("phrase_id").alias("id"), F.col("intent_pos").alias("ipos"), F.col("row_pos").alias("rpos"), "cell",
+            F.lit(0).alias("tile"), F.lit(0.0).alias("floor"), "v", "q")
+
+        def kernel(kept: Block) -> TopRows:
+            return TopRows(kept, k, _visits(light, kept.v, kept.floor, probes, first), threshold)
+
+        return resident_join(residents, rows.withColumn("h", _share(shares)), index.dim, kernel, TOP_SCHEMA,
+                             min(4096, 2 * blocks * shares))
+
+    near = materialize(visit(asked, True), "index-hits")
+    w = Window.partitionBy("id").orderBy(F.desc("sim"))
+    kth = near.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("id", F.col("sim").alias("kth"))
+    raised = asked.join(kth, "id", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor"))).drop("kth")
+    found = near.unionByName(visit(raised, False))
+    live = int((index.count > 0).sum())
+    report = {"cells": live, "cells_read": len(read),
+              "rows_read": float(index.count[sorted(read)].sum()) / max(1, int(index.count.sum()))}
+    return _as_hits(found), report
 
 
 def search_hits(corpus: DataFrame, queries: DataFrame, threshold: float = 0.7, top_k: int = 100,
-                method: str = "auto", broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = 4096) -> DataFrame:
+                method: str = "auto", broadcast_bytes: int = BROADCAST_BYTES, tile_bytes: int = TILE_BYTES,
+                index: Cells | None = None) -> DataFrame:
     """SIM-10 / SIM-11 + LIM-1: each query's top-k phrases with ``sim >= threshold``.
 
+    With ``index`` (see ``open_index``) only the cells that can hold a hit are read.
+
     ``corpus``: phrase_id, intent, intent_pos, row_pos, phrase, embedding.
     ``queries``: query_id, query, embedding.
     Output: query_id, query, rank, phrase_id, intent, phrase, sim, intent_pos, row_pos.
@@ -129,14 +257,16 @@ def search_hits(corpus: DataFrame, queries: DataFrame, threshold: float = 0.7, t
     if method not in ("auto", "broadcast", "blocked"):
         raise ValueError(f"unknown method {method!r}")
     nq = None
-    if method != "broadcast":
+    if method != "broadcast" and index is None:
         nq, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
         if method == "auto":
             method = "broadcast" if nq * (8 * dim + 8) <= broadcast_bytes else "blocked"
-    if method == "broadcast":
+    if index is not None:
+        raw, _ = index_hits(index, queries, threshold, top_k, tile_bytes=tile_bytes)
+    elif method == "broadcast":
         raw = _hits_broadcast(corpus, queries, threshold, top_k)
     else:
-        raw = _hits_blocked(corpus, queries, threshold, top_k, nq, block_rows)
+        raw = _hits_blocked(corpus, queries, threshold, top_k, nq, dim, tile_bytes)
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "intent_pos", "row_pos")
     ranked = raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
     meta = corpus.select("phrase_id", "intent", "phrase")

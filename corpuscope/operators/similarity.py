@@ -2,9 +2,16 @@
 
 IDs: SIM-1 … SIM-9, SIM-15, PF-2, PF-3, PF-10, LIM-4, LIM-10.
 
-Phrase conflicts (SIM-5) are an all-pairs theta self-join.  Two physical
+Phrase conflicts (SIM-5) are an all-pairs theta self-join.  Three physical
 plans give the same rows:
 
+``cells``    (default) rows are cut into cells around pivots (``operators.cells``);
+             cells whose angular bound excludes the threshold never meet.  A task
+             keeps one tile of rows, sized by bytes, and streams past it only the
+             rows of cells that may hold a partner; products run in single
+             precision and pairs near or above the threshold are computed again
+             in double.  A row is copied once per tile it must meet.
+
 ``plain``    one Spark join ``a.intent_pos < b.intent_pos`` with a JVM dot
              product; the planner makes it a broadcast nested-loop join when
              one side is small.
@@ -16,22 +23,26 @@ plans give the same rows:
              all blocks); work is the unavoidable n²/2 dot products.
 
 For corpora where n² is out of reach, ``conflicts_lsh`` (SIM-7) is the
-approximate plan: SimHash buckets, each scored with the same blocked kernel,
-so only phrases sharing a bucket are compared.
+approximate plan: SimHash buckets with multi-probe look-ups.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuscope.functions import bands as B
 from corpuscope.functions.vectors import cosine, dot, l2_normalise, norm
+from corpuscope.operators.cells import (ANGLE_MARGIN, OUT_ROWS, PRODUCT_COLS, PRODUCT_ROWS, TILE_BYTES, TOP_SCHEMA, Block,
+                                        Cells, Tiles, TopRows, build_cells, join_report, matrix, own_tile_floors, partners,
+                                        plan_tiles, resident_join, single_margin, tiles_of_ranges, unit_rows, with_tile)
+from corpuscope.session import materialize
 
 PHRASE_SIMILARITY_MIN = 0.70     # fixed value: default base threshold
 CHUNK_ROWS = 1024                # rows per matrix product inside a block pair
@@ -243,19 +254,128 @@ def _conflicts_blocked(corpus: DataFrame, threshold: float, vec: str, block_rows
             .applyInPandas(score, "phrase_id long, other_id long, sim double"))
 
 
+class _PairKernel:
+    """Conflicts of the resident rows with streamed rows: cross-label pairs at or above the
+    threshold, each once.  With ``cap`` only the first so many in (i, j) order leave the task."""
+
+    def __init__(self, kept: Block, threshold: float, keep: np.ndarray, cap: int | None):
+        self.a, self.t, self.cap = kept, float(threshold), cap
+        self.floor = self.t - single_margin(kept.v.shape[1])
+        self.may = keep[kept.cell]            # resident row x streamed cell
+        self.found, self.size = [], 0
+
+    def add(self, b: Block):
+        a = self.a
+        order = np.argsort(b.cell, kind="stable")
+        runs = np.split(order, np.flatnonzero(np.diff(b.cell[order])) + 1) if len(order) else []
+        for run in runs:
+            rows = np.flatnonzero(self.may[:, b.cell[run[0]]])
+            for s in range(0, len(rows), PRODUCT_ROWS):
+                ra = rows[s:s + PRODUCT_ROWS]
+                for c in range(0, len(run), PRODUCT_COLS):
+                    rb = run[c:c + PRODUCT_COLS]
+                    near = a.single[ra] @ b.single[rb].T >= self.floor
+                    # within a tile both orders of a pair come by; only the one in corpus order counts
+                    same = a.tile[ra][:, None] == b.tile[rb][None, :]
+                    pa_, pb_ = a.ipos[ra][:, None], b.ipos[rb][None, :]
+                    ii, jj = np.nonzero(near & np.where(same, pa_ < pb_, pa_ != pb_))
+                    for o in range(0, len(ii), OUT_ROWS):
+                        yield from self._pairs(ra[ii[o:o + OUT_ROWS]], b, rb[jj[o:o + OUT_ROWS]])
+
+    def _pairs(self, i: np.ndarray, b: Block, j: np.ndarray):
+        a = self.a
+        sim = a.exact(i, b, j)
+        hit = sim >= self.t
+        i, j, sim = i[hit], j[hit], sim[hit]
+        if not len(i):
+            return
+        first = a.ipos[i] < b.ipos[j]
+        pick = lambda x, y: (np.where(first, x, y), np.where(first, y, x))
+        (p, o), (ip, jp), (ir, jr) = pick(a.id[i], b.id[j]), pick(a.ipos[i], b.ipos[j]), pick(a.rpos[i], b.rpos[j])
+        if self.cap is None:
+            yield _pair_batch(p, o, sim)
+            return
+        self.found.append((ip, ir, jp, jr, p, o, sim))
+        self.size += len(p)
+        if self.size > self.cap + OUT_ROWS:
+            self._cut()
+
+    def _cut(self):
+        columns = [np.concatenate(c) for c in zip(*self.found)]
+        keep = np.lexsort(columns[3::-1])[:self.cap]
+        self.found, self.size = [tuple(c[keep] for c in columns)], len(keep)
+
+    def finish(self):
+        if self.found:
+            self._cut()
+            yield _pair_batch(*self.found[0][4:])
+
+
+def _pair_batch(p, o, sim) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(p), pa.array(o), pa.array(sim)], names=["phrase_id", "other_id", "sim"])
+
+
+PAIR_SCHEMA = "phrase_id long, other_id long, sim double"
+
+
+def conflict_cells(corpus: DataFrame, vec: str = "embedding") -> Cells:
+    """The corpus cut into cells; ``phrase_conflicts`` and ``conflicts_topk`` take it to share it."""
+    return build_cells(corpus.select("phrase_id", "intent_pos", "row_pos", vec), ["phrase_id", "intent_pos", "row_pos"], vec,
+                       name="conflict-cells")
+
+
+def _tile_rows(cells: Cells, tiles: Tiles) -> DataFrame:
+    return with_tile(cells, tiles, "phrase_id").select(
+        F.col("phrase_id").alias("id"), F.col("intent_pos").alias("ipos"), F.col("row_pos").alias("rpos"),
+        "cell", "tile", F.lit(0.0).alias("floor"), "v")
+
+
+def _shares(tiles: Tiles):
+    return F.explode(F.sequence(F.lit(0), F.lit(tiles.shares - 1))).alias("h")
+
+
+def _share_of(column: str, tiles: Tiles):
+    return F.pmod(F.xxhash64(column), F.lit(tiles.shares)).cast("int").alias("h")
+
+
+def conflict_plan(cells: Cells, threshold: float) -> dict:
+    """Cell and row pairs the bounds skip, tiles and copies per row of ``phrase_conflicts`` on ``cells``."""
+    tiles = plan_tiles(cells, cells.rows.sparkSession.sparkContext.defaultParallelism)
+    return join_report(cells, tiles, cells.upper >= threshold - ANGLE_MARGIN)
+
+
+def _conflicts_cells(cells: Cells, threshold: float, max_pairs: int | None, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    spark = cells.rows.sparkSession
+    keep = cells.upper >= threshold - ANGLE_MARGIN
+    tiles = plan_tiles(cells, spark.sparkContext.defaultParallelism, tile_bytes=tile_bytes)
+    rows = _tile_rows(cells, tiles)
+    residents = rows.select(F.col("tile").alias("q"), _shares(tiles), *rows.columns)
+    # the pair of tiles is met in the earlier one
+    streamed = (rows.join(partners(cells, tiles, keep), "cell").select(tiles_of_ranges(), _share_of("id", tiles), *rows.columns)
+                .where("q <= tile"))
+    return resident_join(residents, streamed, cells.dim, lambda kept: _PairKernel(kept, threshold, keep, max_pairs),
+                         PAIR_SCHEMA, min(4096, 2 * tiles.total * tiles.shares))
+
+
 def phrase_conflicts(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                     method: str = "blocked", block_rows: int = 8192,
-                     max_conflicts: int | None = None) -> DataFrame:
+                     method: str = "cells", block_rows: int = 8192,
+                     max_conflicts: int | None = None, cells: Cells | None = None,
+                     tile_bytes: int = TILE_BYTES) -> DataFrame:
     """SIM-5 + SIM-8 + SIM-9: all cross-label pairs i before j with ``sim >= threshold``.
 
     Output: ``CONFLICT_COLS`` plus the order columns used by caps and sorts.
-    One kernel (``blocked``) serves every size, so a pair on the threshold is
-    judged alike at every size; ``plain`` is the JVM form for comparison.
+    One kernel (``cells``) serves every size, so a pair on the threshold is
+    judged alike at every size; ``blocked`` compares all blocks and ``plain`` is the
+    JVM form, both for comparison.  ``cells`` may be given to share the cut (see
+    ``conflict_cells``); else it is made at once.
     ``max_conflicts`` keeps only the first so many in (i, j) order, for callers
-    that want the cap; it is applied inside every block pair and once more
+    that want the cap; it is applied inside every task and once more
     globally (``TakeOrderedAndProject``).
     """
-    if method == "plain":
+    if method == "cells":
+        pairs = _conflicts_cells(cells or conflict_cells(corpus, vec), threshold,
+                                 None if max_conflicts is None else int(max_conflicts), tile_bytes)
+    elif method == "plain":
         pairs = _conflicts_plain(corpus, threshold, vec)
     elif method == "blocked":
         pairs = _conflicts_blocked(corpus, threshold, vec, block_rows, None, max_conflicts)
@@ -305,24 +425,50 @@ def _topk_blocked(u: DataFrame, k: int, n: int, block_rows: int) -> DataFrame:
             .applyInPandas(score, "phrase_id long, other_id long, jp long, jr long, sim double"))
 
 
+def _nearest(cells: Cells, k: int, tile_bytes: int) -> DataFrame:
+    """Each row's k nearest rows (itself included): (phrase_id, other_id, jp, jr, sim).
+
+    A first pass takes every row's k-th similarity within its own tile; a cell whose bound lies
+    below it for all rows of the tile is not sent there, and is skipped for a single row likewise.
+    A task merges all cells of its share before anything is shuffled: at most k rows per row and task.
+    """
+    spark = cells.rows.sparkSession
+    tiles = plan_tiles(cells, spark.sparkContext.defaultParallelism, extra_bytes=40 * k, tile_bytes=tile_bytes)
+    rows = materialize(own_tile_floors(cells, _tile_rows(cells, tiles), k), "nearest-floors")
+    needs = rows.where("needs is not null").select(F.col("tile").alias("q"), F.explode("needs").alias("cell"))
+    plain = rows.drop("needs")
+    streamed = plain.join(needs, "cell").select("q", _share_of("id", tiles), *plain.columns)
+    residents = plain.select(F.col("tile").alias("q"), _shares(tiles), *plain.columns)
+    light = replace(cells, rows=None)
+
+    def kernel(kept: Block) -> TopRows:
+        return TopRows(kept, k, light.upper_for(unit_rows(kept.v)) >= kept.floor[:, None])
+
+    found = resident_join(residents, streamed, cells.dim, kernel, TOP_SCHEMA, min(4096, 2 * tiles.total * tiles.shares))
+    return found.withColumnRenamed("id", "phrase_id")
+
+
 def conflicts_topk(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, k: int = 100,
-                   vec: str = "embedding", block_rows: int = 8192,
-                   max_conflicts: int | None = None) -> DataFrame:
+                   vec: str = "embedding", block_rows: int = 8192, method: str = "cells",
+                   max_conflicts: int | None = None, cells: Cells | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """SIM-6: keep j only if it is among i's k nearest over all phrases.
 
     Neighbours include i itself and its own label (trap T-15); ties go to the
     earlier phrase.  Ranking happens before the ``j after i``, threshold and
-    label filters.  Candidates come from the blocked kernel (at most k per row
-    per block pair, plus ties); ``row_number <= k`` then plans as a
+    label filters.  Candidates come from ``_nearest`` (or from all block pairs,
+    ``method="blocked"``); ``row_number <= k`` then plans as a
     ``WindowGroupLimit`` that keeps at most k rows per i in every task before
     the shuffle.
     """
-    u = _ids(corpus, vec)
-    n = corpus.count()
-    cand = _topk_blocked(u, k, n, block_rows)
+    if method == "cells":
+        cand = _nearest(cells or conflict_cells(corpus, vec), k, tile_bytes)
+    elif method == "blocked":
+        cand = _topk_blocked(_ids(corpus, vec), k, corpus.count(), block_rows)
+    else:
+        raise ValueError(f"unknown method {method!r}")
     w = Window.partitionBy("phrase_id").orderBy(F.desc("sim"), "jp", "jr")
     top = cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-    me = u.select("phrase_id", F.col("intent_pos").alias("ip"), F.col("row_pos").alias("ir"))
+    me = corpus.select("phrase_id", F.col("intent_pos").alias("ip"), F.col("row_pos").alias("ir"))
     kept = top.join(me, "phrase_id").where(
         (F.struct("ip", "ir") < F.struct("jp", "jr")) & (F.col("ip") != F.col("jp")) & (F.col("sim") >= threshold))
     out = _attach_text(kept.select("phrase_id", "other_id", "sim"), corpus)
@@ -340,57 +486,128 @@ def hash_planes(num_tables: int, num_bits: int, dims: int, seed: int = 42) -> np
     return np.array([[sign(t, b, i) for i in range(dims)] for t in range(num_tables) for b in range(num_bits)])
 
 
-def _simhash_udf(planes: np.ndarray, num_tables: int, num_bits: int):
-    """Vectorised signatures: one bucket id per table from the signs of
-    ``num_bits`` random projections (the plane set is fixed by the seed and
-    the parameters, not by the data)."""
-    weights = (1 << np.arange(num_bits)).astype(np.int64)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sig(us: pd.Series) -> pd.Series:
-        if len(us) == 0:
-            return pd.Series([], dtype=object)
-        bits = (_stack(us) @ planes.T) >= 0                        # rows × (tables · bits)
-        ids = bits.reshape(len(us), num_tables, num_bits).astype(np.int64) @ weights
-        return pd.Series(list(ids))
-    return sig
+WEAK_BITS = 11            # bits a probe may flip: the weakest ones of a vector
+
+
+def lsh_bits(n: int) -> int:
+    """Bits per table: one bucket per row on average, 8 at least."""
+    return max(8, math.ceil(math.log2(max(2, n))))
+
+
+def probe_count(bits: int, share: float, most: int) -> int:
+    """Buckets a vector looks into per table: a share of the buckets, ``most`` at most."""
+    return max(1, min(most, math.ceil(share * (1 << min(bits, WEAK_BITS)))))
+
+
+def _codes(unit: np.ndarray, planes: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each vector in one table, and the ``probes`` buckets nearest to it: those that
+    differ in the bits with the least sum of squared projections (multi-probe)."""
+    z = unit @ planes.T
+    code = (z >= 0).astype(np.int64) @ (1 << np.arange(len(planes), dtype=np.int64))
+    weak = min(len(planes), WEAK_BITS)
+    bits = np.argsort(z * z, axis=1, kind="stable")[:, :weak]
+    flips = (np.arange(1 << weak)[:, None] >> np.arange(weak)) & 1                       # subsets of the weak bits
+    near = np.zeros((len(unit), probes), np.int64)
+    for s in range(0, len(unit), PRODUCT_ROWS):
+        part = slice(s, s + PRODUCT_ROWS)
+        cost = np.take_along_axis(z[part] ** 2, bits[part], axis=1) @ flips.T
+        best = np.argpartition(cost, probes - 1, axis=1)[:, :probes] if probes < cost.shape[1] else np.argsort(cost, axis=1)
+        masks = (flips[best] * (1 << bits[part])[:, None, :]).sum(axis=2)
+        near[part] = code[part, None] ^ masks
+    return code, near
+
+
+class _ProbeKernel:
+    """Stored rows of some buckets against streamed rows that look into them; the earlier row of a
+    pair is the one that looks."""
+
+    def __init__(self, kept: Block, planes: np.ndarray, bits: int, probes: int, threshold: float):
+        self.a, self.t, self.probes = kept, float(threshold), probes
+        self.planes = planes[kept.tile[0] * bits:(kept.tile[0] + 1) * bits]
+        code, _ = _codes(unit_rows(kept.v), self.planes, 1)
+        self.order = np.argsort(code, kind="stable")
+        self.code = code[self.order]
+
+    def add(self, b: Block):
+        _, near = _codes(unit_rows(b.v), self.planes, self.probes)
+        lo, hi = np.searchsorted(self.code, near, "left"), np.searchsorted(self.code, near, "right")
+        size = (hi - lo).sum(axis=1)
+        at = 0
+        while at < len(b):          # some streamed rows at a time, so that the pairs stay bounded
+            end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), OUT_ROWS, "right")) + at)
+            yield from self._some(b, np.arange(at, min(end, len(b))), lo, hi)
+            at = end
+
+    def _some(self, b: Block, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        a, n = self.a, (hi - lo)[rows]
+        start = np.repeat(lo[rows].ravel(), n.ravel())
+        step = np.arange(len(start)) - np.repeat(np.cumsum(n.ravel()) - n.ravel(), n.ravel())
+        i, j = self.order[start + step], np.repeat(rows, n.sum(axis=1))
+        earlier = b.ipos[j] < a.ipos[i]
+        i, j = i[earlier], j[earlier]
+        for s in range(0, len(i), OUT_ROWS):
+            sim = b.exact(j[s:s + OUT_ROWS], a, i[s:s + OUT_ROWS])
+            hit = sim >= self.t
+            if hit.any():
+                yield _pair_batch(b.id[j[s:s + OUT_ROWS]][hit], a.id[i[s:s + OUT_ROWS]][hit], sim[hit])
+
+    def finish(self):
+        return ()
+
+
+def lsh_pairs(corpus: DataFrame, threshold: float, vec: str, num_tables: int, probe_share: float, most_probes: int,
+              seed: int, tile_bytes: int) -> DataFrame:
+    """Pairs that meet in a bucket, once per table they meet in: (phrase_id, other_id, sim >= threshold)."""
+    spark = corpus.sparkSession
+    n, dim = corpus.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vec)), F.lit(1))).first()
+    bits = lsh_bits(n)
+    probes = probe_count(bits, probe_share, most_probes)
+    planes = hash_planes(num_tables, bits, dim, seed)
+    # buckets are stored in 2^high groups of about one tile each
+    rows_per_tile = max(1, tile_bytes // (8 * dim + 32))
+    high = max(0, math.ceil(math.log2(max(1, n / rows_per_tile))))
+    shift = max(0, bits - high)
+    kind = corpus.schema[vec].dataType.elementType.simpleString()
+    held = corpus.select(F.col("phrase_id").alias("id"), F.col("intent_pos").alias("ipos"), F.col("row_pos").alias("rpos"),
+                         F.col(vec).cast(f"array<{kind if kind == 'float' else 'double'}>").alias("v"))
+
+    def place(batches):
+        for batch in batches:
+            unit = unit_rows(matrix(batch.column("v"), dim))
+            for t in range(num_tables):
+                code, near = _codes(unit, planes[t * bits:(t + 1) * bits], probes)
+                looks = [np.unique(r).astype(np.int32) for r in near >> shift]
+                yield (batch.append_column("tile", pa.array(np.full(len(unit), t, np.int32)))
+                       .append_column("own", pa.array((code >> shift).astype(np.int32)))
+                       .append_column("looks", pa.array(looks, pa.list_(pa.int32()))))
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema)
+    placed = held.mapInArrow(place, fields + ", tile int, own int, looks array<int>")
+    # a group that equal vectors make large is dealt to several tasks
+    groups = placed.groupBy("tile", "own").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_tile)).cast("int").alias("deal"))
+    key = (F.col("tile") * F.lit(1 << (bits - shift)) + F.col("own")).cast("int").alias("q")
+    columns = ["id", "ipos", "rpos", F.lit(0).alias("cell"), "tile", F.lit(0.0).alias("floor"), "v"]
+    stored = placed.join(groups, ["tile", "own"]).select(key, F.pmod(F.xxhash64("id"), F.col("deal")).cast("int").alias("h"), *columns)
+    looking = (placed.drop("own").withColumn("own", F.explode("looks")).join(groups, ["tile", "own"])
+               .select(key, F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("h"), *columns))
+    parts = min(4096, 2 * num_tables * (1 << (bits - shift)))
+    return resident_join(stored, looking, dim, lambda kept: _ProbeKernel(kept, planes, bits, probes, threshold), PAIR_SCHEMA, parts)
 
 
 def conflicts_lsh(corpus: DataFrame, threshold: float = PHRASE_SIMILARITY_MIN, vec: str = "embedding",
-                  num_tables: int = 8, num_bits: int = 6, seed: int = 42, block_rows: int = 8192,
-                  max_conflicts: int | None = None) -> DataFrame:
-    """SIM-7: approximate conflicts with random-hyperplane LSH (SimHash).
-
-    Two phrases become candidates when they share a bucket in any of
-    ``num_tables`` tables (``num_bits`` signs each); candidates are scored
-    exactly, so the rows are a subset of SIM-5.  Each (table, bucket) is split
-    into hash blocks sized from its count (a bucket holding a third of all
-    vectors is spread over many tasks) and scored with the capped block-pair
-    kernel of SIM-5; pairs found in several tables are kept once.
+                  num_tables: int = 8, probe_share: float = 0.075, most_probes: int = 256, seed: int = 42,
+                  max_conflicts: int | None = None, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """SIM-7: approximate conflicts with multi-probe random-hyperplane LSH (SimHash).
+
+    Every phrase is stored in one bucket per table, with bits grown from the corpus size
+    (``lsh_bits``).  It looks into the ``probe_share`` of the buckets (at most ``most_probes``)
+    that differ from its own in its weakest bits; the earlier phrase of a pair looks, and pairs
+    that meet are scored exactly, so the rows are a subset of SIM-5.  Buckets are stored in groups
+    of a tile's size: a phrase is sent once per table and group it looks into, which at up to a
+    tile of rows is once per table.  A group that equal vectors make large is dealt to several
+    tasks.  Pairs found in several tables are kept once.
     """
-    u = _ids(corpus, vec)
-    first = u.select("u").first()
-    if first is None:
-        return _attach_text(u.sparkSession.createDataFrame([], "phrase_id long, other_id long, sim double"), corpus)
-    d = len(first[0])
-    planes = hash_planes(num_tables, num_bits, d, seed)
-    sig = _simhash_udf(planes, num_tables, num_bits)
-    ex = u.select("phrase_id", "intent_pos", "row_pos", "u",
-                  F.posexplode(sig(F.col("u"))).alias("tbl", "bucket"))
-    # at most num_tables · 2^num_bits rows: bounded by the parameters
-    sizes = ex.groupBy("tbl", "bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        "tbl", "bucket", F.ceil(F.col("_n") / F.lit(block_rows)).cast("int").alias("_nb"))
-    ex = ex.join(F.broadcast(sizes), ["tbl", "bucket"]).withColumn(
-        "blk", F.pmod(F.xxhash64("phrase_id"), F.col("_nb")).cast("int"))
-    cols = ["tbl", "bucket", "phrase_id", "intent_pos", "row_pos", "u"]
-    left = ex.select(*[F.col(c).alias(c) for c in cols], F.col("blk").alias("lo"),
-                     F.explode(F.sequence(F.col("blk"), F.col("_nb") - 1)).alias("hi"))
-    right = ex.select(*[F.col(c).alias(c) for c in cols],
-                      F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("lo"), F.col("blk").alias("hi"))
-    score = _pair_kernel(threshold, None if max_conflicts is None else int(max_conflicts))
-    keys = ["tbl", "bucket", "lo", "hi"]
-    pairs = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-             .applyInPandas(score, "phrase_id long, other_id long, sim double"))
+    pairs = lsh_pairs(corpus, threshold, vec, num_tables, probe_share, most_probes, seed, tile_bytes)
     pairs = pairs.groupBy("phrase_id", "other_id").agg(F.max("sim").alias("sim"))
     out = _attach_text(pairs.select("phrase_id", "other_id", _round6(F.col("sim")).alias("sim")), corpus)
     return out.orderBy(*_ORDER_COLS).limit(int(max_conflicts)) if max_conflicts is not None else out

@@ -20,8 +20,9 @@ FIRST_N = 1000             # conflicts looked at by the queries named after that
 SHOW_N = 50                # LIM-4 rows shown
 PAIR_T = 0.05              # SIM-4 confusing-pair threshold
 BLOCK_ROWS = 128           # blocked SIM-5 block size at test scale
-LSH_TABLES = 24            # SIM-7: 24 SimHash tables of 4 bits (≈96% expected recall at cos 0.30)
-LSH_BITS = 4
+LSH_TABLES = 8             # SIM-7: SimHash tables; bits grow with the corpus
+LSH_SHARE = 0.075          # share of the buckets a phrase looks into, and at most so many
+LSH_PROBES = 256
 
 # labels of the wide results: columns are named up front, so no job discovers them
 EMB_LABELS = [f"label_{i}" for i in range(10)]

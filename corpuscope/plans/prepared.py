@@ -40,3 +40,15 @@ def prepared(spark: SparkSession, name: str, sf_dir: str, tables: list[str],
         df = materialize(build(), name)
         _STORE[key] = df
     return df
+
+
+_VALUES: dict[tuple, object] = {}
+
+
+def prepared_value(spark: SparkSession, name: str, sf_dir: str, tables: list[str], build: Callable[[], object]):
+    """As ``prepared``, for a result that is no DataFrame: cells, or the path of a stored index."""
+    sig = _signature(spark, [f"{sf_dir}/{t}.parquet" for t in tables])
+    key = (spark.sparkContext.applicationId, name, sf_dir, sig)
+    if key not in _VALUES:
+        _VALUES[key] = build()
+    return _VALUES[key]

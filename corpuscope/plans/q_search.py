@@ -4,6 +4,8 @@ AGG-14 … 21, PF-5, PF-6, PF-13 … 17, PF-20, LIM-1, LIM-9, LIM-11)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import py_strip
@@ -13,8 +15,9 @@ from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (action_sentence_sql, avg6, batch_action_sql, keywords_sql, match_type_sql,
                                          search_hits_sql, sim_caption_sql, single_action_sql, strip)
-from corpuscope.plans.prepared import prepared
+from corpuscope.plans.prepared import prepared, prepared_value
 from corpuscope.plans.q_similarity import prepared_documents
+from corpuscope.session import checkpoint_dir
 from corpuscope.sources.tables import benchmark_queries
 
 BANDS = P.TABLE_BANDS
@@ -72,6 +75,24 @@ def q_batch_matches(spark, sf):
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "phrase_id", "intent", "sim")
 
 
+def search_index(spark, sf):
+    """The encoded documents as an inverted file, stored once per input."""
+    def build():
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/search-index-{uuid.uuid4().hex[:12]}"
+        S.write_index(encoded(spark, sf)[0], path)
+        return path
+
+    return S.open_index(spark, prepared_value(spark, "search_index", sf, ["documents"], build))
+
+
+@register("batch_matches_indexed", f"""WITH {search_hits_sql(P.SEARCH_T, P.SEARCH_TOPK)}
+SELECT query_id, rank, phrase_id, intent, sim FROM hits""")
+def q_batch_matches_indexed(spark, sf):
+    corpus, q = encoded(spark, sf)
+    hits = S.search_hits(corpus, q, P.SEARCH_T, P.SEARCH_TOPK, index=search_index(spark, sf))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "phrase_id", "intent", "sim")
+
+
 @register("batch_totals", BATCH_SQL + """,
 names AS (SELECT * FROM (VALUES (0, 'DUPLICATE'), (1, 'ADD'), (2, 'REVIEW'), (3, 'NEW_INTENT')) t(action_pos, action))
 SELECT n.action, coalesce(c.cnt, 0) AS count FROM names n

@@ -8,7 +8,7 @@ from corpuscope.operators import similarity as S
 from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import CENTROIDS, CONFLICT_PAIRS, CONFLICT_SELECT, DOC_CORPUS, EMB_CORPUS
-from corpuscope.plans.prepared import prepared
+from corpuscope.plans.prepared import prepared, prepared_value
 from corpuscope.sources.tables import documents_corpus, embedded_corpus
 
 _PUBLIC = S.CONFLICT_COLS
@@ -23,8 +23,14 @@ def prepared_documents(spark, sf):
     return prepared(spark, "documents_corpus", sf, ["documents"], lambda: documents_corpus(spark, sf))
 
 
-def _conflicts(spark, sf, rows=8192, cap=None):
-    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, block_rows=rows, max_conflicts=cap)
+def prepared_cells(spark, sf):
+    """The embedded corpus cut into cells, once per input."""
+    return prepared_value(spark, "conflict_cells", sf, ["embeddings", "documents"],
+                          lambda: S.conflict_cells(prepared_corpus(spark, sf)))
+
+
+def _conflicts(spark, sf, cap=None):
+    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, max_conflicts=cap, cells=prepared_cells(spark, sf))
 
 
 @register("phrase_conflicts", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
@@ -35,7 +41,7 @@ def q_phrase_conflicts(spark, sf):
 @register("conflicts_blocked", f"WITH {EMB_CORPUS}, {CONFLICT_PAIRS} SELECT {CONFLICT_SELECT} FROM conf_pairs")
 def q_conflicts_blocked(spark, sf):
     # small blocks, so that test scale spans many block pairs
-    return _conflicts(spark, sf, P.BLOCK_ROWS).select(*_PUBLIC)
+    return S.phrase_conflicts(prepared_corpus(spark, sf), P.CONFLICT_T, method="blocked", block_rows=P.BLOCK_ROWS).select(*_PUBLIC)
 
 
 @register("conflicts_capped", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS},
@@ -82,22 +88,29 @@ WHERE r.rk <= {P.TOPK_K} AND (r.ip < r.jp OR (r.ip = r.jp AND r.ir < r.jr)) AND
 
 @register("conflicts_topk", _TOPK_SQL)
 def q_conflicts_topk(spark, sf):
-    return S.conflicts_topk(prepared_corpus(spark, sf), P.CONFLICT_T, P.TOPK_K).select(*_PUBLIC)
+    return S.conflicts_topk(prepared_corpus(spark, sf), P.CONFLICT_T, P.TOPK_K, cells=prepared_cells(spark, sf)).select(*_PUBLIC)
 
 
 @register("conflicts_lsh", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS},
+size AS (SELECT greatest(8, ceil(log2(greatest(2, count(*)))))::BIGINT AS bits FROM emb),
 signs AS (SELECT t, b, i, CASE WHEN substr(md5(t || ':' || b || ':' || i || ':42'), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
-          FROM range({P.LSH_TABLES}) x(t), range({P.LSH_BITS}) y(b), range(64) z(i)),
+          FROM range({P.LSH_TABLES}) x(t), range((SELECT bits FROM size)) y(b), range(64) z(i)),
 planes AS (SELECT t, b, list(s ORDER BY i) AS p FROM signs GROUP BY t, b),
-buckets AS (SELECT phrase_id, t, sum(CASE WHEN list_dot_product(v, p) >= 0 THEN 1 << b ELSE 0 END) AS bucket
-            FROM emb CROSS JOIN planes GROUP BY phrase_id, t),
+proj AS (SELECT phrase_id, t, b, list_dot_product(v, p) AS z FROM emb CROSS JOIN planes),
+buckets AS (SELECT phrase_id, t, sum(CASE WHEN z >= 0 THEN 1 << b ELSE 0 END) AS bucket FROM proj GROUP BY phrase_id, t),
+weak AS (SELECT *, row_number() OVER (PARTITION BY phrase_id, t ORDER BY z * z, b) - 1 AS w FROM proj
+         QUALIFY w < {S.WEAK_BITS}),
+flips AS (SELECT phrase_id, t, m, sum(z * z) FILTER ((m >> w) & 1 = 1) AS cost, coalesce(sum(1 << b) FILTER ((m >> w) & 1 = 1), 0) AS mask
+          FROM weak, range(1 << least({S.WEAK_BITS}, (SELECT bits FROM size))) ms(m) GROUP BY phrase_id, t, m),
+looks AS (SELECT phrase_id, t, mask FROM flips QUALIFY row_number() OVER (PARTITION BY phrase_id, t ORDER BY coalesce(cost, 0))
+          <= least({P.LSH_PROBES}, ceil({P.LSH_SHARE} * (1 << least({S.WEAK_BITS}, (SELECT bits FROM size)))))),
 near AS (SELECT DISTINCT c.phrase_id, c.other_id FROM conf_pairs c JOIN buckets a ON a.phrase_id = c.phrase_id
-         JOIN buckets o ON o.phrase_id = c.other_id AND o.t = a.t AND o.bucket = a.bucket)
+         JOIN buckets o ON o.phrase_id = c.other_id AND o.t = a.t
+         JOIN looks l ON l.phrase_id = a.phrase_id AND l.t = a.t AND l.mask = xor(a.bucket::BIGINT, o.bucket::BIGINT))
 SELECT {CONFLICT_SELECT} FROM conf_pairs JOIN near USING (phrase_id, other_id)""")
 def q_conflicts_lsh(spark, sf):
-    # few bits per table: the registered threshold (0.30) is low for LSH
-    return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T, num_tables=P.LSH_TABLES,
-                           num_bits=P.LSH_BITS).select(*_PUBLIC)
+    return S.conflicts_lsh(prepared_corpus(spark, sf), P.CONFLICT_T, num_tables=P.LSH_TABLES, probe_share=P.LSH_SHARE,
+                           most_probes=P.LSH_PROBES).select(*_PUBLIC)
 
 
 @register("exact_duplicates", f"""WITH {DOC_CORPUS}

@@ -94,7 +94,7 @@ def test_search_is_cosine_and_tiles_agree(spark, monkeypatch):
         want[qid] = [p for s, _, p in sorted(sims)[:5] if -s >= 0.2]
     monkeypatch.setattr(S, "TILE", 2)
     for method in ("broadcast", "blocked"):
-        hits = S.search_hits(c.repartition(4), q, 0.2, 5, method=method, block_rows=7).collect()
+        hits = S.search_hits(c.repartition(4), q, 0.2, 5, method=method, tile_bytes=200).collect()
         got = {i: [r.phrase_id for r in sorted(hits, key=lambda r: r.rank) if r.query_id == i] for i in want}
         assert got == want
     assert S.search_hits(c, q, 0.2, 5, broadcast_bytes=0).count() == sum(map(len, want.values()))

@@ -146,3 +146,38 @@ def test_registered_lsh_recall_against_all_conflicts(spark):       # SIM-7 recal
                     for q in (q_phrase_conflicts, q_conflicts_lsh))
     assert found <= every and len(every) > 500
     assert len(found) >= 0.9 * len(every), f"{len(found)} of {len(every)}"
+
+
+def test_lsh_probes_nearest_buckets():
+    rs = np.random.RandomState(2)
+    unit, planes = rs.randn(50, 16), rs.randn(13, 16)
+    z = unit @ planes.T
+    code, near = S._codes(unit, planes, 40)
+    for r in range(50):
+        flipped = [[b for b in range(13) if (code[r] ^ m) >> b & 1] for m in near[r]]
+        costs = [sum(z[r, b] ** 2 for b in f) for f in flipped]
+        weakest = set(np.argsort(z[r] ** 2)[:S.WEAK_BITS])
+        every = sorted(sum(z[r, b] ** 2 for j, b in enumerate(sorted(weakest)) if m >> j & 1) for m in range(1 << S.WEAK_BITS))
+        assert code[r] in near[r] and np.allclose(sorted(costs), every[:40]) and all(set(f) <= weakest for f in flipped)
+
+
+def test_lsh_groups_and_hot_vectors(spark):                       # the same pairs with tiles of a few rows
+    c = _random_corpus(spark, n=90, d=8)
+    rows = [(200 + i, "c" if i % 2 else "d", "hot", [1.0] * 8) for i in range(30)]
+    c = c.union(emb_corpus(spark, rows))
+    whole = _pairs(S.conflicts_lsh(c, 0.5))
+    assert _pairs(S.conflicts_lsh(c, 0.5, tile_bytes=800)) == whole and len(whole) > 225
+
+
+def test_registered_lsh_makes_fewer_comparisons(spark):           # against all cross-label pairs at sf0.1
+    from corpuscope.plans import params as P
+    from corpuscope.plans.q_similarity import prepared_corpus, q_conflicts_lsh, q_phrase_conflicts
+
+    sf = "/root/testdata/sf0.1"
+    corpus = prepared_corpus(spark, sf)
+    n = corpus.count()
+    sizes = [r["count"] for r in corpus.groupBy("intent").count().collect()]
+    exact = (n * n - sum(s * s for s in sizes)) / 2
+    compared = S.lsh_pairs(corpus, -2.0, "embedding", P.LSH_TABLES, P.LSH_SHARE, P.LSH_PROBES, 42, S.TILE_BYTES).count()
+    assert compared < 0.75 * exact, compared / exact
+    assert q_conflicts_lsh(spark, sf).count() >= 0.9 * q_phrase_conflicts(spark, sf).count()
