@@ -275,13 +275,15 @@ class _PairKernel:
                 for c in range(0, len(run), PRODUCT_COLS):
                     rb = run[c:c + PRODUCT_COLS]
                     near = a.single[ra] @ b.single[rb].T >= self.floor
-                    # within a tile both orders of a pair come by; only the one in corpus order counts
-                    same = a.tile[ra][:, None] == b.tile[rb][None, :]
                     pa_, pb_ = a.ipos[ra][:, None], b.ipos[rb][None, :]
-                    ii, jj = np.nonzero(near & np.where(same, pa_ < pb_, pa_ != pb_))
+                    ii, jj = np.nonzero(near & np.where(self.once(ra, b, rb), pa_ < pb_, pa_ != pb_))
                     for o in range(0, len(ii), OUT_ROWS):
                         yield from self._pairs(ra[ii[o:o + OUT_ROWS]], b, rb[jj[o:o + OUT_ROWS]])
 
+    def once(self, ra: np.ndarray, b: Block, rb: np.ndarray) -> np.ndarray:
+        """Where both orders of a pair come by: within a tile; there only the one in corpus order counts."""
+        return self.a.tile[ra][:, None] == b.tile[rb][None, :]
+
     def _pairs(self, i: np.ndarray, b: Block, j: np.ndarray):
         a = self.a
         sim = a.exact(i, b, j)
