@@ -22,8 +22,8 @@ edges), by doubling pointers over written tables; a cycle is opened at its
 least edge.  The strongest extension of a node within a path stands beside it in
 the row; only nodes at the ends of paths are aggregated over paths.
 
-Counts are Spark aggregates of Arrow batches counted in the task; nothing but the
-bit map is sent to all tasks, and no group is collected but a path segment.
+Words are found and counted in the task on whole Arrow buffers, and summed by Spark;
+nothing but the bit map is sent to all tasks, and no group is collected but a path segment.
 Scores are exact: products are decimals of 38 digits.
 
 Defined results: a null text is empty and adds nothing, a null language is
@@ -34,95 +34,121 @@ empty table gives an empty result; texts and words of any length pass whole.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import materialize
 
-#: What ends a piece, what separates words, letters that are lower-cased.
-PIECE_ENDS = re.compile(r"[.,;:!?\x0A-\x0D]")
-LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
+#: What ends a piece, what separates words, letters that are lower-cased (bytes of UTF-8).
+PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+SEPARATORS = b" \t"
 NO_LANG = "und"
 #: Size of the bit map of word pairs: 16 MB whatever the data.
 PAIR_BITS = 1 << 27
-#: Distinct grams a task counts before it passes them on.
-HELD = 400_000
+#: Odd factors of a pair's slot in the map.
+FIRST_FACTOR, SECOND_FACTOR = 1_000_003, 7_919
+#: Bytes of text counted together in a task (one longer text is taken whole).
+CHUNK_BYTES = 8 << 20
+#: Rows of a batch that leaves a task.
+OUT_ROWS = 1 << 16
 #: Edges of a compacted path in one row.
 SEGMENT = 4096
 
+WORD, GAP, END = range(3)
 GRAMS = "lang string, gram string, size int, n long"
 
 
-def pieces(text: str | None) -> Iterator[list[str]]:
-    """Words of each piece of a text."""
-    for piece in PIECE_ENDS.split((text or "").translate(LOWER)):
-        words = piece.replace("\t", " ").split(" ")
-        if "" in words:
-            words = [w for w in words if w]
-        if words:
-            yield words
-
-
-def _counted(add):
-    """mapInArrow function over (lang, text): ``add(counter, words)`` counts the grams of a piece."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
-
-    def batch_of(counts):
-        langs, grams, ns = [], [], []
-        for lang, counter in counts.items():
-            langs += [lang] * len(counter)
-            grams += counter.keys()
-            ns += counter.values()
-        sizes = [g.count(" ") + 1 for g in grams]
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()),
-                                           pa.array(sizes, pa.int32()), pa.array(ns, pa.int64())], schema=schema)
-
+class Words:
+    """All words of some texts in order: ``ids`` into ``names``, ``langs`` into ``lang_names``, and
+    ``follows``, whether the next word stands in the same piece."""
+
+    KIND = np.zeros(256, np.uint8)
+    KIND[list(SEPARATORS)] = GAP
+    KIND[list(PIECE_ENDS)] = END
+    LOWER = np.arange(256, dtype=np.uint8)
+    LOWER[ord("A"):ord("Z") + 1] += 32
+
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        texts = pa.concat_arrays([texts.cast(pa.string()).fill_null("")])
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        begins = offsets[:-1] - offsets[0]
+        kind = self.KIND[data]
+        word = np.concatenate([[False], kind == WORD, [False]])
+        new_text = np.zeros(len(data) + 1, bool)
+        new_text[begins] = True
+        # a word begins after what is no word, or with a text, and stops likewise
+        starts = np.flatnonzero(word[1:-1] & (~word[:-2] | new_text[:-1])).astype(np.int32)
+        stops = np.flatnonzero(word[1:-1] & (~word[2:] | new_text[1:])).astype(np.int32)
+        ends_at = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(stops - starts + 1, out=ends_at[1:])
+        held = pa.py_buffer(self.LOWER[data[word[1:-1]]])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends_at), held]).dictionary_encode()
+        self.names = words.dictionary.cast(pa.string())
+        self.ids = words.indices.to_numpy().astype(np.int64)
+        text_no = (np.searchsorted(begins, starts, side="right") - 1).astype(np.int32)  # of empty texts at one place the last
+        coded = langs.cast(pa.string()).dictionary_encode()
+        self.lang_names = coded.dictionary
+        self.langs = coded.indices.to_numpy()[text_no].astype(np.int64)
+        piece = np.searchsorted(np.flatnonzero(kind == END).astype(np.int32), starts).astype(np.int32)
+        self.follows = np.append((piece[1:] == piece[:-1]) & (text_no[1:] == text_no[:-1]), False)[:len(starts)]
+
+    def rows(self, langs: np.ndarray, parts: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        """Grams of the words ``parts`` with their counts as rows of ``GRAMS``."""
+        words = [self.names.take(pa.array(p)) for p in parts]
+        gram = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
+        return pa.RecordBatch.from_arrays(
+            [self.lang_names.take(pa.array(langs)), gram, pa.array(np.full(len(counts), len(parts), np.int32)),
+             pa.array(counts.astype(np.int64))], names=["lang", "gram", "size", "n"])
+
+
+def _counted(count):
+    """mapInArrow function over (lang, text): ``count(Words)`` yields the rows of some texts."""
     def run(batches):
-        counts: dict[str, Counter] = {}
-        held = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counter = counts.get(lang)
-                if counter is None:
-                    counter = counts[lang] = Counter()
-                before = len(counter)
-                for words in pieces(text):
-                    add(lang, counter, words)
-                held += len(counter) - before
-                if held > HELD:
-                    yield batch_of(counts)
-                    held = 0
-        if counts:
-            yield batch_of(counts)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            chunk = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    for rows in count(Words(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a))):
+                        yield from (rows.slice(s, OUT_ROWS) for s in range(0, rows.num_rows, OUT_ROWS))
     return run
 
 
-def _pairs(lang, counter, words):
-    counter.update([a + " " + b for a, b in zip(words, words[1:])])
-    counter[words[-1]] += 1
+def _pairs(words: Words):
+    size, ids, langs = max(1, len(words.names)), words.ids, words.langs
+    i, last = np.flatnonzero(words.follows), np.flatnonzero(~words.follows)
+    if len(i):
+        keys, n = np.unique((langs[i] * size + ids[i]) * size + ids[i + 1], return_counts=True)
+        yield words.rows(keys // size // size, [keys // size % size, keys % size], n)
+    if len(last):
+        keys, n = np.unique(langs[last] * size + ids[last], return_counts=True)
+        yield words.rows(keys // size, [keys % size], n)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
 
 
+def _summed(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("lang", "gram").agg(F.max("size").alias("size"), F.sum("n").alias("n"))
+
+
 def order_one(docs: DataFrame) -> DataFrame:
     """Edges (two words) and piece ends (one word) with their counts."""
-    return (_texts(docs).mapInArrow(_counted(_pairs), GRAMS)
-            .groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")))
+    return _summed(_texts(docs).mapInArrow(_counted(_pairs), GRAMS))
 
 
 def pair_map(frequent: DataFrame) -> bytes:
     """Bit map of the slots of frequent pairs: words of 64 bits are made by Spark, at most ``PAIR_BITS`` / 64 rows."""
-    slot = F.crc32(F.concat(F.encode("lang", "UTF-8"), F.encode("gram", "UTF-8"))) % PAIR_BITS
+    code = lambda c: F.crc32(F.encode(c, "UTF-8"))
+    slot = (code(_first(F.col("gram"), 1)) * FIRST_FACTOR + code(_last(F.col("gram"), 1)) * SECOND_FACTOR + code(F.col("lang"))) % PAIR_BITS
     words = (frequent.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("long").alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")))
     table = words.toArrow()
@@ -133,17 +159,35 @@ def pair_map(frequent: DataFrame) -> bytes:
 
 def order_three(docs: DataFrame, bits) -> DataFrame:
     """Edges (four words) and ends (three words: by the piece or by a rare pair) with their counts."""
-    def add(lang, counter, words):
-        held, seed = bits.value, crc32(lang.encode())
-        pairs = [a + " " + b for a, b in zip(words, words[1:])]
-        slots = [crc32(p.encode(), seed) % PAIR_BITS for p in pairs]
-        common = [held[s >> 3] >> (s & 7) & 1 for s in slots]
-        common.append(0)
-        counter.update([pairs[i] + " " + (pairs[i + 2] if common[i + 2] else words[i + 2])
-                        for i in range(len(pairs) - 1) if common[i] and common[i + 1]])
-
-    return (_texts(docs).mapInArrow(_counted(add), GRAMS)
-            .groupBy("lang", "gram", "size").agg(F.sum("n").alias("n")))
+    def count(words: Words):
+        held, ids, langs = np.frombuffer(bits.value, np.uint8), words.ids, words.langs
+        codes = np.array([crc32(w.encode()) for w in words.names.to_pylist()], np.int64)
+        lang_codes = np.array([crc32(w.encode()) for w in words.lang_names.to_pylist()], np.int64)
+        i = np.flatnonzero(words.follows)
+        slot = (codes[ids[i]] * FIRST_FACTOR + codes[ids[i + 1]] * SECOND_FACTOR + lang_codes[langs[i]]) % PAIR_BITS
+        common = np.zeros(len(ids) + 3, bool)
+        common[i] = held[slot >> 3] >> (slot & 7) & 1
+        # pairs are numbered, so that a gram is one key
+        at = np.flatnonzero(common[:-3])
+        size = max(1, len(words.names))
+        pairs, numbers = np.unique((langs[at] * size + ids[at]) * size + ids[at + 1], return_inverse=True)
+        pair_no = np.zeros(len(ids) + 3, np.int64)
+        pair_no[at] = numbers
+        first = lambda keys: pairs[keys] // size % size
+        second = lambda keys: pairs[keys] % size
+        three = np.flatnonzero(common[:-3] & common[1:-2])
+        four = common[three + 2]
+        edges, ends = three[four], three[~four]
+        if len(edges):
+            keys, n = np.unique(pair_no[edges] * len(pairs) + pair_no[edges + 2], return_counts=True)
+            left, right = keys // len(pairs), keys % len(pairs)
+            yield words.rows(pairs[left] // size // size, [first(left), second(left), first(right), second(right)], n)
+        if len(ends):
+            keys, n = np.unique(pair_no[ends] * size + ids[ends + 2], return_counts=True)
+            left = keys // size
+            yield words.rows(pairs[left] // size // size, [first(left), second(left), keys % size], n)
+
+    return _summed(_texts(docs).mapInArrow(_counted(count), GRAMS))
 
 
 def _first(c, n):

@@ -51,7 +51,7 @@ def found(df):
 
 def corpus(seed, docs):
     rnd = random.Random(seed)
-    vocab = ["The", "of", "é", "tea", "cup", "New", "York", "x y", "日本", "a", "-", "😀"]
+    vocab = ["The", "of", "Éa", "\x00", "a\u00a0b", "é", "tea", "cup", "New", "York", "x y", "日本", "a", "-", "😀"]
     fixed = ["new york tea cup of the day", "the the the the the", "a b c a b c a b c a b c a b c a b", " ".join(f"w{i}" for i in range(60))]
     rows = []
     for i in range(docs):
@@ -69,7 +69,7 @@ def test_against_all_counts(spark, monkeypatch):
     assert found(collocations(frame, 6, 80, 25)) == brute(rows, 6, 80, 25)
     monkeypatch.setattr(phrase_graph, "PAIR_BITS", 64)  # a map that is full changes nothing
     monkeypatch.setattr(phrase_graph, "SEGMENT", 4)
-    monkeypatch.setattr(phrase_graph, "HELD", 50)
+    monkeypatch.setattr(phrase_graph, "CHUNK_BYTES", 300)
     assert found(collocations(frame, 3, 50, 1000)) == brute(rows, 3, 50, 1000)
 
 
