@@ -344,15 +344,15 @@ TOP_SCHEMA = "id long, other_id long, jp long, jr long, sim double"
 
 
 class TopRows:
-    """Running best ``k`` streamed rows of each resident row, by similarity rounded to 6 places, then
+    """Running best ``k`` streamed rows of each resident row, by similarity rounded to ``places``, then
     corpus order.  A row's ``floor`` rises with its k-th hit; only rows of cells that can reach it count.
 
     ``may(block)`` gives the cells each resident may still meet (rows x cells, boolean); ``threshold``
     holds for the similarity before rounding.
     """
 
-    def __init__(self, kept: Block, k: int, may: np.ndarray, threshold: float | None = None):
-        self.a, self.k, self.may, self.threshold = kept, k, may, threshold
+    def __init__(self, kept: Block, k: int, may: np.ndarray, threshold: float | None = None, places: int = 6):
+        self.a, self.k, self.may, self.threshold, self.places = kept, k, may, threshold, places
         self.floor = kept.floor.copy()
         self.margin = single_margin(kept.v.shape[1]) + 1e-6
         self.parts, self.size = [], 0
@@ -376,7 +376,7 @@ class TopRows:
         if self.threshold is not None:
             hit = sim >= self.threshold
             i, j, sim = i[hit], j[hit], sim[hit]
-        self.parts.append((i, b.id[j], b.ipos[j], b.rpos[j], np.round(sim, 6)))
+        self.parts.append((i, b.id[j], b.ipos[j], b.rpos[j], np.round(sim, self.places)))
         self.size += len(i)
         if self.size > OUT_ROWS + 2 * self.k * len(self.a):
             self._cut()

@@ -1,9 +1,9 @@
 """2-D projection data for the scatter view (DIM-1 … DIM-4).
 
-t-SNE itself is a single-machine optimiser and is not built; the 2-D map is
-PCA (distributed Gramian), and large corpora use landmarks: a seeded,
-partition-independent sample whose coordinates are given, with every other
-point placed from its 5 nearest landmarks (inverse-distance weights).
+PCA (distributed Gramian) and landmarks: a seeded, partition-independent sample
+whose coordinates are given, with every other point placed from its 5 nearest
+landmarks (inverse-distance weights).  ``operators.layout2d`` computes landmark
+coordinates that keep neighbourhoods.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import prefix
+from corpuscope.operators.cells import TOP_SCHEMA, TopRows, resident_join
 from corpuscope.operators.similarity import unit_vectors
 
 
@@ -49,28 +50,45 @@ def landmark_place(corpus: DataFrame, landmarks: DataFrame, k: int = 5, vec: str
 
     Points are scored against the landmark matrix by matrix products inside
     ``mapInPandas``; nothing is shuffled and no pair leaves a task.  The matrix is
-    shipped to the tasks when its bytes fit ``broadcast_bytes``; a larger set is
-    dealt to parts that fit, and the parts' nearest are merged per point.
+    shipped to the tasks when its bytes fit ``broadcast_bytes``; a larger set streams
+    past tiles of points (``cells.resident_join``).
     """
     lm = unit_vectors(landmarks.select(F.col("phrase_id").alias("lm_id"), F.col(vec).alias("lv"), "x", "y"), "lv") \
         .select("lm_id", F.col("u").alias("lu"), "x", "y")
     pts = unit_vectors(corpus.select("phrase_id", vec), vec).select("phrase_id", "u") \
         .join(lm.select(F.col("lm_id").alias("phrase_id")), "phrase_id", "left_anti")
     n, dim = lm.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("lu")), F.lit(1))).first()
-    parts = max(1, -(-n * 8 * (dim + 3) // broadcast_bytes))
-    near = None
-    for i in range(parts):
-        own = lm.where(F.pmod(F.xxhash64("lm_id"), F.lit(parts)) == i).orderBy("lm_id").toPandas()
-        found = pts.mapInPandas(_nearest(own, k), "phrase_id long, lm_id long, x double, y double, dist double")
-        near = found if near is None else near.unionByName(found)
+    if n * 8 * (dim + 3) <= broadcast_bytes:
+        own = lm.orderBy("lm_id").toPandas()
+        near = pts.mapInPandas(_nearest(own, k), "phrase_id long, lm_id long, x double, y double, dist double")
+    else:
+        near = _nearest_streamed(pts, lm, k, dim, broadcast_bytes)
     w = 1.0 / (F.col("dist") + 1e-8)
-    if parts > 1:
-        order = Window.partitionBy("phrase_id").orderBy("dist", "lm_id")
-        near = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     return near.groupBy("phrase_id").agg((F.sum(w * F.col("x")) / F.sum(w)).alias("x"),
                                          (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
 
 
+def _nearest_streamed(pts: DataFrame, lm: DataFrame, k: int, dim: int, tile_bytes: int) -> DataFrame:
+    """The ``k`` nearest landmarks where these are too many to ship: tasks keep a tile of points and
+    stream their share of the landmarks past it."""
+    spark = pts.sparkSession
+    tiles = max(1, -(-pts.count() * (8 * dim + 32 + 40 * k) // tile_bytes))
+    shares = max(1, -(-4 * spark.sparkContext.defaultParallelism // tiles))
+    zero = [F.lit(0).alias("cell"), F.lit(0).alias("tile"), F.lit(-2.0).alias("floor")]
+    residents = pts.select(F.pmod(F.xxhash64("phrase_id"), F.lit(tiles)).cast("int").alias("q"),
+                           F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("h"), F.col("phrase_id").alias("id"),
+                           F.lit(0).cast("long").alias("ipos"), F.lit(0).cast("long").alias("rpos"), *zero, F.col("u").alias("v"))
+    streamed = lm.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("q"),
+                         F.pmod(F.xxhash64("lm_id"), F.lit(shares)).cast("int").alias("h"), F.col("lm_id").alias("id"),
+                         F.col("lm_id").alias("ipos"), F.lit(0).cast("long").alias("rpos"), *zero, F.col("lu").alias("v"))
+    found = resident_join(residents, streamed, dim, lambda kept: TopRows(kept, k, np.ones((len(kept), 1), bool), places=12),
+                          TOP_SCHEMA, min(4096, 2 * tiles * shares))
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "jp")
+    best = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    return best.select(F.col("id").alias("phrase_id"), F.col("other_id").alias("lm_id"), F.round(1 - F.col("sim"), 12).alias("dist")) \
+        .join(lm.select("lm_id", "x", "y"), "lm_id")
+
+
 def _nearest(landmarks: pd.DataFrame, k: int):
     """The ``k`` nearest of ``landmarks`` (sorted by id) for every point of a batch, in tiles."""
     def score(batches):

@@ -9,6 +9,7 @@ from corpuscope.functions.text import WORD_TOKEN
 from corpuscope.functions.vectors import to_double
 from corpuscope.operators import encode as E
 from corpuscope.operators import generate as G
+from corpuscope.operators import layout2d as L
 from corpuscope.operators import project2d as D
 from corpuscope.operators import search as S
 from corpuscope.operators import similarity as SIM
@@ -18,6 +19,7 @@ from corpuscope.plans.oracle_sql import (CENTROIDS, DOC_CORPUS, EMB_CORPUS, cos,
                                          strip)
 from corpuscope.plans.q_search import BANDS, DECISION_SQL, encoded, single_hits
 from corpuscope.plans.q_similarity import prepared_corpus, prepared_documents
+from corpuscope.session import materialize
 from corpuscope.sources.tables import table
 from corpuscope.streaming.history import recent
 
@@ -161,6 +163,48 @@ def q_pca_2d(spark, sf):
     return D.pca_2d(prepared_corpus(spark, sf))
 
 
+@register("pca_checks", f"""WITH {EMB_CORPUS},
+dims AS (SELECT unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM emb),
+spread AS (SELECT max(s) AS widest FROM (SELECT i, var_samp(x) AS s FROM dims GROUP BY i))
+SELECT (SELECT count(*) FROM emb) AS phrases, true AS uncorrelated, true AS first_is_widest,
+       (SELECT round(widest, 6) FROM spread) AS widest_input, true AS wider_than_inputs""")
+def q_pca_checks(spark, sf):
+    """What holds of the projection whatever its signs: uncorrelated coordinates, the first the widest,
+    and no input coordinate wider than it."""
+    corpus = prepared_corpus(spark, sf)
+    xy = D.pca_2d(corpus)
+    dims = corpus.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.var_samp(F.col("x").cast("double")).alias("s"))
+    return xy.agg(F.count(F.lit(1)).alias("phrases"), F.corr("x", "y").alias("c"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy")) \
+        .crossJoin(dims.agg(F.max("s").alias("widest"))).select(
+            "phrases", (F.abs("c") < 1e-6).alias("uncorrelated"), (F.col("vx") >= F.col("vy")).alias("first_is_widest"),
+            F.round("widest", 6).alias("widest_input"), (F.col("vx") >= F.col("widest")).alias("wider_than_inputs"))
+
+
+@register("layout_checks", f"""WITH {EMB_CORPUS}
+SELECT count(*) AS phrases, count(DISTINCT phrase_id) AS ids, true AS centred, true AS finite, true AS keeps_more_neighbours FROM emb""")
+def q_layout_checks(spark, sf):
+    """The neighbour layout of the whole corpus, 400 landmarks: every phrase once, landmarks centred, and
+    more neighbours kept than by PCA on the same landmarks."""
+    corpus = prepared_corpus(spark, sf)
+    landmarks = materialize(D.landmark_sample(corpus, 400).select("phrase_id", "intent", "intent_pos", "row_pos", "phrase", "embedding"),
+                            "landmarks")
+    xy, graph = L.neighbour_layout(landmarks)
+    kept, kept_pca = L.neighbours_kept(graph, xy), L.neighbours_kept(graph, D.pca_2d(landmarks).select("phrase_id", "x", "y"))
+    placed = D.landmark_place(corpus, landmarks.select("phrase_id", "embedding").join(xy, "phrase_id"))
+    every = xy.unionByName(placed.select("phrase_id", "x", "y"))
+    centre = xy.agg((F.abs(F.avg("x")) + F.abs(F.avg("y")) < 1e-6).alias("centred"))
+    return every.agg(F.count(F.lit(1)).alias("phrases"), F.count_distinct("phrase_id").alias("ids"),
+                     (F.count_if(F.isnan("x") | F.isnan("y") | F.col("x").isNull() | F.col("y").isNull()) == 0).alias("finite")) \
+        .crossJoin(centre).withColumn("keeps_more_neighbours", F.lit(kept > kept_pca)) \
+        .select("phrases", "ids", "centred", "finite", "keeps_more_neighbours")
+
+
+@register("layout_2d")
+def q_layout_2d(spark, sf):
+    """No SQL: coordinates of an iteration; ``layout_checks`` holds what must be true of them."""
+    return L.layout_2d(prepared_corpus(spark, sf))
+
+
 @register("landmark_sample", f"""WITH {EMB_CORPUS}
 SELECT phrase_id, intent FROM emb ORDER BY md5(CAST(phrase_id AS VARCHAR) || ':42'), phrase_id LIMIT 5000""")
 def q_landmark_sample(spark, sf):
