@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm import hyperminhash as hmh
-from corpuscope.llm.common import lookup, materialize, whole_text
+from corpuscope.llm.common import fresh, lookup, materialize, whole_text
 from corpuscope.llm.components import connected_components
 from corpuscope.llm.shingles import WORDS, shingle_sets
 
@@ -315,14 +315,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     that repeat its id and text are the same document and stay (exact
     deduplication removes them).  Texts without words all stay.
     """
+    (key,) = fresh(docs, "drop_key")
     rows = materialize(_grouped(docs, id_col, text_col, threshold, k), "near-groups").filter("comp IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_md5").alias("md5"))
     firsts = rows.groupBy("comp").agg(F.min(order).alias("first"))
     losers = materialize(
         rows.join(firsts, "comp")
         .filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_md5") == F.col("first.md5"))))
-        .select(F.struct("doc_id", "text_md5").alias("drop_key")).distinct(), "near-losers")
+        .select(F.struct("doc_id", "text_md5").alias(key)).distinct(), "near-losers")
     gone = F.broadcast(losers) if losers.count() <= 200_000 else losers
     body = whole_text(text_col).cast("binary")
-    same = F.struct(F.col(id_col).alias("doc_id"), F.md5(body).alias("text_md5")).eqNullSafe(F.col("drop_key"))
+    same = F.struct(F.col(id_col).alias("doc_id"), F.md5(body).alias("text_md5")).eqNullSafe(F.col(key))
     return docs.join(gone, same, "left_anti")

@@ -147,3 +147,12 @@ def test_components_of_paths_and_stars(spark, monkeypatch, one_partition):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{j: 1 for j in range(1, 60)}, 300: 300, 301: 300}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_clashing_helper_names(spark):
+    from corpuscope.llm.near_dedup import drop_near_duplicates
+
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, words, "a", 1), (2, words + " more", "b", 2), (3, "other text", None, None)],
+                                 "doc_id long, text string, Drop_Key string, COMP int")
+    assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 3]

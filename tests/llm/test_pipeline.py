@@ -61,3 +61,17 @@ def test_entry_has_all_queries():
     assert set(entry.oracle_sql()) <= names
 
 
+
+
+def test_stages_on_nulls_clashing_columns_and_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("Drop_Key", F.lit("x")).withColumn("RID", F.col("doc_id"))
+    odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    for start in (docs.unionByName(odd), docs.where("false")):
+        out = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = materialize(stage(spark, out, SF), "test-odd")
+            assert out.columns == start.columns
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+        assert bool(pieces) == bool(start.limit(1).count())
