@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from corpuscope.llm.common import materialize, whole_text
+from corpuscope.llm.common import fresh, materialize, whole_text
 from corpuscope.llm.token_ids import encoder
 
 CAPACITY = 4096
@@ -153,23 +153,28 @@ def slots(groups: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, in
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with ``length`` up to ``capacity``) with ``sequence_id`` and ``offset`` (long)."""
+    """``pieces`` (with ``length`` up to ``capacity``) with ``sequence_id`` and ``offset`` (long), which replace columns of
+    those names; other columns pass whatever their names."""
     spark = pieces.sparkSession
-    stored = materialize(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    salted = stored.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(CHUNKS)).cast("int"))
-    counts = materialize(salted.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    rid, chunk, own, rank = fresh(pieces, "rid", "chunk", "own", "rank")
+    slot = dict(zip(("length", "lo", "hi", "first", "copies", "base"),
+                    fresh(pieces, "slot_length", "slot_lo", "slot_hi", "slot_first", "slot_copies", "slot_base")))
+    stored = materialize(pieces.withColumn(rid, F.monotonically_increasing_id()), "pieces")
+    salted = stored.withColumn(chunk, F.pmod(F.xxhash64(rid), F.lit(CHUNKS)).cast("int"))
+    counts = materialize(salted.groupBy("length", chunk).agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    table = spark.createDataFrame(slots(plan(histogram, capacity)), "length long, lo long, hi long, first long, copies long, base long")
-    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("chunk_start"))
-    ranked = (salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "chunk").orderBy("rid")) - 1)
-              .join(starts, ["length", "chunk"]).withColumn("rank", F.col("chunk_start") + F.col("own")))
-    at = F.col("rank") - F.col("lo")
-    return (ranked.join(F.broadcast(table.withColumnRenamed("length", "slot_length")),
-                        F.expr("length = slot_length AND rank >= lo AND rank < hi"))
-            .withColumn("sequence_id", F.expr("first + (rank - lo) DIV copies"))
-            .withColumn("offset", F.col("base") + at % F.col("copies") * F.col("length"))
-            .select(*pieces.columns, "sequence_id", "offset"))
+    table = spark.createDataFrame(slots(plan(histogram, capacity)), ", ".join(f"{name} long" for name in slot.values()))
+    before = Window.partitionBy("length").orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    (start,) = fresh(pieces, "chunk_start")
+    starts = counts.select("length", chunk, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    ranked = (salted.withColumn(own, F.row_number().over(Window.partitionBy("length", chunk).orderBy(rid)) - 1)
+              .join(starts, ["length", chunk]).withColumn(rank, F.col(start) + F.col(own)))
+    at = F.col(rank) - F.col(slot["lo"])
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    return (ranked.join(F.broadcast(table), (F.col("length") == F.col(slot["length"])) & (F.col(rank) >= F.col(slot["lo"]))
+                        & (F.col(rank) < F.col(slot["hi"])))
+            .select(*kept, (F.col(slot["first"]) + F.expr(f"(`{rank}` - `{slot['lo']}`) DIV `{slot['copies']}`")).alias("sequence_id"),
+                    (F.col(slot["base"]) + at % F.col(slot["copies"]) * F.col("length")).alias("offset")))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id",

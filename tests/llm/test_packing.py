@@ -86,3 +86,13 @@ def test_sequences_of_documents(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], SCHEMA), tokenizer_path(), 1).collect() == []
+
+
+def test_columns_with_names_of_helpers(spark):
+    from corpuscope.llm.packing import pack
+
+    rows = [(10, f"r{i}", i, i, -i, 0.5, i, i) for i in range(7)]
+    pieces = spark.createDataFrame(rows, "length long, RID string, chunk int, own int, rank int, lo double, first int, offset int")
+    got = pack(pieces, 30).collect()
+    assert sorted((r.RID, r.chunk, r.own, r["rank"], r.lo, r["first"]) for r in got) == sorted((r[1], r[2], r[3], r[4], r[5], r[6]) for r in rows)
+    assert len({(r.sequence_id, r.offset) for r in got}) == 7 and len({r.sequence_id for r in got}) == 3
