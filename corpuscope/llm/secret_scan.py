@@ -85,6 +85,10 @@ def embedded_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     return random.unionByName(plain)
 
 
+#: Matches in one block of running sums.
+BLOCK = 512
+
+
 @dataclass(frozen=True)
 class MarkovModel:
     """Log-likelihood ratios of all transitions (row-major over ALPHABET) and the thresholds of the means."""
@@ -152,20 +156,49 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> MarkovModel:
     return MarkovModel(ratios, round((edge.low + edge.high) / 2, 4), round((embedded.low + embedded.high) / 2, 4))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _sums_before(sizes: Column) -> Column:
+    """For each of ``sizes`` the sum of those before it.
+
+    Sums are listed within blocks of ``BLOCK``, and over the sums of the blocks, so that lists that grow
+    element by element stay short: the work follows the number of sizes.
+    """
+    def running(values, first):
+        step = lambda s, v: F.struct((s["at"] + v).alias("at"), F.concat(s["list"], F.array(s["at"])).alias("list"))
+        start = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("list"))
+        return F.aggregate(values, start, step, lambda s: s["list"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(sizes) / BLOCK).cast("int") - 1),
+                         lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(held):
+        sums = F.transform(held, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, v: s + v))
+        return F.flatten(F.zip_with(held, running(sums, F.lit(0).cast("bigint")), running))
+
+    return _once(blocks, joined)
+
+
 def _span_list(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
     """``array<struct<start, kind_order, end, kind>>`` of the leftmost non-overlapping matches."""
     values = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in sorted({0, group})]
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("before"), values[0].alias("found"), values[-1].alias("value"))
-
-    def step(state, x):
-        start = state["at"] + F.length(x["before"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind_order"), end.alias("end"), F.lit(kind).alias("kind"))
-        found = F.when(F.length(x["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.when(x["found"].isNull(), state).otherwise(F.struct(end.alias("at"), found.alias("spans")))
-
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("spans"))
-    return F.aggregate(zipped, start, step, lambda s: s["spans"])
+    zipped = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("before"), values[0].alias("found"), values[-1].alias("value")),
+                      lambda x: x["found"].isNotNull())
+
+    def spans(matches):
+        sizes = F.transform(matches, lambda x: (F.length(x["before"]) + F.length(x["found"])).cast("bigint"))
+        placed = _once(sizes, lambda s: F.zip_with(matches, _sums_before(s), lambda x, at: F.struct(
+            (at + F.length(x["before"])).cast("int").alias("start"), F.lit(order).alias("kind_order"),
+            (at + F.length(x["before"]) + F.length(x["found"])).cast("int").alias("end"), F.lit(kind).alias("kind"),
+            F.length(x["value"]).alias("size"))))
+        long = F.filter(placed, lambda x: x["size"] >= least)
+        return F.transform(long, lambda x: F.struct(x["start"].alias("start"), x["kind_order"].alias("kind_order"),
+                                                    x["end"].alias("end"), x["kind"].alias("kind")))
+
+    return _once(zipped, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(_no_spans()))
 
 
 def _no_spans() -> Column:

@@ -94,3 +94,16 @@ def test_a_long_run_is_scored_in_linear_time(spark, model):
 
 def test_empty_table(spark, model):
     assert secret_scan(spark.createDataFrame([], SCHEMA), model).collect() == []
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    text = "token=abcdefgh " * 200_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = train(labelled_samples(spark))
+    began = time.time()
+    row = secret_scan(docs, model).select("n_assign", "base_sha256").first()
+    assert row.n_assign == 200_000 and time.time() - began < 120
+    want = ",".join(f"assign:{15 * i}:{15 * i + 14}" for i in range(200_000))
+    assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
