@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
 #: Words whose ids a worker keeps in each of two generations; the older one is dropped when the newer is full.
 KEPT_WORDS = 500_000
+#: Longest word, in bytes, that is kept beyond the texts it is met in.
+KEPT_BYTES = 64
 #: Bytes of text encoded together.
 CHUNK_BYTES = 4 << 20
 
@@ -46,6 +49,7 @@ class WordEncoder:
             self.ends[i] = token.endswith("</w>")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []  # words of the present texts that are not kept
 
     def _encode(self, words: list[bytes]) -> None:
         """Make the ids of ``words`` known.
@@ -120,7 +124,13 @@ class WordEncoder:
             self.old, self.young = self.young, {}
             missing = words
         if missing:
+            held = len(self.young)
             self._learn(missing)
+            if len(self.young) > held:
+                self.long = [w for w in islice(reversed(self.young), len(self.young) - held) if len(w) > KEPT_BYTES]
         known = self.young
         for t in texts:
             yield b"".join([known[w] for w in t])
+        for w in self.long:
+            del known[w]
+        self.long = []

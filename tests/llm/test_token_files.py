@@ -91,3 +91,20 @@ def test_query_on_odd_rows_and_documents(spark):
 
 def test_empty_table(spark):
     assert read_token_files(write_token_files(spark.createDataFrame([], SCHEMA), tokenizer_path(), 2)).collect() == []
+
+
+def test_long_words_are_not_kept():
+    import base64
+    import random
+
+    from corpuscope.llm.queries_files import tokenizer_path
+    from corpuscope.llm.token_ids import KEPT_BYTES, WordEncoder
+
+    rnd = random.Random(6)
+    word = lambda: base64.b64encode(rnd.randbytes(15_000)).rstrip(b"=").decode()
+    texts = [f"Start {word()} middle, {word()}." for _ in range(100)] + ["plain words stay."]
+    coder = WordEncoder(tokenizer_path())
+    got = list(coder.encode([t.encode() for t in texts]))
+    assert [np.frombuffer(g, coder.dtype).tolist() for g in got] == [
+        e.ids for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert coder.young and all(len(w) <= KEPT_BYTES for w in [*coder.young, *coder.old])
