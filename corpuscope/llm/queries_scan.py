@@ -25,7 +25,7 @@ def op4_secret_scan(spark, sf_dir):
 URL_RULES = [Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"),
              Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 #: Globs that block a URL which no domain rule decides.
-URL_GLOBS = ["*ads-track*/*", "*cheap-pills*/*", "*adult*/*", "*casino*/*"]
+URL_GLOBS = ["*ads-track*/*", "*cheap-pills*/*", "*adult*/*", "*casino*/*", "*ads-track*", "*cheap-pills*", "*adult*", "*casino*"]
 
 OP9_SQL = r"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS raw_host,
@@ -36,9 +36,9 @@ rules(verdict, r_host, r_path) AS (VALUES ('allow', 'com', '/'), ('block', 'exam
 j AS (SELECT h.*, r_host || r_path AS rule, verdict,
              row_number() OVER (PARTITION BY rid ORDER BY length(r_host || r_path) DESC NULLS LAST) AS rn
       FROM h LEFT JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)),
-g AS (SELECT *, CASE WHEN path LIKE '/%' THEN CASE
-        WHEN contains(host, 'ads-track') THEN '*ads-track*/*' WHEN contains(host, 'cheap-pills') THEN '*cheap-pills*/*'
-        WHEN contains(host, 'adult') THEN '*adult*/*' WHEN contains(host, 'casino') THEN '*casino*/*' END END AS block_glob
+g AS (SELECT *, CASE WHEN contains(host, 'ads-track') THEN '*ads-track*' WHEN contains(host, 'cheap-pills') THEN '*cheap-pills*'
+        WHEN contains(host, 'adult') THEN '*adult*' WHEN contains(host, 'casino') THEN '*casino*' END
+        || CASE WHEN path LIKE '/%' THEN '/*' ELSE '' END AS block_glob
       FROM j WHERE rn = 1)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN block_glob IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, block_glob
 FROM g"""
