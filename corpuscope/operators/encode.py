@@ -26,8 +26,8 @@ from corpuscope.functions.text import WORD_TOKEN
 from corpuscope.functions.vectors import l2_normalise, norm
 
 
-def _densify_udf(dim: int):
-    """Signed bucket codes (b ≥ 0 for +1, -(b+1) for -1) → L2-normalised dense vectors.
+def _densify_udf(dim: int, normalize: bool = True):
+    """Signed bucket codes (b ≥ 0 for +1, -(b+1) for -1) → dense vectors, L2-normalised or as counted.
 
     Vectorised over the whole Arrow batch: one ``np.add.at`` scatter, no
     per-row Python loop.
@@ -42,9 +42,10 @@ def _densify_udf(dim: int):
             rows = np.repeat(np.arange(n), lens)
             pos = flat >= 0
             np.add.at(mat, (rows, np.where(pos, flat, -flat - 1)), np.where(pos, 1.0, -1.0))
-        nrm = np.sqrt((mat * mat).sum(axis=1))
-        nrm[nrm == 0] = 1.0
-        mat /= nrm[:, None]
+        if normalize:
+            nrm = np.sqrt((mat * mat).sum(axis=1))
+            nrm[nrm == 0] = 1.0
+            mat /= nrm[:, None]
         return pd.Series(list(mat))
     return densify
 
@@ -73,15 +74,15 @@ class HashingEncoder:
             return F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, b).otherwise(-b - 1)
         return F.transform(toks, code)
 
-    def column(self, text) -> Column:
+    def column(self, text, normalize: bool = True) -> Column:
         text = F.col(text) if isinstance(text, str) else text
-        return _densify_udf(self.dim)(self.codes(text))
+        return _densify_udf(self.dim, normalize)(self.codes(text))
 
     def encode(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return df.select(id_col, self.column(text_col).alias("embedding"))
 
 
-def _pandas_encoder(factory: Callable[[], Callable], dim: int | None):
+def _pandas_encoder(factory: Callable[[], Callable], batch_size: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = factory()           # built once per Python worker
@@ -89,19 +90,23 @@ def _pandas_encoder(factory: Callable[[], Callable], dim: int | None):
             if len(texts) == 0:
                 yield pd.Series([], dtype=object)
                 continue
-            mat = np.asarray(model(texts.fillna("").tolist()), dtype=np.float64)
-            yield pd.Series(list(mat))
+            held = texts.fillna("").tolist()
+            parts = [np.asarray(model(held[i:i + batch_size]), dtype=np.float64) for i in range(0, len(held), batch_size)]
+            yield pd.Series([row for part in parts for row in part])
     return enc
 
 
 def encode(df: DataFrame, text_col: str = "phrase", id_col: str = "phrase_id", encoder=None,
-           normalize: bool = True) -> DataFrame:
+           normalize: bool = True, batch_size: int = 32) -> DataFrame:
     """EMB-1: ``df`` + ``embedding``.  ``encoder`` is a ``HashingEncoder`` or a
-    zero-argument factory returning ``f(list[str]) -> array (n, d)``."""
+    zero-argument factory returning ``f(list[str]) -> array (n, d)``, which is given
+    ``batch_size`` texts at a time."""
     encoder = encoder or HashingEncoder()
+    if batch_size < 1:
+        raise ValueError("batch_size must be positive")
     if isinstance(encoder, HashingEncoder):
-        return df.withColumn("embedding", encoder.column(text_col))
-    out = df.withColumn("embedding", _pandas_encoder(encoder, None)(F.col(text_col)))
+        return df.withColumn("embedding", encoder.column(text_col, normalize))
+    out = df.withColumn("embedding", _pandas_encoder(encoder, batch_size)(F.col(text_col)))
     if normalize:
         out = out.withColumn("_n", norm("embedding")).withColumn(
             "embedding", l2_normalise("embedding", "_n")).drop("_n")

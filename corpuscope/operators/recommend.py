@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import bands as B
 from corpuscope.functions.text import truncate
 from corpuscope.operators.keywords import keyword_overlap, phrase_keywords
+from corpuscope.operators.textstore import TextStore, keywords_once, text_digest
 
 ACTION_COLS = ["priority", "action", "reason", "impact", "common_keywords", "suggested_fix"]
 
@@ -74,17 +75,23 @@ def all_actions(pairs: DataFrame, terms: DataFrame, conflicts: DataFrame, bands:
     return u.withColumn("seq", F.row_number().over(w)).select("seq", *ACTION_COLS)
 
 
-def phrase_actions(conflicts: DataFrame, corpus: DataFrame, bands: B.Bands = B.DEFAULT) -> DataFrame:
+def phrase_actions(conflicts: DataFrame, corpus: DataFrame, bands: B.Bands = B.DEFAULT, store: TextStore | None = None) -> DataFrame:
     """REC-4 + PF-11 + KW-7: one recommendation per conflict.
 
-    Keywords are extracted once per phrase taking part in a conflict (KW-7)
-    and joined to both sides by id.
+    Keywords are extracted once per distinct text taking part in a conflict (KW-7)
+    and joined to both sides by id; with ``store`` (``textstore.shared_store``) they are
+    kept for later runs.
     Set-valued outputs are sorted (T-17).
     """
     # keywords only for phrases that take part in a conflict, not for the whole corpus
     ids = conflicts.select("phrase_id").union(conflicts.select(F.col("other_id").alias("phrase_id"))).distinct()
     involved = corpus.select("phrase_id", "phrase").join(ids, "phrase_id", "left_semi")
-    kw = phrase_keywords(involved).select("phrase_id", "keywords")
+    if store is not None:
+        kw = keywords_once(involved, store).select("phrase_id", "keywords")
+    else:
+        keyed = involved.select("phrase_id", "phrase", text_digest("phrase").alias("_h"))
+        texts = phrase_keywords(keyed.groupBy("_h").agg(F.any_value("phrase").alias("phrase"))).select("_h", "keywords")
+        kw = keyed.select("phrase_id", "_h").join(texts, "_h").select("phrase_id", "keywords")
     a = kw.select("phrase_id", F.col("keywords").alias("ka"))
     b = kw.select(F.col("phrase_id").alias("other_id"), F.col("keywords").alias("kb"))
     j = conflicts.join(a, "phrase_id").join(b, "other_id")

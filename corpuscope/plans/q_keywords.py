@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import keywords as K
 from corpuscope.operators import similarity as S
+from corpuscope.operators.textstore import keywords_once, shared_store
 from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, CONV_CORPUS, DOC_CORPUS, EMB_CORPUS, PAIRS, keywords_sql,
@@ -31,6 +32,17 @@ def q_keywords(spark, sf):
                     F.size("keywords").cast("bigint").alias("n_keywords"))
 
 
+@register("keywords_stored", f"""WITH {DOC_CORPUS}
+SELECT phrase_id, array_to_string({keywords_sql('phrase')}, ' ') AS keywords, 0::BIGINT AS computed_again FROM doc""")
+def q_keywords_stored(spark, sf):
+    """KW-7: keywords from the store, after an earlier run over the same corpus; the second run computes none."""
+    corpus, store, again = prepared_documents(spark, sf), shared_store(spark, "keywords-multi", "array<string>"), {}
+    keywords_once(corpus, store)
+    k = keywords_once(corpus, store, stats=again)
+    return k.select("phrase_id", F.array_join("keywords", " ").alias("keywords"),
+                    F.lit(again["computed"]).cast("long").alias("computed_again"))
+
+
 @register("keywords_ascii", f"""WITH {DOC_CORPUS}
 SELECT phrase_id, array_to_string({keywords_sql('phrase', 'ascii')}, ' ') AS keywords,
        CAST(len({keywords_sql('phrase', 'ascii')}) AS BIGINT) AS n_keywords FROM doc""")

@@ -13,6 +13,7 @@ from corpuscope.operators import layout2d as L
 from corpuscope.operators import project2d as D
 from corpuscope.operators import search as S
 from corpuscope.operators import similarity as SIM
+from corpuscope.operators.textstore import encode_once, shared_store
 from corpuscope.plans import params as P
 from corpuscope.plans.catalog import register
 from corpuscope.plans.oracle_sql import (CENTROIDS, DOC_CORPUS, EMB_CORPUS, cos, hash_vectors, search_hits_sql,
@@ -133,6 +134,15 @@ def q_encode_hashing(spark, sf):
     return _long(corpus).where(F.col("value") != 0)
 
 
+@register("encode_stored", f"""WITH {DOC_CORPUS}, {hash_vectors('dv', 'doc', 'phrase_id', 'phrase')}
+SELECT w.id AS phrase_id, CAST(w.b AS BIGINT) AS dim, round(w.w / n.nv, 6) AS value
+FROM dv_w w JOIN dv_n n ON n.id = w.id WHERE w.w <> 0""")
+def q_encode_stored(spark, sf):
+    """EMB-1 / KW-7: vectors from the store, each distinct text encoded once."""
+    store = shared_store(spark, f"hashing-{P.ENCODE_DIM}-unit", "array<double>")
+    return _long(encode_once(prepared_documents(spark, sf), store, E.HashingEncoder(P.ENCODE_DIM))).where(F.col("value") != 0)
+
+
 @register("search_summary", DECISION_SQL + f""",
 st AS (SELECT query_id, count(*) AS total, count(DISTINCT intent) AS ui FROM shown GROUP BY ALL)
 SELECT q.query_id, substr(q.query, 1, 100) AS query, CAST({P.SEARCH_T} AS DOUBLE) AS threshold,

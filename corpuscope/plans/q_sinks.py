@@ -12,14 +12,15 @@ from corpuscope.operators import recommend as R
 from corpuscope.operators import search as S
 from corpuscope.operators import similarity as SIM
 from corpuscope.plans import params as P
-from corpuscope.plans.catalog import register
+from corpuscope.plans.catalog import ORACLE, register
 from corpuscope.plans.oracle_sql import CENTROIDS, CONFLICT_PAIRS, DOC_CORPUS, EMB_CORPUS, PAIRS, keywords_sql, match_type_sql
-from corpuscope.plans.q_recommend import BASE, analysis
-from corpuscope.plans.q_search import BANDS, SINGLE_SQL, single_hits
+from corpuscope.plans.q_recommend import BASE, analysis, q_phrase_actions, q_priority_actions
+from corpuscope.plans.q_search import BANDS, BATCH_SQL, SINGLE_SQL, batch_hits, single_hits
 from corpuscope.plans.q_similarity import prepared_documents
 from corpuscope.session import checkpoint_dir
 from corpuscope.sinks import files as SK
 from corpuscope.sources.csv_intents import csv_corpus
+from corpuscope.streaming import history as HI
 
 
 def _folder(spark, name: str) -> str:
@@ -103,16 +104,79 @@ def q_search_json(spark, sf):
 
 
 @register("project_round_trip", f"""WITH {EMB_CORPUS}, {CENTROIDS}, {PAIRS}
-SELECT 'corpus' AS part, count(*) AS n_rows FROM emb UNION ALL SELECT 'pairs', count(*) FROM pairs
-UNION ALL SELECT '_meta', 1""")
+SELECT 'corpus' AS part, intent AS a, phrase AS b, CAST(phrase_id AS DOUBLE) AS value FROM emb UNION ALL
+SELECT 'pairs', intent_a, intent_b, round(sim, 6) FROM pairs UNION ALL SELECT '_meta', '2', NULL, NULL""")
 def q_project_round_trip(spark, sf):
     """SNK-14 / SRC-6: a second save replaces the first, parts of the first save do not come back."""
     corpus, pairs, conflicts = analysis(spark, sf)
     root = _folder(spark, "projects")
     SK.save_project(root, "p", {"corpus": corpus, "conflicts": conflicts}, {"saved_at": "1"})
     SK.save_project(root, "p", {"corpus": SK.load_project(spark, root, "p")["corpus"], "pairs": pairs}, {"saved_at": "2"})
-    out = None
-    for part, df in sorted(SK.load_project(spark, root, "p").items()):
-        rows = df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n_rows"))
+    null, out = F.lit(None), None
+    shown = {"corpus": ("intent", "phrase", F.col("phrase_id").cast("double")), "pairs": ("intent_a", "intent_b", F.round("sim", 6)),
+             "_meta": ("saved_at", null.cast("string"), null.cast("double"))}
+    for part, df in SK.load_project(spark, root, "p").items():
+        a, b, value = shown[part]
+        rows = df.select(F.lit(part).alias("part"), F.col(a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b"),
+                         value.alias("value"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def _csv_back(spark, df, name):
+    """A named output written in its order and read back with its own types."""
+    path = SK.write_named_csv(df, _folder(spark, "csv"), name)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).schema(df.schema).csv(path)
+
+
+@register("exact_duplicates_csv", f"""WITH {DOC_CORPUS}
+SELECT a.phrase_id, b.phrase_id AS other_id, a.phrase FROM doc a JOIN doc b ON a.phrase = b.phrase AND a.intent_pos < b.intent_pos""")
+def q_exact_duplicates_csv(spark, sf):
+    """SNK-2: every pair of equal texts."""
+    rows = SIM.exact_duplicates(prepared_documents(spark, sf))
+    cols = rows.select("phrase_id", "intent", "phrase", "other_id", "other_intent", "intent_pos", "row_pos", "other_pos", "other_row")
+    return _csv_back(spark, cols, "exact_duplicates").select("phrase_id", "other_id", "phrase")
+
+
+@register("search_results_csv", SINGLE_SQL + """
+SELECT query_id, rank, phrase_id, intent, sim, phrase FROM shown""")
+def q_search_results_csv(spark, sf):
+    """SNK-7: the results of every query."""
+    rows = S.result_table(single_hits(spark, sf), BANDS).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "phrase_id", "intent", "sim", "phrase", "match_type")
+    return _csv_back(spark, rows, "search_results").drop("match_type")
+
+
+@register("search_history_csv", BATCH_SQL + f"""
+SELECT 0::BIGINT AS batch, query_id AS seq, query, {P.SEARCH_T}::DOUBLE AS threshold, matches_found AS results, top_similarity,
+       coalesce(recommended_intent, 'N/A') AS recommended_intent FROM audit2""")
+def q_search_history_csv(spark, sf):
+    """SNK-17, SNK-8: a batch audit appended to the log twice (a replay), the log as a CSV."""
+    hits, q = batch_hits(spark, sf)
+    audit = S.batch_audit(hits, q, BANDS).withColumn("query", F.substring("query", 1, 80))
+    records, path = HI.history_records(audit, P.SEARCH_T, "2024-01-01 00:00:00"), _folder(spark, "history")
+    for _ in range(2):
+        HI.append_batch(records, path, 0)
+    return _csv_back(spark, HI.read_history(spark, path), "search_history").drop("timestamp")
+
+
+@register("batch_audit_csv", BATCH_SQL + """
+SELECT query_id, query, recommended_intent, top_similarity, matches_found, action FROM audit2""")
+def q_batch_audit_csv(spark, sf):
+    """SNK-9: one row per query."""
+    hits, q = batch_hits(spark, sf)
+    rows = S.batch_audit(hits, q, BANDS).select("query_id", F.substring("query", 1, 80).alias("query"), "recommended_intent",
+                                                "top_similarity", "matches_found", "action")
+    return _csv_back(spark, rows, "batch_audit")
+
+
+@register("priority_actions_csv", ORACLE["priority_actions"])
+def q_priority_actions_csv(spark, sf):
+    """SNK-4: the list of actions."""
+    return _csv_back(spark, q_priority_actions(spark, sf), "priority_actions")
+
+
+@register("phrase_actions_csv", ORACLE["phrase_actions"])
+def q_phrase_actions_csv(spark, sf):
+    """SNK-5: one line per conflict."""
+    return _csv_back(spark, q_phrase_actions(spark, sf), "phrase_actions")

@@ -8,6 +8,7 @@ pickled projects become one Parquet table per part.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -20,7 +21,8 @@ def write_csv(df: DataFrame, path: str, order: list | None = None, single_file:
     out = df.orderBy(*order) if order else df
     if single_file:
         out = out.coalesce(1)   # only for small, bounded outputs (display-sized reports)
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))  # cells as they are
     return path
 
 
@@ -114,39 +116,107 @@ def write_report(lines: DataFrame, path: str) -> str:
 # ---------------------------------------------------------------------------
 # project snapshots (SNK-14 … SNK-16, SRC-6, AGG-23)
 # ---------------------------------------------------------------------------
+#
+# project=<name>/data/<save>/<part>        one Parquet table per part
+# project=<name>/manifests/<number>.json   name, folder of each part; written last
+#
+# A project is what its newest complete manifest lists.  Tables are written to new
+# folders first, and the manifest is moved into place as a whole, so a save that
+# stops half way leaves the project as it was.  Folders that neither of the two
+# newest manifests lists are removed after the next save.
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _base(root: str, name: str) -> str:
+    return os.path.join(root, f"project={name}")
+
+
+def _manifests(spark: SparkSession, base: str) -> list[tuple[int, dict[str, str]]]:
+    """(number, part folders) of the complete manifests, newest first."""
+    out = []
+    for file in _children(spark, os.path.join(base, "manifests")):
+        number = file.removesuffix(".json")
+        if not number.isdigit():
+            continue  # being written when its save stopped
+        p, fs = _fs(spark, os.path.join(base, "manifests", file))
+        stream = fs.open(p)
+        try:
+            text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        out.append((int(number), json.loads(text)))
+    return sorted(out, key=lambda m: m[0], reverse=True)
+
+
+def _publish(spark: SparkSession, base: str, parts: dict[str, str]) -> None:
+    """Write the next manifest aside and move it into place."""
+    held = _manifests(spark, base)
+    number = held[0][0] + 1 if held else 1
+    aside, fs = _fs(spark, os.path.join(base, "manifests", f"_writing-{uuid.uuid4().hex[:12]}"))
+    stream = fs.create(aside, False)
+    stream.write(bytearray(json.dumps(parts, sort_keys=True).encode()))
+    stream.close()
+    final, _ = _fs(spark, os.path.join(base, "manifests", f"{number:012d}.json"))
+    if not fs.rename(aside, final):
+        raise OSError(f"another save published {final.toString()} first")
+
+
+def _clean(spark: SparkSession, base: str) -> None:
+    """Remove manifests older than the two newest, and folders that those do not list."""
+    held = _manifests(spark, base)
+    for number, _ in held[2:]:
+        p, fs = _fs(spark, os.path.join(base, "manifests", f"{number:012d}.json"))
+        fs.delete(p, False)
+    listed = {folder.split("/")[1] for _, parts in held[:2] for folder in parts.values()}
+    for save in _children(spark, os.path.join(base, "data")):
+        if save not in listed:
+            p, fs = _fs(spark, os.path.join(base, "data", save))
+            fs.delete(p, True)
+
+
+def _write_parts(base: str, parts: dict[str, DataFrame]) -> dict[str, str]:
+    save = f"data/{uuid.uuid4().hex[:12]}"
+    for part, df in parts.items():
+        df.write.parquet(os.path.join(base, save, part))
+    return {part: f"{save}/{part}" for part in parts}
+
 
 def save_project(root: str, name: str, parts: dict[str, DataFrame], meta: dict[str, str]) -> str:
     """SNK-14: one Parquet table per part plus a one-row ``_meta`` table.
 
-    Saving replaces the whole project.  The new one is written aside first, so
-    parts may be read from the project that they replace.
+    Saving replaces the whole project as one step; parts may be read from the project that
+    they replace.  Two saves at once do not mix: one of them fails.
     """
-    base, aside = os.path.join(root, f"project={name}"), os.path.join(root, f"_saving-{uuid.uuid4().hex[:12]}")
-    for part, df in parts.items():
-        df.write.mode("overwrite").parquet(os.path.join(aside, part))
+    base = _base(root, name)
     spark = next(iter(parts.values())).sparkSession if parts else SparkSession.getActiveSession()
-    spark.createDataFrame([tuple(meta.values())], ", ".join(f"{k} string" for k in meta)) \
-        .write.mode("overwrite").parquet(os.path.join(aside, "_meta"))
-    delete_project(spark, root, name)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(aside).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(path(aside), path(base)):
-        raise OSError(f"project {name} could not be moved to {base}")
+    meta_row = spark.createDataFrame([tuple(meta.values())], ", ".join(f"{k} string" for k in meta))
+    folders = _write_parts(base, {**parts, "_meta": meta_row})
+    _publish(spark, base, folders)
+    _clean(spark, base)
     return base
 
 
 def load_project(spark: SparkSession, root: str, name: str, schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """SRC-6: read every saved part, whatever its name; a missing optional part is
-    an empty frame with the given schema."""
-    base = os.path.join(root, f"project={name}")
-    if not _exists(spark, base):
+    """SRC-6: read every part of the newest complete save, whatever its name; a missing
+    optional part is an empty frame with the given schema."""
+    base = _base(root, name)
+    held = _manifests(spark, base)
+    if not held:
         raise FileNotFoundError(f"Project not found: {base}")
-    out = {}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in fs.listStatus(path):
-        part = entry.getPath().getName()
-        out[part] = spark.read.parquet(os.path.join(base, part))
+    out = {part: spark.read.parquet(os.path.join(base, folder)) for part, folder in held[0][1].items()}
     for part, schema in (schemas or {}).items():
         if part not in out:
             out[part] = spark.createDataFrame([], schema)
@@ -155,45 +225,49 @@ def load_project(spark: SparkSession, root: str, name: str, schemas: dict[str, s
 
 def list_projects(spark: SparkSession, root: str) -> DataFrame:
     """SNK-15: (name, size_mb, modified) in name order, from file metadata only."""
-    if not _exists(spark, root):
-        return spark.createDataFrame([], "name string, size_mb double, modified string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-        "path", "length", "modificationTime")
-    named = files.select(F.regexp_extract("path", r"project=([^/]+)/", 1).alias("name"), "length", "modificationTime")
-    g = named.where(F.col("name") != "").groupBy("name").agg(
-        F.round(F.sum("length") / (1024 * 1024), 2).alias("size_mb"),
-        F.date_format(F.max("modificationTime"), "yyyy-MM-dd HH:mm").alias("modified"))
-    return g.orderBy("name")
+    rows = []
+    for folder in _children(spark, root):
+        held = _manifests(spark, os.path.join(root, folder)) if folder.startswith("project=") else []
+        if not held:
+            continue
+        size = 0
+        for part in held[0][1].values():
+            p, fs = _fs(spark, os.path.join(root, folder, part))
+            size += fs.getContentSummary(p).getLength()
+        p, fs = _fs(spark, os.path.join(root, folder, "manifests", f"{held[0][0]:012d}.json"))
+        rows.append((folder.removeprefix("project="), size, fs.getFileStatus(p).getModificationTime()))
+    found = spark.createDataFrame(rows, "name string, size long, ms long")
+    return found.select("name", F.round(F.col("size") / (1024 * 1024), 2).alias("size_mb"),
+                        F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm").alias("modified")).orderBy("name")
 
 
 def delete_project(spark: SparkSession, root: str, name: str) -> None:
     """SNK-16: remove a project's folder; no error if it is absent."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"project={name}"))
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, _base(root, name))
     if fs.exists(p):
         fs.delete(p, True)
 
 
-def set_baseline(root: str, name: str, pairs: DataFrame, conflicts: DataFrame, matrix: DataFrame) -> None:
-    """AGG-23: snapshot the current pairs, conflicts and matrix as the baseline."""
-    base = os.path.join(root, f"project={name}")
-    pairs.write.mode("overwrite").parquet(os.path.join(base, "baseline_pairs"))
-    conflicts.write.mode("overwrite").parquet(os.path.join(base, "baseline_conflicts"))
-    matrix.write.mode("overwrite").parquet(os.path.join(base, "baseline_matrix"))
+BASELINE = ("baseline_pairs", "baseline_conflicts", "baseline_matrix", "baseline_corpus")
 
 
-def reset_baseline(spark: SparkSession, root: str, name: str) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for part in ("baseline_pairs", "baseline_conflicts", "baseline_matrix"):
-        p = jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"project={name}", part))
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            fs.delete(p, True)
+def set_baseline(root: str, name: str, pairs: DataFrame, conflicts: DataFrame, matrix: DataFrame,
+                 corpus: DataFrame | None = None) -> None:
+    """AGG-23: the current pairs, conflicts and matrix become the baseline; with the corpus they came
+    from, later conflicts follow from the changed phrases alone (``incremental.update_conflicts``)."""
+    spark, base = pairs.sparkSession, _base(root, name)
+    parts = dict(zip(BASELINE, (pairs, conflicts, matrix, corpus)))
+    folders = _write_parts(base, {k: v for k, v in parts.items() if v is not None})
+    held = _manifests(spark, base)
+    kept = {k: v for k, v in (held[0][1] if held else {}).items() if k not in BASELINE}
+    _publish(spark, base, {**kept, **folders})
+    _clean(spark, base)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def reset_baseline(spark: SparkSession, root: str, name: str) -> None:
+    """AGG-23: the project without its baseline."""
+    base = _base(root, name)
+    held = _manifests(spark, base)
+    if held and any(k in BASELINE for k in held[0][1]):
+        _publish(spark, base, {k: v for k, v in held[0][1].items() if k not in BASELINE})
+        _clean(spark, base)

@@ -1,5 +1,5 @@
-"""Search history as an append-only log (SNK-17, SNK-18, LIM-8) and a
-Structured Streaming batch audit that appends to it.
+"""Search history as a log with one partition per micro-batch (SNK-17, SNK-18,
+LIM-8) and a Structured Streaming batch audit that writes to it.
 
 History rows: batch, seq, timestamp, query, threshold, results,
 top_similarity, recommended_intent.  ``(batch, seq)`` orders the log (a
@@ -12,32 +12,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscope.session import materialize
+
 HISTORY_SCHEMA = ("batch long, seq long, timestamp string, query string, threshold double, results long, "
                   "top_similarity double, recommended_intent string")
 SHOWN = ["timestamp", "query", "threshold", "results", "top_similarity", "recommended_intent"]
 
 
 def append_history(records: DataFrame, path: str) -> None:
-    """SNK-17: append records (already shaped as ``HISTORY_SCHEMA``)."""
-    records.write.mode("append").parquet(path)
+    """SNK-17: append records (already shaped as ``HISTORY_SCHEMA``) to the partitions of their batches."""
+    records.write.mode("append").partitionBy("batch").parquet(path)
 
 
 def append_batch(records: DataFrame, path: str, batch_id: int) -> None:
-    """SNK-17 for a stream: a micro-batch that is already in the log is not appended again.
+    """SNK-17 for a stream: write the partition of a micro-batch, in place of what is there.
 
-    An append appears as a whole or not at all, so a replay finds all of the batch or none.
+    The log has one partition per batch and only that one is written (dynamic partition
+    overwrite), so a replay puts a whole batch where half of one may have been left, and the
+    rest of the log is neither read nor touched.
     """
-    spark = records.sparkSession
+    (records.withColumn("batch", F.lit(int(batch_id)).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+
+
+def _batches(spark: SparkSession, path: str) -> list[int] | None:
+    """Batch ids of the log from its folders, newest first; None where there is no log."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    if there and spark.read.schema(HISTORY_SCHEMA).parquet(path).where(F.col("batch") == batch_id).limit(1).count():
-        return
-    append_history(records, path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    return sorted((int(n.split("=", 1)[1]) for n in names if n.startswith("batch=")), reverse=True)
+
+
+def read_history(spark: SparkSession, path: str, batches: list[int] | None = None) -> DataFrame:
+    """The log, or the partitions of ``batches`` alone; a missing or cleared log is empty."""
+    there = _batches(spark, path)
+    if not there:
+        return spark.createDataFrame([], HISTORY_SCHEMA)
+    rows = spark.read.schema(HISTORY_SCHEMA).parquet(path)
+    return rows if batches is None else rows.where(F.col("batch").isin(batches))
+
+
+def newest(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
+    """LIM-8 on a stored log: the newest ``n`` records, reading whole batches from the newest on until they suffice."""
+    there, take = _batches(spark, path) or [], 1
+    while take < len(there) and read_history(spark, path, there[:take]).limit(n).count() < n:
+        take *= 2
+    return recent(read_history(spark, path, there[:take]), n)
 
 
 def clear_history(spark: SparkSession, path: str) -> None:
-    """SNK-18: overwrite with an empty frame of the same schema."""
-    spark.createDataFrame([], HISTORY_SCHEMA).write.mode("overwrite").parquet(path)
+    """SNK-18: an empty log."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(where, True)
+    fs.mkdirs(where)
 
 
 def recent(history: DataFrame, n: int = 20, order: list[str] | None = None) -> DataFrame:
@@ -61,7 +91,7 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
     """Structured Streaming: every new text file of queries under ``query_dir``
     (one query per line) is audited against ``corpus`` (with ``embedding``)
     and appended to the history.  ``checkpoint`` must be a shared folder;
-    rows carry their micro-batch id, and a replayed batch is not appended again."""
+    a replayed micro-batch replaces its own partition of the log."""
     from corpuscope.functions.text import py_strip
     from corpuscope.operators.encode import HashingEncoder, encode
     from corpuscope.operators.search import batch_audit, search_hits
@@ -70,8 +100,9 @@ def audit_stream(spark: SparkSession, query_dir: str, corpus: DataFrame, history
     lines = spark.readStream.format("text").load(query_dir)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        q = batch.select(F.monotonically_increasing_id().alias("query_id"), py_strip("value").alias("query")) \
-                 .where(F.col("query") != "")
+        # stored once: the plans below must agree on the ids
+        q = materialize(batch.select(F.monotonically_increasing_id().alias("query_id"), py_strip("value").alias("query"))
+                        .where(F.col("query") != ""), "audit-queries")
         qv = encode(q, "query", "query_id", enc)
         audit = batch_audit(search_hits(corpus, qv, threshold, top_k), q)
         ts = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -126,16 +126,63 @@ def test_project_snapshot_cycle(spark):                            # SNK-14 …
     assert SK.list_projects(spark, root).count() == 0
 
 
+def test_a_save_that_stops_leaves_the_project(spark, monkeypatch):  # SNK-14
+    import pytest
+
+    root = _scratch()
+    frame = lambda *words: corpus_of(spark, {"a": list(words)})
+    SK.save_project(root, "p", {"corpus": frame("x")}, {"saved_at": "1"})
+    publish = SK._publish
+
+    def stop(*_):
+        raise KeyboardInterrupt
+    monkeypatch.setattr(SK, "_publish", stop)                      # after the tables, before the manifest
+    with pytest.raises(KeyboardInterrupt):
+        SK.save_project(root, "p", {"corpus": frame("x", "y")}, {"saved_at": "2"})
+    open(os.path.join(root, "project=p", "manifests", "_writing-1"), "w").write("{")   # half a manifest
+    loaded = SK.load_project(spark, root, "p")
+    assert loaded["corpus"].count() == 1 and loaded["_meta"].first().saved_at == "1"
+    monkeypatch.setattr(SK, "_publish", publish)
+    for i in range(3, 6):  # parts read from the project they replace
+        SK.save_project(root, "p", {"corpus": SK.load_project(spark, root, "p")["corpus"].union(frame(f"w{i}"))}, {"saved_at": str(i)})
+    assert SK.load_project(spark, root, "p")["corpus"].count() == 4
+    assert len(os.listdir(os.path.join(root, "project=p", "data"))) == 2
+    assert [r.name for r in SK.list_projects(spark, root).collect()] == ["p"]
+    SK.set_baseline(root, "p", frame("a"), frame("b"), frame("c"), frame("d"))
+    SK.reset_baseline(spark, root, "p")
+    assert set(SK.load_project(spark, root, "p")) == {"corpus", "_meta"}
+
+
 def test_history_append_recent_clear(spark):                       # SNK-17, SNK-18, LIM-8
     path = os.path.join(_scratch(), "hist")
+    assert HI.read_history(spark, path).count() == 0
     HI.clear_history(spark, path)
     for i in range(25):
         rec = spark.createDataFrame([(i // 10, i, "t", f"q{i}", 0.5, 1, 0.9, "a")], HI.HISTORY_SCHEMA)
         HI.append_history(rec, path)
-    r = HI.recent(spark.read.parquet(path), 20).collect()
+    r = HI.recent(HI.read_history(spark, path), 20).collect()
     assert len(r) == 20 and r[0].seq == 24
+    assert [x.seq for x in HI.newest(spark, path, 3).collect()] == [24, 23, 22]
+    assert [x.seq for x in HI.newest(spark, path, 7).collect()] == list(range(24, 17, -1))
+    plan = HI.newest(spark, path, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "batch" in plan.split("PartitionFilters: [")[1].split("]")[0]
     HI.clear_history(spark, path)
-    assert spark.read.parquet(path).count() == 0
+    assert HI.read_history(spark, path).count() == 0 and HI.newest(spark, path).count() == 0
+
+
+def test_history_replay_after_a_stop_between_files(spark):         # SNK-17
+    path = os.path.join(_scratch(), "hist")
+    rows = lambda b, n: spark.createDataFrame([(b, i, "t", f"q{b}-{i}", 0.5, 1, 0.9, "a") for i in range(n)], HI.HISTORY_SCHEMA)
+    HI.append_batch(rows(0, 4).repartition(3), path, 0)
+    HI.append_batch(rows(1, 6).repartition(4), path, 1)
+    part = os.path.join(path, "batch=1")
+    files = [f for f in os.listdir(part) if f.endswith(".parquet")]
+    assert len(files) > 1
+    os.rename(os.path.join(part, files[0]), os.path.join(_scratch(), files[0]))   # what a stop between two files leaves
+    assert HI.read_history(spark, path).count() < 10
+    HI.append_batch(rows(1, 6).repartition(2), path, 1)                           # the replay
+    got = sorted((r.batch, r.seq) for r in HI.read_history(spark, path).collect())
+    assert got == [(0, i) for i in range(4)] + [(1, i) for i in range(6)]
 
 
 def test_entry_contract(spark):
@@ -158,7 +205,7 @@ def test_streaming_audit_appends_history(spark):                   # streaming b
     q = HI.audit_stream(spark, qdir, corpus, hist, os.path.join(d, "ckpt"), threshold=0.3, top_k=5,
                         encoder=HashingEncoder(64), available_now=True)
     q.awaitTermination(120)
-    rows = spark.read.parquet(hist).collect()
+    rows = HI.read_history(spark, hist).collect()
     assert sorted(r.query for r in rows) == ["book a flight", "cancel my order"]
     assert {r.recommended_intent for r in rows} == {"travel", "orders"}
 
