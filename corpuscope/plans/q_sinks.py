@@ -36,6 +36,20 @@ def q_csv_round_trip(spark, sf):
     return csv_corpus(spark, SK.write_csv(wide, _folder(spark, "wide"))).select("intent", "phrase")
 
 
+@register("csv_mixed_encodings", f"""WITH {DOC_CORPUS},
+kept AS (SELECT * FROM doc QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY intent_pos, row_pos) = 1)
+SELECT intent, phrase FROM kept""")
+def q_csv_mixed_encodings(spark, sf):
+    """SRC-1 / SRC-2: the same corpus from a folder with quoted files in UTF-8 and in UTF-16, each found out by itself."""
+    wide = Q.compact_wide(Q.remove_repeats(prepared_documents(spark, sf)), P.DOC_LABELS)
+    folder = _folder(spark, "mixed")
+    for i, encoding in enumerate(("UTF-8", "UTF-16")):
+        part = wide.where(F.col("rn") % 2 == i).drop("rn")
+        part.write.option("header", True).option("escape", '"').option("quoteAll", True).option("encoding", encoding) \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/e{i}")
+    return csv_corpus(spark, f"{folder}/e*").select("intent", "phrase")
+
+
 @register("confusion_report_csv", f"""WITH {EMB_CORPUS}, {CONFLICT_PAIRS}
 SELECT phrase_id, other_id, sim, is_exact FROM conf_pairs""")
 def q_confusion_report_csv(spark, sf):

@@ -1,27 +1,31 @@
 """Wide intent CSV input (SRC-1, SRC-2) and saved projects (SRC-6).
 
 Encodings: UTF-8, cp1252, Latin-1, UTF-16.  ``detect_encodings`` decides per
-file on the executors from the raw bytes (``binaryFile``), with SQL functions: a
+file from the raw lines of its splits, with SQL functions: a
 UTF-16 byte-order mark first (the reference's auto list can never reach UTF-16,
 trap T-2), then the first of UTF-8 / cp1252 / Latin-1 that decodes.  Files that
-share encoding and header are read together, each group by a reader of its own.
+share encoding and header are read together, split by split (``csv_split``).
+Encodings and headers are looked up at once.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuscope.sources.corpus import wide_to_corpus
+from corpuscope.sources.csv_split import lines, read_records, split_states
 
 # fixed values: names and order of the encodings
 ENCODINGS = {"UTF-8": "utf-8", "Windows-1252 (Excel)": "cp1252", "Latin-1": "latin-1", "UTF-16": "utf-16"}
 AUTO_ORDER = ["utf-8", "cp1252", "latin-1", "utf-16"]
-_JAVA = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
+_JAVA = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16LE"}
+_CODEC = {"UTF-8": "utf-8", "windows-1252": "cp1252", "ISO-8859-1": "latin-1", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be"}
 
 # pandas' default NA words (trap T-3): cells equal to one of these are empty.
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -30,69 +34,67 @@ NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan"
 
 # bytes that cp1252 leaves undefined, as Latin-1 characters
 _NOT_CP1252 = "[\u0081\u008d\u008f\u0090\u009d]"
-# first record of a file, as text: quoted cells may hold line breaks
-_FIRST_RECORD = r"^((?:[^\"\r\n]|\"(?:[^\"]|\"\")*\")*)"
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, encoding, latin`` (content as Latin-1 text, one character per byte)."""
-    files = spark.read.format("binaryFile").load(path)
-    latin = F.decode("content", "ISO-8859-1")
-    enc = (F.when(F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF"), "utf-16")
-           .when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8")
-           .when(~latin.rlike(_NOT_CP1252), "cp1252").otherwise("latin-1"))
-    return files.select("path", enc.alias("encoding"), latin.alias("latin"), "content")
+def _detected(spark: SparkSession, path) -> DataFrame:
+    """(file, encoding, big): decided on executors from the lines of each file; ``big`` is a big-endian UTF-16 mark."""
+    raw = lines(spark, path if isinstance(path, list) else [path], "UTF-8")
+    latin = F.decode("line", "ISO-8859-1")
+    first = F.when(F.col("block") == 0, F.struct("id", F.hex(F.substring("line", 1, 2)).alias("mark")))
+    marks = raw.groupBy("file").agg(
+        F.min(first)["mark"].alias("mark"), F.bool_and(F.is_valid_utf8(F.col("line").cast("string"))).alias("utf8"),
+        F.bool_or(latin.rlike(_NOT_CP1252)).alias("other"))
+    enc = (F.when(F.col("mark").isin("FFFE", "FEFF"), "utf-16").when(F.col("utf8"), "utf-8")
+           .when(~F.col("other"), "cp1252").otherwise("latin-1"))
+    return marks.select("file", enc.alias("encoding"), (F.col("mark") == "FEFF").alias("big"))
 
 
 def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-2: ``(path, encoding)`` for every file under ``path``; decided on executors."""
-    return _files(spark, path).select("path", "encoding")
+    """SRC-2: ``(path, encoding)`` for every file under ``path`` that is not empty; decided on executors."""
+    return _detected(spark, path).select(F.col("file").alias("path"), "encoding")
 
 
-def csv_groups(spark: SparkSession, path: str, encoding: str | None = None) -> list[tuple[str, list[str], list[str], bool]]:
-    """(encoding, header names, paths, whether cells may be quoted) of files that can be read together.
+@dataclass(frozen=True)
+class CsvGroup:
+    """Files that can be read together: one encoding and one header."""
 
-    One row per file reaches the driver: its path, encoding and first record.
-    """
-    files = _files(spark, path)
-    if encoding is not None:
-        files = files.withColumn("encoding", F.lit(encoding))
-    text = F.when(F.col("encoding") == "utf-16", F.decode("content", "UTF-16")).otherwise(F.col("latin"))
-    heads = files.withColumn("text", text).select(
-        "path", "encoding", F.regexp_extract("text", _FIRST_RECORD, 1).alias("head"),
-        F.contains("text", F.lit('"')).alias("quoted"), (F.length("text") > 0).alias("filled")).orderBy("path").collect()
+    encoding: str
+    names: list[str]
+    paths: list[str]
+    java: str
+    states: DataFrame
+
+
+def csv_groups(spark: SparkSession, path: str, encoding: str | None = None) -> list[CsvGroup]:
+    """Groups of the files under ``path``.  One row per file reaches the driver: its path,
+    encoding and first record, which must end within the first split."""
+    by_encoding: dict[tuple[str, str], list[str]] = {}
+    for r in _detected(spark, path).orderBy("file").collect():
+        name = encoding or r.encoding
+        java = ("UTF-16BE" if r.big else "UTF-16LE") if name == "utf-16" else _JAVA.get(name, name)
+        by_encoding.setdefault((name, java), []).append(unquote(r.file))
     groups: dict[tuple, list] = {}
-    for r in heads:
-        if not r.filled:
-            continue
-        head = r.head if r.encoding == "utf-16" else r.head.encode("latin-1").decode(r.encoding)
-        record = next(csv.reader(io.StringIO(head.removeprefix("\ufeff"))), [])
-        names = tuple(c if c != "" else f"Unnamed: {i}" for i, c in enumerate(record))
-        group = groups.setdefault((r.encoding, names), [[], False])
-        group[0].append(r.path)
-        group[1] |= r.quoted
-    return [(enc, list(names), paths, quoted) for (enc, names), (paths, quoted) in groups.items()]
-
-
-def _read_group(spark: SparkSession, encoding: str, names: list[str], paths: list[str], quoted: bool,
-                na_words: list[str] | None) -> DataFrame:
-    """Cells of a group as text ``c0 … cn`` with a dense ``row_pos``, from partition counts (no per-row Python).
-
-    Files without quotes are split; quoted cells may hold line breaks, and such
-    files (and UTF-16) are read whole by a task each.
-    """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    body = (spark.read.option("encoding", _JAVA.get(encoding, encoding)).option("escape", '"')
-            .option("multiLine", quoted or encoding == "utf-16").option("header", True).option("enforceSchema", True)
-            .schema(schema).csv(paths))
+    for (name, java), paths in by_encoding.items():
+        states = split_states(spark, paths, java, _CODEC.get(java, name))
+        for r in states.where("block = 0").select("file", "head").orderBy("file").collect():
+            if r.head is None:
+                raise ValueError(f"the header of {r.file} does not end within its first split")
+            record = next(csv.reader(io.StringIO(r.head)), [])
+            names = tuple(c if c != "" else f"Unnamed: {i}" for i, c in enumerate(record))
+            groups.setdefault((name, java, names), [[], states])[0].append(r.file)
+    return [CsvGroup(name, list(names), [unquote(f) for f in files], java, states.where(F.col("file").isin(files)))
+            for (name, java, names), (files, states) in sorted(groups.items(), key=lambda g: g[1][0][0])]
+
+
+def _read_group(spark: SparkSession, group: CsvGroup, na_words: list[str] | None) -> DataFrame:
+    """Cells of a group as text ``c0 … cn`` with a dense ``row_pos``; files are split whatever their quotes."""
+    columns = [f"c{i}" for i in range(len(group.names))]
+    records = read_records(spark, group.paths, group.java, _CODEC.get(group.java, group.encoding), group.states)
+    cells = records.select("row_pos", F.from_csv("record", ", ".join(f"{c} string" for c in columns),
+                                                 {"escape": '"', "mode": "PERMISSIVE"}).alias("r"))
     words = NA_WORDS if na_words is None else na_words
-    cols = [F.when(F.col(c).isin(words), F.lit(None)).otherwise(F.col(c)).alias(c) for c in schema.names]
-    rows = body.select(*cols, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
-    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
-    starts = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (rows.join(F.broadcast(starts), "_part")
-            .withColumn("row_pos", F.col("_start") + F.col("_id") - F.col("_first")).select(*schema.names, "row_pos"))
+    return cells.select(*[F.when(F.col(f"r.{c}").isin(words), F.lit(None)).otherwise(F.col(f"r.{c}")).alias(c) for c in columns],
+                        "row_pos")
 
 
 def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None,
@@ -107,8 +109,7 @@ def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None,
         return spark.createDataFrame([], "row_pos bigint"), [], encoding or "utf-8"
     if len(groups) > 1:
         raise ValueError("the files differ in encoding or header: csv_corpus reads them")
-    enc, names, paths, quoted = groups[0]
-    return _read_group(spark, enc, names, paths, quoted, na_words), names, enc
+    return _read_group(spark, groups[0], na_words), groups[0].names, groups[0].encoding
 
 
 def csv_corpus(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -118,8 +119,9 @@ def csv_corpus(spark: SparkSession, path: str, encoding: str | None = None) -> D
     those of earlier ones; equal names are one label, at its first position.
     """
     out, first, at = None, {}, 0
-    for enc, names, paths, quoted in csv_groups(spark, path, encoding):
-        wide = _read_group(spark, enc, names, paths, quoted, None)
+    for group in csv_groups(spark, path, encoding):
+        names = group.names
+        wide = _read_group(spark, group, None)
         cells = wide_to_corpus(wide, [f"c{i}" for i in range(len(names))])
         for i, n in enumerate(names):
             first.setdefault(n, at + i)
