@@ -124,19 +124,23 @@ POOLING = ("mean", "cls")
 def pool(tokens: DataFrame, strategy: str = "mean", normalize: bool = True) -> DataFrame:
     """EMB-2 / EMB-3 over ``(phrase_id, token_pos, mask, vec array<double>)``.
 
-    Mean pooling explodes vectors to ``(phrase_id, dim)`` cells and aggregates
-    with map-side combine, so a very long text is summed in pieces; the vector
-    is re-assembled from at most ``d`` cells per phrase.
+    Mean pooling is one weighted vector aggregate (``Summarizer``, mask as weight) that is
+    combined in every task, so a very long text is summed in pieces.  A phrase whose masks are
+    all 0 has the zero vector.
     """
     if strategy not in POOLING:
         raise ValueError(f"Unsupported pooling strategy: {strategy}")   # EMB-5
     if strategy == "cls":
         out = tokens.groupBy("phrase_id").agg(F.min_by("vec", "token_pos").alias("embedding"))
     else:
-        cells = tokens.select("phrase_id", "mask", F.posexplode("vec").alias("dim", "x"))
-        sums = cells.groupBy("phrase_id", "dim").agg(
-            F.sum(F.col("x") * F.col("mask")).alias("num"), F.sum("mask").cast("double").alias("den"))
-        vals = sums.select("phrase_id", "dim", (F.col("num") / F.greatest(F.col("den"), F.lit(1e-9))).alias("v"))
-        out = vals.groupBy("phrase_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("embedding"))
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        weight = F.col("mask").cast("double")
+        means = tokens.where(weight > 0).groupBy("phrase_id").agg(
+            Summarizer.mean(array_to_vector("vec"), weight).alias("m"))
+        every = tokens.groupBy("phrase_id").agg(F.max(F.size("vec")).alias("d"))
+        zero = F.transform(F.sequence(F.lit(1), F.col("d")), lambda _: F.lit(0.0))
+        out = every.join(means, "phrase_id", "left").select(
+            "phrase_id", F.when(F.col("m").isNull(), zero).otherwise(vector_to_array("m")).alias("embedding"))
     return normalise(out) if normalize else out

@@ -71,6 +71,11 @@ def paraphrase_jobs(corpus: DataFrame, model_name: str, num_variations: int = 2,
         F.lit(generated_at).alias("generated_at"), F.lit(model_name).alias("model_used"))
 
 
+def clear_generated(generated: DataFrame) -> DataFrame:
+    """GEN-3: the record of generated phrases, cleared: no rows, the same columns."""
+    return generated.where(F.lit(False))
+
+
 def append_generated(corpus: DataFrame, generated: DataFrame) -> DataFrame:
     """SET-1: add generated phrases to their label after its current last row.
 

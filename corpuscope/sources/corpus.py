@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import is_phrase, py_strip
+from corpuscope.session import materialize
 
 CORPUS_COLS = ["phrase_id", "intent", "intent_pos", "row_pos", "phrase"]
 
+# labels that are broadcast to their rows: a name and a number each
+BROADCAST_LABELS = 100_000
+
 # phrase ids of wide input: column index in the high bits, row index in the low
 # 40 bits, so id order equals column-major order without any global sort.
 ROW_BITS = 40
@@ -57,9 +61,9 @@ def long_to_corpus(df: DataFrame, intent: str, phrase: str, order: str,
     """A long (label, text, order) table as a corpus.
 
     Labels are ordered by their first row (``min(order)``), the analogue of
-    column order for long input.  That minimum comes from a map-side combined
-    ``groupBy`` joined back, so a label holding a third of all rows never lands
-    in one task (a window partitioned by label would put it there).
+    column order for long input.  The label map (a map-side combined ``groupBy``) is
+    worked out and stored at once; when its counted rows are few it is broadcast, and no
+    row is shuffled by label.
     """
     base = df.select(
         F.col(phrase_id or order).cast("long").alias("phrase_id"),
@@ -68,8 +72,8 @@ def long_to_corpus(df: DataFrame, intent: str, phrase: str, order: str,
         py_strip(F.col(phrase).cast("string")).alias("phrase"),
         *(extra or []),
     ).where(is_phrase(F.col("phrase")) & F.col("intent").isNotNull())
-    first = base.groupBy("intent").agg(F.min("row_pos").alias("intent_pos"))
-    return base.join(first, "intent").select(*CORPUS_COLS, *(extra or []))
+    first = materialize(base.groupBy("intent").agg(F.min("row_pos").alias("intent_pos")), "labels")
+    return base.join(F.broadcast(first) if first.count() <= BROADCAST_LABELS else first, "intent").select(*CORPUS_COLS, *(extra or []))
 
 
 def queries_from_text(spark, text: str) -> DataFrame:
