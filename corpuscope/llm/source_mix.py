@@ -1,19 +1,21 @@
 """Mixing sources to target weights by iterative proportional fitting (native).
 
-Documents are counted into cells (source, language, topic) by their words.  The
-cell weights are raked: in every round they are scaled to the target of each
-source, then of each language, then of each topic.  A cell's sampling
-probability is its raked weight over its own, times one scale for all cells that
-meets the token budget with probabilities of at most one.  A document is taken
-when a hash of its id falls below its cell's probability, so the sample does not
-depend on partitions or order.
-
-Targets are the natural shares raised to a power (1 keeps them, 0 makes all
-equal); given target tables replace them.
+Documents are counted into cells (source, language, topic) by their words.  Target
+shares are the natural shares raised to a power (1 keeps them, 0 makes all equal);
+given target tables replace them.  What a target asks of a source, language or topic
+may exceed the words there are: such a value is taken whole and the others share the
+rest of the budget in proportion to their targets (``attainable``).
+
+Cells are then raked with bounds: in every round the words to take of a cell are
+scaled to the attainable amount of its source, then of its language, then of its
+topic, and never exceed the words of the cell, so full cells leave and the rest is
+raked again until marginals and budget settle.  A cell's sampling probability is the
+words to take over its words.  A document is taken when a hash of its id falls below
+its cell's probability, so the sample does not depend on partitions or order.
+``marginal_shares`` sets what was asked against what is attainable and achieved.
 
 Defined results: null source or language is a category of its own; null text
-counts as empty and has no words; a cell without words gets the probability of
-its weight zero, which is zero, unless all its marginals lack words.  Rows that
+counts as empty and has no words; a cell without words has probability zero.  Rows that
 repeat an id are taken or left together.  An empty table gives no rows.  Extra
 columns pass through unread, whatever their names.
 """
@@ -25,9 +27,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm.common import fresh, materialize, whole_text
 
-ROUNDS = 8
-#: Rounds of scaling that hand what full cells cannot take to the others.
-FILL_ROUNDS = 6
+ROUNDS = 16
 #: Powers of the natural shares that are the targets of the three marginals.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Share of all words to sample.
@@ -66,57 +66,67 @@ def cells(docs: DataFrame, source_col: str = "source", lang_col: str = "lang", t
             .groupBy("source", "lang", "topic").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("w0")))
 
 
-def with_targets(counted: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
-    """Cells with the target share of each marginal value, as ``t_source, t_lang, t_topic``."""
+def with_targets(counted: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET) -> DataFrame:
+    """Cells with the target share of each marginal value (``t_source``, ``t_lang``, ``t_topic``) and the words
+    that can be taken of it (``a_source``, ...).
+
+    In the order of words per target share, a value is taken whole while its words do not reach what the
+    budget left would give it; ``level`` is what a unit of target share gets then.
+    """
+    whole = Window.partitionBy()
     for name, power in powers.items():
-        shares = counted.groupBy(name).agg(F.pow(F.sum("w0").cast("double"), F.lit(power)).alias("p"))
-        shares = shares.select(F.col(name).alias("key"), (F.col("p") / F.sum("p").over(Window.partitionBy())).alias(f"t_{name}"))
+        shares = counted.groupBy(name).agg(F.sum("w0").cast("double").alias("have"))
+        shares = shares.withColumn("p", F.pow("have", F.lit(power)))
+        shares = shares.select(F.col(name).alias("key"), "have", F.coalesce(F.col("p") / F.nullif(F.sum("p").over(whole), F.lit(0.0)), F.lit(0.0)).alias(f"t_{name}"))
+        order = Window.orderBy((F.col("have") / F.nullif(F.col(f"t_{name}"), F.lit(0.0))).asc_nulls_first(), "key")
+        before = F.coalesce(F.sum("have").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        rest = F.sum(f"t_{name}").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        shares = shares.withColumn("level", (F.sum("have").over(whole) * budget - before) / F.nullif(rest, F.lit(0.0)))
+        shares = shares.withColumn("level", F.max(F.when(F.col("have") > F.col("level") * F.col(f"t_{name}"), F.col("level"))).over(whole))
+        shares = shares.select("key", f"t_{name}", F.coalesce(F.least("have", F.col("level") * F.col(f"t_{name}")), F.col("have")).alias(f"a_{name}"))
         counted = counted.join(shares, F.col(name) == F.col("key")).drop("key")
     return counted
 
 
-def rake(targeted: DataFrame, rounds: int = ROUNDS, names=tuple(POWERS)) -> DataFrame:
-    """``w``: the cell weights (shares of all words) scaled to every target in turn, ``rounds`` times."""
-    w = F.col("w0") / F.sum("w0").over(Window.partitionBy())
-    raked = targeted.withColumn("w", w)
+def rake(targeted: DataFrame, rounds: int = ROUNDS, budget: float = BUDGET, names=tuple(POWERS)) -> DataFrame:
+    """``w``: the words to take of each cell, scaled to what can be taken of every marginal value in turn,
+    ``rounds`` times, and at most the words of the cell; ``p``, their share of the cell's words."""
+    raked = targeted.withColumn("w", F.col("w0") * F.lit(float(budget)))
     for _ in range(rounds):
         for name in names:
             sum_w = F.sum("w").over(Window.partitionBy(name))
-            raked = raked.withColumn("w", F.when(sum_w > 0, F.col("w") * F.col(f"t_{name}") / sum_w).otherwise(0.0))
-    return raked
+            raked = raked.withColumn("w", F.when(sum_w > 0, F.least(F.col("w0").cast("double"), F.col("w") * F.col(f"a_{name}") / sum_w))
+                                     .otherwise(0.0))
+    return raked.withColumn("p", F.when(F.col("w0") > 0, F.col("w") / F.col("w0")).otherwise(0.0))
 
 
-def probabilities(raked: DataFrame, budget: float = BUDGET, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """``p`` of every cell: raked weight over own share, scaled to the budget, at most one.
-
-    Cells that reach one give what they cannot take to the others, ``rounds`` times.
-    """
-    whole = Window.partitionBy()
-    ratio = F.when(F.col("w0") > 0, F.col("w") / F.col("w0")).otherwise(0.0)
-    out = raked.withColumn("ratio", ratio).withColumn("goal", F.sum("w0").over(whole) * budget).withColumn("p", F.lit(0.0))
-    for _ in range(rounds):
-        full = F.sum(F.when(F.col("p") >= 1, F.col("w0")).otherwise(0)).over(whole)
-        rest = F.sum(F.when(F.col("p") < 1, F.col("w0") * F.col("ratio")).otherwise(0.0)).over(whole)
-        out = (out.withColumn("full", full).withColumn("rest", rest)
-               .withColumn("p", F.when(F.col("p") >= 1, 1.0).when(F.col("rest") > 0, F.least(
-                   F.lit(1.0), F.col("ratio") * F.greatest(F.col("goal") - F.col("full"), F.lit(0.0)) / F.col("rest")))
-                   .otherwise(0.0)).drop("full", "rest"))
-    return out.drop("goal", "ratio")
+def marginal_shares(fitted: DataFrame, names=tuple(POWERS)) -> DataFrame:
+    """``marginal, value, target, attainable, achieved``: shares of the words asked for, shares there are words
+    for, and expected shares of the sample."""
+    out = None
+    for name in names:
+        whole = Window.partitionBy()
+        g = fitted.groupBy(F.lit(name).alias("marginal"), F.col(name).alias("value")).agg(
+            F.first(f"t_{name}").alias("target"), F.first(f"a_{name}").alias("a"), F.sum("w").alias("w"))
+        g = g.select("marginal", "value", "target", (F.col("a") / F.nullif(F.sum("a").over(whole), F.lit(0.0))).alias("attainable"),
+                     (F.col("w") / F.nullif(F.sum("w").over(whole), F.lit(0.0))).alias("achieved"))
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 def fit(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, rounds: int = ROUNDS,
         source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Stored cells with ``w`` (raked share of the words) and ``p`` (sampling probability).
+    """Stored cells with ``w`` (words to take) and ``p`` (sampling probability).
 
     The number of cells depends on the categories, not on the rows.  Up to
     ``ONE_PARTITION_CELLS`` of them are raked as one partition, which saves a
     shuffle per marginal and round; the same expressions run shuffled beyond that.
     """
     counted = materialize(cells(docs, source_col, lang_col, text_col), "mix-cells")
-    targeted = materialize(with_targets(counted, powers), "mix-targets")
+    targeted = materialize(with_targets(counted, powers, budget), "mix-targets")
     if targeted.count() <= ONE_PARTITION_CELLS:
         targeted = targeted.coalesce(1)
-    return materialize(probabilities(rake(targeted, rounds, tuple(powers)), budget), "mix-fitted")
+    return materialize(rake(targeted, rounds, budget, tuple(powers)), "mix-fitted")
 
 
 def _placed(docs: DataFrame, fitted: DataFrame, id_col: str, source_col: str, lang_col: str, text_col: str,
@@ -159,25 +169,24 @@ def mix_sql(budget: float = BUDGET, powers: dict[str, float] = POWERS, rounds: i
              "c AS (SELECT source, lang, topic, sum(n)::DOUBLE AS w0 FROM n GROUP BY ALL)"]
     last = "c"
     for name, power in powers.items():
-        steps.append(f"""t_{name} AS (SELECT {name}, pow(sum(w0), {power}) AS p FROM c GROUP BY {name})""")
-        steps.append(f"""c_{name} AS (SELECT x.*, t.p / (SELECT sum(p) FROM t_{name}) AS t_{name}
-           FROM {last} x JOIN t_{name} t USING ({name}))""")
+        steps.append(f"""h_{name} AS (SELECT {name}, sum(w0) AS have, pow(sum(w0), {power}) AS q FROM c GROUP BY {name})""")
+        steps.append(f"""s_{name} AS (SELECT {name}, have, coalesce(q / nullif(sum(q) OVER (), 0), 0) AS t FROM h_{name})""")
+        order = f"OVER (ORDER BY have / nullif(t, 0) NULLS FIRST, {name} ROWS BETWEEN"
+        steps.append(f"""l_{name} AS (SELECT *, (sum(have) OVER () * {budget} - coalesce(sum(have) {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / nullif(sum(t) {order} CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS lv FROM s_{name})""")
+        steps.append(f"""m_{name} AS (SELECT {name}, have, t, max(CASE WHEN have > lv * t THEN lv END) OVER () AS lv FROM l_{name})""")
+        steps.append(f"""c_{name} AS (SELECT x.*, coalesce(least(have, lv * t), have) AS a_{name}
+           FROM {last} x JOIN m_{name} USING ({name}))""")
         last = f"c_{name}"
-    steps.append(f"r0 AS (SELECT *, w0 / sum(w0) OVER () AS w FROM {last})")
+    steps.append(f"r0 AS (SELECT *, w0 * {float(budget)!r} AS w FROM {last})")
     i = 0
     for _ in range(rounds):
         for name in powers:
             s = f"sum(w) OVER (PARTITION BY {name})"
-            steps.append(f"r{i + 1} AS (SELECT * REPLACE (CASE WHEN {s} > 0 THEN w * t_{name} / {s} ELSE 0 END AS w) FROM r{i})")
+            steps.append(f"r{i + 1} AS (SELECT * REPLACE (CASE WHEN {s} > 0 THEN least(w0, w * a_{name} / {s}) ELSE 0 END AS w) FROM r{i})")
             i += 1
-    steps.append(f"""p0 AS (SELECT source, lang, topic, w0, CASE WHEN w0 > 0 THEN w / w0 ELSE 0 END AS ratio,
-           sum(w0) OVER () * {budget} AS goal, 0.0::DOUBLE AS p FROM r{i})""")
-    for k in range(FILL_ROUNDS):
-        steps.append(f"""q{k} AS (SELECT *, sum(CASE WHEN p >= 1 THEN w0 ELSE 0 END) OVER () AS used,
-           sum(CASE WHEN p < 1 THEN w0 * ratio ELSE 0 END) OVER () AS rest FROM p{k})""")
-        steps.append(f"""p{k + 1} AS (SELECT source, lang, topic, w0, ratio, goal, CASE WHEN p >= 1 THEN 1.0::DOUBLE WHEN rest > 0
-           THEN least(1.0::DOUBLE, ratio * greatest(goal - used, 0) / rest) ELSE 0 END AS p FROM q{k})""")
+    steps.append(f"f AS (SELECT source, lang, topic, CASE WHEN w0 > 0 THEN w / w0 ELSE 0 END AS p FROM r{i})")
     uniform_sql = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '{NONE}')), 1, 13))::BIGINT / {float(1 << 52)!r}"
     return ("WITH " + ",\n".join(steps) + f"""
 SELECT doc_id, n.source, n.lang, n.topic, p, {uniform_sql} AS u, {uniform_sql} < p AS sampled
-FROM n JOIN p{FILL_ROUNDS} f ON n.source = f.source AND n.lang = f.lang AND n.topic = f.topic""")
+FROM n JOIN f ON n.source = f.source AND n.lang = f.lang AND n.topic = f.topic""")
