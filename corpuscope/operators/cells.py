@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from corpuscope.session import materialize
 
 MAX_PIVOTS = 1024         # cells of a table; the catalog grows with it, not with the rows
+PIVOT_FACTOR = 4          # pivots per square root of the rows, up to MAX_PIVOTS
 SPREAD = 4                # sampled rows per pivot, from which the pivots are chosen
 GUIDES = 32               # pivots whose angle ranges are kept for every cell
 TILE_BYTES = 32 << 20     # vectors a task keeps
@@ -128,7 +129,7 @@ def build_cells(df: DataFrame, ids: list[str], vec: str, max_pivots: int = MAX_P
     n, dim = df.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vec)), F.lit(1))).first()
     kind = df.schema[vec].dataType.elementType.simpleString()
     kind = kind if kind in ("float", "double") else "double"
-    wanted = max(1, min(max_pivots, math.isqrt(n)))
+    wanted = max(1, min(max_pivots, PIVOT_FACTOR * math.isqrt(n)))
     sample = (df.select(ids[0], vec).orderBy(F.xxhash64(ids[0]), ids[0]).limit(SPREAD * wanted)
               .select(F.col(vec).cast("array<double>").alias("v")).toArrow())
     unit = unit_rows(matrix(sample["v"], dim)) if sample.num_rows else np.zeros((0, dim))
@@ -293,6 +294,23 @@ class Block:
         return out
 
 
+class Meetings:
+    """Which residents (rows of ``may``) meet which streamed cells (columns)."""
+
+    def __init__(self, may: np.ndarray):
+        self.may, self.all, self.any = may, may.all(axis=0), may.any(axis=0)
+
+    def runs(self, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(resident rows, streamed rows) that meet: one run of the cells that meet every resident, else one per cell."""
+        every = np.flatnonzero(self.all[cell])
+        if len(every):
+            yield np.arange(len(self.may)), every
+        some = np.flatnonzero(self.any[cell] & ~self.all[cell])
+        some = some[np.argsort(cell[some], kind="stable")]
+        for run in np.split(some, np.flatnonzero(np.diff(cell[some])) + 1) if len(some) else ():
+            yield np.flatnonzero(self.may[:, cell[run[0]]]), run
+
+
 def single_margin(dim: int) -> float:
     """How far a product in single precision can be from the true one."""
     return 1e-6 + 2 * dim * 6e-8
@@ -352,16 +370,13 @@ class TopRows:
     """
 
     def __init__(self, kept: Block, k: int, may: np.ndarray, threshold: float | None = None, places: int = 6):
-        self.a, self.k, self.may, self.threshold, self.places = kept, k, may, threshold, places
+        self.a, self.k, self.meet, self.threshold, self.places = kept, k, Meetings(may), threshold, places
         self.floor = kept.floor.copy()
         self.margin = single_margin(kept.v.shape[1]) + 1e-6
         self.parts, self.size = [], 0
 
     def add(self, b: Block):
-        order = np.argsort(b.cell, kind="stable")
-        runs = np.split(order, np.flatnonzero(np.diff(b.cell[order])) + 1) if len(order) else []
-        for run in runs:
-            rows = np.flatnonzero(self.may[:, b.cell[run[0]]])
+        for rows, run in self.meet.runs(b.cell):
             for s in range(0, len(rows), PRODUCT_ROWS):
                 ra = rows[s:s + PRODUCT_ROWS]
                 for c in range(0, len(run), PRODUCT_COLS):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import bands as B
 from corpuscope.functions.vectors import cosine, dot, l2_normalise, norm
 from corpuscope.operators.cells import (ANGLE_MARGIN, OUT_ROWS, PRODUCT_COLS, PRODUCT_ROWS, TILE_BYTES, TOP_SCHEMA, Block,
-                                        Cells, Tiles, TopRows, build_cells, join_report, matrix, own_tile_floors, partners,
+                                        Cells, Meetings, Tiles, TopRows, build_cells, join_report, matrix, own_tile_floors, partners,
                                         plan_tiles, resident_join, single_margin, tiles_of_ranges, unit_rows, with_tile)
 from corpuscope.session import materialize
 
@@ -261,15 +261,12 @@ class _PairKernel:
     def __init__(self, kept: Block, threshold: float, keep: np.ndarray, cap: int | None):
         self.a, self.t, self.cap = kept, float(threshold), cap
         self.floor = self.t - single_margin(kept.v.shape[1])
-        self.may = keep[kept.cell]            # resident row x streamed cell
+        self.meet = Meetings(keep[kept.cell])
         self.found, self.size = [], 0
 
     def add(self, b: Block):
         a = self.a
-        order = np.argsort(b.cell, kind="stable")
-        runs = np.split(order, np.flatnonzero(np.diff(b.cell[order])) + 1) if len(order) else []
-        for run in runs:
-            rows = np.flatnonzero(self.may[:, b.cell[run[0]]])
+        for rows, run in self.meet.runs(b.cell):
             for s in range(0, len(rows), PRODUCT_ROWS):
                 ra = rows[s:s + PRODUCT_ROWS]
                 for c in range(0, len(run), PRODUCT_COLS):

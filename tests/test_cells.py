@@ -131,7 +131,7 @@ def test_index_reads_few_cells(spark, tmp_path):
     Q.write_index(corpus, str(tmp_path / "index"))
     index = Q.open_index(spark, str(tmp_path / "index"))
     some = [r.embedding for r in corpus.limit(3).collect()]
-    hits, report = Q.index_hits(index, _query_frame(spark, some), 0.5, 10)
-    assert hits.count() >= 30 and report["rows_read"] < 0.4 and report["cells_read"] < report["cells"], report
+    hits, report = Q.index_hits(index, _query_frame(spark, some), 0.5, 100, probes=2)
+    assert hits.count() >= 100 and report["rows_read"] < 0.4 and report["cells_read"] < report["cells"], report
     plan = hits._jdf.queryExecution().toString()
     assert any("cell" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
