@@ -96,6 +96,7 @@ def single_action(top_sim, confidence, b: Bands = DEFAULT) -> Column:
             .otherwise("NEW_INTENT"))
 
 
+# fixed values in what follows: captions, match types and sentences
 def similarity_caption(top_sim, b: Bands = DEFAULT) -> Column:
     s = _col(top_sim)
     return (F.when(s > b.cap_very_high, "Very High -- Likely duplicate")

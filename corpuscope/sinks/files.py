@@ -85,6 +85,7 @@ def search_document(hits: DataFrame, queries: DataFrame, decision: DataFrame, th
     """SNK-12: one nested JSON document per query (query, threshold, timestamp,
     summary, results ordered by rank).  A result has ``match_type`` and
     ``keywords`` when ``hits`` (see ``search.result_table``) has them."""
+    # fixed values: the keys of the documents
     more = [c for c in ("match_type", "keywords") if c in hits.columns]
     res = hits.groupBy("query_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "sim", "intent", "phrase", *more))),

@@ -27,7 +27,7 @@ AUTO_ORDER = ["utf-8", "cp1252", "latin-1", "utf-16"]
 _JAVA = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-16": "UTF-16LE"}
 _CODEC = {"UTF-8": "utf-8", "windows-1252": "cp1252", "ISO-8859-1": "latin-1", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be"}
 
-# pandas' default NA words (trap T-3): cells equal to one of these are empty.
+# fixed values: pandas' default NA words (trap T-3): cells equal to one of these are empty.
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
             "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
