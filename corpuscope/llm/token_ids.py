@@ -12,7 +12,7 @@ KEPT_WORDS = 500_000
 #: Longest word, in bytes, that is kept beyond the texts it is met in.
 KEPT_BYTES = 64
 #: Bytes of text encoded together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def encoder(path: str) -> WordEncoder:
