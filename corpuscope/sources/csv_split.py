@@ -26,6 +26,8 @@ from corpuscope.session import materialize
 
 OUT, IN = 0, 1            # between cells or in a plain one; inside a quoted cell
 BROADCAST_SPLITS = 200_000
+LINES_AT_ONCE = 64        # lines of a batch that are Python objects at once
+RECORD_CHARS = 1 << 20    # characters of the records that leave together
 
 STATES = "file string, block long, out_end int, out_starts long, in_end int, in_starts long, head string"
 
@@ -69,8 +71,9 @@ def _splits_of(batches: Iterator[pa.RecordBatch], codec: str):
     names = None
     for batch in batches:
         names = names or [n for n in batch.schema.names if n not in ("file", "block", "id", "line")]
-        columns = [batch.column(n).to_pylist() for n in ("file", "block", "line", *names)]
-        for file, block, raw, *more in zip(*columns):
+        rows = (row for s in range(0, batch.num_rows, LINES_AT_ONCE)
+                for row in zip(*(batch.column(n).slice(s, LINES_AT_ONCE).to_pylist() for n in ("file", "block", "line", *names))))
+        for file, block, raw, *more in rows:
             if key != (file, block):
                 key, carry = (file, block), b""
                 first = block == 0
@@ -145,7 +148,7 @@ def _placed(states: DataFrame) -> DataFrame:
 
 def _records(codec: str):
     def run(batches):
-        key, out = None, []
+        key, out, size = None, [], 0
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("record", pa.int64()), ("text", pa.string()), ("whole", pa.bool_())])
 
         def close(whole):
@@ -165,12 +168,13 @@ def _records(codec: str):
                     continue
                 number, started = number + 1, True
             held.append(text)
+            size += len(text)
             state = end_state(bare, state)
             if state == OUT:
                 close(started)
-                if len(out) >= 4096:
+                if len(out) >= 4096 or size >= RECORD_CHARS:
                     yield pa.RecordBatch.from_pylist(out, schema=schema)
-                    out = []
+                    out, size = [], 0
         if key is not None:
             close(False)
         if out:
