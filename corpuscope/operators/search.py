@@ -42,7 +42,9 @@ from corpuscope.session import materialize
 
 HIT_SCHEMA = "query_id long, phrase_id long, intent_pos long, row_pos long, sim double"
 TILE = 1024                 # queries per matrix product
+SCAN_ROWS = 1024            # phrases per matrix product
 BROADCAST_BYTES = 64 << 20  # largest query matrix that is broadcast
+BROADCAST_HITS = 1_000_000  # hits that are broadcast to the texts of the corpus
 
 
 def _unit(values) -> np.ndarray:
@@ -87,10 +89,6 @@ class _TopK:
         return pd.DataFrame({"query_id": self.qids[q.astype(int)], "phrase_id": p, "intent_pos": ip, "row_pos": rp, "sim": s})
 
 
-def _columns(pdf: pd.DataFrame, vec: str):
-    return (*(pdf[c].to_numpy(np.int64) for c in ("phrase_id", "intent_pos", "row_pos")), _unit(pdf[vec].values))
-
-
 def _hits_broadcast(corpus: DataFrame, queries: DataFrame, threshold: float, k: int) -> DataFrame:
     spark = corpus.sparkSession
     qpdf = queries.select("query_id", "embedding").toPandas()   # its bytes were checked by the caller
@@ -98,11 +96,15 @@ def _hits_broadcast(corpus: DataFrame, queries: DataFrame, threshold: float, k:
 
     def score(batches):
         top = _TopK(*bq.value, threshold, k)
-        for pdf in batches:
-            top.add(*_columns(pdf, "embedding"))
-        yield top.frame()
+        for batch in batches:
+            for s in range(0, batch.num_rows, SCAN_ROWS):
+                part = batch.slice(s, SCAN_ROWS)
+                top.add(*(part.column(c).to_numpy() for c in ("phrase_id", "intent_pos", "row_pos")),
+                        unit_rows(matrix(part.column("embedding"), bq.value[1].shape[1])))
+        yield pa.RecordBatch.from_pandas(top.frame(), preserve_index=False)
 
-    return corpus.select("phrase_id", "intent_pos", "row_pos", "embedding").mapInPandas(score, HIT_SCHEMA)
+    vectors = F.col("embedding").cast("array<double>").alias("embedding")
+    return corpus.select("phrase_id", "intent_pos", "row_pos", vectors).mapInArrow(score, HIT_SCHEMA)
 
 
 # ---------------------------------------------------------------------------
@@ -256,8 +258,8 @@ def search_hits(corpus: DataFrame, queries: DataFrame, threshold: float = 0.7, t
     """
     if method not in ("auto", "broadcast", "blocked"):
         raise ValueError(f"unknown method {method!r}")
-    nq = None
-    if method != "broadcast" and index is None:
+    nq = queries.count() if method == "broadcast" or index is not None else None
+    if nq is None:
         nq, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
         if method == "auto":
             method = "broadcast" if nq * (8 * dim + 8) <= broadcast_bytes else "blocked"
@@ -270,6 +272,8 @@ def search_hits(corpus: DataFrame, queries: DataFrame, threshold: float = 0.7, t
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "intent_pos", "row_pos")
     ranked = raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
     meta = corpus.select("phrase_id", "intent", "phrase")
+    if nq * top_k <= BROADCAST_HITS:   # the corpus stays where it is
+        ranked = F.broadcast(ranked)
     return ranked.join(meta, "phrase_id").join(queries.select("query_id", "query"), "query_id").select(
         "query_id", "query", "rank", "phrase_id", "intent", "phrase", "sim", "intent_pos", "row_pos")
 
