@@ -121,16 +121,18 @@ def normalise(df: DataFrame, vec: str = "embedding") -> DataFrame:
 POOLING = ("mean", "cls")
 
 
-def pool(tokens: DataFrame, strategy: str = "mean", normalize: bool = True) -> DataFrame:
+def pool(tokens: DataFrame, strategy: str = "mean", normalize: bool = True, first_pos: int | None = None) -> DataFrame:
     """EMB-2 / EMB-3 over ``(phrase_id, token_pos, mask, vec array<double>)``.
 
     Mean pooling is one weighted vector aggregate (``Summarizer``, mask as weight) that is
     combined in every task, so a very long text is summed in pieces.  A phrase whose masks are
-    all 0 has the zero vector.
+    all 0 has the zero vector.  CLS pooling takes each phrase's first token; where every
+    phrase's positions are known to begin at ``first_pos``, other tokens are not sorted and aggregated.
     """
     if strategy not in POOLING:
         raise ValueError(f"Unsupported pooling strategy: {strategy}")   # EMB-5
     if strategy == "cls":
+        tokens = tokens if first_pos is None else tokens.where(F.col("token_pos") == first_pos)
         out = tokens.groupBy("phrase_id").agg(F.min_by("vec", "token_pos").alias("embedding"))
     else:
         from pyspark.ml.functions import array_to_vector, vector_to_array

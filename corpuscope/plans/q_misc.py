@@ -114,7 +114,7 @@ firsttok AS (SELECT * FROM tb WHERE pos = 1)
 SELECT f.phrase_id, CAST(d.dim AS BIGINT) AS dim, CASE WHEN f.b = d.dim THEN f.s ELSE 0.0 END AS value
 FROM firsttok f CROSS JOIN dims d""")
 def q_token_cls_pool(spark, sf):
-    return _long(E.pool(token_table(spark, sf), "cls"))
+    return _long(E.pool(token_table(spark, sf), "cls", first_pos=0))   # posexplode counts from 0
 
 
 @register("l2_normalise", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
