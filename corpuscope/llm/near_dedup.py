@@ -28,9 +28,12 @@ are equal sets and share a component.  Extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ THRESHOLD = 0.75
 BLOCK = 1024
 #: Partners that a class proposes in the second pass.
 TRIES = 3
+#: Bytes of text whose shingle sets a task holds at once.
+SKETCH_BYTES = 2 << 20
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
@@ -56,7 +61,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     schema = src.drop("body").schema.add("n_shingles", "long").add("set_digest", "binary").add("regs", "binary")
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(_pieces, batches)):
             sets = list(shingle_sets(batch.column("body").to_pylist(), k))
             regs = hmh.sketch(sets)
             yield pa.RecordBatch.from_arrays(
@@ -69,6 +74,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return src.mapInArrow(run, schema)
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``SKETCH_BYTES`` of text: all sets of a run are held at once."""
+    sizes = pc.binary_length(batch.column("body")).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SKETCH_BYTES)) + 1
+    for start, end in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def classes_of(sketched: DataFrame) -> DataFrame:
     """One row per distinct non-empty shingle set, numbered by ``cid``."""
     return (sketched.filter("n_shingles > 0").groupBy("set_digest")

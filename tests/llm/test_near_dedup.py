@@ -156,3 +156,14 @@ def test_clashing_helper_names(spark):
     docs = spark.createDataFrame([(1, words, "a", 1), (2, words + " more", "b", 2), (3, "other text", None, None)],
                                  "doc_id long, text string, Drop_Key string, COMP int")
     assert sorted(r.doc_id for r in drop_near_duplicates(docs).collect()) == [1, 3]
+
+
+def test_sketches_hold_a_run_of_texts_at_once():
+    import pyarrow as pa
+
+    texts = [b"x" * 300_000] * 40 + [b""] * 3 + [b"y" * 5_000_000, b"z"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "body": texts})
+    runs = list(near_dedup._pieces(batch))
+    assert [i for r in runs for i in r.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(r.num_rows == 1 or sum(map(len, r.column("body").to_pylist()[1:])) <= near_dedup.SKETCH_BYTES for r in runs)
+    assert not list(near_dedup._pieces(batch.slice(0, 0)))
