@@ -99,3 +99,64 @@ def test_csv_files_and_batches_are_bounded(spark, tmp_path, monkeypatch):
                                         "state": [0] * 50, "base": [0] * 50})
     out = list(csv_split._records("utf-8")(iter([batch])))
     assert sum(b.num_rows for b in out) == 50 and max(b.nbytes for b in out) < 2 << 20
+
+
+def test_only_texts_with_a_vector_are_shuffled(spark, tmp_path):
+    from corpuscope.sources import tables as T
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(3, "text again"), (None, "none")],
+                          "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)], i % 3) for i in (1, 3, 3, 7, 60)] + [(None, [1.0, 0.0], 1)],
+                          "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = T.embedded_corpus(spark, str(tmp_path))
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    few, T.BROADCAST_IDS = T.BROADCAST_IDS, 0
+    try:
+        plain = T.embedded_corpus(spark, str(tmp_path))
+        assert "LeftSemi" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert Counter(map(str, found.collect())) == Counter(map(str, plain.collect()))
+    finally:
+        T.BROADCAST_IDS = few
+    assert found.count() == 1 + 2 * 2 + 1
+
+
+def test_stored_pairs_give_the_same_similarity(spark):
+    sims = sorted({round(x, 6) for x in np.random.default_rng(1).uniform(-1, 1, 20000).tolist()} | {-1.0, 0.0, 0.3, 1.0})
+    pairs = spark.createDataFrame([(i, i + 1, x) for i, x in enumerate(sims)], S.PAIR_SCHEMA)
+    packed = S.packed_pairs(pairs)
+    assert dict(packed.dtypes)["millionths"] == "int"
+    assert sorted(r["sim"] for r in S.unpacked_pairs(packed).collect()) == sims
+
+
+def test_dealt_conflicts_are_two_places_and_a_similarity(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 55, f"l{i % 3}", f"phrase {i % 20}", rng.normal(size=6)) for i in range(60)]  # ids repeat
+    corpus = emb_corpus(spark, rows)
+    phrases = S.phrase_index(corpus)
+    placed = S.place_pairs(S.conflict_pairs(corpus, 0.3), phrases)
+    small = _rows(S.with_texts(placed, phrases))
+    carried = []
+
+    def deal(*args, carry=None, **more):
+        carried.append(carry)
+        return join_both_sides(*args, carry=carry, broadcast_bytes=0, **more)
+
+    monkeypatch.setattr(S, "join_both_sides", deal)
+    assert _rows(S.with_texts(placed, phrases)) == small
+    assert carried == [["place", "other_place", "sim"]]
+    phrases.few = False
+    assert _rows(S.with_texts(placed, phrases)) == small
+
+
+def test_changes_and_distinct_texts_go_by_digest(spark):
+    from corpuscope.operators.incremental import corpus_changes
+
+    corpus = emb_corpus(spark, [(i, f"l{i % 2}", f"phrase {i % 4}", np.ones(3)) for i in range(8)])
+    edited = corpus.withColumn("phrase", F.when(F.col("phrase_id") == 3, "new").otherwise(F.col("phrase")))
+    changes = corpus_changes(corpus, edited)
+    assert {r["phrase_id"]: r["change"] for r in changes.collect()} == {i: "edited" if i == 3 else "same" for i in range(8)}
+    pairs = spark.createDataFrame([], "sim3 double")
+    assert R.exec_summary(edited, pairs).first()["unique_phrases"] == 5
+    for df in (changes, R.exec_summary(edited, pairs)):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2" in text
