@@ -12,7 +12,7 @@ KEPT_WORDS = 500_000
 #: Longest word, in bytes, that is kept beyond the texts it is met in.
 KEPT_BYTES = 64
 #: Bytes of text encoded together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def encoder(path: str) -> WordEncoder:
@@ -42,6 +42,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # each word is asked for once: the model's own memory of words costs more than it finds
+        getattr(self.tokenizer.model, "_resize_cache", lambda words: None)(0)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.ends = np.zeros(size, bool)  # the token closes a run of letters
@@ -57,35 +59,41 @@ class WordEncoder:
         Runs of letters go through the tokenizer as one text, cut after their
         closing tokens; other words one by one.
         """
-        plain, others = [], []
+        # flat lists: tuples would wake the collector, once per few hundred words
+        plain, plain_texts, others, other_texts = [], [], [], []
         for w in words:
             text = w.decode("utf-8", "replace")
-            (plain if text.isalpha() else others).append((w, text))
-        joined = " ".join([t for _, t in plain])
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+            if text.isalpha():
+                plain.append(w)
+                plain_texts.append(text)
+            else:
+                others.append(w)
+                other_texts.append(text)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain_texts)], add_special_tokens=False)[0].ids, np.int64)
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(cuts) == len(plain):
             packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            at = 0
-            for (w, _), end in zip(plain, cuts):
-                self.young[w] = packed[width * at:width * end]
+            at, known = 0, self.young
+            for w, end in zip(plain, cuts):
+                end *= width
+                known[w] = packed[at:end]
                 at = end
         else:
             others += plain
+            other_texts += plain_texts
         if others:
-            done = self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)
-            for (w, _), e in zip(others, done):
+            done = self.tokenizer.encode_batch_fast(other_texts, add_special_tokens=False)
+            for w, e in zip(others, done):
                 self.young[w] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         """Make ``words`` known: from the older generation, or as a run of letters and closing punctuation."""
-        built, parts = [], set()
+        built, lows, tails, parts = [], [], [], set()
         known, old = self.young, self.old
-        for w in words:
-            ids = old.get(w)
-            if ids is not None:
-                known[w] = ids
-                continue
+        again = words & old.keys()
+        for w in again:
+            known[w] = old[w]
+        for w in words - again:
             core = w.rstrip(b".,!?;:")
             if core.isalpha():  # A-Z and a-z only
                 low, tail = core.lower(), w[len(core):]
@@ -93,17 +101,20 @@ class WordEncoder:
                 low, tail = core, w[len(core):]
             else:
                 low, tail = w, b""
-            for part in (low, tail):
-                if part and part not in known:
-                    if part in old:
-                        known[part] = old[part]
-                    else:
-                        parts.add(part)
+            if low not in known:
+                parts.add(low)
+            if tail and tail not in known:
+                parts.add(tail)
             if low is not w:
-                built.append((w, low, tail))
+                built.append(w)
+                lows.append(low)
+                tails.append(tail)
+        for part in parts & old.keys():
+            known[part] = old[part]
+            parts.discard(part)
         if parts:
             self._encode(list(parts))
-        for w, low, tail in built:
+        for w, low, tail in zip(built, lows, tails):
             known[w] = known[low] + known[tail] if tail else known[low]
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
@@ -130,7 +141,7 @@ class WordEncoder:
                 self.long = [w for w in islice(reversed(self.young), len(self.young) - held) if len(w) > KEPT_BYTES]
         known = self.young
         for t in texts:
-            yield b"".join([known[w] for w in t])
+            yield b"".join(map(known.__getitem__, t))
         for w in self.long:
             del known[w]
         self.long = []

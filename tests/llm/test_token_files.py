@@ -108,3 +108,18 @@ def test_long_words_are_not_kept():
     assert [np.frombuffer(g, coder.dtype).tolist() for g in got] == [
         e.ids for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert coder.young and all(len(w) <= KEPT_BYTES for w in [*coder.young, *coder.old])
+
+
+def test_learning_words_makes_no_container_a_word():
+    """Tuples, one per new word, woke the collector again and again."""
+    import gc
+    import random
+    import string
+
+    words = token_ids.WordEncoder(tokenizer_path())
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices(string.ascii_letters, k=7)) + rng.choice(["", "."]) for _ in range(30000)).encode()
+    gc.collect()
+    before = gc.get_stats()[0]["collections"]
+    list(words.encode([text]))
+    assert gc.get_stats()[0]["collections"] - before <= 2
