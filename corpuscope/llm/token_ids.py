@@ -60,40 +60,30 @@ class WordEncoder:
         closing tokens; other words one by one.
         """
         # flat lists: tuples would wake the collector, once per few hundred words
-        plain, plain_texts, others, other_texts = [], [], [], []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if text.isalpha():
-                plain.append(w)
-                plain_texts.append(text)
-            else:
-                others.append(w)
-                other_texts.append(text)
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain_texts)], add_special_tokens=False)[0].ids, np.int64)
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        plain = [w for w in words if w.isalpha() or w.decode("utf-8", "replace").isalpha()]  # of bytes: A-Z and a-z only
+        others = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode("utf-8")], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(plain):
-            packed, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            at, known = 0, self.young
-            for w, end in zip(plain, cuts):
-                end *= width
-                known[w] = packed[at:end]
-                at = end
+            packed, cuts = ids.astype(self.dtype).tobytes(), (cuts * self.dtype.itemsize).tolist()
+            self.young.update(zip(plain, map(packed.__getitem__, map(slice, [0, *cuts], cuts))))
         else:
             others += plain
-            other_texts += plain_texts
         if others:
-            done = self.tokenizer.encode_batch_fast(other_texts, add_special_tokens=False)
+            done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
             for w, e in zip(others, done):
                 self.young[w] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         """Make ``words`` known: from the older generation, or as a run of letters and closing punctuation."""
-        built, lows, tails, parts = [], [], [], set()
+        built, lows, tails = [], [], []
         known, old = self.young, self.old
         again = words & old.keys()
         for w in again:
             known[w] = old[w]
-        for w in words - again:
+        new = words - again
+        parts = {w for w in new if w.islower() and w.isalpha()}  # a-z only: nothing to build them from
+        for w in new - parts:
             core = w.rstrip(b".,!?;:")
             if core.isalpha():  # A-Z and a-z only
                 low, tail = core.lower(), w[len(core):]

@@ -123,3 +123,23 @@ def test_learning_words_makes_no_container_a_word():
     before = gc.get_stats()[0]["collections"]
     list(words.encode([text]))
     assert gc.get_stats()[0]["collections"] - before <= 2
+
+
+def test_words_in_small_letters_are_kept_once():
+    from corpuscope.llm.queries_files import tokenizer_path
+    from corpuscope.llm.token_ids import WordEncoder
+
+    class Counted(dict):
+        sets = 0
+
+        def __setitem__(self, key, value):
+            Counted.sets += 1
+            super().__setitem__(key, value)
+
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}" for i in range(600)]
+    text = " ".join([*words, "Éa éb", "c1", "Upper", "end."])
+    encoder = WordEncoder(tokenizer_path())
+    encoder.young = Counted()
+    packed, = encoder.encode([text.encode()])
+    assert np.frombuffer(packed, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert Counted.sets < len(words)
