@@ -53,15 +53,16 @@ class WordEncoder:
         self.old: dict[bytes, bytes] = {}
         self.long: list[bytes] = []  # words of the present texts that are not kept
 
-    def _encode(self, words: list[bytes]) -> None:
-        """Make the ids of ``words`` known.
+    def _encode(self, letters: list[bytes], rest: list[bytes]) -> None:
+        """Make the ids of words known: of ``letters`` (a-z only) and ``rest``, all different.
 
         Runs of letters go through the tokenizer as one text, cut after their
         closing tokens; other words one by one.
         """
         # flat lists: tuples would wake the collector, once per few hundred words
-        plain = [w for w in words if w.isalpha() or w.decode("utf-8", "replace").isalpha()]  # of bytes: A-Z and a-z only
-        others = list(set(words).difference(plain)) if len(plain) < len(words) else []
+        plain, others = letters, []
+        for w in rest:
+            (plain if w.decode("utf-8", "replace").isalpha() else others).append(w)
         ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode("utf-8")], add_special_tokens=False)[0].ids, np.int64)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(plain):
@@ -76,34 +77,41 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         """Make ``words`` known: from the older generation, or as a run of letters and closing punctuation."""
-        built, lows, tails = [], [], []
         known, old = self.young, self.old
-        again = words & old.keys()
-        for w in again:
-            known[w] = old[w]
-        new = words - again
-        parts = {w for w in new if w.islower() and w.isalpha()}  # a-z only: nothing to build them from
-        for w in new - parts:
-            core = w.rstrip(b".,!?;:")
-            if core.isalpha():  # A-Z and a-z only
-                low, tail = core.lower(), w[len(core):]
-            elif core and len(core) < len(w) and core.decode("utf-8", "replace").isalpha():
-                low, tail = core, w[len(core):]
+        new = words.difference(old)
+        if len(new) < len(words):
+            known.update({w: old[w] for w in words.difference(new)})
+        letters, rest, built, lows, tails = set(), set(), [], [], []
+        for w in new:
+            if w.isalpha():  # A-Z and a-z only
+                low = w.lower()
+                if low == w:  # nothing to build it from
+                    letters.add(w)
+                    continue
+                part, tail = letters, b""
             else:
-                low, tail = w, b""
+                core = w.rstrip(b".,!?;:")
+                tail = w[len(core):]
+                if core.isalpha():
+                    low, part = core.lower(), letters
+                elif core and tail and core.decode("utf-8", "replace").isalpha():
+                    low, part = core, rest
+                else:
+                    rest.add(w)
+                    continue
+                if tail not in known:
+                    rest.add(tail)
             if low not in known:
-                parts.add(low)
-            if tail and tail not in known:
-                parts.add(tail)
-            if low is not w:
-                built.append(w)
-                lows.append(low)
-                tails.append(tail)
-        for part in parts & old.keys():
-            known[part] = old[part]
-            parts.discard(part)
-        if parts:
-            self._encode(list(parts))
+                part.add(low)
+            built.append(w)
+            lows.append(low)
+            tails.append(tail)
+        for part in (letters, rest):
+            again = {w for w in part if w in old}
+            known.update({w: old[w] for w in again})
+            part -= again
+        if letters or rest:
+            self._encode(list(letters), list(rest))
         for w, low, tail in zip(built, lows, tails):
             known[w] = known[low] + known[tail] if tail else known[low]
 
@@ -120,7 +128,7 @@ class WordEncoder:
 
     def _chunk(self, texts: list[list[bytes]]) -> Iterator[bytes]:
         words = set().union(*texts)
-        missing = words - self.young.keys()
+        missing = words.difference(self.young)  # of the keys' view all keys would be walked
         if len(self.young) + len(missing) > KEPT_WORDS:
             self.old, self.young = self.young, {}
             missing = words

@@ -143,3 +143,18 @@ def test_words_in_small_letters_are_kept_once():
     packed, = encoder.encode([text.encode()])
     assert np.frombuffer(packed, encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert Counted.sets < len(words)
+
+
+def test_known_words_are_not_walked_for_every_chunk():
+    walked = []
+
+    class Word(bytes):
+        def __hash__(self):
+            walked.append(self)
+            return bytes.__hash__(self)
+
+    words = token_ids.WordEncoder(tokenizer_path())
+    words.young = {Word(b"w%d" % i): b"" for i in range(1000)}
+    walked.clear()
+    assert [np.frombuffer(x, words.dtype).tolist() for x in words.encode([b"The cat, the Cat."])] == direct(["The cat, the Cat."])
+    assert not walked
