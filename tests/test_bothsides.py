@@ -160,3 +160,31 @@ def test_changes_and_distinct_texts_go_by_digest(spark):
     for df in (changes, R.exec_summary(edited, pairs)):
         text = df._jdf.queryExecution().optimizedPlan().toString()
         assert "sha2" in text
+
+
+def test_report_deals_numbers_alone_and_keeps_its_order(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    corpus = emb_corpus(spark, [(i, f"l{i % 3}", f"phrase {i % 20}", rng.normal(size=4)) for i in [*range(60), 5, 6]])
+    phrases = S.phrase_index(corpus)
+    placed = S.place_pairs(S.conflict_pairs(corpus, 0.5), phrases)
+    for few in (True, False):
+        phrases.few = few
+        dealt = S.dealt_by_similarity(placed, phrases)
+        assert _rows(dealt) == _rows(placed)
+    phrases.few = True
+    cols = ["phrase_id", "intent", "other_id", "other_intent", "sim", "is_exact"]
+    out = S.dealt_by_similarity(placed, phrases).select(*cols)
+    line = next(x for x in out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1].split("\n") if "Project" in x)
+    assert "place" in line and "intent" not in line and "phrase_id" not in line
+    path = SK.write_named_csv(out, str(tmp_path), "full_confusion_report", dealt=True, compression="gzip")
+    files = sorted(tmp_path.glob("full_confusion_report/part-*"))
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    back = spark.read.option("header", True).schema(out.schema).csv(path)
+    assert _rows(back) == _rows(out)
+    sims = [r["sim"] for f in files for r in spark.read.option("header", True).schema(out.schema).csv(str(f)).collect()]
+    assert sims == sorted(sims, reverse=True) and len(sims) > 100
+
+
+def test_project_parts_are_stored_small(spark, tmp_path):
+    SK.save_project(str(tmp_path), "p", {"pairs": spark.range(10)}, {"saved_at": "1"})
+    assert list(tmp_path.glob("project=p/data/*/pairs/part-*.zstd.parquet"))
