@@ -188,3 +188,17 @@ def test_report_deals_numbers_alone_and_keeps_its_order(spark, tmp_path):
 def test_project_parts_are_stored_small(spark, tmp_path):
     SK.save_project(str(tmp_path), "p", {"pairs": spark.range(10)}, {"saved_at": "1"})
     assert list(tmp_path.glob("project=p/data/*/pairs/part-*.zstd.parquet"))
+
+
+def test_pairs_of_a_right_value_leave_a_task_together(spark):
+    """A columnar file of the result then holds a repeated text once, not once per pair."""
+    values = spark.range(400).selectExpr("id AS k", "concat('text ', id) AS t")
+    pairs = spark.range(40_000).selectExpr("id % 400 AS x", "(id * 7 + id DIV 400) % 400 AS y", "id AS n").repartition(16)
+    got = join_both_sides(pairs, ("x", "y"), values, "k", {"t": ("tx", "ty")}, F.octet_length("t"), broadcast_bytes=0)
+    runs, held = 0, 0
+    for part in got.rdd.glom().map(lambda rows: [r["y"] for r in rows]).collect():
+        runs += sum(a != b for a, b in zip([None, *part], part))
+        held += len(set(part))
+    assert got.count() == 40_000
+    # one run for each left block and right value of a task; in the order they came there are ten times as many
+    assert runs <= 4 * held < 8_000
