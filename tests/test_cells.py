@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from conftest import emb_corpus
 from corpuscope.operators import cells as C
@@ -135,3 +136,31 @@ def test_index_reads_few_cells(spark, tmp_path):
     assert hits.count() >= 100 and report["rows_read"] < 0.4 and report["cells_read"] < report["cells"], report
     plan = hits._jdf.queryExecution().toString()
     assert any("cell" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+
+
+def test_similarities_are_rounded_in_the_task_as_sql_rounds(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.uniform(-1, 1, 3000), rng.integers(-10**7, 10**7, 3000) / 1e7, [0.0, -0.0, 1e-7, -1e-7, 5e-7, -5e-7, 1.0]])
+    x = np.concatenate([x, np.nextafter(x, 2), np.nextafter(x, -2)])
+    want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i long, x double").selectExpr("i", "round(x, 6) AS y").orderBy("i").collect()
+    got = S.round6(x)
+    assert [r["y"] for r in want] == got.tolist() and not np.signbit(got[got == 0]).any()
+    assert np.isnan(S.round6(np.array([np.nan]))[0])
+
+
+def test_labels_are_compared_for_near_products_alone(spark):
+    """Of a tile's products only those near the threshold are looked at, and pairs are rounded before they leave."""
+    rng = np.random.default_rng(6)
+    n, dim = 400, 16
+    v = rng.normal(size=(n, dim))
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(n), "ipos": np.arange(n) % 3, "rpos": np.arange(n), "cell": np.zeros(n, np.int32),
+                                        "tile": np.zeros(n, np.int32), "floor": np.zeros(n), "v": list(v)})
+    block = C.Block([batch], dim)
+    kernel, seen = S._PairKernel(block, 0.5, np.ones((1, 1), bool), None), []
+    kernel.once = lambda i, b, j: seen.append(len(i)) or block.tile[i] == b.tile[j]
+    found = [r for out in kernel.add(block) for r in zip(*out.to_pydict().values())]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = u @ u.T
+    want = {(i, j) for i, j in zip(*np.nonzero(sims >= 0.5)) if i % 3 < j % 3}
+    assert {(p, o) for p, o, _ in found} == want and len(found) == len(want)
+    assert all(s == round(s, 6) for *_, s in found) and sum(seen) < n * n // 10
