@@ -119,14 +119,17 @@ def normalise(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 POOLING = ("mean", "cls")
+SUM_DIMS = 64     # numbers of a vector up to which each is summed by an aggregate of its own
 
 
-def pool(tokens: DataFrame, strategy: str = "mean", normalize: bool = True, first_pos: int | None = None) -> DataFrame:
+def pool(tokens: DataFrame, strategy: str = "mean", normalize: bool = True, first_pos: int | None = None,
+         dim: int | None = None) -> DataFrame:
     """EMB-2 / EMB-3 over ``(phrase_id, token_pos, mask, vec array<double>)``.
 
     Mean pooling is one weighted vector aggregate (``Summarizer``, mask as weight) that is
-    combined in every task, so a very long text is summed in pieces.  A phrase whose masks are
-    all 0 has the zero vector.  CLS pooling takes each phrase's first token; where every
+    combined in every task, so a very long text is summed in pieces.  Where all vectors are known to
+    have ``dim`` numbers, ``SUM_DIMS`` at most, plain sums take its place: one pass, and no object per phrase.
+    A phrase whose masks are all 0 has the zero vector.  CLS pooling takes each phrase's first token; where every
     phrase's positions are known to begin at ``first_pos``, other tokens are not sorted and aggregated.
     """
     if strategy not in POOLING:
@@ -134,6 +137,12 @@ def pool(tokens: DataFrame, strategy: str = "mean", normalize: bool = True, firs
     if strategy == "cls":
         tokens = tokens if first_pos is None else tokens.where(F.col("token_pos") == first_pos)
         out = tokens.groupBy("phrase_id").agg(F.min_by("vec", "token_pos").alias("embedding"))
+    elif dim is not None and dim <= SUM_DIMS:
+        weight = F.col("mask").cast("double")
+        sums = tokens.groupBy("phrase_id").agg(F.sum(F.when(weight > 0, weight)).alias("w"), *[
+            F.sum(F.when(weight > 0, F.col("vec")[i] * weight)).alias(f"s{i}") for i in range(dim)])
+        out = sums.select("phrase_id", F.array(*[
+            F.when(F.col("w").isNull(), F.lit(0.0)).otherwise(F.col(f"s{i}") / F.col("w")) for i in range(dim)]).alias("embedding"))
     else:
         from pyspark.ml.functions import array_to_vector, vector_to_array
         from pyspark.ml.stat import Summarizer

@@ -76,11 +76,13 @@ def token_table(spark, sf):
     t = c.select("phrase_id", F.posexplode(F.regexp_extract_all(F.lower("phrase"), F.lit(WORD_TOKEN), 0))
                  .alias("token_pos", "tok"))
     h = F.md5("tok")
-    b = (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % POOL_DIM).cast("int")
-    s = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return t.select("phrase_id", "token_pos", F.when(F.length("tok") > 2, 1).otherwise(0).alias("mask"),
-                    F.transform(F.sequence(F.lit(0), F.lit(POOL_DIM - 1)),
-                                lambda i: F.when(i == b, s).otherwise(F.lit(0.0))).alias("vec"))
+    b = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % POOL_DIM).cast("int")
+    s = F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") < 8, F.lit(1.0)).otherwise(F.lit(-1.0))
+    # bucket and sign are columns of their own, so that a token is hashed once and not for every number of its vector
+    t = t.select("phrase_id", "token_pos", F.when(F.length("tok") > 2, 1).otherwise(0).alias("mask"), h.alias("h"))
+    t = t.select("phrase_id", "token_pos", "mask", b.alias("b"), s.alias("s"))
+    return t.select("phrase_id", "token_pos", "mask", F.array(*[
+        F.when(F.col("b") == i, F.col("s")).otherwise(F.lit(0.0)) for i in range(POOL_DIM)]).alias("vec"))
 
 
 _TOK_SQL = f"""WITH {DOC_CORPUS},
@@ -106,7 +108,7 @@ nrm AS (SELECT phrase_id, sqrt(sum(v * v)) AS nv FROM pooled GROUP BY phrase_id)
 SELECT p.phrase_id, CAST(p.dim AS BIGINT) AS dim, round(CASE WHEN n.nv = 0 THEN 0.0 ELSE p.v / n.nv END, 6) AS value
 FROM pooled p JOIN nrm n ON n.phrase_id = p.phrase_id""")
 def q_token_mean_pool(spark, sf):
-    return _long(E.pool(token_table(spark, sf), "mean"))
+    return _long(E.pool(token_table(spark, sf), "mean", dim=POOL_DIM))
 
 
 @register("token_cls_pool", _TOK_SQL + """,

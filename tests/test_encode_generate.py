@@ -59,3 +59,16 @@ def test_pandas_generator(spark):
     c = corpus_of(spark, {"a": ["x"]})
     j = G.paraphrase_jobs(c, "m", 1, 20, generator=lambda: (lambda ps: ["paraphrased:  Y " for _ in ps]))
     assert j.first().generated == "Y"
+
+
+def test_mean_pool_by_plain_sums(spark):                           # EMB-2
+    """Where the numbers of a vector are known, one pass of sums gives the means of the vector aggregate."""
+    rows = [(i % 7, i // 7, (0, 1, 2)[i % 3] if i % 7 else 0, [float(i % 5) - 2, 0.5 * i, 1.0]) for i in range(70)]
+    rows += [(8, 0, None, [1.0, 2.0, 3.0]), (8, 1, 1, [3.0, 4.0, 5.0])]
+    t = spark.createDataFrame(rows, "phrase_id long, token_pos int, mask int, vec array<double>")
+    for unit in (True, False):
+        got, want = E.pool(t, "mean", unit, dim=3), E.pool(t, "mean", unit)
+        read = lambda df: {r.phrase_id: [round(x, 9) for x in r.embedding] for r in df.collect()}
+        assert read(got) == read(want) and read(got)[0] == [0.0, 0.0, 0.0] and len(read(got)) == 8
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "Join" not in plan
